@@ -1,13 +1,17 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from levelground.llm import decontaminate, exact_dedup, line_dedup
+from levelground.llm import decontaminate, exact_dedup, line_dedup, packing, pii, secrets, token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
+        pii.op1_pii,
+        secrets.op4_secret_scan,
         line_dedup.op5_line_dedup,
         decontaminate.op6_benchmark_decontamination,
+        packing.op7_best_fit_packing,
         exact_dedup.op8_exact_dedup,
+        token_counts.op10_token_counts,
     )
 }
 ORACLES = {"op6_benchmark_decontamination": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}

@@ -1,11 +1,13 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from levelground.llm import decontaminate, exact_dedup, line_dedup, packing, pii, secrets, token_counts
+from levelground.llm import decontaminate, exact_dedup, jaccard_join, language, line_dedup, packing, pii, secrets, token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
         pii.op1_pii,
+        jaccard_join.op2_ngram_jaccard,
+        language.op3_language_id,
         secrets.op4_secret_scan,
         line_dedup.op5_line_dedup,
         decontaminate.op6_benchmark_decontamination,

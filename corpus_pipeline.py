@@ -1,3 +1,69 @@
-STAGES = []
+"""From raw documents to packed training sequences: five operators, each on all that the one before kept.
+
+Every stage but the last returns the columns of documents; each result is written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from levelground.llm._common import stored
+from levelground.llm.decontaminate import decontaminate
+from levelground.llm.exact_dedup import exact_dedup
+from levelground.llm.jaccard_join import jaccard_components
+from levelground.llm.language import identify
+from levelground.llm.packing import pack
+
+
+def _without(docs: DataFrame, ids: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Rows of docs whose doc_id is not among ids (null ids are among none)."""
+    ids = ids.where("doc_id IS NOT NULL")
+    return docs.join(F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without any letter, whose language is undetermined."""
+    found = identify(docs)
+    return _without(docs, stored(found.where("lang_pred = 'und'").select("doc_id"), "no-language"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    return _without(docs, stored(exact_dedup(docs).where("NOT kept").select("doc_id"), "copies"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return _without(docs, stored(jaccard_components(docs).where("component_id <> doc_id").select("doc_id"), "near-copies"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, stored(found.where("contaminated").select("doc_id"), "leaks"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", benchmark),
+    ("packing", packing),
+]
+
+#: Language identification and packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from levelground.llm import decontaminate, exact_dedup, jaccard_join, language, line_dedup, packing, pii, secrets, token_counts
+from levelground.llm import decontaminate, exact_dedup, jaccard_join, language, licences, line_dedup, packing, pii, secrets, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         decontaminate.op6_benchmark_decontamination,
         packing.op7_best_fit_packing,
         exact_dedup.op8_exact_dedup,
+        licences.op9_licence_scan,
         token_counts.op10_token_counts,
     )
 }

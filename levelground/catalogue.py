@@ -1,4 +1,442 @@
-"""Every query of the engine and the SQL that gives the same rows."""
+"""Every query of the engine over the orders terrain, and DuckDB SQL that gives the same rows in another way."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from levelground.operators import cloud as ops
+from levelground.operators import growth, patch, spatial
+from levelground.operators.storage import stored
+from levelground.plans import algorithms
+from levelground.sources.tables import orders_terrain
+
+# Parameters of the catalogue's detector; the number of attempts is the sampling operator's own.
+ATTEMPTS, RADIUS, K, LIMIT, INCREMENT, RUNGS = 50, 0.5, 10, 25.0, 0.5, 3
+ONE = 1.0  # the radius of queries on one patch for each seed
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = with_tables(oracle)
+        return f
+
+    return add
+
+
+def with_tables(select: str) -> str:
+    """The statement with those of TABLES that it needs, as DuckDB computes materialized ones that nothing reads, too."""
+    parts = re.split(r"^(\w+) AS (?=MATERIALIZED \(|\()", TABLES, flags=re.M)
+    tables = {name: body.strip().rstrip(",") for name, body in zip(parts[1::2], parts[2::2])}
+    needed, todo = set(), [select]
+    while todo:
+        for word in set(re.findall(r"\w+", todo.pop())) & set(tables) - needed:
+            needed.add(word)
+            todo.append(tables[word])
+    return "WITH " + ",\n".join(f"{name} AS {body}" for name, body in tables.items() if name in needed) + "\n" + select
+
+
+def r(name: str, digits: int = 4, alias: str | None = None):
+    return F.round(F.col(name) + 0.0, digits).alias(alias or name)
+
+
+def _eigen(src: str, keys: str, out: str) -> str:
+    """CTEs from covariances in src to unit normals nx, ny, nz in out."""
+    return f"""
+{out}_q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM {src}),
+{out}_p AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM {out}_q),
+{out}_l AS (SELECT *, CASE WHEN p > 0 THEN q + 2 * p * cos(acos(least(1.0, greatest(-1.0, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p ** 3)))) / 3 + 2 * pi() / 3) END AS lam FROM {out}_p),
+{out}_c AS (SELECT *, xy * yz - xz * (yy - lam) AS ax, xz * xy - (xx - lam) * yz AS ay, (xx - lam) * (yy - lam) - xy * xy AS az,
+  xy * (zz - lam) - xz * yz AS bx, xz * xz - (xx - lam) * (zz - lam) AS b_y, (xx - lam) * yz - xy * xz AS bz,
+  (yy - lam) * (zz - lam) - yz * yz AS cx_, yz * xz - xy * (zz - lam) AS cy_, xy * yz - (yy - lam) * xz AS cz_ FROM {out}_l),
+{out}_s AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS sa, sqrt(bx * bx + b_y * b_y + bz * bz) AS sb, sqrt(cx_ * cx_ + cy_ * cy_ + cz_ * cz_) AS sc FROM {out}_c),
+{out}_v AS (SELECT *, CASE WHEN sa >= sb AND sa >= sc THEN ax WHEN sb >= sc THEN bx ELSE cx_ END AS vx, CASE WHEN sa >= sb AND sa >= sc THEN ay WHEN sb >= sc THEN b_y ELSE cy_ END AS vy,
+  CASE WHEN sa >= sb AND sa >= sc THEN az WHEN sb >= sc THEN bz ELSE cz_ END AS vz, greatest(sa, sb, sc) AS sv FROM {out}_s),
+{out} AS (SELECT {keys}, CASE WHEN sv > 0 THEN CASE WHEN vz < 0 THEN -vx ELSE vx END / sv END AS nx, CASE WHEN sv > 0 THEN CASE WHEN vz < 0 THEN -vy ELSE vy END / sv END AS ny,
+  CASE WHEN sv > 0 THEN abs(vz) / sv END AS nz, CASE WHEN sv > 0 THEN degrees(acos(least(1.0, abs(vz) / sv))) END AS slope_deg, lam, xx, yy, zz{', mx, my, mz' if 'plane' in out else ''} FROM {out}_v)"""
+
+
+def _cov(p: str) -> str:
+    return f"covar_pop({p}x, {p}x) AS xx, covar_pop({p}x, {p}y) AS xy, covar_pop({p}x, {p}z) AS xz, covar_pop({p}y, {p}y) AS yy, covar_pop({p}y, {p}z) AS yz, covar_pop({p}z, {p}z) AS zz, avg({p}x) AS mx, avg({p}y) AS my, avg({p}z) AS mz"
+
+
+TABLES = f"""
+side AS (SELECT sqrt(count(*) / CAST(37.5 AS DOUBLE)) AS l FROM orders),
+flat_xy AS (SELECT CAST(o_orderkey AS BIGINT) AS pid, (o_orderkey * 7919) % 10007 AS kx, (o_orderkey * 3571) % 10009 AS ky, CAST(o_totalprice AS DOUBLE) AS price, l,
+  l * ((o_orderkey * 7919) % 10007) / CAST(10007.0 AS DOUBLE) AS x, l * ((o_orderkey * 3571) % 10009) / CAST(10009.0 AS DOUBLE) AS y FROM orders, side),
+cloud AS MATERIALIZED (SELECT pid, kx, ky, x, y, CAST(4e-8 AS DOUBLE) * price + CASE WHEN x > l / 2 THEN CAST(0.6 AS DOUBLE) * (x - l / 2) ELSE CAST(0.05 AS DOUBLE) * x END
+  + CASE WHEN pid % 97 = 0 AND y > CAST(0.75 AS DOUBLE) * l THEN CAST(2.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS z, CAST(pid * 31 % 5 AS DOUBLE) AS intensity FROM flat_xy),
+box AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS b_y, count(*) AS n FROM cloud),
+numbered AS (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS i FROM cloud),
+sims AS (SELECT unnest(range(3)) AS sim),
+seeds AS MATERIALIZED (SELECT sim, attempt, pid AS seed_pid, x AS sx, y AS sy, z AS sz FROM sims, (SELECT unnest(range({ATTEMPTS})) AS attempt), box, numbered WHERE i = (attempt * 7919 + 13 + sim) % n),
+inside AS MATERIALIZED (SELECT seeds.* FROM seeds, box WHERE sx BETWEEN ax + {RADIUS} AND bx - {RADIUS} AND sy BETWEEN ay + {RADIUS} AND b_y - {RADIUS}),
+rungs AS (SELECT unnest(range({RUNGS})) AS m),
+reach AS MATERIALIZED (SELECT sim, attempt, pid, kx, ky, x, y, z, (x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz) AS d2 FROM inside, cloud WHERE x BETWEEN sx - 2 AND sx + 2 AND y BETWEEN sy - 2 AND sy + 2),
+patch AS MATERIALIZED (SELECT reach.*, m FROM reach, rungs WHERE d2 < ({RADIUS} + {INCREMENT} * m) * ({RADIUS} + {INCREMENT} * m)),
+one AS (SELECT * FROM patch WHERE sim = 0 AND m = 1),
+pairs AS (SELECT a.sim, a.attempt, a.m, a.pid, b.pid AS other, b.x AS ox, b.y AS oy, b.z AS oz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM patch a JOIN patch b USING (sim, attempt, m)),
+near AS MATERIALIZED (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY sim, attempt, m, pid ORDER BY d2, other) <= {K}),
+near_cov AS (SELECT sim, attempt, m, pid, {_cov('o')} FROM near GROUP BY ALL),
+{_eigen('near_cov', 'sim, attempt, m, pid', 'normal')},
+classed AS MATERIALIZED (SELECT patch.*, slope_deg, coalesce(slope_deg <= {LIMIT}, false) AS inlier FROM patch LEFT JOIN normal USING (sim, attempt, m, pid)),
+rung AS MATERIALIZED (SELECT sim, attempt, m, count(*) AS n, count(*) FILTER (NOT inlier) AS n_out FROM classed GROUP BY ALL),
+patch_cov AS (SELECT sim, attempt, m, {_cov('')} FROM patch GROUP BY ALL),
+{_eigen('patch_cov', 'sim, attempt, m', 'plane')},
+turns AS (SELECT unnest(range(16)) AS t),
+extremes AS (SELECT sim, attempt, m, t, arg_max(kx, kx * cos(t * pi() / 8) + ky * sin(t * pi() / 8)) AS ex, arg_max(ky, kx * cos(t * pi() / 8) + ky * sin(t * pi() / 8)) AS ey FROM patch, turns GROUP BY ALL),
+sides AS (SELECT a.sim, a.attempt, a.m, a.ex AS ux, a.ey AS uy, b.ex AS vx, b.ey AS vy FROM extremes a JOIN extremes b USING (sim, attempt, m) WHERE b.t = (a.t + 1) % 16 AND (a.ex <> b.ex OR a.ey <> b.ey)),
+inner_points AS (SELECT sim, attempt, m, pid FROM patch JOIN sides USING (sim, attempt, m) GROUP BY ALL HAVING bool_and((vx - ux) * (ky - uy) - (vy - uy) * (kx - ux) > 0)),
+rim AS MATERIALIZED (SELECT patch.* FROM patch ANTI JOIN inner_points USING (sim, attempt, m, pid)),
+edges AS MATERIALIZED (SELECT a.sim, a.attempt, a.m, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, a.pid AS p1 FROM rim a JOIN rim b USING (sim, attempt, m)
+  WHERE (a.kx <> b.kx OR a.ky <> b.ky) AND NOT EXISTS (SELECT 1 FROM rim c WHERE c.sim = a.sim AND c.attempt = a.attempt AND c.m = a.m
+    AND ((b.kx - a.kx) * (c.ky - a.ky) - (b.ky - a.ky) * (c.kx - a.kx) < 0
+      OR ((b.kx - a.kx) * (c.ky - a.ky) - (b.ky - a.ky) * (c.kx - a.kx) = 0 AND ((c.kx - a.kx) * (c.kx - b.kx) > 0 OR (c.ky - a.ky) * (c.ky - b.ky) > 0))))),
+hull AS MATERIALIZED (SELECT sim, attempt, m, count(*) AS n_vertices, abs(sum(ux * vy - vx * uy)) / 2 AS area, sum(sqrt((vx - ux) ** 2 + (vy - uy) ** 2)) AS perimeter FROM edges GROUP BY ALL HAVING count(*) >= 3),
+shape AS (SELECT *, 4 * pi() * area / (perimeter * perimeter) AS circularity FROM hull),
+stops AS (SELECT sim, attempt, coalesce(min(m) FILTER (n < 3 OR n_out > 0), {RUNGS}) AS stop FROM rung GROUP BY ALL),
+best AS MATERIALIZED (SELECT sim, attempt, max(m) AS m FROM stops JOIN shape USING (sim, attempt) WHERE m < stop AND circularity >= 0.1 GROUP BY ALL),
+best_points AS MATERIALIZED (SELECT patch.* FROM patch JOIN best USING (sim, attempt, m)),
+centre AS (SELECT sim, attempt, m, avg(x) AS cx, avg(y) AS cy, max(z) AS top, max(z) - min(z) AS relief, count(*) AS n FROM best_points GROUP BY ALL),
+disc AS MATERIALIZED (SELECT c.*, (SELECT max(sqrt((p.x - c.cx) ** 2 + (p.y - c.cy) ** 2)) FROM best_points p WHERE p.sim = c.sim AND p.attempt = c.attempt) AS r FROM centre c),
+spheres AS (SELECT sim, attempt, cx, cy, top, r, top + CAST(0.2 AS DOUBLE) * k AS h FROM disc, (SELECT unnest(range(51)) AS k)),
+blocked AS (SELECT DISTINCT sim, attempt FROM spheres, cloud WHERE x BETWEEN cx - r AND cx + r AND y BETWEEN cy - r AND cy + r AND z > top + 0.01 AND (x - cx) ** 2 + (y - cy) ** 2 + (z - h) ** 2 < r * r),
+rough AS (SELECT sim, attempt, sqrt(avg((nx * x + ny * y + nz * z - (nx * mx + ny * my + nz * mz)) ** 2)) AS roughness FROM best_points JOIN plane USING (sim, attempt, m) GROUP BY ALL),
+zones AS MATERIALIZED (SELECT sim, attempt, seed_pid, sx, sy, sz, m, CAST({RADIUS} + {INCREMENT} * m AS DOUBLE) AS patch_radius, disc.n / area AS data_confidence, relief, roughness,
+  disc.n / area + CAST({RADIUS} + {INCREMENT} * m AS DOUBLE) - relief - roughness AS score FROM disc JOIN rough USING (sim, attempt) JOIN shape USING (sim, attempt, m) JOIN inside USING (sim, attempt) ANTI JOIN blocked USING (sim, attempt)),
+zone_points AS (SELECT patch.* FROM patch JOIN zones USING (sim, attempt, m)),
+grid AS (SELECT *, CAST(floor(x / 1.0) AS BIGINT) AS gx, CAST(floor(y / 1.0) AS BIGINT) AS gy FROM cloud),
+wide AS (SELECT *, CAST(floor(x / 2.5) AS BIGINT) AS gx, CAST(floor(y / 2.5) AS BIGINT) AS gy FROM cloud),
+cell_n AS (SELECT gx + dx AS gx, gy + dy AS gy, pid, x, y, z FROM wide, (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)),
+cloud_near AS MATERIALIZED (SELECT a.pid, b.pid AS other, b.x AS ox, b.y AS oy, b.z AS oz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
+  FROM cell_n a JOIN wide b USING (gx, gy) QUALIFY row_number() OVER (PARTITION BY a.pid ORDER BY d2, b.pid) <= 11),
+cloud_cov AS (SELECT pid, {_cov('o')} FROM (SELECT * FROM cloud_near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, other) <= {K}) GROUP BY ALL),
+{_eigen('cloud_cov', 'pid', 'cloud_normal')},
+distances AS MATERIALIZED (SELECT pid, avg(sqrt(d2)) AS mean_distance FROM (SELECT * FROM cloud_near WHERE other <> pid QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, other) <= {K}) GROUP BY pid),
+sor_limit AS (SELECT avg(mean_distance) + 1.0 * stddev_samp(mean_distance) AS lim FROM distances),
+whole_cov AS (SELECT 1 AS g, {_cov('')} FROM cloud),
+{_eigen('whole_cov', 'g', 'whole_plane')},
+cell_cov AS (SELECT gx, gy, {_cov('')} FROM grid GROUP BY ALL),
+{_eigen('cell_cov', 'gx, gy', 'cell_normal')}
+"""
+
+
+def _cloud(spark, sf_dir) -> DataFrame:
+    return orders_terrain(spark, sf_dir)
+
+
+def _seeds(spark, sf_dir) -> DataFrame:
+    return ops.sample_seeds(_cloud(spark, sf_dir), ATTEMPTS)
+
+
+def _inside(spark, sf_dir) -> DataFrame:
+    return ops.off_edge(_seeds(spark, sf_dir), _cloud(spark, sf_dir), RADIUS)
+
+
+def _one(spark, sf_dir) -> DataFrame:
+    return spatial.radius_join(_inside(spark, sf_dir), _cloud(spark, sf_dir), ONE)
+
+
+def _patches(spark, sf_dir) -> DataFrame:
+    """Patches of at least three points, as hulls need."""
+    one = _one(spark, sf_dir)
+    return one.join(patch.at_least(one, ["attempt"]).select("attempt"), "attempt", "left_semi")
+
+
+def _found(spark, sf_dir) -> DataFrame:
+    return growth.candidates(stored(_inside(spark, sf_dir), "seeds"), _cloud(spark, sf_dir), RADIUS, K, LIMIT, INCREMENT, RUNGS)
+
+
+def _zones(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("attempt", "seed_pid", r("patch_radius"), r("data_confidence"), r("relief"), r("roughness"), r("score"), *more)
+
+
+ZONE = "attempt, seed_pid, round(patch_radius, 4) AS patch_radius, round(data_confidence, 4) AS data_confidence, round(relief, 4) AS relief, round(roughness, 4) AS roughness, round(score, 4) AS score"
+
+
+@query("SELECT pid, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, intensity FROM cloud")
+def scan_cloud(spark, d):
+    return ops.valid(_cloud(spark, d)).select("pid", r("x"), r("y"), r("z"), "intensity")
+
+
+@query("SELECT round(min(x), 4) AS min_x, round(max(x), 4) AS max_x, round(min(y), 4) AS min_y, round(max(y), 4) AS max_y, round(min(z), 4) AS min_z, round(max(z), 4) AS max_z FROM cloud")
+def cloud_bbox(spark, d):
+    return ops.bounds(_cloud(spark, d)).select(*[r(f"{m}_{c}") for c in "xyz" for m in ("min", "max")])
+
+
+@query("SELECT count(*) AS n_points FROM cloud")
+def cloud_count(spark, d):
+    return ops.count(_cloud(spark, d))
+
+
+@query("SELECT pid, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 3) AS x, round(CAST(CAST(y AS FLOAT) AS DOUBLE), 3) AS y, round(CAST(CAST(z AS FLOAT) AS DOUBLE), 3) AS z, CAST(0.0 AS FLOAT) AS intensity FROM cloud")
+def library_round_trip(spark, d):
+    return ops.restore_intensity(ops.drop_intensity(_cloud(spark, d))).select("pid", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in "xyz"], "intensity")
+
+
+@query("SELECT CAST(floor(x / 0.5) AS BIGINT) AS vx, CAST(floor(y / 0.5) AS BIGINT) AS vy, CAST(floor(z / 0.5) AS BIGINT) AS vz, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, round(avg(intensity), 4) AS intensity, count(*) AS n_points FROM cloud GROUP BY ALL")
+def voxel_downsample(spark, d):
+    return ops.voxel_downsample(_cloud(spark, d), 0.5).select("vx", "vy", "vz", r("x"), r("y"), r("z"), r("intensity"), "n_points")
+
+
+@query("SELECT attempt, seed_pid, round(sx, 4) AS seed_x, round(sy, 4) AS seed_y, round(sz, 4) AS seed_z FROM seeds WHERE sim = 0")
+def seed_sample(spark, d):
+    return _seeds(spark, d).select("attempt", "seed_pid", r("seed_x"), r("seed_y"), r("seed_z"))
+
+
+@query("SELECT attempt, seed_pid FROM inside WHERE sim = 0")
+def seed_edge_filter(spark, d):
+    return _inside(spark, d).select("attempt", "seed_pid")
+
+
+@query("SELECT attempt, pid, round(d2, 4) AS d2 FROM one")
+def radius_neighbours(spark, d):
+    return _one(spark, d).select("attempt", "pid", r("d2"))
+
+
+@query("SELECT attempt, count(*) AS n_points FROM one GROUP BY ALL")
+def radius_count(spark, d):
+    return _one(spark, d).groupBy("attempt").agg(F.count("*").alias("n_points"))
+
+
+@query("SELECT attempt, count(*) AS n_points FROM patch WHERE sim = 0 AND m = 0 GROUP BY ALL HAVING count(*) >= 3")
+def radius_min3(spark, d):
+    return patch.at_least(spatial.radius_join(_inside(spark, d), _cloud(spark, d), RADIUS), ["attempt"])
+
+
+@query("SELECT attempt, pid, other, round(d2, 6) AS d2 FROM near WHERE sim = 0 AND m = 1")
+def knn_patch(spark, d):
+    return spatial.knn_in_group(_one(spark, d), ["attempt"], K).select("attempt", "pid", "other", r("d2", 6))
+
+
+@query("SELECT pid, round(mean_distance, 5) AS mean_distance FROM distances")
+def knn_mean_distance(spark, d):
+    return ops.mean_distances(_cloud(spark, d), K).select("pid", r("mean_distance", 5))
+
+
+@query("SELECT pid, round(mean_distance, 5) AS mean_distance FROM distances, sor_limit WHERE mean_distance <= lim")
+def sor_filter(spark, d):
+    return ops.sor_classify(_cloud(spark, d), K, 1.0).where("inlier").select("pid", r("mean_distance", 5))
+
+
+@query("SELECT pid, round(mean_distance, 5) AS mean_distance FROM distances, sor_limit WHERE mean_distance > lim")
+def sor_outliers(spark, d):
+    return ops.sor_classify(_cloud(spark, d), K, 1.0).where("NOT inlier").select("pid", r("mean_distance", 5))
+
+
+@query("SELECT attempt, pid, round(slope_deg, 3) AS slope_deg FROM normal WHERE sim = 0 AND m = 1")
+def local_normals_slope(spark, d):
+    return patch.local_normals(_one(spark, d), ["attempt"], K).select("attempt", "pid", r("slope_deg", 3))
+
+
+@query("SELECT attempt, pid FROM classed WHERE sim = 0 AND m = 1 AND inlier")
+def slope_inliers(spark, d):
+    return patch.classified(_one(spark, d), ["attempt"], LIMIT, K).where("inlier").select("attempt", "pid")
+
+
+@query("SELECT attempt, pid FROM classed WHERE sim = 0 AND m = 1 AND NOT inlier")
+def slope_outliers(spark, d):
+    return patch.classified(_one(spark, d), ["attempt"], LIMIT, K).where("NOT inlier").select("attempt", "pid")
+
+
+@query("SELECT attempt, n AS n_points, n_out AS n_outliers, n_out = 0 AS flat FROM rung WHERE sim = 0 AND m = 1")
+def patch_flat(spark, d):
+    return patch.flatness(patch.classified(_one(spark, d), ["attempt"], LIMIT, K), ["attempt"])
+
+
+@query("SELECT round(nx + 0.0, 4) AS a, round(ny + 0.0, 4) AS b, round(nz, 4) AS c, round(-(nx * mx + ny * my + nz * mz), 3) AS d FROM whole_plane")
+def global_plane(spark, d):
+    return ops.plane(_cloud(spark, d)).select(r("a"), r("b"), r("c"), r("d", 3))
+
+
+@query("SELECT attempt, round(slope_deg, 3) AS slope_deg FROM plane WHERE sim = 0 AND m = 1")
+def global_slope(spark, d):
+    return ops.plane(_one(spark, d), ("attempt",)).select("attempt", r("slope_deg", 3))
+
+
+@query(f"SELECT cloud.pid, round(slope_deg, 3) AS slope_deg, coalesce(slope_deg <= {LIMIT}, false) AS inlier FROM cloud LEFT JOIN cloud_normal USING (pid)")
+def pca_classify(spark, d):
+    return ops.slope_classes(_cloud(spark, d), LIMIT, K).select("pid", r("slope_deg", 3), "inlier")
+
+
+@query("SELECT attempt, round(coalesce(sqrt(avg((nx * x + ny * y + nz * z - (nx * mx + ny * my + nz * mz)) ** 2)), -1.0), 5) AS roughness FROM one JOIN plane USING (sim, attempt, m) GROUP BY ALL")
+def patch_roughness(spark, d):
+    one = _one(spark, d)
+    return patch.roughness(one, ops.plane(one, ("attempt",)), ["attempt"]).select("attempt", r("roughness", 5))
+
+
+@query("SELECT attempt, round(max(z) - min(z), 4) AS relief FROM one GROUP BY ALL")
+def patch_relief(spark, d):
+    return patch.relief(_one(spark, d), ["attempt"]).select("attempt", r("relief"))
+
+
+@query("SELECT attempt, round(c.cx, 4) AS cx, round(c.cy, 4) AS cy, round(max(sqrt((x - c.cx) ** 2 + (y - c.cy) ** 2)), 4) AS reach, round(max(z), 4) AS max_z FROM one JOIN (SELECT attempt, avg(x) AS cx, avg(y) AS cy FROM one GROUP BY ALL) c USING (attempt) GROUP BY attempt, c.cx, c.cy")
+def patch_data(spark, d):
+    return patch.patch_data(_one(spark, d), ["attempt"]).select("attempt", r("cx"), r("cy"), r("reach"), r("max_z"))
+
+
+@query("SELECT attempt, round(area, 4) AS area FROM hull WHERE sim = 0 AND m = 1")
+def patch_hull_area(spark, d):
+    return patch.hulls(_patches(spark, d), ["attempt"]).select("attempt", r("area"))
+
+
+@query("SELECT attempt, round(perimeter, 4) AS perimeter FROM hull WHERE sim = 0 AND m = 1")
+def patch_perimeter(spark, d):
+    return patch.hulls(_patches(spark, d), ["attempt"]).select("attempt", r("perimeter"))
+
+
+@query("SELECT attempt, round(circularity, 4) AS circularity, circularity >= 0.1 AS round_enough FROM shape WHERE sim = 0 AND m = 1")
+def patch_circularity(spark, d):
+    return patch.hulls(_patches(spark, d), ["attempt"]).select("attempt", r("circularity"), (F.col("circularity") >= 0.1).alias("round_enough"))
+
+
+@query("SELECT attempt, round(n / area, 3) AS data_confidence FROM hull JOIN rung USING (sim, attempt, m) WHERE sim = 0 AND m = 1")
+def data_confidence_2d(spark, d):
+    return patch.density2d(_patches(spark, d), ["attempt"]).select("attempt", r("data_confidence", 3))
+
+
+@query(None)
+def data_confidence_3d(spark, d):
+    return patch.density3d(_patches(spark, d), ["attempt"]).select("attempt", r("data_confidence", 3))
+
+
+def _discs(spark, d) -> DataFrame:
+    ladder = growth.growth_ladder(stored(_inside(spark, d), "seeds"), _cloud(spark, d), RADIUS, K, LIMIT, INCREMENT, RUNGS)
+    return stored(growth.best_rungs(ladder), "best")
+
+
+@query("SELECT attempt FROM blocked WHERE sim = 0")
+def patch_collision(spark, d):
+    return patch.blocked(_discs(spark, d), _cloud(spark, d), ["attempt"])
+
+
+@query("SELECT attempt FROM disc ANTI JOIN blocked USING (sim, attempt) WHERE sim = 0")
+def patch_collision_free(spark, d):
+    return patch.clear(_discs(spark, d), _cloud(spark, d), ["attempt"]).select("attempt")
+
+
+@query("SELECT attempt, CAST(m AS INTEGER) AS rung, n, n >= 3 AND n_out = 0 AS flat FROM rung JOIN stops USING (sim, attempt) WHERE sim = 0 AND m <= stop")
+def growth_ladder(spark, d):
+    return growth.growth_ladder(stored(_inside(spark, d), "seeds"), _cloud(spark, d), RADIUS, K, LIMIT, INCREMENT, RUNGS).select("attempt", "rung", "n", "flat")
+
+
+@query(f"SELECT attempt, CAST(m AS INTEGER) AS rung, round(CAST({RADIUS} + {INCREMENT} * m AS DOUBLE), 4) AS radius FROM best WHERE sim = 0")
+def growth_best_radius(spark, d):
+    return _discs(spark, d).select("attempt", "rung", r("radius"))
+
+
+@query(f"SELECT {ZONE} FROM zones WHERE sim = 0")
+def candidate_score(spark, d):
+    return _zones(_found(spark, d))
+
+
+@query(f"SELECT {ZONE}, CAST(row_number() OVER (ORDER BY score DESC, attempt) AS INTEGER) AS rank FROM zones WHERE sim = 0")
+def candidate_rank(spark, d):
+    return _zones(growth.ranked(_found(spark, d)), "rank")
+
+
+@query(f"SELECT {ZONE} FROM zones WHERE sim = 0 ORDER BY attempt LIMIT 5")
+def landing_zones_first_n(spark, d):
+    return _zones(growth.first_n(_found(spark, d), 5))
+
+
+
+@query("SELECT attempt, 'ALL' AS metric, round(n / area, 3) AS data_confidence, round(rel, 4) AS relief, round(ro, 4) AS roughness, round(n / area - rel - ro, 3) AS score FROM (SELECT sim, attempt, m, max(z) - min(z) AS rel, sqrt(avg((nx * x + ny * y + nz * z - (nx * mx + ny * my + nz * mz)) ** 2)) AS ro FROM one JOIN plane USING (sim, attempt, m) GROUP BY ALL) JOIN hull USING (sim, attempt, m) JOIN rung USING (sim, attempt, m)")
+def hazard_all(spark, d):
+    h = patch.hazard(_patches(spark, d), "ALL", by=("attempt",))
+    return h.select("attempt", "metric", r("data_confidence", 3), r("relief"), r("roughness"), r("score", 3))
+
+
+@query("SELECT 'RELIEF' AS metric, 0.0::DOUBLE AS data_confidence, round(max(z) - min(z), 4) AS relief, 0.0::DOUBLE AS roughness, round(-(max(z) - min(z)), 4) AS score FROM cloud")
+def hazard_relief(spark, d):
+    return patch.hazard(_cloud(spark, d), "RELIEF").select("metric", "data_confidence", r("relief"), "roughness", r("score"))
+
+
+@query("SELECT 'ROUGHNESS' AS metric, 0.0::DOUBLE AS data_confidence, 0.0::DOUBLE AS relief, round(sqrt(avg((nx * x + ny * y + nz * z - (nx * mx + ny * my + nz * mz)) ** 2)), 4) AS roughness, round(-sqrt(avg((nx * x + ny * y + nz * z - (nx * mx + ny * my + nz * mz)) ** 2)), 4) AS score FROM cloud, whole_plane")
+def hazard_roughness(spark, d):
+    return patch.hazard(_cloud(spark, d), "ROUGHNESS").select("metric", "data_confidence", "relief", r("roughness"), r("score"))
+
+
+@query("SELECT attempt, 'DATA_CONFIDENCE' AS metric, round(n / area, 3) AS data_confidence, 0.0::DOUBLE AS relief, 0.0::DOUBLE AS roughness, round(n / area, 3) AS score FROM hull JOIN rung USING (sim, attempt, m) WHERE sim = 0 AND m = 1")
+def hazard_density(spark, d):
+    return patch.hazard(_patches(spark, d), "DATA_CONFIDENCE", by=("attempt",)).select("attempt", "metric", r("data_confidence", 3), "relief", "roughness", r("score", 3))
+
+
+@query(f"SELECT {ZONE} FROM zones WHERE sim = 0 AND patch_radius >= 1.0 AND data_confidence >= 30 AND relief <= 0.25 AND roughness <= 0.02")
+def hazard_threshold_filter(spark, d):
+    return _zones(patch.within_limits(_found(spark, d), min_radius=1.0))
+
+
+@query("SELECT attempt, pid FROM zone_points WHERE sim = 0")
+def detected_inliers_union_all(spark, d):
+    return growth.detected_points(_found(spark, d), _cloud(spark, d), RADIUS, INCREMENT, RUNGS).select("attempt", "pid")
+
+
+@query("SELECT pid FROM cloud")
+def outliers_full_cloud(spark, d):
+    return _cloud(spark, d).select("pid")
+
+
+@query("SELECT pid FROM cloud ANTI JOIN (SELECT pid FROM zone_points WHERE sim = 0) USING (pid)")
+def unassigned_points(spark, d):
+    cloud = _cloud(spark, d)
+    return ops.unassigned(cloud, growth.detected_points(_found(spark, d), cloud, RADIUS, INCREMENT, RUNGS)).select("pid")
+
+
+RANKED = "(SELECT *, CAST(row_number() OVER (ORDER BY score DESC, attempt) AS INTEGER) AS rank FROM zones WHERE sim = 0)"
+
+
+@query(f"SELECT rank, CAST(i AS INTEGER) AS i, round(sx + patch_radius * cos(2 * pi() * i / 10000), 3) AS x, round(sy + patch_radius * sin(2 * pi() * i / 10000), 3) AS y, round(sz, 3) AS z FROM {RANKED}, (SELECT unnest(range(10000)) AS i)")
+def circle_boundary(spark, d):
+    return ops.circles(growth.ranked(_found(spark, d))).select("rank", "i", r("x", 3), r("y", 3), r("z", 3))
+
+
+@query(f"SELECT attempt, rank, concat('Rank ', rank) AS label FROM {RANKED}")
+def rank_labels(spark, d):
+    return growth.ranked(_found(spark, d)).select("attempt", "rank", "label")
+
+
+@query(f"SELECT pid, CASE WHEN coalesce(slope_deg <= {LIMIT}, false) THEN 'inlier_cloud' ELSE 'outlier_cloud' END AS role, CASE WHEN coalesce(slope_deg <= {LIMIT}, false) THEN 0 ELSE 255 END AS r, CASE WHEN coalesce(slope_deg <= {LIMIT}, false) THEN 255 ELSE 0 END AS g, 0 AS b FROM cloud LEFT JOIN cloud_normal USING (pid)")
+def role_select(spark, d):
+    classes = stored(ops.slope_classes(_cloud(spark, d), LIMIT, K), "classes")
+    return ops.select_role(classes.where("inlier"), classes.where("NOT inlier"), "both").select("pid", "role", "r", "g", "b")
+
+
+@query(f"SELECT {ZONE}, rank, concat('Rank ', rank) AS label FROM {RANKED}")
+def landing_zone_pipeline(spark, d):
+    from levelground.plans.config import Pipeline, Step
+    from levelground.plans.pipeline import run
+
+    steps = [Step("SphericalNeighbourhood", True, {"k": K, "angleThreshold": LIMIT, "radius": RADIUS, "maxAttempts": ATTEMPTS, "maxRungs": RUNGS}), Step("anything", False), Step("HazarMetrices", True, {"hazard": "RELIEF"})]
+    return _zones(run(spark, Pipeline(d, steps=steps), _cloud(spark, d)).candidates, "rank", "label")
+
+
+@query("SELECT sim, count(*) AS n_zones, round(max(score), 4) AS best_score FROM zones GROUP BY ALL")
+def monte_carlo_summary(spark, d):
+    cloud = _cloud(spark, d)
+    sims = spark.range(3).select(F.col("id").alias("sim"), (F.col("id") + 13).alias("salt"))
+    each = sims.select("sim").crossJoin(cloud)  # three simulations
+    zones = algorithms.simulated_zones(each, sims, ATTEMPTS, cloud.count(), RADIUS, K, LIMIT, INCREMENT, RUNGS)
+    return zones.groupBy("sim").agg(F.count("*").alias("n_zones"), F.round(F.max("score"), 4).alias("best_score"))
+
+
+@query(None)
+def region_growing(spark, d):
+    return algorithms.region_growing(_cloud(spark, d))
+
+
+@query("SELECT gx, gy, n, round(n / 1.0, 3) AS density, round(relief, 4) AS relief, round(slope_deg, 3) AS slope_deg FROM (SELECT gx, gy, count(*) AS n, max(z) - min(z) AS relief FROM grid GROUP BY ALL) JOIN cell_normal USING (gx, gy) WHERE slope_deg <= 25 AND n >= 30 AND relief <= 0.25 AND lam <= 0.0004")
+def cell_zones(spark, d):
+    return algorithms.cell_zones(_cloud(spark, d)).select("gx", "gy", "n", r("density", 3), r("relief"), r("slope_deg", 3))
+
+
+@query(None)
+def overlapping_cells(spark, d):
+    return algorithms.clustered_cells(algorithms.cell_zones(_cloud(spark, d), overlap=2))

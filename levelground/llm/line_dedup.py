@@ -54,7 +54,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     recurring_at = stored(at.join(recurs, "h", "left_semi"), "recurring-at")
     keyed = texts.withColumn("key", key).withColumn("brief", F.xxhash64("key"))
     keyed = semi(keyed, recurring_at.select(F.xxhash64("key").alias("brief")).distinct(), ["brief"])
-    with_bytes = _chunked(keyed, window, every, hash_bits).select("key", "lines", F.inline("chunks")).where(F.col("n") >= min_lines)
+    # inline over an expression: over a column Spark infers a filter, pushes it down and evaluates the lambdas anew per line
+    with_bytes = _chunked(keyed, window, every, hash_bits).select("key", "lines", F.inline(F.filter("chunks", lambda c: c["n"] >= min_lines)))
     chunk_bytes = with_bytes.select("key", "at", "h", F.array_join(F.slice("lines", F.col("first"), F.col("n")), "\n").alias("chunk"))
     variants = chunk_bytes.select("h", "chunk").distinct()
     judged = stored(variants.join(recurs, "h", "left_semi").groupBy("h").agg(F.count("*").alias("variants"), F.max(F.length(F.translate("chunk", "\n", ""))).alias("chars")), "variants")

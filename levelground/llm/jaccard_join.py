@@ -7,9 +7,10 @@ prefixes longer by c shingles they share c + 1; frequent shingles fall into c cl
 class, and the index of two-shingle combinations within a class finds them.  Sets of one size band use one c, and each
 set is indexed for the band of every size that it can be similar to.
 
-Candidates only say which sets must be compared: pairs of single rare shingles after the length and position filters,
-and for a combination, however many sets hold it, a star around one of them.  The components of this graph are compared
-set by set in blocks, by counts of common shingles, and of each block only links that connect something new are
+Candidates only say which sets must be compared.  Pairs come from single rare shingles after the length and position
+filters, and from combinations that few sets hold; a pair stays if the parity sketches of its sets differ in no more bits
+than similar sets may differ in shingles, which no similar pair fails.  A combination that many sets hold gives a star
+around one of them.  The components of this graph are compared set by set in blocks, by counts of common shingles, and of each block only links that connect something new are
 handed on.  Sets that are equal are one node from the start.  So nothing but sets and trees of links moves.
 """
 
@@ -32,8 +33,10 @@ from levelground.llm._common import arrow_rows, components, id_text, semi, sprea
 FLUSH, LEAST_LOCAL = 4_000_000, 3
 #: Corpus count of a frequent shingle, and the most of them (16 bytes each) that are broadcast; beyond, the count rises.
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
-#: Sets compared at once with as many others.
-BLOCK = 256
+#: Sets compared at once with as many others, and the most holders of a combination whose pairs are listed.
+BLOCK, LISTED = 256, 16
+#: Bits of a parity sketch: bit i is the number of shingles whose hash is i modulo this, modulo 2.
+SKETCH = 1024
 _WORDS_KEPT = 500_000
 
 
@@ -137,7 +140,7 @@ def _survey(k: int, kind: pa.DataType, _task: int, batches: Iterator[pa.RecordBa
 def _index(k: int, percent: int, model, _task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, (frequent, counts), seen = _Hashes(), model.value, set()
     for batch in batches:
-        out = {n: [] for n in ("s", "n", "singles", "combos")}
+        out = {n: [] for n in ("s", "n", "sketch", "singles", "combos")}
         for text in batch.column("text").to_pylist():
             found = shingles(text, k, hashes)
             if not len(found):
@@ -148,12 +151,17 @@ def _index(k: int, percent: int, model, _task: int, batches: Iterator[pa.RecordB
             if len(seen) < 200_000:
                 seen.add(node)
             singles, _, combos = keys_of(found, frequent, counts, percent)
-            for name, value in zip(out, (short(node), len(found), singles.view(np.int64), combos.view(np.int64))):
+            for name, value in zip(out, (short(node), len(found), sketch(found), singles.view(np.int64), combos.view(np.int64))):
                 out[name].append(value)
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3)
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    odd = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def short(node: bytes) -> int:
     """64 bits of a node for the search of candidates, where two nodes in one only cost a comparison."""
     return int.from_bytes(node[:8], "big", signed=True)
@@ -248,17 +256,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by = np.argsort(h)
     model = spark.sparkContext.broadcast((h[by], often.column("c").to_numpy()[by]))
 
-    index = stored(arrow_rows(texts.select("text"), partial(_index, k, percent, model), "s long, n int, singles array<long>, combos array<long>"), "index")
-    # The same set may come from several tasks: distinct after the explode, on plain numbers.
-    single = index.select("s", "n", F.posexplode("singles").alias("at", "key")).distinct()
+    index = stored(arrow_rows(texts.select("text"), partial(_index, k, percent, model), "s long, n int, sketch array<long>, singles array<long>, combos array<long>"), "index")
+    # A set may come once from each of several tasks, which adds equal pairs, so only pairs are made distinct.
+    single = index.select("s", "n", F.posexplode("singles").alias("at", "key"))
     x, y = single.alias("x"), single.alias("y")
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    rest = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (100 * small >= percent * large) & (rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))))
-    pairs = pairs.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
     combo = stored(index.where(F.size("combos") > 0).select("s", F.explode("combos").alias("key")).distinct(), "combinations")
-    stars = combo.groupBy("key").agg(F.min("s").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = spread(combo, "key").join(spread(stars, "key"), ["key", "_spread"]).where("a <> s").select("a", F.col("s").alias("b")).distinct()
+    held = stored(combo.groupBy("key").agg(F.min("s").alias("a"), F.count("*").alias("held")).where("held > 1"), "held")
+    few = combo.join(held.where(F.col("held") <= LISTED), "key").select("key", "s")
+    u, v = few.alias("x"), few.alias("y")
+    listed = u.join(v, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")))
+    both = [F.col("x.s").alias("a"), F.col("y.s").alias("b")]
+    pairs = stored(pairs.select(*both).unionByName(listed.select(*both)).distinct(), "pairs")
+    known = index.select("s", "n", "sketch").dropDuplicates(["s"])
+    own, other = known.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), known.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
+    pairs = pairs.join(own, "a").join(other, "b").where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    stars = spread(combo, "key").join(spread(held.where(F.col("held") > LISTED), "key"), ["key", "_spread"]).where("a <> s").select("a", F.col("s").alias("b")).distinct()
     groups = components(pairs.unionByName(stars))
 
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))

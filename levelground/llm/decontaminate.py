@@ -41,7 +41,8 @@ def _fingerprints(df: DataFrame, k: int, window: int, short: list[int], keep: li
     df = df.withColumn("places", F.when(n >= window, picked).otherwise(F.array().cast("array<int>")))
     wanted = F.transform("places", lambda p: F.struct(F.lit(k).alias("k"), p.alias("at")))
     for m in short:
-        wanted = F.concat(wanted, F.when(n >= m, F.transform(F.sequence(F.lit(0), n - m), lambda i, m=m: F.struct(F.lit(m).alias("k"), i.alias("at")))).otherwise(F.array().cast("array<struct<k:int,at:int>>")))
+        places = F.when(n >= m, F.sequence(F.lit(0), n - m)).otherwise(F.array().cast("array<int>"))
+        wanted = F.concat(wanted, F.transform(places, _of_size(m)))
     rows = df.select(*keep, "words", "hashes", "grams", F.explode(wanted).alias("p")).select(*keep, "words", "hashes", "grams", "p.k", "p.at")
     h = F.get("grams", F.col("at")) if k not in short else F.when(n >= window, F.get("grams", F.col("at"))).otherwise(gram(k, F.col("at")))
     for m in short:
@@ -50,6 +51,11 @@ def _fingerprints(df: DataFrame, k: int, window: int, short: list[int], keep: li
     return rows.select(*keep, "words", "k", "at", h.alias("h"))
 
 
+def _of_size(m: int):
+    # a second parameter, even one with a default, would be given the index
+    return lambda i: F.struct(F.lit(m).alias("k"), i.alias("at"))
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, k: int, broadcast_rows: int) -> DataFrame:
     """(key, item_id, first, last): stretches of document words, 0-based and inclusive, that windows of items cover.
     key stands for (id, text)."""

@@ -273,7 +273,7 @@ def test_secrets(spark):
     got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
     assert [(got[i].n_assign, got[i].n_access, got[i].n_hex) for i in range(4)] == [(1, 1, 0), (0, 0, 0), (1, 0, 1), (0, 0, 0)]
     assert got[0].spans == "assign:0:20,access:26:46"
-    assert got[3].spans == "token:3:27" and got[3].n_live == 1
+    assert got[3].spans == "token:3:26" and got[3].n_live == 1
     assert all(got[10 + i].n_copied == 1 and got[10 + i].n_live == 0 for i in range(5))
 
 

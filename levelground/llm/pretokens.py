@@ -6,9 +6,9 @@ other character goes through the library's splitter, whose Unicode tables may di
 
 from __future__ import annotations
 
-import array
-import sys
+import os
 
+import numpy as np
 import regex
 
 #: Characters whose classes and lower case are the same in all versions of Unicode that matter here.
@@ -22,6 +22,7 @@ REMEMBERED = 400_000
 
 
 def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -53,34 +54,53 @@ class ByteLevel:
         return out, len(parts) - 1
 
     def counts(self, pretokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.library.encode_batch(pretokens, add_special_tokens=False)]
+        return [len(e) for e in self.library.encode_batch_fast(pretokens, add_special_tokens=False)]
 
 
 class WordLevel:
-    """Of a lower-casing BPE tokenizer with word ends: the ids of texts, as little-endian unsigned 32-bit bytes."""
+    """Of a lower-casing BPE tokenizer with word ends: the ids of texts, as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str) -> None:
+    Pre-tokens never hold white space, so what stands between it is looked up whole; what is new is split into
+    pre-tokens, and those that are new go through the library in one string, whose ids part at the ends of words.
+    """
+
+    def __init__(self, path: str, end: str = "</w>") -> None:
         self.library = tokenizer(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
+        self._chunks: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         if not plain(text) or any(s in text for s in self.special):
-            return _little(self.library.encode(text, add_special_tokens=False).ids)
-        known = self._known
-        words = _WORD_LEVEL.findall(text.lower())
-        new = [w for w in set(words) if w not in known]
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        chunks, known = text.lower().split(), self._chunks
+        new = [c for c in set(chunks) if c not in known]
         if new:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                known[w] = _little(e.ids)
-        return b"".join([known[w] for w in words])
+                new = list(set(chunks))
+            self._learn(new)
+        return b"".join([known[c] for c in chunks])
 
-
-def _little(ids: list[int]) -> bytes:
-    out = array.array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+    def _learn(self, chunks: list[str]) -> None:
+        split = [_WORD_LEVEL.findall(c) for c in chunks]
+        new = list({w for words in split for w in words if w not in self._words})
+        if new:
+            if len(self._words) + len(new) > REMEMBERED:
+                self._words.clear()
+                new = list({w for words in split for w in words})
+            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            stops = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            if len(stops) == len(new) and stops[-1] == ids.nbytes:
+                data, start = ids.tobytes(), 0
+                for w, stop in zip(new, stops):
+                    self._words[w] = data[start:stop]
+                    start = stop
+            else:  # a tokenizer that does not mark every end
+                for w in new:
+                    self._words[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        for c, words in zip(chunks, split):
+            self._chunks[c] = b"".join([self._words[w] for w in words])

@@ -57,13 +57,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumn("_spread", F.xxhash64(*keys) % 16381)
 
 
+#: Rows that a Python function holds at a time: Spark's batches of 10,000 whole texts make lists of hundreds of MB.
+ROWS = 512
+
+
 def arrow_rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """mapInArrow over (task number, iterator of batches)."""
+    """mapInArrow over (task number, iterator of batches of at most ROWS rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        yield from make(TaskContext.get().partitionId(), batches)
+        parts = (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS))
+        yield from make(TaskContext.get().partitionId(), parts)
 
     return df.mapInArrow(run, schema)
 

@@ -50,16 +50,20 @@ def _pieces(path: str, _task: int, batches: Iterator[pa.RecordBatch]) -> Iterato
 
 def _frequencies(path: str, head, _task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     splitter, known = ByteLevel(path), head.value
-    tail_type = pa.list_(pa.struct([("pretoken", pa.string()), ("n", pa.int32())]))
     for batch in batches:
-        n_bytes, sums, tails = [], [], []
+        n_bytes, sums, starts, tokens, times = [], [], [0], [], []
         for text in batch.column("text").to_pylist():
             pretokens, special = splitter.split(text)
-            rest = [t for t in pretokens if t not in known]
-            sums.append(special + sum([known[t] for t in pretokens if t in known]) if rest else special + sum([known[t] for t in pretokens]))
-            tails.append([{"pretoken": t, "n": n} for t, n in Counter(rest).items()])
+            pieces = [known.get(t) for t in pretokens]
+            rest = Counter([t for t, n in zip(pretokens, pieces) if n is None])
+            sums.append(special + sum([n for n in pieces if n is not None]))
+            tokens += rest
+            times += rest.values()
+            starts.append(len(tokens))
             n_bytes.append(len(text.encode()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(sums, pa.int64()), pa.array(tails, tail_type)], ["id", "n_bytes", "summed", "tail"])
+        tail = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(times, pa.int32())], ["pretoken", "n"])
+        tail = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), tail)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(sums, pa.int64()), tail], ["id", "n_bytes", "summed", "tail"])
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, head: int = 1 << 19) -> DataFrame:

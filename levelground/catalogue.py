@@ -44,7 +44,7 @@ def with_tables(select: str) -> str:
 
 
 def r(name: str, digits: int = 4, alias: str | None = None):
-    return F.round(F.col(name) + 0.0, digits).alias(alias or name)
+    return (F.round(F.col(name), digits) + F.lit(0.0)).alias(alias or name)  # no negative zero
 
 
 def _eigen(src: str, keys: str, out: str) -> str:
@@ -251,7 +251,7 @@ def patch_flat(spark, d):
     return patch.flatness(patch.classified(_one(spark, d), ["attempt"], LIMIT, K), ["attempt"])
 
 
-@query("SELECT round(nx + 0.0, 4) AS a, round(ny + 0.0, 4) AS b, round(nz, 4) AS c, round(-(nx * mx + ny * my + nz * mz), 3) AS d FROM whole_plane")
+@query("SELECT round(nx, 4) + CAST(0.0 AS DOUBLE) AS a, round(ny, 4) + CAST(0.0 AS DOUBLE) AS b, round(nz, 4) AS c, round(-(nx * mx + ny * my + nz * mz), 3) AS d FROM whole_plane")
 def global_plane(spark, d):
     return ops.plane(_cloud(spark, d)).select(r("a"), r("b"), r("c"), r("d", 3))
 
@@ -393,7 +393,7 @@ def unassigned_points(spark, d):
 RANKED = "(SELECT *, CAST(row_number() OVER (ORDER BY score DESC, attempt) AS INTEGER) AS rank FROM zones WHERE sim = 0)"
 
 
-@query(f"SELECT rank, CAST(i AS INTEGER) AS i, round(sx + patch_radius * cos(2 * pi() * i / 10000), 3) AS x, round(sy + patch_radius * sin(2 * pi() * i / 10000), 3) AS y, round(sz, 3) AS z FROM {RANKED}, (SELECT unnest(range(10000)) AS i)")
+@query(f"SELECT rank, CAST(i AS INTEGER) AS i, round(sx + patch_radius * cos(2 * pi() * i / 10000), 3) + CAST(0.0 AS DOUBLE) AS x, round(sy + patch_radius * sin(2 * pi() * i / 10000), 3) + CAST(0.0 AS DOUBLE) AS y, round(sz, 3) AS z FROM {RANKED}, (SELECT unnest(range(10000)) AS i)")
 def circle_boundary(spark, d):
     return ops.circles(growth.ranked(_found(spark, d))).select("rank", "i", r("x", 3), r("y", 3), r("z", 3))
 

@@ -154,7 +154,7 @@ def test_normals_match_eigh(spark):
 
 def test_dense_index(spark):
     c = spark.createDataFrame([("c", int(p), 0.0, 0.0, 0.0, 0.0) for p in np.random.default_rng(4).permutation(5000)[:700] ** 2], CLOUD)
-    assert [r.index for r in ops.with_index(c, 16).orderBy("pid").collect()] == list(range(700))
+    assert [r["index"] for r in ops.with_index(c, 16).orderBy("pid").collect()] == list(range(700))
 
 
 def test_sor(spark):

@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from levelground.llm._common import arrow_rows, components, id_text, semi, spread, stored
 
 #: Shingles of a task that are counted together, and the least count in them that is handed on.
-FLUSH, LEAST_LOCAL = 4_000_000, 3
-#: Corpus count of a frequent shingle, and the most of them (16 bytes each) that are broadcast; beyond, the count rises.
-FREQUENT, MOST_FREQUENT = 32, 1 << 20
+FLUSH, LEAST_LOCAL = 4_000_000, 2
+#: Corpus count of a frequent shingle (counts under LEAST_LOCAL in a task left out), and the most of them (16 bytes each) that are broadcast; beyond, the count rises.
+FREQUENT, MOST_FREQUENT = 16, 1 << 20
 #: Sets compared at once with as many others, and the most holders of a combination whose pairs are listed.
-BLOCK, LISTED = 256, 16
-#: Bits of a parity sketch: bit i is the number of shingles whose hash is i modulo this, modulo 2.
+BLOCK, LISTED = 256, 64
+#: Least bits of a parity sketch: bit i is the number of shingles whose hash is i modulo the bits, modulo 2.
 SKETCH = 1024
 _WORDS_KEPT = 500_000
 
@@ -158,7 +158,10 @@ def _index(k: int, percent: int, model, _task: int, batches: Iterator[pa.RecordB
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    odd = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    """Of a power of two of bits, half as many as shingles or more: similar sets then differ in far fewer bits than
+    others do.  Its two halves added are the sketch of half the bits."""
+    bits = max(SKETCH, 1 << (len(found).bit_length() - 1))
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -272,7 +275,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = stored(pairs.select(*both).unionByName(listed.select(*both)).distinct(), "pairs")
     known = index.select("s", "n", "sketch").dropDuplicates(["s"])
     own, other = known.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), known.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
+    half = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(half("sa", "sb"), half("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
     pairs = pairs.join(own, "a").join(other, "b").where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
     stars = spread(combo, "key").join(spread(held.where(F.col("held") > LISTED), "key"), ["key", "_spread"]).where("a <> s").select("a", F.col("s").alias("b")).distinct()
     groups = components(pairs.unionByName(stars))

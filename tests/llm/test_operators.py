@@ -174,6 +174,19 @@ def test_prefix_keys_meet(spark):
             assert len(np.intersect1d(s1, s2)) or len(np.intersect1d(c1, c2)) or np.array_equal(base, other)
 
 
+def test_sketches_bound_the_difference_and_fold():
+    rng = np.random.default_rng(12)
+    for n in (50, 3000, 4200, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 25 :], rng.integers(0, 1 << 63, n // 30).astype(np.uint64)]))
+        x, y = (np.unpackbits(jaccard_join.sketch(s).view(np.uint8)) for s in (a, b))
+        m = min(len(x), len(y))
+        x, y = (v[:m] ^ v[m:] if len(v) > m else v for v in (x, y))
+        assert int((x ^ y).sum()) <= len(np.setxor1d(a, b))
+    long, halves = jaccard_join.sketch(a), jaccard_join.sketch(a[: len(a) // 2])
+    assert len(long) >= 2 * len(halves)
+
+
 def test_language_accuracy(spark):
     rng = random.Random(6)
     syllables = {"aa": "ka ro mi te su".split(), "bb": "sch ung ein lich zer".split(), "cc": "eau tion que ois ère".split()}

@@ -35,8 +35,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return _without(docs, stored(jaccard_components(docs).where("component_id <> doc_id").select("doc_id"), "near-copies"))
+    """Of each group of near copies (four fifths of all runs of five words shared) the document with the smallest id stays."""
+    return _without(docs, stored(jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id"), "near-copies"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ A document is the set of its word shingles.  Shingles are ordered, rare ones fir
 corpus count).  Two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of each: if the first
 one they share is rare, the index of single rare shingles finds them.  If it is frequent, so are all they share, and of
 prefixes longer by c shingles they share c + 1; frequent shingles fall into c classes, so two of these fall into one
-class, and the index of two-shingle combinations within a class finds them.  Sets of one size band use one c, and each
-set is indexed for the band of every size that it can be similar to.
+class, and the index of two-shingle combinations within a class finds them.  c follows from the least number of shingles
+that a set shares with one of its size or smaller, and is less than it; each set is indexed for the c of every size that
+it can be similar to.
 
 Candidates only say which sets must be compared.  Pairs come from single rare shingles after the length and position
 filters, and from combinations that few sets hold; a pair stays if the parity sketches of its sets differ in no more bits
@@ -74,9 +75,15 @@ def node_of(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def classes_of(n: int) -> int:
-    """c of the size band of n: 8 up to 255, about n / 32 beyond."""
-    return 8 << max(0, n.bit_length() - 8)
+def classes_of(least: int) -> int:
+    """c for sets that share at least so many shingles, and less than that: 8 up to 255, about a 32nd beyond."""
+    return min(least - 1, 8 << max(0, least.bit_length() - 8))
+
+
+def bands(n: int, percent: int) -> set[int]:
+    """c of every size from n to the largest that n can be similar to: a larger set of m shares percent of m, n at most."""
+    least = -(-percent * n // 100)
+    return {classes_of(m) for m in (*range(least, min(n, 9) + 1), least, n, *(1 << b for b in range(least.bit_length(), n.bit_length())))}
 
 
 def keys_of(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,8 +100,11 @@ def keys_of(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent
     heavy = found[often]
     heavy = heavy[np.lexsort((heavy, counts[at[often]]))]
     combos = []
-    for c in {classes_of(n), classes_of(100 * n // percent)}:
+    for c in bands(n, percent):
         own = heavy[: max(0, prefix + c - len(rare))]
+        if not c:  # one shingle may be all that two sets share
+            combos.append(own * np.uint64(0xD6E8FEB86659FD93))
+            continue
         kind = own % np.uint64(c)
         for one in np.unique(kind):
             same = np.sort(own[kind == one])

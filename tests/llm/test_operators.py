@@ -174,6 +174,43 @@ def test_prefix_keys_meet(spark):
             assert len(np.intersect1d(s1, s2)) or len(np.intersect1d(c1, c2)) or np.array_equal(base, other)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_prefix_keys_of_small_sets_meet(percent):
+    """Sets that share few shingles, all of them frequent, share a key too."""
+    rng = np.random.default_rng(13)
+    for n in range(1, 60):
+        for _ in range(20):
+            universe = np.unique(rng.integers(0, 1 << 63, 3 * n + 3).astype(np.uint64))
+            counts = rng.integers(1, 50, len(universe))
+            both = rng.permutation(universe)
+            common = -(-percent * n // 100)
+            spare = 100 * common // percent - n  # shingles that the other set alone may hold
+            a, b = np.sort(both[:n]), np.sort(np.concatenate([both[:common], both[n : n + spare]]))
+            assert 100 * common >= percent * (n + spare)
+            k1, k2 = (jaccard_join.keys_of(s, universe, counts, percent)[2] for s in (a, b))
+            assert np.array_equal(a, b) or len(np.intersect1d(k1, k2)), (n, common)
+
+
+@pytest.mark.parametrize("frequent", [10**9, 2])
+def test_pipeline_near_stage_links_between_the_thresholds(spark, monkeypatch, frequent):
+    import corpus_pipeline
+
+    rng, texts = corpus(14, n=20)
+    for base in [" ".join(texts[i : i + 3]) for i in range(0, 12, 3)]:
+        for edits in (0, 1, 2, 3):
+            w = base.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = rng.choice(["new", "other", "third"])
+            texts.append(" ".join(w))
+    texts += [" ".join("abcdefgh"), " ".join("abcdefghi"), " ".join("bcdefghij")]  # four, five and five shingles
+    plain = corpus_pipeline.jaccard_components
+    monkeypatch.setattr(corpus_pipeline, "jaccard_components", lambda docs, **more: plain(docs, frequent=frequent, **more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i for i, n, c in components(texts, 5, 80) if c == i or not n}
+    assert {i for (i,) in rows(corpus_pipeline.near(spark, docs, ""), "doc_id")} == want
+    assert len(want) < sum(c == i for i, _, c in components(texts))
+
+
 def test_sketches_bound_the_difference_and_fold():
     rng = np.random.default_rng(12)
     for n in (50, 3000, 4200, 9000):

@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences: five operators, each on all that the one before kept.
 
-Every stage but the last returns the columns of documents; each result is written as Parquet and read again.
+Every stage but the last returns the columns of documents; each result is written as Parquet and read again.  Stages decide
+row by row: rows get a number that is written with the stage's input, so doc_id may be repeated or null.
 """
 
 from __future__ import annotations
@@ -17,32 +18,46 @@ from levelground.llm.language import identify
 from levelground.llm.packing import pack
 
 
-def _without(docs: DataFrame, ids: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """Rows of docs whose doc_id is not among ids (null ids are among none)."""
-    ids = ids.where("doc_id IS NOT NULL")
-    return docs.join(F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids, "doc_id", "left_anti").select(*docs.columns)
+#: Number of a row of a stage's input.
+ROW = "_stage_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW, written, so that all reads see the same numbers."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _without(docs: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Rows of docs whose ROW is not among those of gone, without ROW."""
+    return docs.join(F.broadcast(gone) if gone.limit(limit + 1).count() <= limit else gone, ROW, "left_anti").drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without any letter, whose language is undetermined."""
-    found = identify(docs)
-    return _without(docs, stored(found.where("lang_pred = 'und'").select("doc_id"), "no-language"))
+    docs = _numbered(docs)
+    return _without(docs, stored(identify(docs, ROW).where("lang_pred = 'und'").select(ROW), "no-language"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    return _without(docs, stored(exact_dedup(docs).where("NOT kept").select("doc_id"), "copies"))
+    """Of equal texts one row stays, of the largest id; null is less than any id."""
+    docs = _numbered(docs)
+    found = exact_dedup(docs.withColumn("place", F.struct("doc_id", ROW)), id_col="place")
+    return _without(docs, stored(found.where("NOT kept").select(f"place.{ROW}"), "copies"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (four fifths of all runs of five words shared) the document with the smallest id stays."""
-    return _without(docs, stored(jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id"), "near-copies"))
+    """Of each group of near copies (four fifths of all runs of five words shared) one row stays, of the smallest id; null
+    is larger than any id."""
+    docs = _numbered(docs)
+    found = jaccard_components(docs.withColumn("place", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW)), id_col="place", k=5, percent=80)
+    return _without(docs, stored(found.where("component_id <> place").select(f"place.{ROW}"), "near-copies"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, stored(found.where("contaminated").select("doc_id"), "leaks"))
+    docs = _numbered(docs)
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW)
+    return _without(docs, stored(found.where("contaminated").select(ROW), "leaks"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

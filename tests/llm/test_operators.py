@@ -363,3 +363,40 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, str(tmp_path))
         assert step.columns == docs.columns
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Repeated and null ids through all stages, each row told apart by its source."""
+    import corpus_pipeline
+
+    rng, texts = corpus(15, n=6)
+    words = " ".join(texts).split()
+    item = " ".join(rng.choices(words, k=20))
+    a, b, c, d, e, f, g = (" ".join(rng.choices(words, k=40)) for _ in range(7))
+    data = [
+        (1, a), (1, a), (1, a),  # one row thrice: one stays
+        (2, b), (2, "123 ..."),  # wordless row of an id that keeps another
+        (3, c), (4, c), (3, d),  # the copy with the larger id stays, and so does the other text of 3
+        (5, e), (5, e + " more"),  # near copies of one id: one stays
+        (6, f), (6, "so " + item), (None, "and " + item),  # leaks, of a repeated and of no id
+        (None, g), (None, g), (7, g + " more"),  # near copy 7 stays, its id is known
+        (None, "one text only without a number"), (None, "456"), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", str(at)) for at, (i, t) in enumerate(data)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    step, left = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        left.append(Counter(rows(step, "doc_id", "text")))
+    gone = lambda of, *pairs: of - Counter(pairs)
+    want = [gone(Counter(data), (2, "123 ..."), (None, "456"), (None, None))]
+    want.append(gone(want[0], (1, a), (1, a), (3, c), (None, g)))
+    stays = left[2] & Counter([(5, e), (5, e + " more")])
+    leaks = left[2] & Counter([(6, "so " + item), (None, "and " + item)])
+    assert left[:2] == want and stays.total() == leaks.total() == 1 and (6, "so " + item) in leaks
+    want.append(gone(want[1], (5, e), (5, e + " more"), (None, g), (None, "and " + item)) + stays)
+    assert left[2:] == [want[2], want[2] - leaks]
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter(x for (x,) in rows(out.where("piece = 0"), "doc_id")) == Counter(i for i, _ in left[3].elements())
+    assert sorted(filter(None, (i for i, _ in left[3].elements()))) == [1, 2, 3, 4, 5, 6, 7]

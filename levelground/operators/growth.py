@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from levelground.functions.geometry import fitted_plane, hull_measures, local_slopes
-from levelground.operators.cloud import off_edge
+from levelground.operators.cloud import bounds, off_edge
 from levelground.operators.patch import clear
 from levelground.operators.spatial import radius_join
 from levelground.operators.storage import stored
@@ -49,13 +51,22 @@ def _climber(rungs: list[tuple[int, float]], keys: tuple[str, ...], limit: float
     return climb
 
 
-def growth_ladder(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit: float, increment: float = 0.5, max_rungs: int = 3, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = ()) -> DataFrame:
+def rungs_to_diagonal(cloud: DataFrame, radius: float, increment: float) -> int:
+    """Rungs up to the first whose radius is more than the diagonal of the cloud's bounds, so that it holds every point."""
+    b = bounds(cloud).first()
+    diagonal = math.dist([b[f"min_{c}"] or 0.0 for c in "xyz"], [b[f"max_{c}"] or 0.0 for c in "xyz"])
+    return max(0, math.floor((diagonal - radius) / increment) + 1) + 1
+
+
+def growth_ladder(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit: float, increment: float = 0.5, max_rungs: int | None = None, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = ()) -> DataFrame:
     """Each rung that each seed climbs, its last and failed one included: keys, rung, radius, n, flat, and the measures
     of flat patches.
 
     A patch of fewer than three points or with an outlier stops a seed.  max_rungs ends what would not end on a flat
-    cloud.  A seed's patch of the last rung of a pass is one group, of a size that radius and density bound.
+    cloud; without it, the rung that holds every point does.  A seed's patch of the last rung of a pass is one group, of a
+    size that radius and density bound.
     """
+    max_rungs = rungs_to_diagonal(cloud, radius, increment) if max_rungs is None else max_rungs
     done = None
     open_ = seeds
     kinds = ", ".join(f"{c} {seeds.schema[c].dataType.simpleString()}" for c in keys)
@@ -79,7 +90,7 @@ def best_rungs(ladder: DataFrame, keys: tuple[str, ...] = ("attempt",), circular
     return good.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
 
 
-def candidates(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit: float, increment: float = 0.5, max_rungs: int = 3, circularity: float = 0.1, clearance: float = 10.0, margin: float = 0.01, step: float = 0.2, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = ()) -> DataFrame:
+def candidates(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit: float, increment: float = 0.5, max_rungs: int | None = None, circularity: float = 0.1, clearance: float = 10.0, margin: float = 0.01, step: float = 0.2, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = ()) -> DataFrame:
     """Patches of off-edge seeds that grew flat and round and have nothing above them, with metrics and score."""
     ladder = growth_ladder(seeds, cloud, radius, k, limit, increment, max_rungs, keys, on)
     best = stored(best_rungs(ladder, keys, circularity), "best")
@@ -112,11 +123,13 @@ def detect(cloud: DataFrame, seeds: DataFrame, radius: float = 0.5, k: int = 10,
                 break
         found = first_n(found, zones)
     found = stored(found, "candidates")
-    return found, detected_points(found, cloud, radius, growth.get("increment", 0.5), growth.get("max_rungs", 3))
+    return found, detected_points(found, cloud, radius, growth.get("increment", 0.5), growth.get("max_rungs"))
 
 
-def detected_points(found: DataFrame, cloud: DataFrame, radius: float, increment: float, max_rungs: int) -> DataFrame:
-    near = radius_join(found.select("attempt", "seed_x", "seed_y", "seed_z", "patch_radius"), cloud, radius + increment * (max_rungs - 1))
+def detected_points(found: DataFrame, cloud: DataFrame, radius: float, increment: float, max_rungs: int | None = None) -> DataFrame:
+    """Points of the candidates' patches; without max_rungs the widest patch is looked up first."""
+    reach = radius + increment * (max_rungs - 1) if max_rungs is not None else found.agg(F.max("patch_radius")).first()[0] or radius
+    near = radius_join(found.select("attempt", "seed_x", "seed_y", "seed_z", "patch_radius"), cloud, reach)
     return near.where(F.col("d2") < F.col("patch_radius") * F.col("patch_radius")).select("attempt", "pid", "x", "y", "z")
 
 

@@ -177,3 +177,20 @@ def test_roles_and_circles(spark):
     one = spark.createDataFrame([(1, 1.0, 2.0, 3.0, 0.5)], "rank int, seed_x double, seed_y double, seed_z double, patch_radius double")
     ring = ops.circles(one, 8).orderBy("i").collect()
     assert (ring[2].x, ring[2].y, ring[2].z) == pytest.approx((1.0, 2.5, 3.0)) and len(ring) == 8
+
+
+def test_growth_without_a_cap_ends_at_the_diagonal(spark):
+    """Brute force: a flat cloud's patches grow until they hold every point, three rungs would end at 1.5."""
+    points = [(i * 20 + j, i * 0.25, j * 0.25, 0.0) for i in range(20) for j in range(20)]
+    c = spark.createDataFrame(points, "pid long, x double, y double, z double")
+    seeds = ops.every_point(c).where("attempt = 210")
+    at, diagonal = points[210], math.hypot(4.75, 4.75)
+    radii = [0.5]
+    while radii[-1] <= diagonal:
+        radii.append(radii[-1] + 0.5)
+    want = [sum(math.dist(p[1:], at[1:]) < r for p in points) for r in radii]
+    ladder = growth.growth_ladder(seeds, c, 0.5, 10, 25.0).orderBy("rung").collect()
+    assert [(row.radius, row.n, row.flat) for row in ladder] == [(r, n, True) for r, n in zip(radii, want)]
+    assert want[-1] == len(points) and len(want) > 3
+    found, inliers = growth.detect(c, seeds)
+    assert found.first().patch_radius == radii[-1] and inliers.count() == len(points)

@@ -57,22 +57,47 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumn("_spread", F.xxhash64(*keys) % 16381)
 
 
-#: Rows that a Python function holds at a time: Spark's batches of 10,000 whole texts make lists of hundreds of MB.
-ROWS = 512
+#: Rows that a Python function, and Spark's side of it, holds at a time, and bytes of them in one batch of Arrow.
+ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def arrow_rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """mapInArrow over (task number, iterator of batches of at most ROWS rows)."""
+    """mapInArrow over (task number, iterator of batches of at most ROWS rows).
+
+    Lowers the session's bounds of Arrow batches to ROWS and BATCH_BYTES where they are higher: Spark's own, made for
+    narrow rows, would hold tens of MB of texts several times on either side."""
+    _lower(df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    _lower(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         parts = (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS))
-        yield from make(TaskContext.get().partitionId(), parts)
+        try:
+            yield from make(TaskContext.get().partitionId(), parts)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _lower(spark: SparkSession, key: str, most: int) -> None:
+    now = spark.conf.get(key, "0")
+    now = int(now) if now.lstrip("-").isdigit() else 0
+    if not 0 < now <= most:
+        spark.conf.set(key, most)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as workers live on and serve other operators."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of (a, b) links between long ids: (id, label), label the smallest id of its component,
     for every id of edges.  Smallest labels of neighbours spread and labels jump to their label's label, each round

@@ -22,8 +22,8 @@ from levelground.llm._common import arrow_rows, col, stored
 #: Of an n-gram: words are padded with a space on either side, and letters alone count.
 N = 3
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: n-gram vectors kept in a task.
-REMEMBERED = 60_000
+#: n-gram vectors kept in a task (of a byte for each dimension), and looked up at once.
+REMEMBERED, AT_ONCE = 60_000, 4_000
 
 
 @lru_cache(maxsize=100_000)
@@ -89,7 +89,7 @@ def _bundle(dims: int, _task: int, batches: Iterator[pa.RecordBatch]) -> Iterato
 def _predict(dims: int, model, _task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     langs, prototypes = model.value
     rows: dict[int, int] = {}
-    vectors = np.zeros((1024, dims), np.float32)
+    vectors = np.zeros((1024, dims), np.int8)
     for batch in batches:
         labels, scores = [], []
         for text in batch.column("text").to_pylist():
@@ -99,8 +99,8 @@ def _predict(dims: int, model, _task: int, batches: Iterator[pa.RecordBatch]) ->
                 scores.append(0.0)
                 continue
             v = np.zeros(dims, np.float32)
-            for at in range(0, len(grams), 20_000):  # of a text with very many n-grams, so many at a time
-                part = grams[at : at + 20_000].tolist()
+            for at in range(0, len(grams), AT_ONCE):
+                part = grams[at : at + AT_ONCE].tolist()
                 if len(rows) + len(part) > REMEMBERED:
                     rows.clear()
                 for g in part:
@@ -109,7 +109,7 @@ def _predict(dims: int, model, _task: int, batches: Iterator[pa.RecordBatch]) ->
                             vectors = np.concatenate([vectors, np.zeros_like(vectors)])
                         vectors[len(rows)] = ngram_vector(g, dims)
                         rows[g] = len(rows)
-                v += counts[at : at + 20_000].astype(np.float32) @ vectors[[rows[g] for g in part]]
+                v += counts[at : at + AT_ONCE].astype(np.float32) @ vectors[[rows[g] for g in part]].astype(np.float32)
             cosines = prototypes @ (v / max(float(np.linalg.norm(v)), 1e-9))
             best = int(np.argmax(cosines))
             labels.append(langs[best])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from levelground.llm._common import arrow_rows, id_text, stored
-from levelground.llm.pretokens import WordLevel
+from levelground.llm.pretokens import word_level
 
 #: Runs of slots that are broadcast (36 bytes each).
 PLAN_ROWS = 200_000
@@ -82,11 +82,11 @@ def _put(rooms: dict, order: list[int], room: int, first: int, n: int) -> None:
 
 
 def _pieces(path: str, size: int, end_id: int, with_ids: bool, task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, ranks, end = WordLevel(path), Counter(), end_id.to_bytes(4, "little")
+    words, ranks, end = word_level(path), Counter(), end_id.to_bytes(4, "little")
     for batch in batches:
         out = {n: [] for n in ("id", "piece", "start", "length", "crc", "task", "local", "ids")}
-        for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-            ids = words.ids(text) + end
+        for doc, ids in zip(batch.column("id").to_pylist(), words.ids(batch.column("text").to_pylist())):
+            ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * size)):
                 part = ids[at : at + 4 * size]
                 n = len(part) // 4

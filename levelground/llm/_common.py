@@ -82,8 +82,8 @@ def arrow_rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
 
 
 def _lower(spark: SparkSession, key: str, most: int) -> None:
-    now = spark.conf.get(key, "0")
-    now = int(now) if now.lstrip("-").isdigit() else 0
+    now = spark.conf.get(key)
+    now = int(now) if now.isdigit() else 0  # with a unit or a sign: not lower
     if not 0 < now <= most:
         spark.conf.set(key, most)
 

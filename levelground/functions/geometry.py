@@ -84,7 +84,11 @@ def hull2d(xy: np.ndarray) -> np.ndarray:
 
 def hull_measures(xy: np.ndarray) -> tuple[int, float, float, float]:
     """(vertices, area, perimeter, circularity 4 pi area / perimeter^2); the last three 0 under three vertices."""
-    h = hull2d(xy)
+    return measured_hull(hull2d(xy))
+
+
+def measured_hull(h: np.ndarray) -> tuple[int, float, float, float]:
+    """hull_measures of a hull's vertices in order."""
     if len(h) < 3:
         return len(h), 0.0, 0.0, 0.0
     nxt = np.roll(h, -1, axis=0)
@@ -133,21 +137,88 @@ def hull3d_area(xyz: np.ndarray) -> float:
     return sum(float(np.linalg.norm(np.cross(pts[j] - pts[i], pts[k] - pts[i]))) / 2 for (i, j, k), _ in faces)
 
 
+#: Distances held at once while neighbours are looked for.
+AT_ONCE = 2_000_000
+
+
+def nearest(xyz: np.ndarray, of: np.ndarray, k: int, side: float | None = None, certain: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of xyz, squared distances, exact) of the k nearest of xyz to each row of `of`, nearest first, equal distances by
+    row; k is at most len(xyz).
+
+    Points are sorted into square columns of a side that holds few of them; a target looks at the nine around it, and
+    again with doubled sides while its k-th may be farther than one side.  A search ends at `certain`, where targets
+    with a farther k-th are not exact."""
+    m, k = len(of), min(k, len(xyz))
+    at, d2, exact = np.zeros((m, k), np.int64), np.full((m, k), np.inf), np.zeros(m, bool)
+    if not m or not k:
+        return at, d2, ~exact
+    low = np.minimum(xyz[:, :2].min(axis=0), of[:, :2].min(axis=0))
+    extent = float((np.maximum(xyz[:, :2].max(axis=0), of[:, :2].max(axis=0)) - low).max())
+    side = max(side or extent * math.sqrt(max(k, 16) / max(len(xyz), 1)), extent / 30_000, 1e-9)
+    todo = np.arange(m)
+    while len(todo):
+        side = min(side, certain)
+        cell = lambda p: np.floor((p[:, :2] - low) / side).astype(np.int64) + 1
+        width = int(extent / side) + 4
+        own = cell(xyz) @ (width, 1)
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        targets = cell(of[todo]) @ (width, 1)
+        by = np.argsort(targets, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(targets[by]) > 0])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(by)]):
+            c = targets[by[s]]
+            ends = np.searchsorted(own, [c - width - 1, c - width + 2, c - 1, c + 2, c + width - 1, c + width + 2])
+            near = np.sort(np.concatenate([order[ends[i] : ends[i + 1]] for i in (0, 2, 4)]))
+            if len(near) < k:
+                continue
+            step = max(1, AT_ONCE // len(near))
+            for i in range(s, e, step):
+                rows = todo[by[i : min(i + step, e)]]
+                at[rows], d2[rows] = _least(((of[rows][:, None, :] - xyz[near][None, :, :]) ** 2).sum(axis=2), near, k)
+        exact[todo] = (d2[todo, -1] <= side * side) | (side > extent)
+        if side >= certain:
+            break
+        todo = todo[~exact[todo]]
+        side *= 2
+    return at, d2, exact
+
+
+def _least(d2: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least of each row, ties by place."""
+    wide = min(k + 6, d2.shape[1])
+    if wide < d2.shape[1]:
+        some = np.sort(np.argpartition(d2, wide - 1, axis=1)[:, :wide], axis=1)
+        part = np.take_along_axis(d2, some, 1)
+        first = np.argsort(part, axis=1, kind="stable")
+        tied = part[np.arange(len(part)), first[:, k - 1]] == part[np.arange(len(part)), first[:, -1]]
+        rows = np.take_along_axis(some, first[:, :k], 1)
+        if tied.any():
+            rows[tied] = np.argsort(d2[tied], axis=1, kind="stable")[:, :k]
+    else:
+        rows = np.argsort(d2, axis=1, kind="stable")[:, :k]
+    return near[rows], np.take_along_axis(d2, rows, 1)
+
+
+def planes_at(xyz: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit normals with nz >= 0, covariances, least eigenvalues) of the planes through the points of each row of rows;
+    NaN normals where they coincide."""
+    near = xyz[rows]
+    near = near - near.mean(axis=1, keepdims=True)
+    cov = np.einsum("nki,nkj->nij", near, near) / rows.shape[1]
+    values, vectors = np.linalg.eigh(cov)
+    up = vectors[:, :, 0] * np.where(vectors[:, 2, :1] < 0, -1.0, 1.0)
+    return np.where(values[:, 2:] > 0, up, np.nan), cov, values[:, 0]
+
+
+def slopes_at(xyz: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Degrees of the local plane through the points of each row of rows; NaN where they coincide."""
+    return np.degrees(np.arccos(np.minimum(1.0, planes_at(xyz, rows)[0][:, 2])))
+
+
 def local_slopes(xyz: np.ndarray, k: int) -> np.ndarray:
     """Degrees of the local plane through each point's k nearest (itself one of them); NaN where they coincide."""
-    n = len(xyz)
-    k = min(k, n)
-    out = np.empty(n)
-    for start in range(0, n, 512):
-        own = xyz[start : start + 512]
-        d2 = ((own[:, None, :] - xyz[None, :, :]) ** 2).sum(axis=2)
-        near = xyz[np.argpartition(d2, k - 1, axis=1)[:, :k]]
-        near = near - near.mean(axis=1, keepdims=True)
-        cov = np.einsum("nki,nkj->nij", near, near) / k
-        values, vectors = np.linalg.eigh(cov)
-        up = np.minimum(1.0, np.abs(vectors[:, 2, 0]))
-        out[start : start + 512] = np.where(values[:, 2] > 0, np.degrees(np.arccos(up)), np.nan)
-    return out
+    return slopes_at(xyz, nearest(xyz, xyz, k)[0])
 
 
 def fitted_plane(xyz: np.ndarray) -> tuple[float, float, float, float]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from levelground.functions.geometry import covariance, slope, with_normal
-from levelground.operators.spatial import knn
+from levelground.functions.geometry import covariance, planes_at, slope, with_normal
+from levelground.operators.spatial import by_neighbours, cloud_keys, same_point
 
 
 def valid(cloud: DataFrame) -> DataFrame:
@@ -80,28 +81,42 @@ def off_edge(seeds: DataFrame, cloud: DataFrame, radius: float, on: tuple[str, .
     return both.where(inside).drop("min_x", "max_x", "min_y", "max_y")
 
 
-def mean_distances(cloud: DataFrame, neighbours: int) -> DataFrame:
-    """pid and its mean distance to that many nearest other points (null in a cloud of one point)."""
-    near = knn(cloud, neighbours + 1).where(F.col("other") != F.col("pid"))
-    again = Window.partitionBy("pid").orderBy("d2", "other")
-    near = near.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= neighbours)
-    return near.groupBy("pid").agg(F.avg(F.sqrt("d2")).alias("mean_distance"))
+def mean_distances(cloud: DataFrame, neighbours: int, on: tuple[str, ...] | None = None) -> DataFrame:
+    """on, pid and its mean distance to that many nearest other points (null in a cloud of one point)."""
 
+    def mean(group, rows, d2):
+        own = group["_i"].to_numpy()[group["_core"].to_numpy(bool)]
+        others = np.sqrt(d2[:, 1:]) if d2.shape[1] > 1 else np.full((len(d2), 1), np.nan)
+        return {"mean_distance": [float(m) if m == m else None for m in others.mean(axis=1)]} if len(own) else {"mean_distance": []}
 
-def sor_classify(cloud: DataFrame, neighbours: int, std_ratio: float) -> DataFrame:
+    return by_neighbours(cloud, neighbours + 1, mean, "mean_distance double", cloud_keys(cloud) if on is None else on)
+
+
+def sor_classify(cloud: DataFrame, neighbours: int, std_ratio: float, on: tuple[str, ...] | None = None) -> DataFrame:
     """Statistical outlier removal (Rusu et al. 2008): adds mean_distance and inlier, true where the mean distance is at
-    most the cloud's mean plus std_ratio standard deviations."""
-    from levelground.operators.storage import stored
+    most its cloud's mean plus std_ratio standard deviations."""
+    on = cloud_keys(cloud) if on is None else on
+    d = mean_distances(cloud, neighbours, on)
+    limit = d.groupBy(*on).agg((F.avg("mean_distance") + std_ratio * F.coalesce(F.stddev_samp("mean_distance"), F.lit(0.0))).alias("limit"))
+    limit = limit.withColumnsRenamed({c: f"_{c}" for c in on})
+    d = d.join(limit, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]).drop(*[f"_{c}" for c in on]) if on else d.crossJoin(F.broadcast(limit))  # one row
+    inlier = F.coalesce(F.col("mean_distance") <= F.col("limit"), F.lit(True))
+    return same_point(cloud, d, on).withColumn("inlier", inlier).drop("limit")
+
 
-    d = stored(mean_distances(cloud, neighbours), "distances")
-    limit = d.agg((F.avg("mean_distance") + std_ratio * F.coalesce(F.stddev_samp("mean_distance"), F.lit(0.0))).alias("limit"))
-    return cloud.join(d, "pid", "left").crossJoin(F.broadcast(limit)).withColumn("inlier", F.coalesce(F.col("mean_distance") <= F.col("limit"), F.lit(True))).drop("limit")  # one row
+def normals(cloud: DataFrame, k: int, on: tuple[str, ...] | None = None) -> DataFrame:
+    """on, pid, nx, ny, nz (null where its neighbours coincide), the least eigenvalue lam and variances of the local plane at
+    each point, slope_deg, and reach, the distance to its k-th nearest (infinite if the cloud has fewer)."""
 
+    def plane_of(group, rows, d2):
+        n, cov, lam = planes_at(group[["x", "y", "z"]].to_numpy(float), rows)
+        of = {"nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "lam": lam, "xx": cov[:, 0, 0], "yy": cov[:, 1, 1], "zz": cov[:, 2, 2], "slope_deg": np.degrees(np.arccos(np.minimum(1.0, n[:, 2])))}
+        return of | {"reach": np.sqrt(d2[:, -1]) if d2.shape[1] == k else np.full(len(d2), np.inf)}
 
-def normals(cloud: DataFrame, k: int) -> DataFrame:
-    """pid, nx, ny, nz (null where its neighbours coincide) and slope_deg of the local plane at each point."""
-    around = knn(cloud, k).groupBy("pid").agg(*covariance("ox", "oy", "oz"))
-    return with_normal(around).withColumn("slope_deg", slope()).select("pid", "nx", "ny", "nz", "lam", "xx", "yy", "zz", "slope_deg")
+    columns = ["nx", "ny", "nz", "lam", "xx", "yy", "zz", "slope_deg", "reach"]
+    on = cloud_keys(cloud) if on is None else on
+    found = by_neighbours(cloud, k, plane_of, ", ".join(f"{c} double" for c in columns), on)
+    return found.select(*on, "pid", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
 
 
 def classify(slope_deg: Column, limit: float) -> Column:
@@ -111,7 +126,8 @@ def classify(slope_deg: Column, limit: float) -> Column:
 
 def slope_classes(cloud: DataFrame, limit: float = 20.0, k: int = 10) -> DataFrame:
     """The whole cloud as one patch: its points with normals, slope_deg and inlier."""
-    return cloud.join(normals(cloud, k), "pid", "left").withColumn("inlier", classify(F.col("slope_deg"), limit))
+    on = cloud_keys(cloud)
+    return same_point(cloud, normals(cloud, k, on).drop("reach"), on).withColumn("inlier", classify(F.col("slope_deg"), limit))
 
 
 def plane(cloud: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -132,7 +148,8 @@ def select_role(inliers: DataFrame, outliers: DataFrame, which: str = "both") ->
 
 def unassigned(cloud: DataFrame, inliers: DataFrame) -> DataFrame:
     """Points of the cloud in no patch."""
-    return cloud.join(inliers.select("pid"), "pid", "left_anti")
+    on = tuple(c for c in cloud_keys(cloud) if c in inliers.columns)
+    return same_point(cloud, inliers.select(*on, "pid"), on, "left_anti")
 
 
 def circles(ranked: DataFrame, vertices: int = 10_000) -> DataFrame:

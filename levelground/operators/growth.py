@@ -10,77 +10,159 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from levelground.functions.geometry import fitted_plane, hull_measures, local_slopes
-from levelground.operators.cloud import bounds, off_edge
+from levelground.functions.geometry import hull2d, measured_hull, nearest, slopes_at
+from levelground.operators.cloud import bounds, normals, off_edge
 from levelground.operators.patch import clear
-from levelground.operators.spatial import radius_join
+from levelground.operators.spatial import radius_join, same_point
 from levelground.operators.storage import stored
 from levelground.schema import EMPTY_METRIC, GROWTH
 
-#: Rungs that one pass over the cloud climbs: the join reaches for the last of them, seeds that stop early join no more.
-PER_PASS = 3
-
-
-def measure_rung(xyz: np.ndarray, radius: float, limit: float, k: int) -> dict:
-    """One patch: n, flat, and if flat its hull, plane and metrics."""
-    out = {"radius": radius, "n": len(xyz), "flat": False} | dict.fromkeys(("circularity", "area", "perimeter", "a", "b", "c", "d", "relief", "roughness", "cx", "cy", "reach", "max_z"))
-    if len(xyz) < 3:
-        return out
-    slopes = local_slopes(xyz, k)
-    out["flat"] = bool(np.all(slopes <= limit))
-    if out["flat"]:
-        _, out["area"], out["perimeter"], out["circularity"] = hull_measures(xyz[:, :2])
-        out["a"], out["b"], out["c"], out["d"] = fitted_plane(xyz)
-        out["relief"] = float(np.ptp(xyz[:, 2]))
-        out["roughness"] = float(np.sqrt(np.mean((xyz @ np.array([out["a"], out["b"], out["c"]]) + out["d"]) ** 2)))
-        out["cx"], out["cy"] = map(float, xyz[:, :2].mean(axis=0))
-        out["reach"] = float(np.hypot(xyz[:, 0] - out["cx"], xyz[:, 1] - out["cy"]).max())
-        out["max_z"] = float(xyz[:, 2].max())
-    return out
-
-
-def _climber(rungs: list[tuple[int, float]], keys: tuple[str, ...], limit: float, k: int):
-    def climb(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        xyz, d2, out = group[["x", "y", "z"]].to_numpy(float), group["d2"].to_numpy(float), []
+#: Points of an annulus, by the cloud's mean density, that one pass may hand to a seed: a pass climbs to twice the radius
+#: or that far, and one rung at least.
+PASS_POINTS = 250_000
+
+
+def rungs_to_diagonal(cloud: DataFrame, radius: float, increment: float, on: tuple[str, ...] = ()) -> int:
+    """Rungs up to the first whose radius is more than the diagonal of the (largest) cloud's bounds, so that it holds every
+    point."""
+    b = bounds(cloud, on).agg(*[F.max(F.col(f"max_{c}") - F.col(f"min_{c}")).alias(c) for c in "xyz"]).first()
+    diagonal = math.hypot(*[b[c] or 0.0 for c in "xyz"])
+    return max(0, math.floor((diagonal - radius) / increment) + 1) + 1
+
+
+class _Patch:
+    """What is known of a patch without its points: their number, moments about the seed, heights and hull."""
+
+    def __init__(self, state: np.ndarray | None) -> None:
+        if state is None:
+            self.n, self.first, self.second, self.low, self.high, self.hull = 0, np.zeros(3), np.zeros((3, 3)), np.inf, -np.inf, np.zeros((0, 2))
+        else:
+            self.n, self.first, self.second = int(state[0]), state[1:4], state[4:13].reshape(3, 3)
+            self.low, self.high, self.hull = state[13], state[14], state[15:].reshape(-1, 2)
+
+    def add(self, xyz: np.ndarray) -> None:
+        if len(xyz):
+            self.n += len(xyz)
+            self.first = self.first + xyz.sum(axis=0)
+            self.second = self.second + xyz.T @ xyz
+            self.low, self.high = min(self.low, xyz[:, 2].min()), max(self.high, xyz[:, 2].max())
+            self.hull = hull2d(np.concatenate([self.hull, xyz[:, :2]]))
+
+    def state(self) -> list[float]:
+        return [float(self.n), *self.first.tolist(), *self.second.ravel().tolist(), float(self.low), float(self.high), *self.hull.ravel().tolist()]
+
+    def measures(self, seed: np.ndarray) -> dict:
+        mean = self.first / self.n
+        values, vectors = np.linalg.eigh(self.second / self.n - np.outer(mean, mean))
+        up = vectors[:, 0] * (-1.0 if vectors[2, 0] < 0 else 1.0)
+        vertices, area, around, circularity = measured_hull(self.hull)
+        a, b, c = up.tolist()
+        return {
+            "circularity": circularity, "area": area, "perimeter": around, "a": a, "b": b, "c": c, "d": float(-up @ (mean + seed)),
+            "relief": float(self.high - self.low), "roughness": math.sqrt(max(0.0, values[0])), "cx": float(mean[0] + seed[0]), "cy": float(mean[1] + seed[1]),
+            # the point farthest from any place is a vertex of the hull
+            "reach": float(np.hypot(*(self.hull - mean[:2]).T).max()), "max_z": float(self.high + seed[2]),
+        }
+
+
+_NOTHING = dict.fromkeys(("circularity", "area", "perimeter", "a", "b", "c", "d", "relief", "roughness", "cx", "cy", "reach", "max_z"))
+_STATE = "more boolean, state array<double>"
+
+
+def _climber(rungs: list[tuple[int, float]], before: float, band: float, keys: tuple[str, ...], limit: float, k: int):
+    """One seed's climb over rungs, from its patch of radius `before`.
+
+    A point whose k nearest in the cloud all lie in the patch has its slope in the cloud; it is settled, as it will be in
+    all larger patches.  Other points, near the rim, look for neighbours among the patch's points of the band, which
+    begins `band` inside of `before`; if one may have nearer ones farther in, the climb asks for more."""
+
+    def climb(key: tuple, seed: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        own = seed[["seed_x", "seed_y", "seed_z"]].to_numpy(float)[0]
+        state = seed["state"].iloc[0] if "state" in seed else None
+        patch, out = _Patch(None if state is None else np.asarray(state, float)), []
+        group = group.sort_values("pid", kind="stable")
+        xyz = group[["x", "y", "z"]].to_numpy(float) - own
+        d, reach, slope = np.sqrt(group["d2"].to_numpy(float)), group["reach"].to_numpy(float), group["slope_deg"].to_numpy(float)
+        inner, last = max(0.0, before - band), before
         for m, r in rungs:
-            out.append(dict(zip(keys, key)) | {"rung": m} | measure_rung(xyz[d2 < r * r], r, limit, k))
-            if not out[-1]["flat"]:
+            patch.add(xyz[(d < r) & (d >= last)])
+            row = dict(zip(keys, key)) | {"rung": m, "radius": r, "n": patch.n, "flat": False} | _NOTHING | {"more": False, "state": None}
+            out.append(row)
+            if patch.n < 3:
+                break
+            inside = d < r
+            settled = inside & (d + reach < r)
+            if not np.all(slope[settled] <= limit):
                 break
-        return pd.DataFrame(out)
+            there, rim = np.flatnonzero(inside & ((d >= inner) | ~settled)), np.flatnonzero(inside & ~settled)
+            if len(rim):
+                if len(there) < min(k, patch.n):
+                    row["more"] = True
+                    break
+                rows, d2, _ = nearest(xyz[there], xyz[rim], min(k, patch.n))
+                if inner and np.any(d[rim] - np.sqrt(d2[:, -1]) <= inner):
+                    row["more"] = True
+                    break
+                if not np.all(slopes_at(xyz[there], rows) <= limit):
+                    break
+            row |= {"flat": True} | patch.measures(own)
+            last = r
+        if out and out[-1]["flat"]:
+            out[-1]["state"] = patch.state()
+        # a rung that needs a wider band is climbed again, with all of its pass
+        return pd.DataFrame(out[-1:] if out and out[-1]["more"] else out)
 
     return climb
 
 
-def rungs_to_diagonal(cloud: DataFrame, radius: float, increment: float) -> int:
-    """Rungs up to the first whose radius is more than the diagonal of the cloud's bounds, so that it holds every point."""
-    b = bounds(cloud).first()
-    diagonal = math.dist([b[f"min_{c}"] or 0.0 for c in "xyz"], [b[f"max_{c}"] or 0.0 for c in "xyz"])
-    return max(0, math.floor((diagonal - radius) / increment) + 1) + 1
-
-
 def growth_ladder(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit: float, increment: float = 0.5, max_rungs: int | None = None, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = ()) -> DataFrame:
     """Each rung that each seed climbs, its last and failed one included: keys, rung, radius, n, flat, and the measures
     of flat patches.
 
     A patch of fewer than three points or with an outlier stops a seed.  max_rungs ends what would not end on a flat
-    cloud; without it, the rung that holds every point does.  A seed's patch of the last rung of a pass is one group, of a
-    size that radius and density bound.
+    cloud; without it, the rung that holds every point does.
+
+    Slopes are taken in the cloud once, for all seeds.  Then seeds climb in passes; a pass meets each seed with the
+    annulus of points that the patch grows by, and the rim of the patch before, while the patch itself goes on as its
+    moments and hull.  So no patch is ever held whole, and each point meets a seed about once.
     """
-    max_rungs = rungs_to_diagonal(cloud, radius, increment) if max_rungs is None else max_rungs
-    done = None
-    open_ = seeds
+    max_rungs = rungs_to_diagonal(cloud, radius, increment, on) if max_rungs is None else max_rungs
+    local = normals(cloud, k, on).select(*on, "pid", "slope_deg", "reach")
+    local = stored(same_point(cloud.select(*on, "pid", "x", "y", "z"), local, on).withColumns({"slope_deg": F.coalesce("slope_deg", F.lit(float("nan"))), "reach": F.coalesce("reach", F.lit(float("inf")))}), "slopes")
+    b = bounds(cloud, on).join(local.groupBy(*on).count(), list(on)) if on else bounds(cloud).crossJoin(F.broadcast(local.groupBy().count()))  # one row
+    density = b.agg(F.max(F.col("count") / F.greatest((F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")), F.lit(1e-9)))).first()[0] or 1.0
+    wide = local.where("reach < double('infinity')").agg(F.avg("reach")).first()[0] or radius
     kinds = ", ".join(f"{c} {seeds.schema[c].dataType.simpleString()}" for c in keys)
-    for start in range(0, max_rungs, PER_PASS):
-        rungs = [(m, radius + m * increment) for m in range(start, min(start + PER_PASS, max_rungs))]
-
-        near = radius_join(open_, cloud, rungs[-1][1], on).select(*keys, "x", "y", "z", "d2")
-        climbed = stored(near.groupBy(*keys).applyInPandas(_climber(rungs, keys, limit, k), f"{kinds}, {GROWTH}"), "growth")
-        done = climbed if done is None else done.unionByName(climbed)
-        if rungs[-1][0] + 1 < max_rungs:
-            open_ = stored(open_.join(climbed.where((F.col("rung") == rungs[-1][0]) & F.col("flat")).select(*keys), list(keys), "left_semi"), "growing")
+    open_ = seeds.select(*dict.fromkeys((*keys, *on)), "seed_x", "seed_y", "seed_z")
+    done, start, before = None, 0, 0.0
+    while start < max_rungs:
+        rungs = [(start, radius + start * increment)]
+        while rungs[-1][0] + 1 < max_rungs:
+            m = rungs[-1][0] + 1
+            r = radius + m * increment
+            if r > max(2 * before, radius + 2.5 * increment) or math.pi * (r * r - before * before) * density > PASS_POINTS:
+                break
+            rungs.append((m, r))
+        asking, band, whole = open_, 4 * wide, None
+        while True:
+            near = radius_join(asking.drop("state"), local, rungs[-1][1], on)
+            far = F.sqrt("d2")
+            near = near.where((far >= before - band) | (far + F.col("reach") >= before))
+            near = near.select(*[F.col(c).alias(f"_{c}") for c in keys], "pid", "x", "y", "z", "d2", "slope_deg", "reach")
+            climbed = asking.groupBy(*keys).cogroup(near.groupBy(*[f"_{c}" for c in keys])).applyInPandas(_climber(rungs, before, band, keys, limit, k), f"{kinds}, {GROWTH}, {_STATE}")
+            climbed = stored(climbed, "growth")
+            whole = climbed.where("NOT more") if whole is None else whole.unionByName(climbed.where("NOT more"))
+            again = climbed.where("more").select(*keys)
+            if not again.limit(1).count():
+                break
+            asking, band = stored(asking.join(again, list(keys), "left_semi"), "asking"), 2 * band
+        done = whole if done is None else done.unionByName(whole)
+        start, before = rungs[-1][0] + 1, rungs[-1][1]
+        if start < max_rungs:
+            open_ = stored(open_.drop("state").join(whole.where((F.col("rung") == start - 1) & F.col("flat")).select(*keys, "state"), list(keys)), "growing")
             if not open_.limit(1).count():
                 break
-    return done
+    return done.drop("more", "state")
 
 
 def best_rungs(ladder: DataFrame, keys: tuple[str, ...] = ("attempt",), circularity: float = 0.1) -> DataFrame:
@@ -97,6 +179,7 @@ def candidates(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit:
     free = clear(best, cloud, list(keys), margin=margin, clearance=clearance, step=step, on=on)
     confidence = F.when(F.col("area") > 0, F.col("n") / F.col("area")).otherwise(EMPTY_METRIC)
     out = free.join(seeds, list(keys)).withColumn("data_confidence", confidence).withColumn("patch_radius", F.col("radius"))
+    out = out.withColumn("slope_deg", F.degrees(F.acos(F.least(F.abs("c"), F.lit(1.0)))))
     return out.withColumn("score", F.col("data_confidence") + F.col("patch_radius") - F.col("relief") - F.col("roughness"))
 
 

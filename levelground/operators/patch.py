@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelground.functions.geometry import covariance, hull3d_area, hull_measures, slope, with_normal
-from levelground.operators.cloud import classify
-from levelground.operators.spatial import knn_in_group
+from levelground.functions.geometry import hull3d_area, hull_measures
+from levelground.operators.cloud import classify, normals
 from levelground.schema import EMPTY_METRIC, HULL
 
 
@@ -21,9 +20,7 @@ def at_least(patches: DataFrame, by: list[str], n: int = 3) -> DataFrame:
 
 def local_normals(patches: DataFrame, by: list[str], k: int) -> DataFrame:
     """by, pid, nx, ny, nz, slope_deg from the k nearest points of the patch itself (not of the cloud)."""
-    o = patches.select(*by, F.col("pid").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
-    around = knn_in_group(patches, by, k).select(*by, "pid", "other").join(o, [*by, "other"]).groupBy(*by, "pid").agg(*covariance("ox", "oy", "oz"))
-    return with_normal(around).withColumn("slope_deg", slope()).select(*by, "pid", "nx", "ny", "nz", "slope_deg")
+    return normals(patches, k, tuple(by)).select(*by, "pid", "nx", "ny", "nz", "slope_deg")
 
 
 def classified(patches: DataFrame, by: list[str], limit: float, k: int) -> DataFrame:
@@ -139,6 +136,6 @@ def hazard(points: DataFrame, metric: str = "ALL", planes: DataFrame | None = No
 
 
 def within_limits(candidates: DataFrame, min_radius: float = 2.5, max_slope: float = 25.0, min_density: float = 30.0, max_relief: float = 0.25, max_roughness: float = 0.02) -> DataFrame:
-    """Candidates that keep to all thresholds; slope_deg is looked at where the column is there."""
-    ok = (F.col("patch_radius") >= min_radius) & (F.col("data_confidence") >= min_density) & (F.col("relief") <= max_relief) & (F.col("roughness") <= max_roughness)
-    return candidates.where(ok & (F.col("slope_deg") <= max_slope) if "slope_deg" in candidates.columns else ok)
+    """Candidates that keep to all thresholds."""
+    ok = (F.col("patch_radius") >= min_radius) & (F.col("slope_deg") <= max_slope) & (F.col("data_confidence") >= min_density)
+    return candidates.where(ok & (F.col("relief") <= max_relief) & (F.col("roughness") <= max_roughness))

@@ -8,10 +8,14 @@ crowded cells.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from levelground.functions.geometry import nearest
 
 
 def _cell(value: Column, size: Column | float) -> Column:
@@ -43,40 +47,90 @@ def radius_join(seeds: DataFrame, cloud: DataFrame, radius: float, on: tuple[str
 
 def knn_in_group(points: DataFrame, by: list[str], k: int) -> DataFrame:
     """The k nearest points within a group for each of its points, itself included: by, pid, other (pid), d2, rank."""
-    a, b = points.select(*by, "pid", "x", "y", "z"), points.select(*by, F.col("pid").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
-    pairs = a.join(b, by).withColumn("d2", distance2(("x", "ox"), ("y", "oy"), ("z", "oz")))
-    first = Window.partitionBy(*by, "pid").orderBy("d2", "other")
-    return pairs.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    return knn(points, k, tuple(by)).select(*by, "pid", "other", "d2", "rank")
 
 
-def knn(cloud: DataFrame, k: int, on: tuple[str, ...] = (), rounds: int = 24) -> DataFrame:
-    """The k nearest points of the whole cloud for each point, itself included: on, pid, other, d2, rank, and the other's
-    ox, oy, oz; fewer if the cloud is smaller.
+def cloud_keys(cloud: DataFrame) -> tuple[str, ...]:
+    """What tells points of several clouds apart beside pid, where the table has it."""
+    return ("cloud_id",) if "cloud_id" in cloud.columns else ()
+
+
+def same_point(left: DataFrame, right: DataFrame, on: tuple[str, ...], how: str = "left") -> DataFrame:
+    """Join by point, clouds without an id being one cloud."""
+    right = right.withColumnsRenamed({c: f"_{c}" for c in (*on, "pid")})
+    same = [F.col("pid") == F.col("_pid"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]]
+    return left.join(right, same, how).drop(*[f"_{c}" for c in (*on, "pid")])
+
+
+#: Cells along the side of a block, which one call handles, and points that a cell holds on average.
+BLOCK, PER_CELL = 16, 24
+
 
-    A round searches the nine cells around a point, which hold all points within one cell side; points whose k-th
-    neighbour is farther go on with doubled cells.  Exact whatever the density, with work that follows it.
+def by_neighbours(cloud: DataFrame, k: int, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str, on: tuple[str, ...] = (), rounds: int = 24) -> DataFrame:
+    """on, pid and what `measure` says of the k nearest points of the whole cloud for each point, itself included (fewer if
+    the cloud is smaller).  measure gets all points in reach (x, y, z), rows of the k nearest for each point, equal
+    distances by pid, and their squared distances, and gives columns.
+
+    Points fall into cells, and blocks of cells meet with the cells around them in one call, so each point moves about
+    once and no pair of points does.  A neighbour within one cell's side is certain; points whose k-th is farther go on
+    with doubled cells, and only the blocks around them.
     """
     from levelground.operators.storage import stored
 
-    box = cloud.agg(F.count("*").alias("n"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    n, width, height = box[0] or 0, box[1] or 0.0, box[2] or 0.0
+    box = cloud.groupBy(*on).agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    box = box.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max("w").alias("w"), F.max("h").alias("h")).first()
+    most, width, height = box.most or 0, box.w or 0.0, box.h or 0.0
     area = max(width, height * 1e-3, 1e-9) * max(height, width * 1e-3, 1e-9)
-    side = math.sqrt(area * 4 * (k + 1) / 9 / max(n, 1))
-    points = cloud.select(*on, "pid", "x", "y", "z")
-    others = cloud.select(*on, F.col("pid").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
-    open_, done = points, None
-    first = Window.partitionBy(*on, "pid").orderBy("d2", "other")
+    side = math.sqrt(area * max(PER_CELL, k) / max(most, 1))
+    kinds = "".join(f"{c} {cloud.schema[c].dataType.simpleString()}, " for c in on)
+
+    def search(side: float, whole: bool):
+        def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("pid", kind="stable")
+            xyz, core = group[["x", "y", "z"]].to_numpy(float), group["_core"].to_numpy(bool)
+            rows, d2, exact = nearest(xyz, xyz[core], k, side, math.inf if whole else side)
+            exact |= whole
+            found = {c: v for c, v in zip(on, key)} | {"pid": group["pid"].to_numpy()[core][exact]}
+            if not exact.any():
+                return pd.DataFrame(columns=[*found, *(c.split()[0] for c in schema.split(", "))])
+            return pd.DataFrame(found | measure(group.assign(_i=range(len(group))), rows[exact], d2[exact]))
+
+        return run
+
+    points, open_, done = cloud.select(*on, "pid", "x", "y", "z"), None, None
     for _ in range(rounds):
-        all_in_reach = side > max(width, height)
-        pairs = in_neighbour_cells(open_, side, "x", "y").join(with_cells(others, side, "ox", "oy"), [*on, "_cx", "_cy"])
-        near = pairs.withColumn("d2", distance2(("x", "ox"), ("y", "oy"), ("z", "oz"))).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-        near = stored(near.select(*on, "pid", "x", "y", "z", "other", "ox", "oy", "oz", "d2", "rank"), "knn")
-        whole = near if all_in_reach else near.join(near.where((F.col("rank") == k) & (F.col("d2") <= side * side)).select(*on, "pid"), [*on, "pid"], "left_semi")
-        done = whole if done is None else done.unionByName(whole)
-        if all_in_reach:
+        whole = side * (BLOCK - 2) > max(width, height)  # one block and its rim then hold every point of a cloud
+        cell = {c: F.lit(0) if whole else F.floor(F.col(c) / side) for c in "xy"}
+        blocks = [F.explode(F.sequence(F.floor((cell[c] - 1) / BLOCK), F.floor((cell[c] + 1) / BLOCK))) if not whole else F.lit(0) for c in "xy"]
+        marked = points if open_ is None else same_point(points, open_.withColumn("_open", F.lit(True)), on)
+        near = marked.withColumn("_bx", blocks[0]).withColumn("_by", blocks[1])
+        core = (F.col("_bx") == F.floor(cell["x"] / BLOCK)) & (F.col("_by") == F.floor(cell["y"] / BLOCK)) & (F.lit(True) if open_ is None else F.coalesce("_open", F.lit(False)))
+        near = near.withColumn("_core", core)
+        if open_ is not None:
+            wanted = near.where("_core").select(*[F.col(c).alias(f"_{c}") for c in on], F.col("_bx").alias("_wx"), F.col("_by").alias("_wy")).distinct()
+            near = near.join(wanted, [F.col("_bx") == F.col("_wx"), F.col("_by") == F.col("_wy"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]], "left_semi")
+        found = near.select(*on, "_bx", "_by", "pid", "x", "y", "z", "_core").groupBy(*on, "_bx", "_by")
+        keyed = lambda run: (lambda key, group: run(key[: len(on)], group))
+        found = stored(found.applyInPandas(keyed(search(side, whole)), f"{kinds}pid {cloud.schema['pid'].dataType.simpleString()}, {schema}"), "neighbours")
+        done = found if done is None else done.unionByName(found)
+        if whole:
             break
-        open_ = stored(open_.join(near.where((F.col("rank") == k) & (F.col("d2") <= side * side)).select(*on, "pid"), [*on, "pid"], "left_anti"), "knn-open")
+        open_ = stored(same_point((points if open_ is None else open_).select(*on, "pid"), found.select(*on, "pid"), on, "left_anti"), "open")
         if not open_.limit(1).count():
             break
         side *= 2
-    return done.drop("x", "y", "z")
+    return done
+
+
+def knn(cloud: DataFrame, k: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest points of the whole cloud for each point, itself included: on, pid, other, d2, rank, and the other's
+    ox, oy, oz; fewer if the cloud is smaller.  Equal distances rank by pid."""
+
+    def listed(group, rows, d2):
+        of = {c: group[n].to_numpy()[rows] for c, n in (("other", "pid"), ("ox", "x"), ("oy", "y"), ("oz", "z"))}
+        return {c: list(v) for c, v in (of | {"d2": d2}).items()}
+
+    pid = cloud.schema["pid"].dataType.simpleString()
+    found = by_neighbours(cloud, k, listed, f"other array<{pid}>, ox array<double>, oy array<double>, oz array<double>, d2 array<double>", on)
+    at = F.posexplode(F.arrays_zip("other", "ox", "oy", "oz", "d2")).alias("_at", "_n")
+    return found.select(*on, "pid", at).select(*on, "pid", "_n.*", (F.col("_at") + 1).alias("rank"))

@@ -14,7 +14,7 @@ from levelground.plans import algorithms
 from levelground.sources.tables import orders_terrain
 
 # Parameters of the catalogue's detector; the number of attempts is the sampling operator's own.
-ATTEMPTS, RADIUS, K, LIMIT, INCREMENT, RUNGS = 50, 0.5, 10, 25.0, 0.5, 3
+ATTEMPTS, RADIUS, K, LIMIT, INCREMENT = 50, 0.5, 10, 25.0, 0.5
 ONE = 1.0  # the radius of queries on one patch for each seed
 
 QUERIES: dict = {}
@@ -35,12 +35,17 @@ def with_tables(select: str) -> str:
     """The statement with those of TABLES that it needs, as DuckDB computes materialized ones that nothing reads, too."""
     parts = re.split(r"^(\w+) AS (?=MATERIALIZED \(|\()", TABLES, flags=re.M)
     tables = {name: body.strip().rstrip(",") for name, body in zip(parts[1::2], parts[2::2])}
-    needed, todo = set(), [select]
-    while todo:
-        for word in set(re.findall(r"\w+", todo.pop())) & set(tables) - needed:
-            needed.add(word)
-            todo.append(tables[word])
-    return "WITH " + ",\n".join(f"{name} AS {body}" for name, body in tables.items() if name in needed) + "\n" + select
+    needed: dict[str, str] = {}  # each after those that it reads
+
+    def need(text: str) -> None:
+        for word in re.findall(r"\w+", text):
+            if word in tables and word not in needed:
+                body = tables.pop(word)
+                need(body)
+                needed[word] = body
+
+    need(select)
+    return "WITH " + ",\n".join(f"{name} AS {body}" for name, body in needed.items()) + "\n" + select
 
 
 def r(name: str, digits: int = 4, alias: str | None = None):
@@ -67,6 +72,20 @@ def _cov(p: str) -> str:
     return f"covar_pop({p}x, {p}x) AS xx, covar_pop({p}x, {p}y) AS xy, covar_pop({p}x, {p}z) AS xz, covar_pop({p}y, {p}y) AS yy, covar_pop({p}y, {p}z) AS yz, covar_pop({p}z, {p}z) AS zz, avg({p}x) AS mx, avg({p}y) AS my, avg({p}z) AS mz"
 
 
+def _hull(src: str, out: str) -> str:
+    """CTEs from points of patches in src to n_vertices, area and perimeter of their hulls: points inside the polygon of the
+    extremes in 64 directions are left out, then edges are pairs with no point on their right."""
+    return f"""{out}_e AS (SELECT sim, attempt, m, t, arg_max(kx, kx * cos(t * pi() / 32) + ky * sin(t * pi() / 32)) AS ex, arg_max(ky, kx * cos(t * pi() / 32) + ky * sin(t * pi() / 32)) AS ey FROM {src}, (SELECT unnest(range(64)) AS t) GROUP BY ALL),
+{out}_b AS (SELECT a.sim, a.attempt, a.m, a.ex AS ux, a.ey AS uy, b.ex AS vx, b.ey AS vy FROM {out}_e a JOIN {out}_e b USING (sim, attempt, m) WHERE b.t = (a.t + 1) % 64 AND (a.ex <> b.ex OR a.ey <> b.ey)),
+{out}_i AS (SELECT sim, attempt, m, pid FROM {src} JOIN {out}_b USING (sim, attempt, m) GROUP BY ALL HAVING bool_and((vx - ux) * (ky - uy) - (vy - uy) * (kx - ux) > 0)),
+{out}_r AS MATERIALIZED (SELECT p.* FROM {src} p ANTI JOIN {out}_i USING (sim, attempt, m, pid)),
+{out}_s AS (SELECT a.sim, a.attempt, a.m, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy FROM {out}_r a JOIN {out}_r b USING (sim, attempt, m)
+  WHERE (a.kx <> b.kx OR a.ky <> b.ky) AND NOT EXISTS (SELECT 1 FROM {out}_r c WHERE c.sim = a.sim AND c.attempt = a.attempt AND c.m = a.m
+    AND ((b.kx - a.kx) * (c.ky - a.ky) - (b.ky - a.ky) * (c.kx - a.kx) < 0
+      OR ((b.kx - a.kx) * (c.ky - a.ky) - (b.ky - a.ky) * (c.kx - a.kx) = 0 AND ((c.kx - a.kx) * (c.kx - b.kx) > 0 OR (c.ky - a.ky) * (c.ky - b.ky) > 0))))),
+{out} AS MATERIALIZED (SELECT sim, attempt, m, count(*) AS n_vertices, abs(sum(ux * vy - vx * uy)) / 2 AS area, sum(sqrt((vx - ux) ** 2 + (vy - uy) ** 2)) AS perimeter FROM {out}_s GROUP BY ALL HAVING count(*) >= 3)"""
+
+
 TABLES = f"""
 side AS (SELECT sqrt(count(*) / CAST(37.5 AS DOUBLE)) AS l FROM orders),
 flat_xy AS (SELECT CAST(o_orderkey AS BIGINT) AS pid, (o_orderkey * 7919) % 10007 AS kx, (o_orderkey * 3571) % 10009 AS ky, CAST(o_totalprice AS DOUBLE) AS price, l,
@@ -78,40 +97,48 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS i FROM cloud),
 sims AS (SELECT unnest(range(3)) AS sim),
 seeds AS MATERIALIZED (SELECT sim, attempt, pid AS seed_pid, x AS sx, y AS sy, z AS sz FROM sims, (SELECT unnest(range({ATTEMPTS})) AS attempt), box, numbered WHERE i = (attempt * 7919 + 13 + sim) % n),
 inside AS MATERIALIZED (SELECT seeds.* FROM seeds, box WHERE sx BETWEEN ax + {RADIUS} AND bx - {RADIUS} AND sy BETWEEN ay + {RADIUS} AND b_y - {RADIUS}),
-rungs AS (SELECT unnest(range({RUNGS})) AS m),
-reach AS MATERIALIZED (SELECT sim, attempt, pid, kx, ky, x, y, z, (x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz) AS d2 FROM inside, cloud WHERE x BETWEEN sx - 2 AND sx + 2 AND y BETWEEN sy - 2 AND sy + 2),
-patch AS MATERIALIZED (SELECT reach.*, m FROM reach, rungs WHERE d2 < ({RADIUS} + {INCREMENT} * m) * ({RADIUS} + {INCREMENT} * m)),
-one AS (SELECT * FROM patch WHERE sim = 0 AND m = 1),
-pairs AS (SELECT a.sim, a.attempt, a.m, a.pid, b.pid AS other, b.x AS ox, b.y AS oy, b.z AS oz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM patch a JOIN patch b USING (sim, attempt, m)),
+near_seed AS MATERIALIZED (SELECT sim, attempt, pid, kx, ky, x, y, z, (x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz) AS d2 FROM inside, cloud WHERE sim = 0 AND x BETWEEN sx - 1 AND sx + 1 AND y BETWEEN sy - 1 AND sy + 1),
+patch AS MATERIALIZED (SELECT near_seed.*, m FROM near_seed, (SELECT unnest(range(2)) AS m) WHERE d2 < ({RADIUS} + {INCREMENT} * m) * ({RADIUS} + {INCREMENT} * m)),
+one AS (SELECT * FROM patch WHERE m = 1),
+pairs AS (SELECT a.sim, a.attempt, a.m, a.pid, b.pid AS other, b.x AS ox, b.y AS oy, b.z AS oz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM one a JOIN one b USING (sim, attempt, m)),
 near AS MATERIALIZED (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY sim, attempt, m, pid ORDER BY d2, other) <= {K}),
 near_cov AS (SELECT sim, attempt, m, pid, {_cov('o')} FROM near GROUP BY ALL),
 {_eigen('near_cov', 'sim, attempt, m, pid', 'normal')},
-classed AS MATERIALIZED (SELECT patch.*, slope_deg, coalesce(slope_deg <= {LIMIT}, false) AS inlier FROM patch LEFT JOIN normal USING (sim, attempt, m, pid)),
+classed AS MATERIALIZED (SELECT one.*, slope_deg, coalesce(slope_deg <= {LIMIT}, false) AS inlier FROM one LEFT JOIN normal USING (sim, attempt, m, pid)),
 rung AS MATERIALIZED (SELECT sim, attempt, m, count(*) AS n, count(*) FILTER (NOT inlier) AS n_out FROM classed GROUP BY ALL),
-patch_cov AS (SELECT sim, attempt, m, {_cov('')} FROM patch GROUP BY ALL),
+patch_cov AS (SELECT sim, attempt, m, {_cov('')} FROM one GROUP BY ALL),
 {_eigen('patch_cov', 'sim, attempt, m', 'plane')},
-turns AS (SELECT unnest(range(16)) AS t),
-extremes AS (SELECT sim, attempt, m, t, arg_max(kx, kx * cos(t * pi() / 8) + ky * sin(t * pi() / 8)) AS ex, arg_max(ky, kx * cos(t * pi() / 8) + ky * sin(t * pi() / 8)) AS ey FROM patch, turns GROUP BY ALL),
-sides AS (SELECT a.sim, a.attempt, a.m, a.ex AS ux, a.ey AS uy, b.ex AS vx, b.ey AS vy FROM extremes a JOIN extremes b USING (sim, attempt, m) WHERE b.t = (a.t + 1) % 16 AND (a.ex <> b.ex OR a.ey <> b.ey)),
-inner_points AS (SELECT sim, attempt, m, pid FROM patch JOIN sides USING (sim, attempt, m) GROUP BY ALL HAVING bool_and((vx - ux) * (ky - uy) - (vy - uy) * (kx - ux) > 0)),
-rim AS MATERIALIZED (SELECT patch.* FROM patch ANTI JOIN inner_points USING (sim, attempt, m, pid)),
-edges AS MATERIALIZED (SELECT a.sim, a.attempt, a.m, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, a.pid AS p1 FROM rim a JOIN rim b USING (sim, attempt, m)
-  WHERE (a.kx <> b.kx OR a.ky <> b.ky) AND NOT EXISTS (SELECT 1 FROM rim c WHERE c.sim = a.sim AND c.attempt = a.attempt AND c.m = a.m
-    AND ((b.kx - a.kx) * (c.ky - a.ky) - (b.ky - a.ky) * (c.kx - a.kx) < 0
-      OR ((b.kx - a.kx) * (c.ky - a.ky) - (b.ky - a.ky) * (c.kx - a.kx) = 0 AND ((c.kx - a.kx) * (c.kx - b.kx) > 0 OR (c.ky - a.ky) * (c.ky - b.ky) > 0))))),
-hull AS MATERIALIZED (SELECT sim, attempt, m, count(*) AS n_vertices, abs(sum(ux * vy - vx * uy)) / 2 AS area, sum(sqrt((vx - ux) ** 2 + (vy - uy) ** 2)) AS perimeter FROM edges GROUP BY ALL HAVING count(*) >= 3),
+{_hull('one', 'hull')},
 shape AS (SELECT *, 4 * pi() * area / (perimeter * perimeter) AS circularity FROM hull),
-stops AS (SELECT sim, attempt, coalesce(min(m) FILTER (n < 3 OR n_out > 0), {RUNGS}) AS stop FROM rung GROUP BY ALL),
-best AS MATERIALIZED (SELECT sim, attempt, max(m) AS m FROM stops JOIN shape USING (sim, attempt) WHERE m < stop AND circularity >= 0.1 GROUP BY ALL),
-best_points AS MATERIALIZED (SELECT patch.* FROM patch JOIN best USING (sim, attempt, m)),
+rungs AS (SELECT unnest(range(CAST(floor((sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) - {RADIUS}) / {INCREMENT}) AS BIGINT) + 2)) AS m FROM cloud),
+local AS MATERIALIZED (SELECT cloud.*, kdist, coalesce(slope_deg <= {LIMIT}, false) AS gentle, CAST(floor(x) AS BIGINT) AS gx, CAST(floor(y) AS BIGINT) AS gy
+  FROM cloud JOIN (SELECT pid, sqrt(max(d2)) AS kdist FROM (SELECT * FROM cloud_near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, other) <= {K}) GROUP BY pid) USING (pid) JOIN cloud_normal USING (pid)),
+span AS MATERIALIZED (SELECT sim, attempt, local.*, sqrt((x - sx) ** 2 + (y - sy) ** 2 + (z - sz) ** 2) AS d FROM inside, local),
+steep_at AS (SELECT sim, attempt, min(d + kdist) AS ends FROM span WHERE NOT gentle GROUP BY ALL),
+open_rung AS MATERIALIZED (SELECT inside.sim, inside.attempt, m, {RADIUS} + {INCREMENT} * m AS r FROM inside LEFT JOIN steep_at USING (sim, attempt), rungs WHERE ends IS NULL OR {RADIUS} + {INCREMENT} * (m - 1) <= ends),
+sure AS (SELECT o.*, ends IS NULL OR r <= ends AS calm FROM open_rung o LEFT JOIN steep_at USING (sim, attempt)),
+rim_at AS MATERIALIZED (SELECT sim, attempt, m, r, pid, x, y, z, gx, gy, CASE WHEN kdist < 0.6 THEN 1 ELSE 4 END AS far FROM span JOIN open_rung USING (sim, attempt) WHERE d < r AND d + kdist >= r),
+rim_around AS (SELECT a.sim, a.attempt, a.m, a.pid, min_by({{'ox': b.x, 'oy': b.y, 'oz': b.z}}, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, {K}) AS around FROM
+  (SELECT *, unnest(range(gx - far, gx + far + 1)) AS bx FROM rim_at) a JOIN span b ON a.sim = b.sim AND a.attempt = b.attempt AND a.bx = b.gx AND b.gy BETWEEN a.gy - a.far AND a.gy + a.far AND b.d < a.r GROUP BY ALL),
+rim_cov AS (SELECT sim, attempt, m, pid, {_cov('')} FROM (SELECT sim, attempt, m, pid, n.ox AS x, n.oy AS y, n.oz AS z FROM (SELECT *, unnest(around) AS n FROM rim_around)) GROUP BY ALL),
+{_eigen('rim_cov', 'sim, attempt, m, pid', 'rim_normal')},
+rim_out AS (SELECT sim, attempt, m, count(*) FILTER (slope_deg IS NULL OR slope_deg > {LIMIT}) AS n_out FROM rim_normal GROUP BY ALL),
+size_at AS (SELECT o.sim, o.attempt, o.m, count(*) AS n FROM open_rung o JOIN span s ON s.sim = o.sim AND s.attempt = o.attempt AND s.d < o.r GROUP BY ALL),
+climb AS MATERIALIZED (SELECT sim, attempt, m, r, n, n >= 3 AND calm AND coalesce(n_out, 0) = 0 AS flat FROM sure JOIN size_at USING (sim, attempt, m) LEFT JOIN rim_out USING (sim, attempt, m)),
+stops AS (SELECT sim, attempt, coalesce(min(m) FILTER (NOT flat), max(m) + 1) AS stop FROM climb GROUP BY ALL),
+best AS MATERIALIZED (SELECT sim, attempt, stop - 1 AS m, CAST({RADIUS} + {INCREMENT} * (stop - 1) AS DOUBLE) AS r FROM stops WHERE stop > 0),
+best_points AS MATERIALIZED (SELECT s.sim, s.attempt, m, pid, kx, ky, x, y, z FROM span s JOIN best b ON s.sim = b.sim AND s.attempt = b.attempt AND s.d < b.r),
+{_hull('best_points', 'best_hull')},
+best_cov AS (SELECT sim, attempt, m, {_cov('')} FROM best_points GROUP BY ALL),
+{_eigen('best_cov', 'sim, attempt, m', 'best_plane')},
 centre AS (SELECT sim, attempt, m, avg(x) AS cx, avg(y) AS cy, max(z) AS top, max(z) - min(z) AS relief, count(*) AS n FROM best_points GROUP BY ALL),
 disc AS MATERIALIZED (SELECT c.*, (SELECT max(sqrt((p.x - c.cx) ** 2 + (p.y - c.cy) ** 2)) FROM best_points p WHERE p.sim = c.sim AND p.attempt = c.attempt) AS r FROM centre c),
 spheres AS (SELECT sim, attempt, cx, cy, top, r, top + CAST(0.2 AS DOUBLE) * k AS h FROM disc, (SELECT unnest(range(51)) AS k)),
-blocked AS (SELECT DISTINCT sim, attempt FROM spheres, cloud WHERE x BETWEEN cx - r AND cx + r AND y BETWEEN cy - r AND cy + r AND z > top + 0.01 AND (x - cx) ** 2 + (y - cy) ** 2 + (z - h) ** 2 < r * r),
-rough AS (SELECT sim, attempt, sqrt(avg((nx * x + ny * y + nz * z - (nx * mx + ny * my + nz * mz)) ** 2)) AS roughness FROM best_points JOIN plane USING (sim, attempt, m) GROUP BY ALL),
-zones AS MATERIALIZED (SELECT sim, attempt, seed_pid, sx, sy, sz, m, CAST({RADIUS} + {INCREMENT} * m AS DOUBLE) AS patch_radius, disc.n / area AS data_confidence, relief, roughness,
-  disc.n / area + CAST({RADIUS} + {INCREMENT} * m AS DOUBLE) - relief - roughness AS score FROM disc JOIN rough USING (sim, attempt) JOIN shape USING (sim, attempt, m) JOIN inside USING (sim, attempt) ANTI JOIN blocked USING (sim, attempt)),
-zone_points AS (SELECT patch.* FROM patch JOIN zones USING (sim, attempt, m)),
+blocked AS MATERIALIZED (SELECT DISTINCT sim, attempt FROM spheres JOIN cloud ON z > top + 0.01 AND x BETWEEN cx - r AND cx + r AND y BETWEEN cy - r AND cy + r AND (x - cx) ** 2 + (y - cy) ** 2 + (z - h) ** 2 < r * r),
+rough AS (SELECT sim, attempt, slope_deg, sqrt(avg((nx * x + ny * y + nz * z - (nx * mx + ny * my + nz * mz)) ** 2)) AS roughness FROM best_points JOIN best_plane USING (sim, attempt, m) GROUP BY ALL),
+zones AS MATERIALIZED (SELECT sim, attempt, seed_pid, sx, sy, sz, m, CAST({RADIUS} + {INCREMENT} * m AS DOUBLE) AS patch_radius, disc.n / area AS data_confidence, relief, roughness, slope_deg,
+  disc.n / area + CAST({RADIUS} + {INCREMENT} * m AS DOUBLE) - relief - roughness AS score FROM disc JOIN rough USING (sim, attempt) JOIN best_hull USING (sim, attempt, m) JOIN inside USING (sim, attempt) ANTI JOIN blocked USING (sim, attempt)),
+zone_points AS (SELECT best_points.* FROM best_points JOIN zones USING (sim, attempt)),
 grid AS (SELECT *, CAST(floor(x / 1.0) AS BIGINT) AS gx, CAST(floor(y / 1.0) AS BIGINT) AS gy FROM cloud),
 wide AS (SELECT *, CAST(floor(x / 2.5) AS BIGINT) AS gx, CAST(floor(y / 2.5) AS BIGINT) AS gy FROM cloud),
 cell_n AS (SELECT gx + dx AS gx, gy + dy AS gy, pid, x, y, z FROM wide, (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)),
@@ -124,7 +151,9 @@ sor_limit AS (SELECT avg(mean_distance) + 1.0 * stddev_samp(mean_distance) AS li
 whole_cov AS (SELECT 1 AS g, {_cov('')} FROM cloud),
 {_eigen('whole_cov', 'g', 'whole_plane')},
 cell_cov AS (SELECT gx, gy, {_cov('')} FROM grid GROUP BY ALL),
-{_eigen('cell_cov', 'gx, gy', 'cell_normal')}
+{_eigen('cell_cov', 'gx, gy', 'cell_normal')},
+half_cov AS (SELECT gx, gy, {_cov('')} FROM (SELECT CAST(floor((x - 1) / 0.5) AS BIGINT) + 1 + dx AS gx, CAST(floor((y - 1) / 0.5) AS BIGINT) + 1 + dy AS gy, x, y, z FROM cloud, (SELECT unnest(range(2)) AS dx), (SELECT unnest(range(2)) AS dy)) GROUP BY ALL),
+{_eigen('half_cov', 'gx, gy', 'half_normal')}
 """
 
 
@@ -151,7 +180,7 @@ def _patches(spark, sf_dir) -> DataFrame:
 
 
 def _found(spark, sf_dir) -> DataFrame:
-    return growth.candidates(stored(_inside(spark, sf_dir), "seeds"), _cloud(spark, sf_dir), RADIUS, K, LIMIT, INCREMENT, RUNGS)
+    return growth.candidates(stored(_inside(spark, sf_dir), "seeds"), _cloud(spark, sf_dir), RADIUS, K, LIMIT, INCREMENT)
 
 
 def _zones(df: DataFrame, *more: str) -> DataFrame:
@@ -308,7 +337,7 @@ def data_confidence_3d(spark, d):
 
 
 def _discs(spark, d) -> DataFrame:
-    ladder = growth.growth_ladder(stored(_inside(spark, d), "seeds"), _cloud(spark, d), RADIUS, K, LIMIT, INCREMENT, RUNGS)
+    ladder = growth.growth_ladder(stored(_inside(spark, d), "seeds"), _cloud(spark, d), RADIUS, K, LIMIT, INCREMENT)
     return stored(growth.best_rungs(ladder), "best")
 
 
@@ -322,9 +351,9 @@ def patch_collision_free(spark, d):
     return patch.clear(_discs(spark, d), _cloud(spark, d), ["attempt"]).select("attempt")
 
 
-@query("SELECT attempt, CAST(m AS INTEGER) AS rung, n, n >= 3 AND n_out = 0 AS flat FROM rung JOIN stops USING (sim, attempt) WHERE sim = 0 AND m <= stop")
+@query("SELECT attempt, CAST(m AS INTEGER) AS rung, n, flat FROM climb JOIN stops USING (sim, attempt) WHERE sim = 0 AND m <= stop")
 def growth_ladder(spark, d):
-    return growth.growth_ladder(stored(_inside(spark, d), "seeds"), _cloud(spark, d), RADIUS, K, LIMIT, INCREMENT, RUNGS).select("attempt", "rung", "n", "flat")
+    return growth.growth_ladder(stored(_inside(spark, d), "seeds"), _cloud(spark, d), RADIUS, K, LIMIT, INCREMENT).select("attempt", "rung", "n", "flat")
 
 
 @query(f"SELECT attempt, CAST(m AS INTEGER) AS rung, round(CAST({RADIUS} + {INCREMENT} * m AS DOUBLE), 4) AS radius FROM best WHERE sim = 0")
@@ -369,14 +398,14 @@ def hazard_density(spark, d):
     return patch.hazard(_patches(spark, d), "DATA_CONFIDENCE", by=("attempt",)).select("attempt", "metric", r("data_confidence", 3), "relief", "roughness", r("score", 3))
 
 
-@query(f"SELECT {ZONE} FROM zones WHERE sim = 0 AND patch_radius >= 1.0 AND data_confidence >= 30 AND relief <= 0.25 AND roughness <= 0.02")
+@query(f"SELECT {ZONE} FROM zones WHERE sim = 0 AND patch_radius >= 2.5 AND slope_deg <= 25 AND data_confidence >= 30 AND relief <= 2.0 AND roughness <= 0.1")
 def hazard_threshold_filter(spark, d):
-    return _zones(patch.within_limits(_found(spark, d), min_radius=1.0))
+    return _zones(patch.within_limits(_found(spark, d), max_relief=2.0, max_roughness=0.1))
 
 
 @query("SELECT attempt, pid FROM zone_points WHERE sim = 0")
 def detected_inliers_union_all(spark, d):
-    return growth.detected_points(_found(spark, d), _cloud(spark, d), RADIUS, INCREMENT, RUNGS).select("attempt", "pid")
+    return growth.detected_points(_found(spark, d), _cloud(spark, d), RADIUS, INCREMENT).select("attempt", "pid")
 
 
 @query("SELECT pid FROM cloud")
@@ -387,7 +416,7 @@ def outliers_full_cloud(spark, d):
 @query("SELECT pid FROM cloud ANTI JOIN (SELECT pid FROM zone_points WHERE sim = 0) USING (pid)")
 def unassigned_points(spark, d):
     cloud = _cloud(spark, d)
-    return ops.unassigned(cloud, growth.detected_points(_found(spark, d), cloud, RADIUS, INCREMENT, RUNGS)).select("pid")
+    return ops.unassigned(cloud, growth.detected_points(_found(spark, d), cloud, RADIUS, INCREMENT)).select("pid")
 
 
 RANKED = "(SELECT *, CAST(row_number() OVER (ORDER BY score DESC, attempt) AS INTEGER) AS rank FROM zones WHERE sim = 0)"
@@ -414,7 +443,7 @@ def landing_zone_pipeline(spark, d):
     from levelground.plans.config import Pipeline, Step
     from levelground.plans.pipeline import run
 
-    steps = [Step("SphericalNeighbourhood", True, {"k": K, "angleThreshold": LIMIT, "radius": RADIUS, "maxAttempts": ATTEMPTS, "maxRungs": RUNGS}), Step("anything", False), Step("HazarMetrices", True, {"hazard": "RELIEF"})]
+    steps = [Step("SphericalNeighbourhood", True, {"k": K, "angleThreshold": LIMIT, "radius": RADIUS, "maxAttempts": ATTEMPTS}), Step("anything", False), Step("HazarMetrices", True, {"hazard": "RELIEF"})]
     return _zones(run(spark, Pipeline(d, steps=steps), _cloud(spark, d)).candidates, "rank", "label")
 
 
@@ -422,8 +451,7 @@ def landing_zone_pipeline(spark, d):
 def monte_carlo_summary(spark, d):
     cloud = _cloud(spark, d)
     sims = spark.range(3).select(F.col("id").alias("sim"), (F.col("id") + 13).alias("salt"))
-    each = sims.select("sim").crossJoin(cloud)  # three simulations
-    zones = algorithms.simulated_zones(each, sims, ATTEMPTS, cloud.count(), RADIUS, K, LIMIT, INCREMENT, RUNGS)
+    zones = algorithms.simulated_zones(cloud, sims, ATTEMPTS, RADIUS, K, LIMIT, INCREMENT)
     return zones.groupBy("sim").agg(F.count("*").alias("n_zones"), F.round(F.max("score"), 4).alias("best_score"))
 
 
@@ -437,6 +465,10 @@ def cell_zones(spark, d):
     return algorithms.cell_zones(_cloud(spark, d)).select("gx", "gy", "n", r("density", 3), r("relief"), r("slope_deg", 3))
 
 
-@query(None)
+@query("""SELECT gx, gy, min(other) AS cluster FROM (WITH RECURSIVE half AS (SELECT CAST(floor((x - 1) / 0.5) AS BIGINT) + 1 + dx AS gx, CAST(floor((y - 1) / 0.5) AS BIGINT) + 1 + dy AS gy, x, y, z FROM cloud, (SELECT unnest(range(2)) AS dx), (SELECT unnest(range(2)) AS dy)),
+  kept AS MATERIALIZED (SELECT gx, gy, gx * 2147483648 + gy AS id, z FROM (SELECT gx, gy, avg(z) AS z, count(*) AS n, max(z) - min(z) AS relief FROM half GROUP BY ALL) JOIN half_normal USING (gx, gy) WHERE slope_deg <= 25 AND n >= 30 AND relief <= 0.25 AND lam <= 0.0004),
+  linked AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM kept a, kept b WHERE (a.gx - b.gx) ** 2 + (a.gy - b.gy) ** 2 <= 4 AND abs(a.z - b.z) <= 0.1),
+  reached AS (SELECT id, id AS other FROM kept UNION SELECT reached.id, b FROM reached JOIN linked ON other = a)
+  SELECT gx, gy, other FROM kept JOIN reached USING (id)) GROUP BY ALL""")
 def overlapping_cells(spark, d):
-    return algorithms.clustered_cells(algorithms.cell_zones(_cloud(spark, d), overlap=2))
+    return algorithms.clustered_cells(algorithms.cell_zones(_cloud(spark, d), overlap=2), cell_size=1.0, overlap=2, tolerance=1.0, alpha=0.1).select("gx", "gy", "cluster")

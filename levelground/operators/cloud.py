@@ -43,16 +43,23 @@ def voxel_downsample(cloud: DataFrame, leaf: float, by: tuple[str, ...] = ()) ->
     return cloud.groupBy(*by, *cells).agg(*[F.avg(c).alias(c) for c in ("x", "y", "z", "intensity")], F.count("*").alias("n_points"))
 
 
-def with_index(cloud: DataFrame, parts: int = 256) -> DataFrame:
-    """Adds index, 0 to n - 1 in the order of pid, without one task that sorts all: pids fall into ranges of equal width,
-    are numbered within, and each range adds the number of points before it.  pids must be distinct."""
-    ends = cloud.agg(F.min("pid").alias("low"), F.max("pid").alias("high"))
-    ranged = cloud.crossJoin(F.broadcast(ends))  # one row
+def with_index(cloud: DataFrame, parts: int = 256, on: tuple[str, ...] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """Adds index, 0 to n - 1 in the order of pid (within each of `on`), without one task that sorts all: pids fall into
+    ranges of equal width, are numbered within, and each range adds the number of points before it.  pids must be distinct.
+    wanted: the only indexes (on, index) that are looked for; ranges without one are counted, but not numbered."""
+    ends = cloud.groupBy(*on).agg(F.min("pid").alias("low"), F.max("pid").alias("high"))
+    ranged = cloud.join(F.broadcast(ends), list(on)) if on else cloud.crossJoin(F.broadcast(ends))  # one row for each cloud
     ranged = ranged.withColumn("_part", F.floor((F.col("pid") - F.col("low")) * F.lit(float(parts)) / (F.col("high") - F.col("low") + 1))).drop("low", "high")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")  # `parts` rows
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("pid")) - 1
-    return ranged.withColumn("_own", own).join(F.broadcast(sizes), "_part").withColumn("index", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    before = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*on, "_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))  # `parts` rows for each cloud
+    if wanted is not None:
+        asked = wanted.withColumnsRenamed({c: f"_{c}" for c in on})
+        holds = [F.col("index") >= F.col("_before"), F.col("index") < F.col("_before") + F.col("count"), *[F.col(c) == F.col(f"_{c}") for c in on]]
+        sizes = sizes.join(F.broadcast(asked) if not on else asked, holds, "left_semi")
+    own = F.row_number().over(Window.partitionBy(*on, "_part").orderBy("pid")) - 1
+    numbered = ranged.join(F.broadcast(sizes.drop("count")), [*on, "_part"]).withColumn("_own", own)
+    numbered = numbered.withColumn("index", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    return numbered if wanted is None else numbered.join(wanted, [*on, "index"], "left_semi")
 
 
 #: Of the seed sequence: index = (attempt * STEP + salt) % n.
@@ -65,7 +72,7 @@ def sample_seeds(cloud: DataFrame, max_attempts: int, salt: int = 13) -> DataFra
     n = cloud.agg(F.count("*").alias("n"))
     attempts = spark.range(max_attempts).select(F.col("id").alias("attempt")).crossJoin(F.broadcast(n)).where("n > 0")  # one row
     attempts = attempts.select("attempt", ((F.col("attempt") * STEP + salt) % F.col("n")).alias("index"))
-    return with_index(cloud).join(attempts, "index").select("attempt", F.col("pid").alias("seed_pid"), *[F.col(c).alias(f"seed_{c}") for c in "xyz"])
+    return with_index(cloud, wanted=attempts.select("index").distinct()).join(attempts, "index").select("attempt", F.col("pid").alias("seed_pid"), *[F.col(c).alias(f"seed_{c}") for c in "xyz"])
 
 
 def every_point(cloud: DataFrame) -> DataFrame:
@@ -161,8 +168,14 @@ def circles(ranked: DataFrame, vertices: int = 10_000) -> DataFrame:
 
 def terrain(spark: SparkSession, side: float, points: int, salt: int = 0) -> DataFrame:
     """A made-up square of gentle slope, a ramp and overhead obstacles, the same for the same salt."""
-    i = F.col("id")
-    noise = lambda k: F.pmod(F.xxhash64(i, F.lit(salt), F.lit(k)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    return terrains(spark.range(1).select(F.lit("terrain").alias("cloud_id"), F.lit(salt).alias("salt")), side, points)
+
+
+def terrains(of: DataFrame, side: float, points: int) -> DataFrame:
+    """A made-up terrain for each row of `of`, whose salt (int or long) makes it; its other columns come along."""
+    i = F.col("pid")
+    noise = lambda k: F.pmod(F.xxhash64(i, F.col("salt").cast("int"), F.lit(k)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     x, y = noise(1) * side, noise(2) * side
     z = 0.02 * noise(3) + F.when(x > side / 2, 0.6 * (x - side / 2)).otherwise(0.05 * x) + F.when((i % 97 == 0) & (y > 0.75 * side), 2.0).otherwise(0.0)
-    return spark.range(points).select(F.lit("terrain").alias("cloud_id"), i.alias("pid"), x.alias("x"), y.alias("y"), z.alias("z"), (i * 31 % 5).cast("double").alias("intensity"))
+    every = of.sparkSession.range(points).withColumnRenamed("id", "pid").crossJoin(F.broadcast(of))  # a row for each terrain
+    return every.select(*[c for c in of.columns if c != "salt"], "pid", x.alias("x"), y.alias("y"), z.alias("z"), (i * 31 % 5).cast("double").alias("intensity"))

@@ -131,7 +131,7 @@ def growth_ladder(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, lim
     local = stored(same_point(cloud.select(*on, "pid", "x", "y", "z"), local, on).withColumns({"slope_deg": F.coalesce("slope_deg", F.lit(float("nan"))), "reach": F.coalesce("reach", F.lit(float("inf")))}), "slopes")
     b = bounds(cloud, on).join(local.groupBy(*on).count(), list(on)) if on else bounds(cloud).crossJoin(F.broadcast(local.groupBy().count()))  # one row
     density = b.agg(F.max(F.col("count") / F.greatest((F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")), F.lit(1e-9)))).first()[0] or 1.0
-    wide = local.where("reach < double('infinity')").agg(F.avg("reach")).first()[0] or radius
+    wide = local.where("reach < double('infinity')").agg(F.percentile_approx("reach", 0.999)).first()[0] or radius
     kinds = ", ".join(f"{c} {seeds.schema[c].dataType.simpleString()}" for c in keys)
     open_ = seeds.select(*dict.fromkeys((*keys, *on)), "seed_x", "seed_y", "seed_z")
     done, start, before = None, 0, 0.0
@@ -143,7 +143,7 @@ def growth_ladder(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, lim
             if r > max(2 * before, radius + 2.5 * increment) or math.pi * (r * r - before * before) * density > PASS_POINTS:
                 break
             rungs.append((m, r))
-        asking, band, whole = open_, 4 * wide, None
+        asking, band, whole = open_, 2 * wide, None
         while True:
             near = radius_join(asking.drop("state"), local, rungs[-1][1], on)
             far = F.sqrt("d2")

@@ -7,16 +7,20 @@ overlapping, that keep to the hazard limits, clustered with their neighbours.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from levelground.functions.geometry import covariance, slope, with_normal
-from levelground.operators.cloud import STEP, normals, off_edge, terrain
-from levelground.operators.growth import candidates, ranked
+from levelground.operators.cloud import STEP, normals, off_edge, terrains, valid, with_index
+from levelground.operators.growth import candidates
 from levelground.operators.patch import within_limits
-from levelground.operators.spatial import in_neighbour_cells, with_cells
+from levelground.operators.spatial import radius_join, same_point
 from levelground.operators.storage import stored
 from levelground.plans.config import Benchmark
+from levelground.sources.pcd import load_cloud
 
 
 def clusters(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
@@ -42,71 +46,114 @@ def curvature() -> Column:
     return F.when(total > 0, F.greatest(F.col("lam"), F.lit(0.0)) / total)
 
 
-def region_growing(cloud: DataFrame, curvature_threshold: float = 0.05, min_cluster_size: int = 50, cluster_tolerance: float = 0.25, k: int = 10) -> DataFrame:
-    """pid, cluster and size of smooth regions: points of low curvature, linked within the tolerance."""
-    from levelground.operators.spatial import radius_join
-
-    smooth = stored(cloud.join(normals(cloud, k).where(curvature() <= curvature_threshold).select("pid"), "pid", "left_semi"), "smooth")
-    seeds = smooth.select(F.col("pid").alias("a"), *[F.col(c).alias(f"seed_{c}") for c in "xyz"])
-    edges = radius_join(seeds, smooth.select(F.col("pid").alias("b"), "x", "y", "z"), cluster_tolerance).where("a < b").select("a", "b")
-    found = clusters(edges, smooth.select(F.col("pid").alias("id")))
+def region_growing(cloud: DataFrame, curvature_threshold: float = 0.05, min_cluster_size: int = 50, cluster_tolerance: float = 0.25, k: int = 10, alpha: float = 0.1, on: tuple[str, ...] = ()) -> DataFrame:
+    """on, pid, cluster and size of smooth regions: points of low curvature, linked within the tolerance if their heights
+    differ by at most alpha."""
+    flat = normals(cloud, k, on).where(curvature() <= curvature_threshold).select(*on, "pid")
+    smooth = same_point(cloud, flat, on, "left_semi").select(*on, "pid", "x", "y", "z").withColumn("id", F.monotonically_increasing_id() if on else F.col("pid"))
+    smooth = stored(smooth, "smooth")
+    seeds = smooth.select(*on, F.col("id").alias("a"), *[F.col(c).alias(f"seed_{c}") for c in "xyz"])
+    edges = radius_join(seeds, smooth.select(*on, F.col("id").alias("b"), "x", "y", "z"), cluster_tolerance, on)
+    found = clusters(edges.where((F.col("a") < F.col("b")) & (F.abs(F.col("z") - F.col("seed_z")) <= alpha)).select("a", "b"), smooth.select("id"))
     sizes = found.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= min_cluster_size)
-    return found.join(sizes, "cluster").select(F.col("id").alias("pid"), "cluster", "size")
+    return smooth.join(found.join(sizes, "cluster"), "id").select(*on, "pid", "cluster", "size")
 
 
-def cell_zones(cloud: DataFrame, cell_size: float = 1.0, overlap: int = 1, max_slope: float = 25.0, min_density: float = 30.0, max_relief: float = 0.25, max_roughness: float = 0.02) -> DataFrame:
-    """Square cells that keep to the hazard limits: gx, gy, n, density, relief, roughness, slope_deg.  overlap 2 puts a
-    cell at every half side, so that each point is in four."""
-    pitch = cell_size / overlap
-    i = [F.explode(F.sequence(F.floor((F.col(c) - cell_size) / pitch) + 1, F.floor(F.col(c) / pitch))) for c in "xy"]
-    cells = cloud.withColumn("gx", i[0]).withColumn("gy", i[1]).groupBy("gx", "gy").agg(F.count("*").alias("n"), (F.max("z") - F.min("z")).alias("relief"), *covariance())
-    fit = with_normal(cells).withColumn("slope_deg", slope()).withColumn("density", F.col("n") / (cell_size * cell_size))
+def _kept(cells: DataFrame, area: float, max_slope: float, min_density: float, max_relief: float, max_roughness: float) -> DataFrame:
+    """Of groups with covariances, n and relief, those that keep to the limits."""
+    fit = with_normal(cells).withColumn("slope_deg", slope()).withColumn("density", F.col("n") / F.lit(area))
     fit = fit.withColumn("roughness", F.sqrt(F.greatest(F.col("lam"), F.lit(0.0))))
     ok = (F.col("slope_deg") <= max_slope) & (F.col("density") >= min_density) & (F.col("relief") <= max_relief) & (F.col("roughness") <= max_roughness)
-    return fit.where(ok).select("gx", "gy", "n", "density", "relief", "roughness", "slope_deg")
+    return fit.where(ok).withColumnRenamed("mz", "z")
+
+
+def cell_zones(cloud: DataFrame, cell_size: float = 1.0, overlap: int = 1, max_slope: float = 25.0, min_density: float = 30.0, max_relief: float = 0.25, max_roughness: float = 0.02, on: tuple[str, ...] = ()) -> DataFrame:
+    """Square cells that keep to the hazard limits: on, gx, gy, n, density, relief, roughness, slope_deg and mean height z.
+    overlap 2 puts a cell at every half side, so that each point is in four."""
+    pitch = cell_size / overlap
+    i = [F.explode(F.sequence(F.floor((F.col(c) - cell_size) / pitch) + 1, F.floor(F.col(c) / pitch))) for c in "xy"]
+    cells = cloud.withColumn("gx", i[0]).withColumn("gy", i[1]).groupBy(*on, "gx", "gy").agg(F.count("*").alias("n"), (F.max("z") - F.min("z")).alias("relief"), *covariance())
+    return _kept(cells, cell_size * cell_size, max_slope, min_density, max_relief, max_roughness).select(*on, "gx", "gy", "n", "density", "relief", "roughness", "slope_deg", "z")
 
 
-def clustered_cells(zones: DataFrame) -> DataFrame:
-    """gx, gy and cluster: cells that touch, corners included."""
-    a = zones.select((F.col("gx") * F.lit(1 << 31) + F.col("gy")).alias("a"), (F.col("gx") + 0.5).alias("x"), (F.col("gy") + 0.5).alias("y"), "gx", "gy")
-    b = with_cells(a.select(F.col("a").alias("b"), "x", "y"), 1.0)
-    edges = in_neighbour_cells(a.select("a", "x", "y"), 1.0, "x", "y").join(b.select("b", "_cx", "_cy"), ["_cx", "_cy"]).where("a < b").select("a", "b")
-    return a.select(F.col("a").alias("id"), "gx", "gy").join(clusters(edges, a.select(F.col("a").alias("id"))), "id").select("gx", "gy", "cluster")
+def radius_zones(cloud: DataFrame, cell_size: float = 1.0, max_slope: float = 25.0, min_density: float = 30.0, max_relief: float = 0.25, max_roughness: float = 0.02, on: tuple[str, ...] = ()) -> DataFrame:
+    """As cell_zones, but of each occupied cell the points within half its side of the centroid, wherever they lie, are
+    weighed (density over the circle), so that a zone is not cut at its cell's border."""
+    cell = [F.floor(F.col(c) / cell_size).alias(f"g{c}") for c in "xy"]
+    seeds = cloud.groupBy(*on, *cell).agg(*[F.avg(c).alias(f"seed_{c}") for c in "xyz"])
+    near = radius_join(seeds, cloud.select(*on, "x", "y", "z"), cell_size / 2, on)
+    groups = near.groupBy(*on, "gx", "gy").agg(F.count("*").alias("n"), (F.max("z") - F.min("z")).alias("relief"), *covariance())
+    return _kept(groups, math.pi * cell_size * cell_size / 4, max_slope, min_density, max_relief, max_roughness).select(*on, "gx", "gy", "n", "density", "relief", "roughness", "slope_deg", "z")
 
 
-def simulated_zones(cloud: DataFrame, simulations: DataFrame, max_attempts: int, n_points: int, radius: float, k: int, limit: float, increment: float, max_rungs: int) -> DataFrame:
-    """Zones of each simulation (sim, salt) over a cloud that has sim and dense pids: one plan for all, with sim as one
-    key more."""
-    seeds = simulations.crossJoin(F.broadcast(cloud.sparkSession.range(max_attempts).select(F.col("id").alias("attempt"))))  # max_attempts rows
-    seeds = seeds.select("sim", "attempt", ((F.col("attempt") * STEP + F.col("salt")) % n_points).alias("pid")).join(cloud, ["sim", "pid"])
+def clustered_cells(zones: DataFrame, cell_size: float = 1.0, overlap: int = 1, tolerance: float = 1.0, alpha: float = 0.1, on: tuple[str, ...] = ()) -> DataFrame:
+    """on, gx, gy, cluster: cells whose corners are at most the tolerance apart and whose mean heights differ by at most
+    alpha belong together."""
+    pitch = cell_size / overlap
+    a = stored(zones.select(*on, "gx", "gy", "z", (F.col("gx") * F.lit(1 << 31) + F.col("gy")).alias("own") if not on else F.monotonically_increasing_id().alias("own")), "cells")
+    at = [(F.col(f"g{c}") * pitch).alias(f"seed_{c}") for c in "xy"]
+    left = a.select(*on, F.col("own").alias("a"), F.col("z").alias("height"), *at, F.lit(0.0).alias("seed_z"))
+    right = a.select(*on, F.col("own").alias("b"), F.col("z").alias("level"), *[(F.col(f"g{c}") * pitch).alias(c) for c in "xy"], F.lit(0.0).alias("z"))
+    edges = radius_join(left, right, tolerance * (1 + 1e-9), on, inclusive=True).where((F.col("a") < F.col("b")) & (F.abs(F.col("height") - F.col("level")) <= alpha))
+    return a.join(clusters(edges.select("a", "b"), a.select(F.col("own").alias("id"))).withColumnRenamed("id", "own"), "own").select(*on, "gx", "gy", "cluster")
+
+
+def simulated_zones(cloud: DataFrame, simulations: DataFrame, max_attempts: int, radius: float, k: int, limit: float, increment: float, max_rungs: int | None = None) -> DataFrame:
+    """Zones of each simulation (sim, salt): one plan for all, with sim as one key more.  A cloud that has sim is one
+    terrain for each; another is the same for all, and not copied."""
+    on = ("sim",) if "sim" in cloud.columns else ()
+    attempts = simulations.crossJoin(F.broadcast(cloud.sparkSession.range(max_attempts).select(F.col("id").alias("attempt"))))  # max_attempts rows
+    sizes = cloud.groupBy(*on).agg(F.count("*").alias("n"))
+    attempts = attempts.join(F.broadcast(sizes), list(on)) if on else attempts.crossJoin(F.broadcast(sizes))  # one row, or one for each simulation
+    attempts = attempts.where("n > 0").select("sim", "attempt", ((F.col("attempt") * STEP + F.col("salt")) % F.col("n")).alias("index"))
+    seeds = attempts.join(with_index(cloud, on=on, wanted=attempts.select(*on, "index").distinct()), [*on, "index"])
     seeds = seeds.select("sim", "attempt", F.col("pid").alias("seed_pid"), *[F.col(c).alias(f"seed_{c}") for c in "xyz"])
-    inside = stored(off_edge(seeds, cloud, radius, ("sim",)), "seeds")
-    return candidates(inside, cloud, radius, k, limit, increment, max_rungs, keys=("sim", "attempt"), on=("sim",))
+    inside = stored(off_edge(seeds, cloud, radius, on), "seeds")
+    return candidates(inside, cloud, radius, k, limit, increment, max_rungs, keys=("sim", "attempt"), on=on)
 
 
-def monte_carlo(spark: SparkSession, config: Benchmark, density: float = 37.5, radius: float = 0.5, max_rungs: int = 6) -> DataFrame:
-    """sim, algorithm, n_zones and best_score of each configured algorithm over each made-up terrain."""
-    n = int(config.terrain_size**2 * density)
+def monte_carlo(spark: SparkSession, config: Benchmark, density: float = 37.5, radius: float = 0.5, max_rungs: int | None = None) -> DataFrame:
+    """sim, algorithm, n_zones and best_score of each configured algorithm over each simulation; no zones are 0, and a
+    null score.
+
+    Each simulation has a made-up terrain of its own; with a pcd_file_path all have that cloud, and other seeds.  Growing
+    circles keep to the hazard limits, and the first max_landing_zones of them by attempt count, not the best; of the
+    other algorithms clusters count, the best score being the highest density (region growing: the largest size)."""
     simulations = spark.range(config.num_simulations).select(F.col("id").alias("sim"), (F.col("id") + 13).alias("salt"))
-    one = terrain(spark, config.terrain_size, n)
-    cloud = stored(simulations.select("sim").crossJoin(F.broadcast(one)), "terrains")  # n rows, set by the configuration
+    on: tuple[str, ...] = ()
+    if config.pcd_file_path:
+        cloud = stored(valid(load_cloud(spark, config.pcd_file_path)), "terrain")
+    else:
+        on = ("sim",)
+        cloud = stored(terrains(simulations, config.terrain_size, int(config.terrain_size**2 * density)), "terrains")
+    limits = {"max_slope": config.max_slope, "min_density": config.min_density, "max_relief": config.max_relief, "max_roughness": config.max_roughness}
     out = None
     for algorithm in config.algorithms or [{"name": "kdtree_InflatingCircles"}]:
         name, p = algorithm["name"], algorithm.get("parameters") or {x: y for x, y in algorithm.items() if x != "name"}
+        size, alpha = float(p.get("cell_size", 1.0)), float(p.get("alpha", 0.1))
         if name == "kdtree_InflatingCircles":
-            zones = simulated_zones(cloud, simulations, config.max_attempts, n, radius, int(p.get("k", 30)), config.max_slope, float(p.get("radiusIncrement", 0.1)), max_rungs)
-            best = ranked(zones, ("sim",)).where(F.col("rank") <= config.max_landing_zones).groupBy("sim").agg(F.count("*").alias("n_zones"), F.max("score").alias("best_score"))
+            zones = simulated_zones(cloud, simulations, config.max_attempts, radius, int(p.get("k", 30)), config.max_slope, float(p.get("radiusIncrement", 0.1)), max_rungs)
+            kept = within_limits(zones, config.min_radius, **limits)
+            first = kept.withColumn("_n", F.row_number().over(Window.partitionBy("sim").orderBy("attempt"))).where(F.col("_n") <= max(1, config.max_landing_zones))
+            best = first.groupBy("sim").agg(F.count("*").alias("n_zones"), F.max("score").alias("best_score"))
         elif name in ("seq_overlap", "sequentialApproach", "sequentialApproachKdtree"):
-            cells = cell_zones(one, float(p.get("cell_size", 1.0)), 2 if name == "seq_overlap" else 1, config.max_slope, config.min_density, config.max_relief, config.max_roughness)
-            best = simulations.select("sim").crossJoin(F.broadcast(cells.agg(F.count("*").alias("n_zones"), F.max("density").alias("best_score"))))  # one row
+            overlap = 2 if name == "seq_overlap" else 1
+            cells = radius_zones(cloud, size, on=on, **limits) if name == "sequentialApproachKdtree" else cell_zones(cloud, size, overlap, on=on, **limits)
+            cells = stored(cells, "zones")
+            grouped = clustered_cells(cells, size, overlap, float(p.get("cluster_tolerance", 1.0)), alpha, on)
+            best = _each(simulations, cells.join(grouped, [*on, "gx", "gy"]).groupBy(*on).agg(F.countDistinct("cluster").alias("n_zones"), F.max("density").alias("best_score")), on)
         elif name == "Region_Growing_Segmentation":
-            regions = region_growing(one, float(p.get("curvature_threshold", 0.05)), int(p.get("min_cluster_size", 50)), float(p.get("cluster_tolerance", 0.25)))
-            best = simulations.select("sim").crossJoin(F.broadcast(regions.agg(F.countDistinct("cluster").alias("n_zones"), F.max("size").cast("double").alias("best_score"))))  # one row
+            regions = region_growing(cloud, float(p.get("curvature_threshold", 0.05)), int(p.get("min_cluster_size", 50)), float(p.get("cluster_tolerance", 0.25)), alpha=alpha, on=on)
+            best = _each(simulations, regions.groupBy(*on).agg(F.countDistinct("cluster").alias("n_zones"), F.max("size").cast("double").alias("best_score")), on)
         else:
             raise ValueError(f"unknown algorithm {name!r}")
-        best = best.select("sim", F.lit(name).alias("algorithm"), "n_zones", "best_score")
+        best = simulations.join(best, "sim", "left").select("sim", F.lit(name).alias("algorithm"), F.coalesce("n_zones", F.lit(0)).alias("n_zones"), "best_score")
         out = best if out is None else out.unionByName(best)
     return out
 
 
-__all__ = ["cell_zones", "clustered_cells", "clusters", "monte_carlo", "region_growing", "simulated_zones", "within_limits"]
+def _each(simulations: DataFrame, best: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    return best if on else simulations.select("sim").crossJoin(F.broadcast(best))  # one row
+
+
+__all__ = ["cell_zones", "clustered_cells", "clusters", "monte_carlo", "radius_zones", "region_growing", "simulated_zones"]

@@ -37,7 +37,7 @@ def pipeline(source: str | dict) -> Pipeline:
         raw = next(iter(raw.values()))
     raw = raw.get("ros__parameters", raw)
     steps = [Step(s["step"], bool(s.get("enabled", True)), dict(s.get("parameters") or {})) for s in raw.get("pipeline") or []]
-    return Pipeline(raw["pcd_file_path"], bool(raw.get("voxel_downsample_pointcloud", False)), float(raw.get("voxel_size", 0.1)), bool(raw.get("visualize", False)), bool(raw.get("final_visualize", False)), steps)
+    return Pipeline(raw["pcd_file_path"], bool(raw.get("voxel_downsample_pointcloud", False)), float(raw.get("voxel_size", 0.1)), bool(raw.get("visualize", False)), bool(raw.get("final_visualize", raw.get("final_result_visualization", False))), steps)
 
 
 @dataclass
@@ -57,9 +57,15 @@ class Benchmark:
     pcd_file_path: str | None = None
 
 
+#: Keys of benchmark files, without regard to case, underscores and a last `_threshold`, that have another name here.
+_ALIAS = {"minpointdensity": "min_density"}
+#: Keys that say nothing to an engine without a viewer, or are read beside the others.
+_PASSED_OVER = {"enablevisualization", "usepcdfile"}
+
+
 def benchmark(source: str | dict) -> Benchmark:
-    """Keys are matched without regard to case and underscores, as files differ in both; unknown keys are left out.
-    Thresholds may stand in a nested mapping; each algorithm has a name and its own parameters."""
+    """Keys are matched without regard to case and underscores, as files differ in both, and with or without `_threshold`.
+    They may stand in nested mappings; a key that is not known raises.  Each algorithm has a name and its own parameters."""
     raw = source
     if isinstance(source, str):
         if "\n" in source:
@@ -67,17 +73,19 @@ def benchmark(source: str | dict) -> Benchmark:
         else:
             with open(source) as f:
                 raw = yaml.safe_load(f)
-    alias = {"minpointdensity": "min_density"}
-    known = {n.replace("_", ""): n for n in Benchmark.__dataclass_fields__} | alias
+    known = {n.replace("_", ""): n for n in Benchmark.__dataclass_fields__} | _ALIAS
     out: dict = {}
 
     def walk(level: dict) -> None:
         for key, value in level.items():
-            name = known.get(str(key).lower().replace("_", ""))
+            plain = str(key).lower().replace("_", "")
+            name = known.get(plain) or known.get(plain.removesuffix("threshold"))
             if name:
                 out[name] = value
             elif isinstance(value, dict):
                 walk(value)
+            elif plain not in _PASSED_OVER:
+                raise ValueError(f"unknown key {key!r}")
 
     walk(raw)
     if not raw.get("use_pcd_file", True):

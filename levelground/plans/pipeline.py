@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from levelground.operators import cloud as ops
 from levelground.operators.growth import detect, ranked
 from levelground.operators.patch import hazard
+from levelground.operators.storage import stored
 from levelground.plans.config import Pipeline
 from levelground.sources.pcd import load_cloud
 
@@ -63,7 +64,10 @@ def run(spark: SparkSession, config: Pipeline, cloud: DataFrame | None = None, l
 
     legacy_sor_noop: outlier removal changes nothing downstream, as where its result is only looked at."""
     raw = ops.valid(load_cloud(spark, config.pcd_file_path if cloud is None else cloud))
-    start = ops.voxel_downsample(raw, config.voxel_size).drop("vx", "vy", "vz", "n_points").withColumn("pid", F.monotonically_increasing_id()) if config.voxel_downsample else raw
+    start = raw
+    if config.voxel_downsample:  # a point's number is its cube's, written once so that all steps see the same
+        cubes = ops.voxel_downsample(raw, config.voxel_size, ops.cloud_keys(raw)).drop("n_points")
+        start = stored(cubes.withColumn("pid", F.monotonically_increasing_id()).drop("vx", "vy", "vz"), "voxels")
     result = Result(start, raw, start)
     for step in config.steps:
         if not step.enabled:

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from levelground.operators import cloud as ops
 from levelground.operators.cloud import terrain
 from levelground.plans import algorithms, config, pipeline
 from levelground.sources import pcd
@@ -62,4 +63,56 @@ def test_benchmark_config(spark):
     b = config.benchmark({"num_simulations": 2, "terrain_size": 6.0, "hazards": {"min_point_density": 20, "max_relief": 1.0}, "max_landingZones": 2, "max_Attempts": 10, "algorithms": [{"name": "kdtree_InflatingCircles", "parameters": {"k": 10, "radiusIncrement": 0.5}}, {"name": "sequentialApproach", "parameters": {"cell_size": 1.0}}]})
     assert (b.num_simulations, b.min_density, b.max_relief, b.max_landing_zones, b.max_attempts) == (2, 20, 1.0, 2, 10)
     rows = algorithms.monte_carlo(spark, b, max_rungs=2).collect()
-    assert {r.algorithm for r in rows} == {"kdtree_InflatingCircles", "sequentialApproach"}
+    assert {(r.sim, r.algorithm) for r in rows} == {(i, a) for i in (0, 1) for a in ("kdtree_InflatingCircles", "sequentialApproach")}
+    assert all(r.n_zones == 0 and r.best_score is None for r in rows if r.algorithm == "kdtree_InflatingCircles")  # 1 m is under the least radius
+
+
+SHIPPED = """
+num_simulations: 1
+use_pcd_file: true
+pcd_file_path: "{path}"
+terrain_size: 20.0
+enable_visualization: true
+min_radius_threshold: 2.5
+max_slope_threshold: 25
+min_point_density_threshold: 30.0
+max_relief_threshold: 2.0
+max_roughness_threshold: 0.1
+max_landingZones: 10
+max_Attempts: 20
+algorithms:
+  - {{name: Region_Growing_Segmentation, curvature_threshold: 0.05, min_cluster_size: 50, alpha: 0.1, cluster_tolerance: 0.25}}
+  - {{name: seq_overlap, cell_size: 1.0, alpha: 0.1, cluster_tolerance: 1.0}}
+  - {{name: kdtree_InflatingCircles, k: 30, radiusIncrement: 0.1}}
+  - {{name: sequentialApproachKdtree, cell_size: 1, alpha: 0.1, cluster_tolerance: 1.0}}
+  - {{name: sequentialApproach, cell_size: 1, alpha: 0.1, cluster_tolerance: 1.0}}
+"""
+
+
+def test_thresholds_and_own_cloud(spark, tmp_path):
+    """A flat square: every algorithm finds one zone, or one for each attempt off the edge whose circle is wide enough."""
+    xy = np.stack(np.meshgrid(np.arange(0, 9, 0.15), np.arange(0, 9, 0.15)), axis=-1).reshape(-1, 2).astype(np.float32)
+    zero = np.zeros(len(xy), np.float32)
+    (tmp_path / "flat.pcd").write_bytes(pcd.encode({"x": xy[:, 0], "y": xy[:, 1], "z": zero, "intensity": zero}, "binary"))
+    b = config.benchmark(SHIPPED.format(path=tmp_path / "flat.pcd"))
+    assert (b.min_radius, b.max_slope, b.min_density, b.max_relief, b.max_roughness) == (2.5, 25, 30, 2, 0.1)
+    rows = {r.algorithm: r.n_zones for r in algorithms.monte_carlo(spark, b).collect()}
+    assert rows == {"Region_Growing_Segmentation": 1, "seq_overlap": 1, "kdtree_InflatingCircles": 10, "sequentialApproachKdtree": 1, "sequentialApproach": 1}
+    with pytest.raises(ValueError, match="max_tilt"):
+        config.benchmark({"max_tilt": 3})
+
+
+def test_two_clouds_stay_apart(spark, tmp_path):
+    """Normals and outliers of a folder of two files are those of each file alone; voxels get lasting numbers."""
+    rng = np.random.default_rng(5)
+    for name in ("a", "b"):
+        columns = {c: (rng.random(80) * (5 if name == "a" else 50)).astype(np.float32) for c in ("x", "y", "z", "intensity")}
+        (tmp_path / f"{name}.pcd").write_bytes(pcd.encode(columns, "binary"))
+    both = pcd.load_cloud(spark, str(tmp_path))
+    key = lambda df, c: {(r.cloud_id.rpartition("/")[2], r.pid): round(r[c], 6) for r in df.collect()}
+    for f, c in ((lambda d: ops.sor_classify(d, 4, 1.0).where("inlier"), "mean_distance"), (lambda d: ops.normals(d, 6), "slope_deg")):
+        alone = [key(f(pcd.load_cloud(spark, str(tmp_path / f"{name}.pcd"))), c) for name in ("a", "b")]
+        assert key(f(both), c) == alone[0] | alone[1]
+    voxels = pipeline.run(spark, config.Pipeline("", voxel_downsample=True, voxel_size=1.0, steps=[config.Step("SOR", True, {"nb_neighbors": 4, "std_ratio": 1.0})]), both)
+    start = voxels.downsampled.count()
+    assert start == voxels.downsampled.select("cloud_id", "pid").distinct().count() == voxels.inliers.count() + voxels.outliers.count()

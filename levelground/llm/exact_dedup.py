@@ -60,7 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = light.groupBy("rkey", "n").agg(F.count("*").alias("c"), F.min("tkey").alias("low"), F.max("tkey").alias("high")).where("c > 1")
     of_again = again.select(F.col("low").alias("tkey")).union(again.where("low <> high").select("high"))
     # between low and high there may be more texts with one recipe; then all texts of the recipe are taken
-    more = light.join(again.where("low <> high").select("rkey", "n"), ["rkey", "n"], "left_semi").select("tkey")
+    more = spread(light, "rkey", "n").join(spread(again.where("low <> high"), "rkey", "n").select("rkey", "n", "_spread"), ["rkey", "n", "_spread"], "left_semi").select("tkey")
     wanted = stored(of_again.union(more).distinct(), "again")
     there = semi(texts.withColumn("tkey", F.xxhash64("text")), wanted, ["tkey"])
     chunks = F.arrays_zip(recipe.alias("h"), _over_chunks(lambda first, n: F.array_join(F.slice("words", first, n), " ")).alias("chunk"))

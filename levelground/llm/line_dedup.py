@@ -3,7 +3,9 @@
 Lines are hashed, and a chunk ends after a line where the rolling hash over the last `window` line hashes is 0 modulo
 `every`: lines put in or taken out shift no boundary but the next ones.  Chunks of at least `min_lines` lines are
 grouped by hash; those whose hash recurs are compared byte by byte, and every occurrence of the same bytes but the
-first (by id, then place) goes, across documents and within one.
+first (by id, then place) goes, across documents and within one.  A passage rarely begins and ends at a boundary, so from
+each such occurrence lines go on going, to both sides, while they equal those beside the first one: into the chunks next
+to it, as a whole chunk that is equal was found itself.  Every line that goes has an equal one at an earlier place.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ def _chunked(texts: DataFrame, window: int, every: int, hash_bits: int) -> DataF
     return df.withColumn("chunks", F.transform("cuts", chunk))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 1, every: int = 3, min_lines: int = 2, hash_bits: int = 64) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 4, every: int = 3, min_lines: int = 2, hash_bits: int = 64) -> DataFrame:
     """One row per row of docs: id, n_lines, n_removed (lines), text (what is left, null where it was null).
 
     Lines end at a newline and are compared whole and unchanged; empty text is one empty line.  Chunks without any
@@ -70,9 +72,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = same.where("chars > 0")
 
     # First occurrence by id, then row, then place, each as a plain minimum so that hash aggregation does it.
-    first = same.groupBy("h", "number").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "rid", "at")).alias("first_at"))
+    first = same.groupBy("h", "number").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "rid", "at", "key")).alias("first_at"))
     gone = spread(same, "h", "number").join(spread(first, "h", "number"), ["h", "number", "_spread"]).where((F.col("rid") != F.col("first_at.rid")) | (F.col("at") != F.col("first_at.at")))
-    cuts = gone.groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("gone"), F.sum("n").alias("n_removed"))
+    gone = stored(gone.select("rid", "key", "at", "first", "n", F.col("first_at.key").alias("key0"), F.col("first_at.at").alias("at0")), "gone")
+    every_chunk = _chunked(keyed, window, every, hash_bits)
+    pieces = F.transform("chunks", lambda c: F.struct(c["at"].alias("at"), F.slice("lines", c["first"], c["n"]).alias("piece")))
+    beside = gone.select(F.explode(F.array(F.struct("key", (F.col("at") - 1).alias("at")), F.struct("key", (F.col("at") + 1).alias("at")), F.struct(F.col("key0").alias("key"), (F.col("at0") - 1).alias("at")), F.struct(F.col("key0").alias("key"), (F.col("at0") + 1).alias("at")))).alias("b")).select("b.*").distinct()
+    pieces = stored(every_chunk.select("key", F.inline(pieces)).dropDuplicates(["key", "at"]).join(beside, ["key", "at"], "left_semi"), "beside")
+
+    def beyond(step: int) -> DataFrame:
+        own = spread(gone.withColumn("_a", F.col("at") + step), "key", "_a").join(spread(pieces.select("key", F.col("at").alias("_a"), "piece"), "key", "_a"), ["key", "_a", "_spread"])
+        other = pieces.select(F.col("key").alias("key0"), F.col("at").alias("_a0"), F.col("piece").alias("piece0"))
+        both = spread(own.drop("_spread").withColumn("_a0", F.col("at0") + step), "key0", "_a0").join(spread(other, "key0", "_a0"), ["key0", "_a0", "_spread"])
+        x, y = (F.col("piece"), F.col("piece0")) if step > 0 else (F.reverse("piece"), F.reverse("piece0"))
+        unequal = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False)).cast("int")
+        more = F.when(unequal > 0, unequal - 1).otherwise(F.least(F.size("piece"), F.size("piece0")))
+        return both.withColumn("more", more).where("more > 0").select("rid", (F.col("first") + F.col("n") if step > 0 else F.col("first") - F.col("more")).alias("first"), F.col("more").alias("n"))
+
+    # stretches of one row may overlap: each line counts once
+    gone = gone.select("rid", "first", "n").unionByName(beyond(-1)).unionByName(beyond(1))
+    lines_gone = gone.select("rid", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("line")).distinct()
+    cuts = lines_gone.groupBy("rid").agg(F.collect_list("line").alias("gone"), F.count("*").alias("n_removed"))
     per_row = rows.select("rid", "key", "n_lines").join(cuts, "rid", "left")
     # Only rows that lose lines are rewritten; the others keep their text as it is.
     source = texts.withColumn("key", key)
@@ -80,7 +100,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_row, source = (df.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(by)) if repeated else F.lit(1)) for df, by in ((per_row, "rid"), (source, "key")))
     joined = source.join(per_row, ["key", "copy"])
     spans = F.col("gone")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.exists(spans, lambda s: (i + 1 >= s["first"]) & (i + 1 < s["first"] + s["n"])))
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.when(~F.array_contains(spans, i + 1), line)), lambda line: line.isNotNull())
     text = F.when(spans.isNull(), F.col("raw")).otherwise(F.array_join(kept, "\n"))
     return joined.select(F.col("id").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), text.alias(text_col))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,9 +41,14 @@ def looks_generated(value: str) -> bool:
 def scan(text: str) -> list[dict]:
     base = secret_spans(text)
     out = [{"start": s, "stop": e, "kind": k, "hash": hashlib.sha256(v.encode()).hexdigest()[:32], "looks": looks_generated(v)} for s, e, k, v in base]
+    ends, stop = [], 0  # of base spans, by start: the farthest end so far
+    for _, e, _, _ in base:
+        stop = max(stop, e)
+        ends.append(stop)
+    starts = [s for s, _, _, _ in base]
     for m in TOKEN.finditer(text):
-        v = m.group()
-        if all(re.search(p, v) for p in ("[a-z]", "[A-Z]", "[0-9]")) and entropy(v) >= 3.5 and not any(s < m.end() and m.start() < e for s, e, _, _ in base):
+        v, before = m.group(), bisect_left(starts, m.end())  # base spans that begin before the token ends
+        if all(re.search(p, v) for p in ("[a-z]", "[A-Z]", "[0-9]")) and entropy(v) >= 3.5 and not (before and ends[before - 1] > m.start()):
             out.append({"start": m.start(), "stop": m.end(), "kind": "token", "hash": hashlib.sha256(v.encode()).hexdigest()[:32], "looks": True})
     return out
 
@@ -76,7 +82,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     """One row per row of docs: id, n_assign, n_access, n_hex (base spans), base_sha256, spans (base ones and
     live-looking tokens), n_live, n_copied.
 
-    A value is widely copied if more than max_owners owners or more than max_repos repositories hold it.  Null or empty
+    A value is widely copied if more than max_owners owners hold it, or more than one in more than max_repos
+    repositories; what one owner alone holds is theirs however often they copy it.  Null or empty
     texts have no spans; a null owner or repository is one of its own; repeated rows give repeated rows and are one
     repository's; no rows give no rows; other columns are left out.
     """
@@ -87,7 +94,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     # Distinct pairs first: a value that a third of all rows hold is a few rows per task before anything moves.
     owners = at.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
     repos = at.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos"))
-    held = stored(owners.join(repos, "hash").select("hash", ((F.col("owners") > max_owners) | (F.col("repos") > max_repos)).alias("copied")), "secret-owners")
+    held = stored(owners.join(repos, "hash").select("hash", ((F.col("owners") > max_owners) | ((F.col("owners") > 1) & (F.col("repos") > max_repos))).alias("copied")), "secret-owners")
     counts = spread(at.select("rid", "hash"), "hash").join(spread(held, "hash"), ["hash", "_spread"]).groupBy("rid").agg(F.collect_list(F.struct("hash", "copied")).alias("counts"))
     out = arrow_rows(found.select("doc", "rid", "found").join(counts, "rid", "left").select("doc", "found", "counts"), _finish, "doc string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_copied long")
     return out.select(F.col("doc").cast(kind_of_id).alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied")

@@ -18,6 +18,8 @@ PRIVATE_KINDS = ("email", "ip", "card", "phone")
 SECRET_KINDS = ("assign", "access", "hex")
 
 _DIGIT = re.compile("[0-9]")
+_DIGITS = re.compile("[0-9]+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _NOT_DIGIT = re.compile("[^0-9]")
 #: What an e-mail's local part may consist of, to look for it backwards from an @ sign.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -50,10 +52,14 @@ def emails(text: str):
 
 
 def ips(text: str):
-    for m in IP.finditer(text):
-        parts = [p.lstrip("0") for p in m.group().split(".")]
-        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
-            yield m.span()
+    """As IP.finditer, in time that grows with the text alone: of runs of digits joined by dots, each next four are a match
+    (from inside a run a search would find the same end)."""
+    for m in _DOTTED.finditer(text):
+        runs = list(_DIGITS.finditer(text, *m.span()))
+        for i in range(0, len(runs) - 3, 4):
+            parts = [r.group().lstrip("0") for r in runs[i : i + 4]]
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
+                yield runs[i].start(), runs[i + 3].end()
 
 
 def cards(text: str):

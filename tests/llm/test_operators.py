@@ -404,6 +404,18 @@ def test_secrets(spark):
     assert all(got[10 + i].n_copied == 1 and got[10 + i].n_live == 0 for i in range(5))
 
 
+def test_near_relatives_among_licences(spark):
+    """Whole files and notices of licences that share most of their words; wrapped lines, and a holder in front."""
+    import textwrap
+
+    texts = {f"{name}/{i}/LICENSE": (name, "Copyright (c) 2020 Some Holder\n\n" + "\n".join(textwrap.wrap(t, 76))) for i, (name, t) in enumerate(licences.TEMPLATES) if len(t) > 400}
+    notices = {f"{name}/{i}.py": (name, f"# {t}\nx = 1") for i, (name, t) in enumerate(licences.TEMPLATES) if len(t) <= 400}
+    cases = texts | notices
+    docs = spark.createDataFrame([(p, t, p) for p, (_, t) in cases.items()], "doc_id string, text string, path string")
+    got = {r.doc_id: r.own_licence for r in licences.licence_scan(docs, F.col("path")).collect()}
+    assert got == {p: name for p, (name, _) in cases.items()}
+
+
 def test_licences(spark):
     docs = spark.createDataFrame(
         [

@@ -33,13 +33,21 @@ def _without(docs: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> DataFr
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without any letter, whose language is undetermined."""
+    """Drops documents without any letter, whose language is undetermined, and names the language of those that have none.
+
+    Null and empty texts go, with whatever id; repeated rows are judged one by one; an empty table stays empty.  All
+    columns pass through."""
     docs = _numbered(docs)
-    return _without(docs, stored(identify(docs, ROW).where("lang_pred = 'und'").select(ROW), "no-language"))
+    found = stored(identify(docs, ROW).select(ROW, "lang_pred"), "languages")
+    unnamed = stored(found.where("lang_pred <> 'und'").join(docs.where("lang IS NULL").select(ROW), ROW, "left_semi"), "unnamed")
+    few = unnamed.limit(1_000_001).count() <= 1_000_000
+    known = docs.join(F.broadcast(unnamed) if few else unnamed, ROW, "left").withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return _without(known.drop("lang_pred"), stored(found.where("lang_pred = 'und'").select(ROW), "no-language"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, of the largest id; null is less than any id."""
+    """Of equal texts one row stays, of the largest id; null is less than any id.  Of repeated rows one stays; rows that
+    share an id but not a text are judged apart; an empty table stays empty."""
     docs = _numbered(docs)
     found = exact_dedup(docs.withColumn("place", F.struct("doc_id", ROW)), id_col="place")
     return _without(docs, stored(found.where("NOT kept").select(f"place.{ROW}"), "copies"))
@@ -47,21 +55,24 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (four fifths of all runs of five words shared) one row stays, of the smallest id; null
-    is larger than any id."""
+    is larger than any id.  Null and wordless texts are near nothing and stay; repeated rows are equal texts; an empty
+    table stays empty."""
     docs = _numbered(docs)
     found = jaccard_components(docs.withColumn("place", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW)), id_col="place", k=5, percent=80)
     return _without(docs, stored(found.where("component_id <> place").select(f"place.{ROW}"), "near-copies"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item.  Rows are judged by their texts, whatever their ids; null
+    and wordless texts stay; an empty table, or an empty benchmark, changes nothing."""
     docs = _numbered(docs)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW)
     return _without(docs, stored(found.where("contaminated").select(ROW), "leaks"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens."""
+    """Pieces of the documents in sequences of 4096 tokens.  Null and empty texts are an end mark alone; rows that share
+    an id are packed each for itself; an empty table gives no pieces."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from levelground.llm._common import col, semi, spread, stored
+from levelground.llm._common import BROADCAST_ROWS, col, semi, spread, stored
 
 
 def _chunked(texts: DataFrame, window: int, every: int, hash_bits: int) -> DataFrame:
@@ -93,16 +93,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = gone.select("rid", "first", "n").unionByName(beyond(-1)).unionByName(beyond(1))
     lines_gone = gone.select("rid", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("line")).distinct()
     cuts = lines_gone.groupBy("rid").agg(F.collect_list("line").alias("gone"), F.count("*").alias("n_removed"))
-    per_row = rows.select("rid", "key", "n_lines").join(cuts, "rid", "left")
-    # Only rows that lose lines are rewritten; the others keep their text as it is.
-    source = texts.withColumn("key", key)
-    repeated = bool(rows.groupBy("key").count().where("count > 1").limit(1).count())
+    # Only texts that lose lines move; all others pass through the scan, once it is known that the others are few.
+    cuts = stored(cuts.join(rows.select("rid", "key", "n_lines"), "rid", "left"), "cuts")
+    changed = stored(cuts.select(F.xxhash64("key").alias("brief")).distinct(), "changed")
+    changed = F.broadcast(changed) if changed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else changed
+    source = texts.withColumn("key", key).withColumn("brief", F.xxhash64("key"))
+    same_text = source.join(changed, "brief", "left_anti")
+    own = rows.select("rid", "key", "n_lines").withColumn("brief", F.xxhash64("key")).join(changed, "brief", "left_semi")
+    per_row = own.join(cuts.select("rid", "gone", "n_removed"), "rid", "left")
+    source = source.join(changed, "brief", "left_semi")
+    repeated = bool(own.groupBy("key").count().where("count > 1").limit(1).count())
     per_row, source = (df.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(by)) if repeated else F.lit(1)) for df, by in ((per_row, "rid"), (source, "key")))
-    joined = source.join(per_row, ["key", "copy"])
+    joined = source.drop("brief").join(per_row.drop("brief"), ["key", "copy"])
     spans = F.col("gone")
     kept = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.when(~F.array_contains(spans, i + 1), line)), lambda line: line.isNotNull())
     text = F.when(spans.isNull(), F.col("raw")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(F.col("id").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), text.alias(text_col))
+    columns = lambda n, removed, text: [F.col("id").alias(id_col), n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias(text_col)]
+    whole = same_text.select(*columns(F.size(F.split("text", "\n")), F.lit(0), F.col("raw")))
+    return whole.unionByName(joined.select(*columns(F.col("n_lines"), F.coalesce("n_removed", F.lit(0)), text)))
 
 
 def op5_line_dedup(spark, sf_dir):

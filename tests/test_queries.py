@@ -18,7 +18,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", ["voxel_downsample", "seed_edge_filter", "sor_filter", "pca_classify", "patch_circularity", "hazard_all", "landing_zone_pipeline", "cell_zones"])
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES) if os.environ.get("ALL_QUERIES") else ["voxel_downsample", "seed_edge_filter", "sor_filter", "pca_classify", "patch_circularity", "hazard_all", "growth_ladder", "landing_zone_pipeline", "monte_carlo_summary", "overlapping_cells"])
 def test_matches_oracle(spark, con, name):
     df = catalogue.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

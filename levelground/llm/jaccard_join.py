@@ -11,15 +11,20 @@ it can be similar to.
 Candidates only say which sets must be compared.  Pairs come from single rare shingles after the length and position
 filters, and from combinations that few sets hold; a pair stays if the parity sketches of its sets differ in no more bits
 than similar sets may differ in shingles, which no similar pair fails.  A combination that many sets hold gives a star
-around one of them.  The components of this graph are compared set by set in blocks, by counts of common shingles, and of each block only links that connect something new are
-handed on.  Sets that are equal are one node from the start.  So nothing but sets and trees of links moves.
+around one of them.  A single that more than LISTED sets hold in their prefixes was taken for rare wrongly: no pairs are
+listed of it, but the sets that hold it there are indexed once more with it among the frequent ones.  (Similar sets whose
+first shared shingle it is both hold it there, and the prefix rule holds for any order, so this finds them.)
+
+The components of this graph are compared set by set in blocks, by counts of common shingles, and of each block only links that connect something new are
+handed on.  In a component of several blocks, sets are first compared with one of them; those that it links to need no
+comparison with each other.  Sets that are equal are one node from the start.  So nothing but sets and trees of links moves.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,14 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelground.llm._common import arrow_rows, components, id_text, semi, spread, stored
+from levelground.llm._common import BROADCAST_ROWS, arrow_rows, components, id_text, semi, spread, stored
 
 #: Shingles of a task that are counted together, and the least count in them that is handed on.
 FLUSH, LEAST_LOCAL = 4_000_000, 2
 #: Corpus count of a frequent shingle (counts under LEAST_LOCAL in a task left out), and the most of them (16 bytes each) that are broadcast; beyond, the count rises.
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
-#: Sets compared at once with as many others, and the most holders of a combination whose pairs are listed.
-BLOCK, LISTED = 256, 64
+#: Sets compared at once with as many others, shingles in these on average at most, and the most holders of a key whose pairs are listed.
+BLOCK, BLOCK_SHINGLES, LISTED = 256, 2_000_000, 64
+#: How often sets are indexed anew for singles that many hold; such singles left then give stars, as combinations do.
+DEPTH = 3
 #: Least bits of a parity sketch: bit i is the number of shingles whose hash is i modulo the bits, modulo 2.
 SKETCH = 1024
 _WORDS_KEPT = 500_000
@@ -176,7 +183,8 @@ def sketch(found: np.ndarray) -> np.ndarray:
 
 
 def short(node: bytes) -> int:
-    """64 bits of a node for the search of candidates, where two nodes in one only cost a comparison."""
+    """64 bits of a node for the search of candidates.  Two nodes in one share a sketch there, and all else that is
+    found for either is compared for both."""
     return int.from_bytes(node[:8], "big", signed=True)
 
 
@@ -232,6 +240,18 @@ def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def _near(percent: int, _task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, node, shingles, centre, middle) as (label, node, shingles, centre, near): does middle link to shingles?"""
+    for batch in batches:
+        near = []
+        for own, middle in zip(batch.column("shingles"), batch.column("middle")):
+            own, middle = (np.frombuffer(x.as_buffer(), np.uint64) for x in (own, middle))
+            common = len(np.intersect1d(own, middle, assume_unique=True))
+            near.append(100 * common >= percent * (len(own) + len(middle) - common))
+        names = ["label", "node", "shingles", "centre"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), pa.array(near, pa.bool_())], [*names, "near"])
+
+
 def _compare(percent: int, group: pd.DataFrame) -> pd.DataFrame:
     group = group.drop_duplicates("node")
     nodes = group["node"].tolist()
@@ -265,41 +285,89 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         least = 1 << power
     often = counted.where(F.col("c") >= least).select("h", "c").toArrow()
-    h = often.column("h").to_numpy().astype(np.int64).view(np.uint64)
-    by = np.argsort(h)
-    model = spark.sparkContext.broadcast((h[by], often.column("c").to_numpy()[by]))
-
-    index = stored(arrow_rows(texts.select("text"), partial(_index, k, percent, model), "s long, n int, sketch array<long>, singles array<long>, combos array<long>"), "index")
-    # A set may come once from each of several tasks, which adds equal pairs, so only pairs are made distinct.
-    single = index.select("s", "n", F.posexplode("singles").alias("at", "key"))
-    x, y = single.alias("x"), single.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (100 * small >= percent * large) & (rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))))
-    combo = stored(index.where(F.size("combos") > 0).select("s", F.explode("combos").alias("key")).distinct(), "combinations")
+    h, c = often.column("h").to_numpy().astype(np.int64).view(np.uint64), often.column("c").to_numpy()
+
+    first = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """Texts of the sets s, perhaps of some more."""
+        wanted = rows.where("n > 0").groupBy("node").agg(F.min("tkey").alias("tkey")).withColumn("s", first).join(ids.select("s"), "s", "left_semi").select("tkey").distinct()
+        return semi(texts.select("tkey", "text"), stored(wanted, "wanted"), ["tkey"]).select("text")
+
+    todo, known, found, combos, stars = texts.select("text"), None, [], [], []
+    for depth in range(DEPTH):
+        by = np.argsort(h)
+        h, c = h[by], c[by]
+        model = spark.sparkContext.broadcast((h, c))
+        index = stored(arrow_rows(todo, partial(_index, k, percent, model), "s long, n int, sketch array<long>, singles array<long>, combos array<long>"), "index")
+        known = index if known is None else known
+        combos.append(index.where(F.size("combos") > 0).select("s", F.explode("combos").alias("key")))
+        single = index.select("s", "n", F.posexplode("singles").alias("at", "key"))
+        # A set may come once from each of several tasks: holders are counted first, and told apart where they are many.
+        crowd = stored(single.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > LISTED), "crowded")
+        if crowd.limit(1).count():
+            distinct = semi(single, crowd.select("key"), ["key"]).select("key", "s").distinct()
+            crowd = stored(distinct.groupBy("key").agg(F.count("*").alias("held"), F.min("s").alias("a")).where(F.col("held") > LISTED), "crowded")
+        room = MOST_FREQUENT - len(h)
+        number = crowd.limit(room + 1).count()
+        few = F.broadcast(crowd.select("key")) if number <= min(room, BROADCAST_ROWS) else crowd.select("key")
+        light = single.join(few, "key", "left_anti") if number else single
+        x, y = light.alias("x"), light.alias("y")
+        small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+        rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+        found.append(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (100 * small >= percent * large) & (rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))))
+        if not number:
+            break
+        hot = stored(spread(single.select("key", "s"), "key").join(spread(crowd, "key"), ["key", "_spread"]).select("a", "s").distinct(), "crowd")
+        if depth + 1 == DEPTH or number > room:
+            stars.append(hot.where("a <> s").select("a", F.col("s").alias("b")))
+            break
+        more = crowd.select("key", "held").toArrow()
+        h = np.concatenate([h, more.column("key").to_numpy().astype(np.int64).view(np.uint64)])
+        c = np.concatenate([c, more.column("held").to_numpy()])
+        todo = texts_of(hot.select("s").distinct())
+
+    both = [F.col("x.s").alias("a"), F.col("y.s").alias("b")]
+    combo = stored(reduce(DataFrame.unionByName, combos).distinct(), "combinations")
     held = stored(combo.groupBy("key").agg(F.min("s").alias("a"), F.count("*").alias("held")).where("held > 1"), "held")
     few = combo.join(held.where(F.col("held") <= LISTED), "key").select("key", "s")
     u, v = few.alias("x"), few.alias("y")
-    listed = u.join(v, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")))
-    both = [F.col("x.s").alias("a"), F.col("y.s").alias("b")]
-    pairs = stored(pairs.select(*both).unionByName(listed.select(*both)).distinct(), "pairs")
-    known = index.select("s", "n", "sketch").dropDuplicates(["s"])
+    found.append(u.join(v, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s"))))
+    pairs = stored(reduce(DataFrame.unionByName, [some.select(*both) for some in found]).distinct(), "pairs")
+    known = known.select("s", "n", "sketch").dropDuplicates(["s"])
     own, other = known.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), known.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     half = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
     differ = F.aggregate(F.zip_with(half("sa", "sb"), half("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
     pairs = pairs.join(own, "a").join(other, "b").where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
-    stars = spread(combo, "key").join(spread(held.where(F.col("held") > LISTED), "key"), ["key", "_spread"]).where("a <> s").select("a", F.col("s").alias("b")).distinct()
-    groups = components(pairs.unionByName(stars))
-
-    sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    placed = stored(spread(groups, "label").join(spread(sizes, "label"), ["label", "_spread"]).select(F.col("id").alias("s"), "label", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "groups")
-    first = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
-    wanted = rows.where("n > 0").groupBy("node").agg(F.min("tkey").alias("tkey")).withColumn("s", first).join(placed.select("s"), "s", "left_semi").select("tkey").distinct()
-    sets = arrow_rows(semi(texts.select("tkey", "text"), stored(wanted, "wanted"), ["tkey"]).select("text"), partial(_sets, k), "s long, node binary, shingles binary")
-    sets = sets.join(placed, "s").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
-    links = stored(sets.groupBy("label", "i", "j").applyInPandas(partial(_compare, percent), "a binary, b binary"), "links")
+    stars.append(spread(combo, "key").join(spread(held.where(F.col("held") > LISTED), "key"), ["key", "_spread"]).where("a <> s").select("a", F.col("s").alias("b")).distinct())
+    groups = components(reduce(DataFrame.unionByName, [pairs, *stars]))
+
+    groups = stored(groups.withColumnRenamed("id", "s").join(known.select("s", "n"), "s"), "sized")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    sizes = groups.groupBy("label").agg(blocks)
+    placed = stored(spread(groups, "label").join(spread(sizes, "label"), ["label", "_spread"]).select("s", "label", "n", "blocks"), "groups")
+    kinds = "s long, node binary, shingles binary"
+    compare, pair = partial(_compare, percent), "a binary, b binary"
+    sets = arrow_rows(texts_of(placed.where("blocks = 1")), partial(_sets, k), kinds).join(placed.where("blocks = 1"), "s")
+    links = stored(sets.select("label", "node", "shingles").groupBy("label").applyInPandas(compare, pair), "links")
+
+    if placed.where("blocks > 1").limit(1).count():
+        many = placed.where("blocks > 1")
+        sets = stored(arrow_rows(texts_of(many), partial(_sets, k), kinds).join(many, "s").dropDuplicates(["node"]), "sets")
+        middle = sets.where("s = label").groupBy("label").agg(F.min_by(F.struct("node", "shingles"), "node").alias("m")).select("label", F.col("m.node").alias("centre"), F.col("m.shingles").alias("middle"))
+        told = spread(sets, "label").join(spread(middle, "label"), ["label", "_spread"]).select("label", "node", "shingles", "centre", "middle")
+        told = stored(arrow_rows(told, partial(_near, percent), "label long, node binary, shingles binary, centre binary, near boolean"), "told")
+        links = links.unionByName(told.where("near AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+        # Blocks of sets apart from the centre come first; they meet all blocks, and blocks of sets near it meet only them.
+        size = F.length("shingles") / 8
+        parts = [F.ceil(F.greatest(F.count_if(some) / block, F.sum(F.when(some, size).otherwise(0)) / BLOCK_SHINGLES)).cast("int") for some in (~F.col("near"), F.col("near"))]
+        parts = stored(told.groupBy("label").agg(parts[0].alias("apart"), parts[1].alias("beside")).where("apart > 0"), "parts")
+        told = spread(told, "label").join(spread(parts, "label"), ["label", "_spread"])
+        slot = lambda number: F.pmod(F.xxhash64("node"), number).cast("int")
+        told = told.withColumn("own", F.when(F.col("near"), F.col("apart") + slot(F.col("beside"))).otherwise(slot(F.col("apart"))))
+        told = told.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), F.col("apart")).otherwise(F.col("apart") + F.col("beside")) - 1)))
+        told = told.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+        links = links.unionByName(stored(told.groupBy("label", "i", "j").applyInPandas(compare, pair), "links"))
 
     joined = components(links)
     labelled = spread(rows.where("n > 0"), "node").join(spread(joined.withColumnRenamed("id", "node"), "node"), ["node", "_spread"], "left").select("id", "n", F.coalesce("label", "node").alias("label"))

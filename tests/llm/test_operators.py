@@ -184,6 +184,41 @@ def test_jaccard_components(spark, frequent, block):
     assert len({c for _, _, c in want}) < len(texts) - 20
 
 
+@pytest.mark.parametrize("listed", [1, 6])
+@pytest.mark.parametrize("frequent", [4, 10**9])
+def test_jaccard_components_of_crowded_keys(spark, monkeypatch, listed, frequent):
+    monkeypatch.setattr(jaccard_join, "LISTED", listed)
+    test_jaccard_components(spark, frequent, 4)
+
+
+def test_a_shared_footer_lists_few_pairs(spark, monkeypatch):
+    """One document for each partition, so that no task sees the footer twice."""
+    rng, texts = corpus(6, n=120, vocabulary=5000)
+    footer = " ".join(f"notice{i}" for i in range(12))
+    texts = [f"{t} {footer}" for t in texts] + [f"{texts[0]} {footer} more", texts[1]]
+    listed, stored = {}, jaccard_join.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        listed[name] = listed.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    monkeypatch.setattr(jaccard_join, "LISTED", 8)
+    apart = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), len(texts)), "doc_id long, text string")
+    out = jaccard_join.jaccard_components(apart)
+    assert sorted(rows(out, "doc_id", "n_shingles", "component_id")) == [(i, n, c if n else i) for i, n, c in components(texts)]
+    assert listed["crowded"] > 0
+    assert listed["pairs"] <= 8 * len(texts), listed  # 120 * 119 / 2 if all of the footer's holders met
+
+
+def test_a_dense_group_is_compared_with_one_set(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:i % 397] + [f"new{i}"] + words[i % 397 + 1 :]) for i in range(1500)]
+    out = jaccard_join.jaccard_components(table(spark, texts))
+    assert {(c,) for c in (0,)} == set(rows(out, "component_id"))
+
+
 def test_prefix_keys_meet(spark):
     """Any two sets that are similar enough share a key, however the shingles are divided into rare and frequent."""
     rng = np.random.default_rng(5)

@@ -11,7 +11,7 @@ it can be similar to.
 Candidates only say which sets must be compared.  Pairs come from single rare shingles after the length and position
 filters, and from combinations that few sets hold; a pair stays if the parity sketches of its sets differ in no more bits
 than similar sets may differ in shingles, which no similar pair fails.  A combination that many sets hold gives a star
-around one of them.  A single that more than LISTED sets hold in their prefixes was taken for rare wrongly: no pairs are
+around one of them.  A single that `frequent` sets (or more than LISTED) hold in their prefixes was taken for rare wrongly: no pairs are
 listed of it, but the sets that hold it there are indexed once more with it among the frequent ones.  (Similar sets whose
 first shared shingle it is both hold it there, and the prefix rule holds for any order, so this finds them.)
 
@@ -304,10 +304,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         combos.append(index.where(F.size("combos") > 0).select("s", F.explode("combos").alias("key")))
         single = index.select("s", "n", F.posexplode("singles").alias("at", "key"))
         # A set may come once from each of several tasks: holders are counted first, and told apart where they are many.
-        crowd = stored(single.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > LISTED), "crowded")
+        most = LISTED if depth + 1 == DEPTH else min(frequent - 1, LISTED)
+        crowd = stored(single.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > most), "crowded")
         if crowd.limit(1).count():
             distinct = semi(single, crowd.select("key"), ["key"]).select("key", "s").distinct()
-            crowd = stored(distinct.groupBy("key").agg(F.count("*").alias("held"), F.min("s").alias("a")).where(F.col("held") > LISTED), "crowded")
+            crowd = stored(distinct.groupBy("key").agg(F.count("*").alias("held"), F.min("s").alias("a")).where(F.col("held") > most), "crowded")
         room = MOST_FREQUENT - len(h)
         number = crowd.limit(room + 1).count()
         few = F.broadcast(crowd.select("key")) if number <= min(room, BROADCAST_ROWS) else crowd.select("key")

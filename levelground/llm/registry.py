@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from levelground.llm import decontaminate, exact_dedup, jaccard_join, language, licences, line_dedup, packing, pii, secrets, token_counts
+from levelground.llm import decontaminate, exact_dedup, importance, jaccard_join, language, licences, line_dedup, packing, pii, secrets, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         exact_dedup.op8_exact_dedup,
         licences.op9_licence_scan,
         token_counts.op10_token_counts,
+        importance.op13_importance_resampling,
     )
 }
-ORACLES = {"op6_benchmark_decontamination": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op6_benchmark_decontamination": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL, "op13_importance_resampling": importance.SQL}

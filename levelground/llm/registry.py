@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from levelground.llm import alignment, decontaminate, exact_dedup, importance, jaccard_join, language, licences, line_dedup, packing, pii, secrets, token_counts
+from levelground.llm import alignment, decontaminate, exact_dedup, importance, jaccard_join, language, licences, line_dedup, packing, pii, secrets, suffix_dedup, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         exact_dedup.op8_exact_dedup,
         licences.op9_licence_scan,
         token_counts.op10_token_counts,
+        suffix_dedup.op11_suffix_dedup,
         alignment.op12_token_alignment,
         importance.op13_importance_resampling,
     )

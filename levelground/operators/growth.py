@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,25 +13,75 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from levelground.functions.geometry import hull2d, measured_hull, nearest, slopes_at
-from levelground.operators.cloud import bounds, normals, off_edge
+from levelground.operators.cloud import normals, off_edge
 from levelground.operators.patch import clear
 from levelground.operators.spatial import radius_join, same_point
 from levelground.operators.storage import stored
 from levelground.schema import EMPTY_METRIC, GROWTH
 
-#: Points of an annulus, by the cloud's mean density, that one pass may hand to a seed: a pass climbs to twice the radius
-#: or that far, and one rung at least.
-PASS_POINTS = 250_000
+#: Points, by the cloud's mean density, that a seed's first pass and the annulus of a later one may hand to it; pairs of seeds and
+#: points up to which a later pass may climb beyond four times the radius.
+FIRST_POINTS, PASS_POINTS, PASS_PAIRS = 2_000, 250_000, 20_000_000
+#: Cells on each side of a seed's own in which, at every size of cells, a steep point is looked for.
+AROUND = 2
 
 
-def rungs_to_diagonal(cloud: DataFrame, radius: float, increment: float, on: tuple[str, ...] = ()) -> int:
-    """Rungs up to the first whose radius is more than the diagonal of the (largest) cloud's bounds, so that it holds every
-    point."""
-    b = bounds(cloud, on).agg(*[F.max(F.col(f"max_{c}") - F.col(f"min_{c}")).alias(c) for c in "xyz"]).first()
-    diagonal = math.hypot(*[b[c] or 0.0 for c in "xyz"])
+class Surface(NamedTuple):
+    """What growth has to know of a cloud, made once for however many seeds: its points with slope_deg (NaN where there is none)
+    and reach, what tells clouds apart, and of the largest of them points per square metre, the reach that all but a thousandth
+    keep to, the longest side on the ground and the diagonal."""
+
+    points: DataFrame
+    on: tuple[str, ...]
+    density: float
+    wide: float
+    side: float
+    diagonal: float
+
+
+def surface(cloud: DataFrame, k: int, on: tuple[str, ...] = ()) -> Surface:
+    local = normals(cloud, k, on).select(*on, "pid", "slope_deg", "reach")
+    local = same_point(cloud.select(*on, "pid", "x", "y", "z"), local, on).withColumns({"slope_deg": F.coalesce("slope_deg", F.lit(float("nan"))), "reach": F.coalesce("reach", F.lit(float("inf")))})
+    local = stored(local, "surface")
+    sides = {c: F.max(c) - F.min(c) for c in "xyz"}
+    usual = F.percentile_approx(F.when(F.col("reach") < float("inf"), F.col("reach")), 0.999)
+    each = local.groupBy(*on).agg(F.count("*").alias("n"), *[v.alias(c) for c, v in sides.items()], usual.alias("wide"))
+    most = each.agg(F.max(F.col("n") / F.greatest(F.col("x") * F.col("y"), F.lit(1e-9))).alias("density"), *[F.max(c).alias(c) for c in ("x", "y", "z", "wide")]).first()
+    x, y, z = (most[c] or 0.0 for c in "xyz")
+    return Surface(local, on, most["density"] or 1.0, most["wide"] or 0.0, max(x, y), math.hypot(x, y, z))
+
+
+def rungs_to(diagonal: float, radius: float, increment: float) -> int:
+    """Rungs up to the first whose radius is more than the diagonal of a cloud's bounds, so that it holds every point."""
     return max(0, math.floor((diagonal - radius) / increment) + 1) + 1
 
 
+def steep_bound(seeds: DataFrame, ground: Surface, limit: float, keys: tuple[str, ...] = ("attempt",)) -> DataFrame:
+    """keys and ends: a radius beyond which no patch of the seed is flat, no less than the least of distance and reach together
+    over all points steeper than the limit; seeds of a cloud without any are left out.
+
+    Steep points are summed up as the bounds of cells, of sides that double from a point's reach to the cloud's; each seed looks
+    at the cells around its own at every size.  So the nearest ones are seen in cells about half as wide as they are far, and
+    a seed meets a number of rows that does not depend on how many points are steep."""
+    on, side = ground.on, max(2 * ground.wide, ground.side / (1 << 24), 1e-6)
+    sizes = max(0, math.ceil(math.log2(max(ground.side, side) / side))) + 1
+    every = F.explode(F.sequence(F.lit(0), F.lit(sizes))).alias("_size")
+    cell = lambda c: F.floor(F.col(c) / side)
+    steep = ground.points.where((F.isnan("slope_deg") | (F.col("slope_deg") > limit)) & (F.col("reach") < float("inf")))
+    cells = steep.withColumns({"_cx": cell("x"), "_cy": cell("y")}).groupBy(*on, "_cx", "_cy").agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))], F.max("reach").alias("reach"))
+    wider = lambda c: F.expr(f"shiftright({c}, _size)").alias(c)
+    cells = cells.select("*", every).select(*on, "_size", wider("_cx"), wider("_cy"), *[c for c in cells.columns if c not in (*on, "_cx", "_cy")])
+    cells = cells.groupBy(*on, "_size", "_cx", "_cy").agg(*[f(f"{n}_{c}").alias(f"{n}_{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))], F.max("reach").alias("reach"))
+
+    around = [F.struct(F.lit(i).alias("_dx"), F.lit(j).alias("_dy")) for i in range(-AROUND, AROUND + 1) for j in range(-AROUND, AROUND + 1)]
+    looks = seeds.select(*dict.fromkeys((*keys, *on)), *[f"seed_{c}" for c in "xyz"], cell("seed_x").alias("_cx"), cell("seed_y").alias("_cy"), every)
+    looks = looks.withColumns({c: F.expr(f"shiftright({c}, _size)") for c in ("_cx", "_cy")}).select("*", F.inline(F.array(*around)))
+    looks = looks.withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")})
+    far = [F.greatest(F.abs(F.col(f"seed_{c}") - F.col(f"low_{c}")), F.abs(F.col(f"seed_{c}") - F.col(f"high_{c}"))) for c in "xyz"]
+    farthest = F.sqrt(sum((d * d for d in far[1:]), far[0] * far[0]))
+    return looks.join(cells, [*on, "_size", "_cx", "_cy"]).groupBy(*keys).agg(F.min(farthest + F.col("reach")).alias("ends"))
+
+
 class _Patch:
     """What is known of a patch without its points: their number, moments about the seed, heights and hull."""
 
@@ -83,8 +135,10 @@ def _climber(rungs: list[tuple[int, float]], before: float, band: float, keys: t
         group = group.sort_values("pid", kind="stable")
         xyz = group[["x", "y", "z"]].to_numpy(float) - own
         d, reach, slope = np.sqrt(group["d2"].to_numpy(float)), group["reach"].to_numpy(float), group["slope_deg"].to_numpy(float)
-        inner, last = max(0.0, before - band), before
+        inner, last, top = max(0.0, before - band), before, int(seed["top"].iloc[0])
         for m, r in rungs:
+            if m > top:
+                break
             patch.add(xyz[(d < r) & (d >= last)])
             row = dict(zip(keys, key)) | {"rung": m, "radius": r, "n": patch.n, "flat": False} | _NOTHING | {"more": False, "state": None}
             out.append(row)
@@ -115,39 +169,51 @@ def _climber(rungs: list[tuple[int, float]], before: float, band: float, keys: t
     return climb
 
 
-def growth_ladder(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit: float, increment: float = 0.5, max_rungs: int | None = None, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = ()) -> DataFrame:
+def _next_rungs(start: int, before: float, highest: int, seeds: int, ground: Surface, radius: float, increment: float) -> list[tuple[int, float]]:
+    """Rungs of a pass from rung start on, whose patches grew to radius `before` so far: one at least."""
+    rungs = [(start, radius + start * increment)]
+    while rungs[-1][0] < highest:
+        m = rungs[-1][0] + 1
+        r = radius + m * increment
+        points = math.pi * (r * r - before * before) * ground.density
+        if points > (PASS_POINTS if before else FIRST_POINTS) or before and r > 4 * before and seeds * points > PASS_PAIRS:
+            break
+        rungs.append((m, r))
+    return rungs
+
+
+def growth_ladder(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit: float, increment: float = 0.5, max_rungs: int | None = None, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = (), ground: Surface | None = None) -> DataFrame:
     """Each rung that each seed climbs, its last and failed one included: keys, rung, radius, n, flat, and the measures
     of flat patches.
 
     A patch of fewer than three points or with an outlier stops a seed.  max_rungs ends what would not end on a flat
     cloud; without it, the rung that holds every point does.
 
-    Slopes are taken in the cloud once, for all seeds.  Then seeds climb in passes; a pass meets each seed with the
-    annulus of points that the patch grows by, and the rim of the patch before, while the patch itself goes on as its
-    moments and hull.  So no patch is ever held whole, and each point meets a seed about once.
+    Slopes are taken in the cloud once, for all seeds (ground: handed in, once for all calls).  A bound by the nearest steep
+    points tells each seed the rung that it cannot pass, so no point beyond that meets it.  Then seeds climb in passes, of which
+    small clouds need two; a pass meets each seed with the annulus of points that the patch grows by, and the rim of the patch
+    before, while the patch itself goes on as its moments and hull.  So no patch is ever held whole, and each point meets a seed
+    about once.
     """
-    max_rungs = rungs_to_diagonal(cloud, radius, increment, on) if max_rungs is None else max_rungs
-    local = normals(cloud, k, on).select(*on, "pid", "slope_deg", "reach")
-    local = stored(same_point(cloud.select(*on, "pid", "x", "y", "z"), local, on).withColumns({"slope_deg": F.coalesce("slope_deg", F.lit(float("nan"))), "reach": F.coalesce("reach", F.lit(float("inf")))}), "slopes")
-    b = bounds(cloud, on).join(local.groupBy(*on).count(), list(on)) if on else bounds(cloud).crossJoin(F.broadcast(local.groupBy().count()))  # one row
-    density = b.agg(F.max(F.col("count") / F.greatest((F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")), F.lit(1e-9)))).first()[0] or 1.0
-    wide = local.where("reach < double('infinity')").agg(F.percentile_approx("reach", 0.999)).first()[0] or radius
+    ground = surface(cloud, k, on) if ground is None else ground
+    local = ground.points
+    max_rungs = rungs_to(ground.diagonal, radius, increment) if max_rungs is None else max_rungs
+    wide = ground.wide or radius
     kinds = ", ".join(f"{c} {seeds.schema[c].dataType.simpleString()}" for c in keys)
-    open_ = seeds.select(*dict.fromkeys((*keys, *on)), "seed_x", "seed_y", "seed_z")
+    highest = F.when(F.col("ends").isNull(), max_rungs - 1).otherwise(F.least(F.lit(max_rungs - 1), F.greatest(F.lit(0), F.floor((F.col("ends") - radius) / increment + 1e-9) + 1)))
+    open_ = seeds.select(*dict.fromkeys((*keys, *on)), "seed_x", "seed_y", "seed_z").join(steep_bound(seeds, ground, limit, keys), list(keys), "left").withColumn("top", highest.cast("int")).drop("ends")
     done, start, before = None, 0, 0.0
     while start < max_rungs:
-        rungs = [(start, radius + start * increment)]
-        while rungs[-1][0] + 1 < max_rungs:
-            m = rungs[-1][0] + 1
-            r = radius + m * increment
-            if r > max(2 * before, radius + 2.5 * increment) or math.pi * (r * r - before * before) * density > PASS_POINTS:
-                break
-            rungs.append((m, r))
+        open_ = stored(open_.withColumn("cap", F.lit(radius) + F.lit(increment) * F.col("top")), "growing")
+        left, top = open_.agg(F.count("*"), F.max("top")).first()
+        if not left and done is not None:
+            break
+        rungs = _next_rungs(start, before, top or 0, left, ground, radius, increment)
         asking, band, whole = open_, 2 * wide, None
         while True:
             near = radius_join(asking.drop("state"), local, rungs[-1][1], on)
             far = F.sqrt("d2")
-            near = near.where((far >= before - band) | (far + F.col("reach") >= before))
+            near = near.where(((far >= before - band) | (far + F.col("reach") >= before)) & (far < F.col("cap")))
             near = near.select(*[F.col(c).alias(f"_{c}") for c in keys], "pid", "x", "y", "z", "d2", "slope_deg", "reach")
             climbed = asking.groupBy(*keys).cogroup(near.groupBy(*[f"_{c}" for c in keys])).applyInPandas(_climber(rungs, before, band, keys, limit, k), f"{kinds}, {GROWTH}, {_STATE}")
             climbed = stored(climbed, "growth")
@@ -158,10 +224,7 @@ def growth_ladder(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, lim
             asking, band = stored(asking.join(again, list(keys), "left_semi"), "asking"), 2 * band
         done = whole if done is None else done.unionByName(whole)
         start, before = rungs[-1][0] + 1, rungs[-1][1]
-        if start < max_rungs:
-            open_ = stored(open_.drop("state").join(whole.where((F.col("rung") == start - 1) & F.col("flat")).select(*keys, "state"), list(keys)), "growing")
-            if not open_.limit(1).count():
-                break
+        open_ = open_.drop("state", "cap").where(F.col("top") >= start).join(whole.where((F.col("rung") == start - 1) & F.col("flat")).select(*keys, "state"), list(keys))
     return done.drop("more", "state")
 
 
@@ -172,9 +235,9 @@ def best_rungs(ladder: DataFrame, keys: tuple[str, ...] = ("attempt",), circular
     return good.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
 
 
-def candidates(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit: float, increment: float = 0.5, max_rungs: int | None = None, circularity: float = 0.1, clearance: float = 10.0, margin: float = 0.01, step: float = 0.2, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = ()) -> DataFrame:
+def candidates(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit: float, increment: float = 0.5, max_rungs: int | None = None, circularity: float = 0.1, clearance: float = 10.0, margin: float = 0.01, step: float = 0.2, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = (), ground: Surface | None = None) -> DataFrame:
     """Patches of off-edge seeds that grew flat and round and have nothing above them, with metrics and score."""
-    ladder = growth_ladder(seeds, cloud, radius, k, limit, increment, max_rungs, keys, on)
+    ladder = growth_ladder(seeds, cloud, radius, k, limit, increment, max_rungs, keys, on, ground)
     best = stored(best_rungs(ladder, keys, circularity), "best")
     free = clear(best, cloud, list(keys), margin=margin, clearance=clearance, step=step, on=on)
     confidence = F.when(F.col("area") > 0, F.col("n") / F.col("area")).otherwise(EMPTY_METRIC)
@@ -183,6 +246,32 @@ def candidates(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit:
     return out.withColumn("score", F.col("data_confidence") + F.col("patch_radius") - F.col("relief") - F.col("roughness"))
 
 
+def first_zones(seeds: DataFrame, cloud: DataFrame, zones: int, radius: float, k: int, limit: float, by: tuple[str, ...] = (), on: tuple[str, ...] = (), batch: int = 64, keep: Callable[[DataFrame], DataFrame] | None = None, ground: Surface | None = None, **growth) -> DataFrame:
+    """Of each of `by` (a simulation, say; without, of all) the first candidates by attempt, `zones` of them and one at least:
+    not the best.  seeds: by, on, attempt, seed_pid, seed_x, seed_y, seed_z, off the edge.  keep: what a candidate must pass
+    before it counts.
+
+    Attempts go in batches that double; those of which enough was found drop out, so what is climbed in vain is at most about
+    what was needed.  Attempts that drew one point climb once.  The cloud's surface is made once for all batches."""
+    ground = surface(cloud, k, on) if ground is None else ground
+    seeds = stored(seeds, "attempts")
+    zones, start, found, climbed = max(zones, 1), 0, None, [*on, "seed_pid"]
+    short = seeds.groupBy(*by).agg(F.max("attempt").alias("_last")).where("_last IS NOT NULL")
+    while found is None or short.limit(1).count():
+        part = seeds.where(F.col("attempt").between(start, start + batch - 1))
+        part = stored(part.join(short.select(*by), list(by), "left_semi") if by else part, "batch")
+        grown = candidates(part.select(*climbed, "seed_x", "seed_y", "seed_z").distinct(), cloud, radius, k, limit, keys=tuple(climbed), on=on, ground=ground, **growth)
+        grown = stored((keep(grown) if keep else grown).join(part.select(*dict.fromkeys((*by, *climbed)), "attempt"), climbed), "zones")
+        found = grown if found is None else found.unionByName(grown)
+        start, batch = start + batch, 2 * batch
+        enough = found.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= zones)
+        short = stored((short.join(enough, list(by), "left_anti") if by else short.where(F.lit(not enough.count()))).where(F.col("_last") >= start), "short")
+    if not by:
+        return first_n(found, zones)
+    order = F.row_number().over(Window.partitionBy(*by).orderBy("attempt"))
+    return found.withColumn("_n", order).where(F.col("_n") <= zones).drop("_n")
+
+
 def first_n(found: DataFrame, n: int, keys: tuple[str, ...] = ("attempt",)) -> DataFrame:
     """The first n candidates by attempt, at least one; a negative n takes all.  Not the best n."""
     return found if n < 0 else found.orderBy(*keys).limit(max(n, 1))
@@ -191,20 +280,9 @@ def first_n(found: DataFrame, n: int, keys: tuple[str, ...] = ("attempt",)) -> D
 def detect(cloud: DataFrame, seeds: DataFrame, radius: float = 0.5, k: int = 10, limit: float = 25.0, zones: int = -1, batch: int = 256, **growth) -> tuple[DataFrame, DataFrame]:
     """Candidates, and their patches' points (attempt, pid, x, y, z): a point in two patches comes twice.
 
-    Seeds go in batches by attempt, until enough zones are found; an empty cloud gives empty tables."""
+    With a number of zones, seeds go in batches by attempt until enough are found; an empty cloud gives empty tables."""
     inside = stored(off_edge(seeds, cloud, radius), "seeds")
-    if zones < 0:
-        found = candidates(inside, cloud, radius, k, limit, **growth)
-    else:
-        last, found = inside.agg(F.max("attempt")).first()[0], None
-        start = 0
-        while found is None or start <= (last or 0):
-            part = stored(candidates(inside.where(F.col("attempt").between(start, start + batch - 1)), cloud, radius, k, limit, **growth), "zones")
-            found = part if found is None else found.unionByName(part)
-            start += batch
-            if found.count() >= max(zones, 1):
-                break
-        found = first_n(found, zones)
+    found = candidates(inside, cloud, radius, k, limit, **growth) if zones < 0 else first_zones(inside, cloud, zones, radius, k, limit, batch=batch, **growth)
     found = stored(found, "candidates")
     return found, detected_points(found, cloud, radius, growth.get("increment", 0.5), growth.get("max_rungs"))
 

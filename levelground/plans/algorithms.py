@@ -8,14 +8,14 @@ overlapping, that keep to the hazard limits, clustered with their neighbours.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from levelground.functions.geometry import covariance, slope, with_normal
 from levelground.operators.cloud import STEP, normals, off_edge, terrains, valid, with_index
-from levelground.operators.growth import candidates
+from levelground.operators.growth import candidates, first_zones
 from levelground.operators.patch import within_limits
 from levelground.operators.spatial import radius_join, same_point
 from levelground.operators.storage import stored
@@ -98,9 +98,10 @@ def clustered_cells(zones: DataFrame, cell_size: float = 1.0, overlap: int = 1,
     return a.join(clusters(edges.select("a", "b"), a.select(F.col("own").alias("id"))).withColumnRenamed("id", "own"), "own").select(*on, "gx", "gy", "cluster")
 
 
-def simulated_zones(cloud: DataFrame, simulations: DataFrame, max_attempts: int, radius: float, k: int, limit: float, increment: float, max_rungs: int | None = None) -> DataFrame:
+def simulated_zones(cloud: DataFrame, simulations: DataFrame, max_attempts: int, radius: float, k: int, limit: float, increment: float, max_rungs: int | None = None, zones: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Zones of each simulation (sim, salt): one plan for all, with sim as one key more.  A cloud that has sim is one
-    terrain for each; another is the same for all, and not copied."""
+    terrain for each; another is the same for all, and not copied.  zones: only the first so many by attempt that `keep`
+    keeps, and a simulation that has them ends (see first_zones); otherwise all attempts are grown."""
     on = ("sim",) if "sim" in cloud.columns else ()
     attempts = simulations.crossJoin(F.broadcast(cloud.sparkSession.range(max_attempts).select(F.col("id").alias("attempt"))))  # max_attempts rows
     sizes = cloud.groupBy(*on).agg(F.count("*").alias("n"))
@@ -109,7 +110,9 @@ def simulated_zones(cloud: DataFrame, simulations: DataFrame, max_attempts: int,
     seeds = attempts.join(with_index(cloud, on=on, wanted=attempts.select(*on, "index").distinct()), [*on, "index"])
     seeds = seeds.select("sim", "attempt", F.col("pid").alias("seed_pid"), *[F.col(c).alias(f"seed_{c}") for c in "xyz"])
     inside = stored(off_edge(seeds, cloud, radius, on), "seeds")
-    return candidates(inside, cloud, radius, k, limit, increment, max_rungs, keys=("sim", "attempt"), on=on)
+    if zones is None:
+        return candidates(inside, cloud, radius, k, limit, increment, max_rungs, keys=("sim", "attempt"), on=on)
+    return first_zones(inside, cloud, zones, radius, k, limit, ("sim",), on, keep=keep, increment=increment, max_rungs=max_rungs)
 
 
 def monte_carlo(spark: SparkSession, config: Benchmark, density: float = 37.5, radius: float = 0.5, max_rungs: int | None = None) -> DataFrame:
@@ -132,9 +135,8 @@ def monte_carlo(spark: SparkSession, config: Benchmark, density: float = 37.5, r
         name, p = algorithm["name"], algorithm.get("parameters") or {x: y for x, y in algorithm.items() if x != "name"}
         size, alpha = float(p.get("cell_size", 1.0)), float(p.get("alpha", 0.1))
         if name == "kdtree_InflatingCircles":
-            zones = simulated_zones(cloud, simulations, config.max_attempts, radius, int(p.get("k", 30)), config.max_slope, float(p.get("radiusIncrement", 0.1)), max_rungs)
-            kept = within_limits(zones, config.min_radius, **limits)
-            first = kept.withColumn("_n", F.row_number().over(Window.partitionBy("sim").orderBy("attempt"))).where(F.col("_n") <= max(1, config.max_landing_zones))
+            kept = lambda found: within_limits(found, config.min_radius, **limits)
+            first = simulated_zones(cloud, simulations, config.max_attempts, radius, int(p.get("k", 30)), config.max_slope, float(p.get("radiusIncrement", 0.1)), max_rungs, config.max_landing_zones, kept)
             best = first.groupBy("sim").agg(F.count("*").alias("n_zones"), F.max("score").alias("best_score"))
         elif name in ("seq_overlap", "sequentialApproach", "sequentialApproachKdtree"):
             overlap = 2 if name == "seq_overlap" else 1

@@ -14,13 +14,14 @@ broadcast table; the others are joined by a shuffle.
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from levelground.llm._common import arrow_rows, id_text, stored
 from levelground.llm.pretokens import TOGETHER, ByteLevel, _Known
 
 SPACE = "▁"
-_CHUNK = regex.compile(" +[^ ]*")
+_CHUNK = re.compile(" +[^ ]*")
 #: Longest pre-token or chunk, in characters, whose ids are remembered.
 SHORT = 64
 #: Distinct pairs that a task counts before it hands them on.
@@ -54,25 +55,33 @@ class _Ids:
 
     def _checked(self, ids: list[int], part: str) -> bytes | None:
         same = b"".join([self.token_bytes[i] for i in ids]) == part.encode("utf-8", "surrogatepass")
-        return np.array(ids, "<u4").tobytes() if same else None
+        return struct.pack(f"<{len(ids)}I", *ids) if same else None
 
     def of(self, texts: list[str]) -> list[bytes | None]:
         """Of each text its ids, or None if their bytes are not the text's.  Where a part fails, the whole text decides."""
-        split, known = [self.parts(t) for t in texts], self._known
-        new = list({p: None for parts in split for p in parts if p not in known})
-        learned: dict[str, bytes | None] = {}
+        known, out, holes, new = self._known, [], [], {}
+        for text in texts:
+            parts = self.parts(text)
+            found = list(map(known.get, parts))
+            if None in found:
+                empty = [(i, parts[i]) for i, ids in enumerate(found) if ids is None]
+                new.update(dict.fromkeys([p for _, p in empty]))
+                holes.append((len(out), empty))
+            out.append(found)
         if new:
             known.room(len(new))
-            unknown = [p for p in new if known.again(p) is None]
+            new = {p: known.again(p) for p in new}
+            unknown = [p for p, ids in new.items() if ids is None]
             for p, ids in zip(unknown, self.encode(unknown)):
-                learned[p] = self._checked(ids, p)
-            known.update({p: ids for p, ids in learned.items() if ids is not None and len(p) <= SHORT})
-        get = (lambda p: known.get(p) or known.again(p) or learned.get(p)) if new else known.get
-        out: list[bytes | None] = []
-        for text, parts in zip(texts, split):
-            found = list(map(get, parts))
-            out.append(self._checked(self.whole(text), text) if None in found else b"".join(found))
-        return out
+                new[p] = ids = self._checked(ids, p)
+                if ids is not None and len(p) <= SHORT:
+                    known[p] = ids
+            for at, empty in holes:
+                for i, p in empty:
+                    out[at][i] = new[p]
+                if None in out[at]:
+                    out[at] = [self._checked(self.whole(texts[at]), texts[at])]
+        return [None if found[:1] == [None] else b"".join(found) for found in out]
 
 
 class ByteTokens(_Ids):
@@ -111,7 +120,7 @@ class PieceTokens(_Ids):
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
-        self._apart = not any(regex.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+        self._apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self._lead = len(self._model.encode("x"))
         super().__init__([bytes([int(p[3:-1], 16)]) if self._model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)])
 
@@ -154,7 +163,9 @@ def align(a: list[bytes], b: list[bytes], a_lengths: np.ndarray, b_lengths: np.n
     stop_a, stop_b = (np.cumsum([len(x) // 4 for x in side], dtype=np.int64) for side in (a, b))
     a_ids, b_ids = (np.frombuffer(b"".join(side), "<u4").astype(np.int64) for side in (a, b))
     end_a, end_b = np.cumsum(a_lengths[a_ids]), np.cumsum(b_lengths[b_ids])
-    ends, shared = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
+    both = np.sort(np.concatenate([end_a, end_b]), kind="stable")  # merges what is sorted already
+    again = both[1:] == both[:-1]
+    shared, ends = both[1:][again], both[np.append(True, ~again)[: len(both)]]
     stops = np.concatenate([[0], end_a])[stop_a]  # in bytes
     return Aligned(
         a_ids, b_ids, np.searchsorted(end_a, ends), np.searchsorted(end_b, ends), np.searchsorted(shared, end_a), np.searchsorted(shared, end_b),

@@ -21,19 +21,19 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(oracle: str | None):
+def query(oracle: str | None, **parameters):
     def add(f):
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = with_tables(oracle)
+            ORACLES[f.__name__] = with_tables(oracle, **parameters)
         return f
 
     return add
 
 
-def with_tables(select: str) -> str:
-    """The statement with those of TABLES that it needs, as DuckDB computes materialized ones that nothing reads, too."""
-    parts = re.split(r"^(\w+) AS (?=MATERIALIZED \(|\()", TABLES, flags=re.M)
+def with_tables(select: str, **parameters) -> str:
+    """The statement with those tables that it needs, as DuckDB computes materialized ones that nothing reads, too."""
+    parts = re.split(r"^(\w+) AS (?=MATERIALIZED \(|\()", tables_of(**parameters), flags=re.M)
     tables = {name: body.strip().rstrip(",") for name, body in zip(parts[1::2], parts[2::2])}
     needed: dict[str, str] = {}  # each after those that it reads
 
@@ -86,7 +86,9 @@ def _hull(src: str, out: str) -> str:
 {out} AS MATERIALIZED (SELECT sim, attempt, m, count(*) AS n_vertices, abs(sum(ux * vy - vx * uy)) / 2 AS area, sum(sqrt((vx - ux) ** 2 + (vy - uy) ** 2)) AS perimeter FROM {out}_s GROUP BY ALL HAVING count(*) >= 3)"""
 
 
-TABLES = f"""
+def tables_of(sims: int = 3, attempts: int = ATTEMPTS, k: int = K, increment: float = INCREMENT, cell: float = 1.0, near: int = 1) -> str:
+    """cell, near: rims look for neighbours in square cells, so many to each side where the k-th in the cloud is near."""
+    return f"""
 side AS (SELECT sqrt(count(*) / CAST(37.5 AS DOUBLE)) AS l FROM orders),
 flat_xy AS (SELECT CAST(o_orderkey AS BIGINT) AS pid, (o_orderkey * 7919) % 10007 AS kx, (o_orderkey * 3571) % 10009 AS ky, CAST(o_totalprice AS DOUBLE) AS price, l,
   l * ((o_orderkey * 7919) % 10007) / CAST(10007.0 AS DOUBLE) AS x, l * ((o_orderkey * 3571) % 10009) / CAST(10009.0 AS DOUBLE) AS y FROM orders, side),
@@ -94,14 +96,14 @@ cloud AS MATERIALIZED (SELECT pid, kx, ky, x, y, CAST(4e-8 AS DOUBLE) * price +
   + CASE WHEN pid % 97 = 0 AND y > CAST(0.75 AS DOUBLE) * l THEN CAST(2.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS z, CAST(pid * 31 % 5 AS DOUBLE) AS intensity FROM flat_xy),
 box AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS b_y, count(*) AS n FROM cloud),
 numbered AS (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS i FROM cloud),
-sims AS (SELECT unnest(range(3)) AS sim),
-seeds AS MATERIALIZED (SELECT sim, attempt, pid AS seed_pid, x AS sx, y AS sy, z AS sz FROM sims, (SELECT unnest(range({ATTEMPTS})) AS attempt), box, numbered WHERE i = (attempt * 7919 + 13 + sim) % n),
+sims AS (SELECT unnest(range({sims})) AS sim),
+seeds AS MATERIALIZED (SELECT sim, attempt, pid AS seed_pid, x AS sx, y AS sy, z AS sz FROM sims, (SELECT unnest(range({attempts})) AS attempt), box, numbered WHERE i = (attempt * 7919 + 13 + sim) % n),
 inside AS MATERIALIZED (SELECT seeds.* FROM seeds, box WHERE sx BETWEEN ax + {RADIUS} AND bx - {RADIUS} AND sy BETWEEN ay + {RADIUS} AND b_y - {RADIUS}),
 near_seed AS MATERIALIZED (SELECT sim, attempt, pid, kx, ky, x, y, z, (x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz) AS d2 FROM inside, cloud WHERE sim = 0 AND x BETWEEN sx - 1 AND sx + 1 AND y BETWEEN sy - 1 AND sy + 1),
-patch AS MATERIALIZED (SELECT near_seed.*, m FROM near_seed, (SELECT unnest(range(2)) AS m) WHERE d2 < ({RADIUS} + {INCREMENT} * m) * ({RADIUS} + {INCREMENT} * m)),
+patch AS MATERIALIZED (SELECT near_seed.*, m FROM near_seed, (SELECT unnest(range(2)) AS m) WHERE d2 < ({RADIUS} + {increment} * m) * ({RADIUS} + {increment} * m)),
 one AS (SELECT * FROM patch WHERE m = 1),
 pairs AS (SELECT a.sim, a.attempt, a.m, a.pid, b.pid AS other, b.x AS ox, b.y AS oy, b.z AS oz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM one a JOIN one b USING (sim, attempt, m)),
-near AS MATERIALIZED (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY sim, attempt, m, pid ORDER BY d2, other) <= {K}),
+near AS MATERIALIZED (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY sim, attempt, m, pid ORDER BY d2, other) <= {k}),
 near_cov AS (SELECT sim, attempt, m, pid, {_cov('o')} FROM near GROUP BY ALL),
 {_eigen('near_cov', 'sim, attempt, m, pid', 'normal')},
 classed AS MATERIALIZED (SELECT one.*, slope_deg, coalesce(slope_deg <= {LIMIT}, false) AS inlier FROM one LEFT JOIN normal USING (sim, attempt, m, pid)),
@@ -110,15 +112,15 @@ patch_cov AS (SELECT sim, attempt, m, {_cov('')} FROM one GROUP BY ALL),
 {_eigen('patch_cov', 'sim, attempt, m', 'plane')},
 {_hull('one', 'hull')},
 shape AS (SELECT *, 4 * pi() * area / (perimeter * perimeter) AS circularity FROM hull),
-rungs AS (SELECT unnest(range(CAST(floor((sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) - {RADIUS}) / {INCREMENT}) AS BIGINT) + 2)) AS m FROM cloud),
-local AS MATERIALIZED (SELECT cloud.*, kdist, coalesce(slope_deg <= {LIMIT}, false) AS gentle, CAST(floor(x) AS BIGINT) AS gx, CAST(floor(y) AS BIGINT) AS gy
-  FROM cloud JOIN (SELECT pid, sqrt(max(d2)) AS kdist FROM (SELECT * FROM cloud_near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, other) <= {K}) GROUP BY pid) USING (pid) JOIN cloud_normal USING (pid)),
+rungs AS (SELECT unnest(range(CAST(floor((sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) - {RADIUS}) / {increment}) AS BIGINT) + 2)) AS m FROM cloud),
+local AS MATERIALIZED (SELECT cloud.*, kdist, coalesce(slope_deg <= {LIMIT}, false) AS gentle, CAST(floor(x / {cell}) AS BIGINT) AS gx, CAST(floor(y / {cell}) AS BIGINT) AS gy
+  FROM cloud JOIN (SELECT pid, sqrt(max(d2)) AS kdist FROM (SELECT * FROM cloud_near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, other) <= {k}) GROUP BY pid) USING (pid) JOIN cloud_normal USING (pid)),
 span AS MATERIALIZED (SELECT sim, attempt, local.*, sqrt((x - sx) ** 2 + (y - sy) ** 2 + (z - sz) ** 2) AS d FROM inside, local),
 steep_at AS (SELECT sim, attempt, min(d + kdist) AS ends FROM span WHERE NOT gentle GROUP BY ALL),
-open_rung AS MATERIALIZED (SELECT inside.sim, inside.attempt, m, {RADIUS} + {INCREMENT} * m AS r FROM inside LEFT JOIN steep_at USING (sim, attempt), rungs WHERE ends IS NULL OR {RADIUS} + {INCREMENT} * (m - 1) <= ends),
+open_rung AS MATERIALIZED (SELECT inside.sim, inside.attempt, m, {RADIUS} + {increment} * m AS r FROM inside LEFT JOIN steep_at USING (sim, attempt), rungs WHERE ends IS NULL OR {RADIUS} + {increment} * (m - 1) <= ends),
 sure AS (SELECT o.*, ends IS NULL OR r <= ends AS calm FROM open_rung o LEFT JOIN steep_at USING (sim, attempt)),
-rim_at AS MATERIALIZED (SELECT sim, attempt, m, r, pid, x, y, z, gx, gy, CASE WHEN kdist < 0.6 THEN 1 ELSE 4 END AS far FROM span JOIN open_rung USING (sim, attempt) WHERE d < r AND d + kdist >= r),
-rim_around AS (SELECT a.sim, a.attempt, a.m, a.pid, min_by({{'ox': b.x, 'oy': b.y, 'oz': b.z}}, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, {K}) AS around FROM
+rim_at AS MATERIALIZED (SELECT sim, attempt, m, r, pid, x, y, z, gx, gy, CASE WHEN kdist < 0.6 THEN {near} ELSE 4 * {near} END AS far FROM span JOIN open_rung USING (sim, attempt) WHERE d < r AND d + kdist >= r),
+rim_around AS (SELECT a.sim, a.attempt, a.m, a.pid, min_by({{'ox': b.x, 'oy': b.y, 'oz': b.z}}, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, {k}) AS around FROM
   (SELECT *, unnest(range(gx - far, gx + far + 1)) AS bx FROM rim_at) a JOIN span b ON a.sim = b.sim AND a.attempt = b.attempt AND a.bx = b.gx AND b.gy BETWEEN a.gy - a.far AND a.gy + a.far AND b.d < a.r GROUP BY ALL),
 rim_cov AS (SELECT sim, attempt, m, pid, {_cov('')} FROM (SELECT sim, attempt, m, pid, n.ox AS x, n.oy AS y, n.oz AS z FROM (SELECT *, unnest(around) AS n FROM rim_around)) GROUP BY ALL),
 {_eigen('rim_cov', 'sim, attempt, m, pid', 'rim_normal')},
@@ -126,7 +128,7 @@ rim_out AS (SELECT sim, attempt, m, count(*) FILTER (slope_deg IS NULL OR slope_
 size_at AS (SELECT o.sim, o.attempt, o.m, count(*) AS n FROM open_rung o JOIN span s ON s.sim = o.sim AND s.attempt = o.attempt AND s.d < o.r GROUP BY ALL),
 climb AS MATERIALIZED (SELECT sim, attempt, m, r, n, n >= 3 AND calm AND coalesce(n_out, 0) = 0 AS flat FROM sure JOIN size_at USING (sim, attempt, m) LEFT JOIN rim_out USING (sim, attempt, m)),
 stops AS (SELECT sim, attempt, coalesce(min(m) FILTER (NOT flat), max(m) + 1) AS stop FROM climb GROUP BY ALL),
-best AS MATERIALIZED (SELECT sim, attempt, stop - 1 AS m, CAST({RADIUS} + {INCREMENT} * (stop - 1) AS DOUBLE) AS r FROM stops WHERE stop > 0),
+best AS MATERIALIZED (SELECT sim, attempt, stop - 1 AS m, CAST({RADIUS} + {increment} * (stop - 1) AS DOUBLE) AS r FROM stops WHERE stop > 0),
 best_points AS MATERIALIZED (SELECT s.sim, s.attempt, m, pid, kx, ky, x, y, z FROM span s JOIN best b ON s.sim = b.sim AND s.attempt = b.attempt AND s.d < b.r),
 {_hull('best_points', 'best_hull')},
 best_cov AS (SELECT sim, attempt, m, {_cov('')} FROM best_points GROUP BY ALL),
@@ -136,17 +138,17 @@ disc AS MATERIALIZED (SELECT c.*, (SELECT max(sqrt((p.x - c.cx) ** 2 + (p.y - c.
 spheres AS (SELECT sim, attempt, cx, cy, top, r, top + CAST(0.2 AS DOUBLE) * k AS h FROM disc, (SELECT unnest(range(51)) AS k)),
 blocked AS MATERIALIZED (SELECT DISTINCT sim, attempt FROM spheres JOIN cloud ON z > top + 0.01 AND x BETWEEN cx - r AND cx + r AND y BETWEEN cy - r AND cy + r AND (x - cx) ** 2 + (y - cy) ** 2 + (z - h) ** 2 < r * r),
 rough AS (SELECT sim, attempt, slope_deg, sqrt(avg((nx * x + ny * y + nz * z - (nx * mx + ny * my + nz * mz)) ** 2)) AS roughness FROM best_points JOIN best_plane USING (sim, attempt, m) GROUP BY ALL),
-zones AS MATERIALIZED (SELECT sim, attempt, seed_pid, sx, sy, sz, m, CAST({RADIUS} + {INCREMENT} * m AS DOUBLE) AS patch_radius, disc.n / area AS data_confidence, relief, roughness, slope_deg,
-  disc.n / area + CAST({RADIUS} + {INCREMENT} * m AS DOUBLE) - relief - roughness AS score FROM disc JOIN rough USING (sim, attempt) JOIN best_hull USING (sim, attempt, m) JOIN inside USING (sim, attempt) ANTI JOIN blocked USING (sim, attempt)),
+zones AS MATERIALIZED (SELECT sim, attempt, seed_pid, sx, sy, sz, m, CAST({RADIUS} + {increment} * m AS DOUBLE) AS patch_radius, disc.n / area AS data_confidence, relief, roughness, slope_deg,
+  disc.n / area + CAST({RADIUS} + {increment} * m AS DOUBLE) - relief - roughness AS score FROM disc JOIN rough USING (sim, attempt) JOIN best_hull USING (sim, attempt, m) JOIN inside USING (sim, attempt) ANTI JOIN blocked USING (sim, attempt)),
 zone_points AS (SELECT best_points.* FROM best_points JOIN zones USING (sim, attempt)),
 grid AS (SELECT *, CAST(floor(x / 1.0) AS BIGINT) AS gx, CAST(floor(y / 1.0) AS BIGINT) AS gy FROM cloud),
 wide AS (SELECT *, CAST(floor(x / 2.5) AS BIGINT) AS gx, CAST(floor(y / 2.5) AS BIGINT) AS gy FROM cloud),
 cell_n AS (SELECT gx + dx AS gx, gy + dy AS gy, pid, x, y, z FROM wide, (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)),
 cloud_near AS MATERIALIZED (SELECT a.pid, b.pid AS other, b.x AS ox, b.y AS oy, b.z AS oz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
-  FROM cell_n a JOIN wide b USING (gx, gy) QUALIFY row_number() OVER (PARTITION BY a.pid ORDER BY d2, b.pid) <= 11),
-cloud_cov AS (SELECT pid, {_cov('o')} FROM (SELECT * FROM cloud_near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, other) <= {K}) GROUP BY ALL),
+  FROM cell_n a JOIN wide b USING (gx, gy) QUALIFY row_number() OVER (PARTITION BY a.pid ORDER BY d2, b.pid) <= {k + 1}),
+cloud_cov AS (SELECT pid, {_cov('o')} FROM (SELECT * FROM cloud_near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, other) <= {k}) GROUP BY ALL),
 {_eigen('cloud_cov', 'pid', 'cloud_normal')},
-distances AS MATERIALIZED (SELECT pid, avg(sqrt(d2)) AS mean_distance FROM (SELECT * FROM cloud_near WHERE other <> pid QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, other) <= {K}) GROUP BY pid),
+distances AS MATERIALIZED (SELECT pid, avg(sqrt(d2)) AS mean_distance FROM (SELECT * FROM cloud_near WHERE other <> pid QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, other) <= {k}) GROUP BY pid),
 sor_limit AS (SELECT avg(mean_distance) + 1.0 * stddev_samp(mean_distance) AS lim FROM distances),
 whole_cov AS (SELECT 1 AS g, {_cov('')} FROM cloud),
 {_eigen('whole_cov', 'g', 'whole_plane')},
@@ -455,6 +457,21 @@ def monte_carlo_summary(spark, d):
     return zones.groupBy("sim").agg(F.count("*").alias("n_zones"), F.round(F.max("score"), 4).alias("best_score"))
 
 
+#: Of the benchmark's configuration, with the limits of the one for own clouds.
+SIMULATIONS, MOST_ATTEMPTS, LIMITS = 20, 10_000, {"min_radius": 2.5, "max_slope": 25.0, "min_density": 30.0, "max_relief": 2.0, "max_roughness": 0.1}
+
+
+# The SQL looks at 25 attempts of each simulation, and at the first zone among them; on these tables each has one.
+FIRST = f"SELECT sim, {ZONE} FROM zones WHERE patch_radius >= 2.5 AND slope_deg <= 25 AND data_confidence >= 30 AND relief <= 2.0 AND roughness <= 0.1 QUALIFY row_number() OVER (PARTITION BY sim ORDER BY attempt) = 1"
+
+
+@query(FIRST, sims=SIMULATIONS, attempts=25)
+def monte_carlo_first_zones(spark, d):
+    sims = spark.range(SIMULATIONS).select(F.col("id").alias("sim"), (F.col("id") + 13).alias("salt"))
+    zones = algorithms.simulated_zones(_cloud(spark, d), sims, MOST_ATTEMPTS, RADIUS, K, LIMIT, INCREMENT, zones=1, keep=lambda found: patch.within_limits(found, **LIMITS))
+    return zones.select("sim", "attempt", "seed_pid", r("patch_radius"), r("data_confidence"), r("relief"), r("roughness"), r("score"))
+
+
 @query(None)
 def region_growing(spark, d):
     return algorithms.region_growing(_cloud(spark, d))

@@ -194,3 +194,43 @@ def test_growth_without_a_cap_ends_at_the_diagonal(spark):
     assert want[-1] == len(points) and len(want) > 3
     found, inliers = growth.detect(c, seeds)
     assert found.first().patch_radius == radii[-1] and inliers.count() == len(points)
+
+
+def test_simulations_stop_once_they_have_their_zones(spark, monkeypatch):
+    """The first zones by attempt are those of growing all attempts; normals are made once, and batches end early."""
+    c = ops.terrain(spark, 8.0, 2400)
+    sims = spark.createDataFrame([(0, 13), (1, 14), (2, 5000)], "sim long, salt long")
+    key = lambda df: sorted((r.sim, r.attempt, r.seed_pid, round(r.patch_radius, 6), round(r.score, 6)) for r in df.collect())
+    keep = lambda found: patch.within_limits(found, 1.0, max_relief=2.0, max_roughness=0.1)
+    every = key(keep(algorithms.simulated_zones(c, sims, 40, 0.5, 10, 25.0, 0.5)))
+    made = {"normals": 0, "candidates": 0}
+    for name in made:
+        def counted(*args, _name=name, _made=getattr(growth, name), **more):
+            made[_name] += 1
+            return _made(*args, **more)
+
+        monkeypatch.setattr(growth, name, counted)
+    for zones in (1, 2):
+        made.update(normals=0, candidates=0)
+        got = key(algorithms.simulated_zones(c, sims, 10_000, 0.5, 10, 25.0, 0.5, zones=zones, keep=keep))
+        assert got == [r for i in range(3) for r in [x for x in every if x[0] == i][:zones]] and len(got) == 3 * zones
+        assert made == {"normals": 1, "candidates": 1}  # 64 attempts of 10,000
+    seeds = ops.sample_seeds(c, 40)
+    made.update(normals=0, candidates=0)
+    found, _ = growth.detect(c, seeds, zones=3, batch=4)
+    want = growth.first_n(growth.candidates(ops.off_edge(seeds, c, 0.5), c, 0.5, 10, 25.0), 3)
+    assert sorted(r.attempt for r in found.collect()) == sorted(r.attempt for r in want.collect())
+    assert made["normals"] == 2 and 1 < made["candidates"] <= 5  # one for each of both calls; attempts 4, 8, 16 ...
+
+
+def test_steep_bound_holds_and_is_near(spark):
+    """Brute force: never under the least of distance and reach over steep points, and at most three times that and a cell."""
+    c = ops.terrain(spark, 12.0, 4000)
+    ground = growth.surface(c, 10)
+    seeds = ops.sample_seeds(c, 60)
+    got = {r.attempt: r.ends for r in growth.steep_bound(seeds, ground, 25.0).collect()}
+    steep = ground.points.where("slope_deg > 25 OR isnan(slope_deg)").toPandas()
+    for s in seeds.collect():
+        least = (np.sqrt((steep.x - s.seed_x) ** 2 + (steep.y - s.seed_y) ** 2 + (steep.z - s.seed_z) ** 2) + steep.reach).min()
+        assert least - 1e-9 <= got[s.attempt] <= 3 * least + 8 * ground.wide
+    assert not growth.steep_bound(seeds, ground, 91.0).count()

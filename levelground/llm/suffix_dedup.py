@@ -37,7 +37,7 @@ BLOCK = 1 << 17
 _PLACE = np.uint64((1 << 20) - 1)
 #: Anchors that a task holds before it hands them on; rows of a batch; strings sorted at once; contexts of a bucket.
 FLUSH, ROWS_OUT, STRINGS, CONTEXTS = 1_000_000, 50_000, 2_000_000, 200_000
-#: Bytes of spans and places that are broadcast at most.
+#: Bytes of packed anchors or spans that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -96,21 +96,27 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return *out, np.arange(len(out[0])) - np.searchsorted(out[0], out[0])
 
 
-# Packed arrays: a row for each target and many values in it.
+# Packed arrays: a row for each target and many values in it, one column's after the other's.
 
+_HASHES = {"tag": "<u4", "rid": "<i8", "ordinal": "<i4"}  # rid and ordinal as differences
+_SPANS = {"rid": "<i8", "start": "<i8", "stop": "<i8"}
+_SMALLER = {"string": "<i4", "lowest": "<i8"}
 
-def _pack(columns: dict[str, np.ndarray]) -> bytes:
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
 
+def _string_kinds(length: int) -> dict[str, str]:
+    return {f"w{level}": "<u8" for level in range((length + 7) // 8)} | _SMALLER
 
-def _unpack(blob: pa.Scalar) -> dict[str, np.ndarray]:
-    with pa.ipc.open_stream(blob.as_buffer()) as reader:
-        batch = reader.read_next_batch()
-    return {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+
+def _pack(kinds: dict[str, str], columns: dict[str, np.ndarray]) -> bytes:
+    raw = b"".join([columns[c].astype(kind, copy=False).tobytes() for c, kind in kinds.items()])
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(kinds: dict[str, str], blob: bytes) -> dict[str, np.ndarray]:
+    raw = pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), "zstd", asbytes=True)
+    size = [np.dtype(kind).itemsize for kind in kinds.values()]
+    n = len(raw) // sum(size)
+    return {c: np.frombuffer(raw, kind, n, n * sum(size[:i])) for i, (c, kind) in enumerate(kinds.items())}
 
 
 def _dealt(target: np.ndarray, **columns: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
@@ -132,7 +138,7 @@ def _deal_hashes(buckets: int, length: int, _task: int, batches: Iterator[pa.Rec
         held.clear()
         hashes = _mixed(hashes)  # the least of several hashes are small
         bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-        rows = [(b, _pack({"tag": own["tag"], "rid": np.diff(own["rid"], prepend=0), "ordinal": np.diff(own["ordinal"], prepend=0)})) for b, own in _dealt(bucket, tag=hashes.astype(np.uint32), rid=rid, ordinal=ordinal)]
+        rows = [(b, _pack(_HASHES, own | {c: np.diff(own[c], prepend=0) for c in ("rid", "ordinal")})) for b, own in _dealt(bucket, tag=hashes.astype(np.uint32), rid=rid, ordinal=ordinal)]
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
 
     for batch in batches:
@@ -147,8 +153,8 @@ def _deal_hashes(buckets: int, length: int, _task: int, batches: Iterator[pa.Rec
 def _repeated(_task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, rids, ordinals = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for batch in batches:
-        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
-            own = _unpack(blob)
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+            own = _unpack(_HASHES, blob)
             keys.append(own["tag"].astype(np.uint64) | np.uint64(bucket << 32))
             rids.append(np.cumsum(own["rid"]))
             ordinals.append(np.cumsum(own["ordinal"]))
@@ -164,13 +170,24 @@ def _repeated(_task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array(ordinal[own], pa.int32())], ["rid", "ordinal"])
 
 
+def _bits(_task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text, a bit for each anchor up to the last that is wanted."""
+    for batch in batches:
+        out = []
+        for own in batch.column("ordinals"):
+            at = own.values.to_numpy()
+            bits = np.zeros(int(at.max()) + 1, bool)
+            bits[at] = True
+            out.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.binary())], ["rid", "wanted"])
+
+
 def _contexts(length: int, _task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         text, first, number, place, _, _ = anchors(texts, length)
-        wanted = batch.column("ordinals")
-        own = np.repeat(np.arange(len(texts)), np.diff(wanted.offsets.to_numpy()))
-        chosen = np.searchsorted(text, own) + wanted.flatten().to_numpy()
+        wanted = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))) for x in batch.column("wanted").to_pylist()]
+        chosen = np.concatenate([s + at for s, at in zip(np.searchsorted(text, np.arange(len(texts))).tolist(), wanted)])
         text, first, number, place = text[chosen], first[chosen], number[chosen], place[chosen]
         data, begin = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])[text] + first
         rid, key = batch.column("rid").to_numpy()[text], batch.column("key").to_numpy()[text]
@@ -293,7 +310,7 @@ def _bucket(buckets: int, length: int, task: int, batches: Iterator[pa.RecordBat
     sorted_ = (per_run[own_run] > 1) | outer
     alone = ~sorted_[context]
     gone = alone & (key[order] > least[context])
-    yield from _span_rows(rid[order[gone]], first[order[gone]], first[order[gone]] + size[order[gone]])
+    spans = [(rid[order[gone]], first[order[gone]], first[order[gone]] + size[order[gone]])]
 
     some = np.flatnonzero(sorted_)
     total = np.cumsum(number[one[some]])
@@ -301,12 +318,13 @@ def _bucket(buckets: int, length: int, task: int, batches: Iterator[pa.RecordBat
         n = max(1, int(np.searchsorted(total - (total[0] - number[one[some[0]]]), STRINGS)))
         if n < len(some):  # whole runs, of which one may be longer
             n = int(np.searchsorted(own_run[some], own_run[some[n]])) or int(np.searchsorted(own_run[some], own_run[some[0]], "right"))
-        yield from _strings(buckets, length, task, of, some[:n], one, number, begin, at, own_run, least, outer, order, heads, rid, key, first)
+        yield from _strings(spans, buckets, length, task, of, some[:n], one, number, begin, at, own_run, least, outer, order, heads, rid, key, first)
         some, total = some[n:], total[n:]
+    yield from _span_rows(buckets, *map(np.concatenate, zip(*spans)))
 
 
-def _strings(buckets, length, task, of, some, one, number, begin, at, own_run, least, outer, order, heads, rid, key, first) -> Iterator[pa.RecordBatch]:
-    """The strings of some contexts, all of their runs: see _bucket, whose arrays the others are."""
+def _strings(spans, buckets, length, task, of, some, one, number, begin, at, own_run, least, outer, order, heads, rid, key, first) -> Iterator[pa.RecordBatch]:
+    """The strings of some contexts, all of their runs: see _bucket, whose arrays the others are.  Adds to spans what goes."""
     many = number[one[some]]
     item = np.repeat(np.arange(len(some)), many)
     string = _ranges(begin[one[some]], many)  # its place in the buffer
@@ -324,7 +342,7 @@ def _strings(buckets, length, task, of, some, one, number, begin, at, own_run, l
     records = lambda of_: (order[_ranges(heads[of_], (stops - heads)[of_])], np.repeat(np.arange(len(of_)), (stops - heads)[of_]))
     mine, theirs = records(some)
     here = ~outer[some][theirs]
-    yield from _span_rows(*_cover(lowest[kind], many, theirs[here], key[mine[here]], rid[mine[here]], first[mine[here]], length))
+    spans.append(_cover(lowest[kind], many, theirs[here], key[mine[here]], rid[mine[here]], first[mine[here]], length))
 
     if outer[some].any():
         apart = outer[some]
@@ -334,39 +352,40 @@ def _strings(buckets, length, task, of, some, one, number, begin, at, own_run, l
         hashes = np.zeros(len(place), np.uint64)
         for level in range(bytes_.shape[1]):
             hashes = _mixed(hashes + bytes_[:, level])
-        # each context's strings by number, and the records of each context
-        yield _packed_row("record", task, {"string": where.astype(np.int32)}, {"lowest": lowest[strings]}, {"many": many[apart]}, _numbers(theirs[~here], apart, mine[~here], key, rid, first), batch=int(some[0]))
-        rows = list(_dealt(((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), at=np.arange(len(place))))
-        for bucket, own in rows:
+        # each context's strings by number, and the records of each context, which are numbered anew
+        own = (np.cumsum(apart) - 1)[theirs[~here]]
+        mine = mine[~here]
+        record = {"string": where.astype(np.int32), "lowest": lowest[strings], "many": many[apart], "context": own, "key": key[mine], "rid": rid[mine], "first": first[mine]}
+        yield _packed_row("record", task, b"".join([len(c).to_bytes(8, "little") + c.astype("<i8").tobytes() for c in record.values()]), batch=int(some[0]))
+        for bucket, own in _dealt(((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), at=np.arange(len(place))):
             columns = {f"w{level}": bytes_[own["at"], level] for level in range(bytes_.shape[1])}
-            yield _packed_row("string", bucket, columns | {"lowest": lowest[strings][own["at"]], "string": own["at"]}, origin=task, batch=int(some[0]))
+            yield _packed_row("string", bucket, _pack(_string_kinds(length), columns | {"lowest": lowest[strings][own["at"]], "string": own["at"]}), origin=task, batch=int(some[0]))
 
 
-def _numbers(theirs, apart, mine, key, rid, first) -> dict[str, np.ndarray]:
-    """Records of the contexts apart, which are numbered anew."""
-    return {"context": (np.cumsum(apart) - 1)[theirs], "key": key[mine], "rid": rid[mine], "first": first[mine]}
+def _record(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(np.frombuffer(blob, "<i8", n, at + 8))
+        at += 8 + 8 * n
+    return out
 
 
-_OUT = "rid long, start long, stop long, what string, bucket int, origin int, batch int, blob binary"
-_NAMES = ["rid", "start", "stop", "what", "bucket", "origin", "batch", "blob"]
+_OUT = "what string, bucket int, origin int, batch int, blob binary"
 
 
-def _span_rows(rid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(rid), ROWS_OUT):
-        part = slice(i, i + ROWS_OUT)
-        n = len(rid[part])
-        yield pa.RecordBatch.from_arrays([*[pa.array(x[part], pa.int64()) for x in (rid, start, stop)], pa.nulls(n, pa.string()), *[pa.nulls(n, pa.int32())] * 3, pa.nulls(n, pa.binary())], _NAMES)
+def _packed_row(what: str, bucket: int, blob: bytes, origin: int = 0, batch: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([what]), *[pa.array([x], pa.int32()) for x in (bucket, origin, batch)], pa.array([blob], pa.binary())], ["what", "bucket", "origin", "batch", "blob"])
 
 
-def _packed_row(what: str, bucket: int, *columns: dict[str, np.ndarray], origin: int | None = None, batch: int = 0) -> pa.RecordBatch:
-    blobs = [_pack(c) for c in columns]
-    blob = blobs[0] if len(blobs) == 1 else _pack({"part": np.array([*blobs], object)})
-    return pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 3, pa.array([what]), pa.array([bucket], pa.int32()), pa.array([origin], pa.int32()), pa.array([batch], pa.int32()), pa.array([blob], pa.binary())], _NAMES)
+def _span_rows(buckets: int, rid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for bucket, own in _dealt((_mixed(rid.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), rid=rid, start=start, stop=stop):
+        yield _packed_row("span", bucket, _pack(_SPANS, own))
 
 
 def _across(length: int, _task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of strings that several buckets may have, those of which another bucket has a smaller document."""
-    held = [(o, b, _unpack(x)) for batch in batches for o, b, x in zip(batch.column("origin").to_pylist(), batch.column("batch").to_pylist(), batch.column("blob"))]
+    held = [(o, b, _unpack(_string_kinds(length), x)) for batch in batches for o, b, x in zip(*[batch.column(c).to_pylist() for c in ("origin", "batch", "blob")])]
     if not held:
         return
     size = [len(x["string"]) for _, _, x in held]
@@ -380,42 +399,51 @@ def _across(length: int, _task: int, batches: Iterator[pa.RecordBatch]) -> Itera
     smaller = now < lowest
     held_by, string = np.repeat(np.arange(len(held)), size), column("string")
     for i, own in _dealt(held_by[smaller], string=string[smaller], lowest=now[smaller]):
-        yield _packed_row("smaller", held[i][0], own, batch=held[i][1])
+        yield _packed_row("smaller", held[i][0], _pack(_SMALLER, own), batch=held[i][1])
 
 
-def _outer_spans(length: int, _task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _outer_spans(buckets: int, length: int, _task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What goes from the records of first and last runs, once strings have met across boundaries."""
     records, smaller = {}, {}
     for batch in batches:
-        for what, bucket, part, blob in zip(batch.column("what").to_pylist(), batch.column("bucket").to_pylist(), batch.column("batch").to_pylist(), batch.column("blob")):
+        for what, bucket, part, blob in zip(*[batch.column(c).to_pylist() for c in ("what", "bucket", "batch", "blob")]):
             if what == "record":
-                records[bucket, part] = [_unpack(pa.scalar(x, pa.binary())) for x in _unpack(blob)["part"]]
+                records[bucket, part] = _record(blob)
             else:
-                smaller.setdefault((bucket, part), []).append(_unpack(blob))
-    for place, (strings, least, many, own) in records.items():
-        lowest = least["lowest"].copy()
+                smaller.setdefault((bucket, part), []).append(_unpack(_SMALLER, blob))
+    spans = []
+    for place, (string, lowest, many, context, key, rid, first) in records.items():
+        lowest = lowest.copy()
         for x in smaller.get(place, []):
             lowest[x["string"]] = x["lowest"]
-        yield from _span_rows(*_cover(lowest[strings["string"]], many["many"], own["context"], own["key"], own["rid"], own["first"], length))
+        spans.append(_cover(lowest[string], many, context, key, rid, first, length))
+    if spans:
+        yield from _span_rows(buckets, *map(np.concatenate, zip(*spans)))
 
 
 # Spans of each text.
 
 
 def _merged(_task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, removed, number = [], [], []
-        for of in batch.column("spans"):
-            spans = of.values
-            start, stop = (spans.field(i).to_numpy() for i in (0, 1))
-            by = np.argsort(start)
-            start, stop = start[by], np.maximum.accumulate(stop[by])
-            new = np.append(True, start[1:] > stop[:-1])
-            start, stop = start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)]
-            out.append(np.stack([start, stop], 1).astype("<i8").tobytes())
-            removed.append(int((stop - start).sum()))
-            number.append(len(start))
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.binary()), pa.array(removed, pa.int64()), pa.array(number, pa.int64())], ["rid", "spans", "n_removed", "n_spans"])
+    """Overlapping and adjoining spans of each text as one."""
+    held = [_unpack(_SPANS, x) for batch in batches for x in batch.column("blob").to_pylist()]
+    if not held:
+        return
+    rid, start, stop = (np.concatenate([x[c] for x in held]) for c in _SPANS)
+    by = np.lexsort((start, rid))
+    rid, start, stop = rid[by], start[by], stop[by]
+    text = np.cumsum(np.append(False, rid[1:] != rid[:-1]))
+    base = text * (int(stop.max()) + 1)
+    stop = np.maximum.accumulate(base + stop) - base
+    new = np.append(True, (rid[1:] != rid[:-1]) | (start[1:] > stop[:-1]))
+    at = np.flatnonzero(new)
+    rid, start, stop = rid[at], start[at], stop[np.append(at[1:] - 1, len(stop) - 1)]
+    texts = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
+    edges, removed, number = np.stack([start, stop], 1).astype("<i8"), np.add.reduceat(stop - start, texts), np.diff(np.append(texts, len(rid)))
+    for i in range(0, len(texts), ROWS_OUT):
+        part = texts[i : i + ROWS_OUT]
+        spans = [edges[s : s + n].tobytes() for s, n in zip(part.tolist(), number[i : i + ROWS_OUT].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(rid[part]), pa.array(spans, pa.binary()), *[pa.array(x[i : i + ROWS_OUT], pa.int64()) for x in (removed, number)]], ["rid", "spans", "n_removed", "n_spans"])
 
 
 def _kept(_task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,10 +456,13 @@ def _kept(_task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(kept, pa.binary())], ["rid", "kept"])
 
 
-def _beside(big: DataFrame, small: DataFrame, size: str) -> DataFrame:
-    """big joined with small (stored) on rid; small is broadcast after its rows and bytes were checked."""
-    n, total = small.agg(F.count("*"), F.sum(F.expr(size))).first()
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else small, "rid")
+def _of_texts(texts: DataFrame, packed: DataFrame, column: str) -> DataFrame:
+    """The texts of which there is something packed (rid and column, stored), which is broadcast after its rows and bytes were
+    checked; beyond that the texts are shuffled."""
+    n, size = packed.agg(F.count("*"), F.sum(F.octet_length(column))).first()
+    few = n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    packed = packed.select("rid", column)
+    return texts.join(F.broadcast(packed) if few else packed, "rid")
 
 
 def _analysed(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -452,8 +483,9 @@ def _analysed(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = arrow_rows(single.select("rid", "text"), partial(_deal_hashes, 4 * parts, length), "bucket int, blob binary").repartition(parts, "bucket")
-    marks = stored(arrow_rows(dealt, _repeated, "rid long, ordinal int").groupBy("rid").agg(F.collect_list("ordinal").alias("ordinals")), "marks")
-    contexts = arrow_rows(_beside(single, marks, "4L * size(ordinals)"), partial(_contexts, length), "rid long, key long, first long, at int, ctx binary")
+    marks = arrow_rows(dealt, _repeated, "rid long, ordinal int").groupBy("rid").agg(F.collect_list("ordinal").alias("ordinals"))
+    marks = stored(arrow_rows(marks, _bits, "rid long, wanted binary"), "marks")
+    contexts = arrow_rows(_of_texts(single, marks, "wanted"), partial(_contexts, length), "rid long, key long, first long, at int, ctx binary")
     contexts = stored(contexts, "contexts")
 
     parts = max(parts, -(-contexts.count() // CONTEXTS))
@@ -462,8 +494,8 @@ def _analysed(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple
     strings = found.where("what = 'string'").select("bucket", "origin", "batch", "blob").repartition(parts, "bucket")
     smaller = arrow_rows(strings, partial(_across, length), _OUT)
     met = found.where("what = 'record'").unionByName(smaller).select("what", "bucket", "batch", "blob").repartition(parts, "bucket")
-    spans = found.where("what IS NULL").unionByName(arrow_rows(met, partial(_outer_spans, length), _OUT)).select("rid", F.struct("start", "stop").alias("span"))
-    spans = arrow_rows(spans.groupBy("rid").agg(F.collect_list("span").alias("spans")), _merged, "rid long, spans binary, n_removed long, n_spans long")
+    spans = found.where("what = 'span'").unionByName(arrow_rows(met, partial(_outer_spans, parts, length), _OUT)).select("bucket", "blob").repartition(parts, "bucket")
+    spans = arrow_rows(spans, _merged, "rid long, spans binary, n_removed long, n_spans long")
     return texts, copies, stored(spans, "spans")
 
 
@@ -471,7 +503,7 @@ def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs that loses bytes: id, spans (what goes, in bytes: pairs of long, start and stop, little-endian), kept
     (binary: the bytes that stay).  See suffix_dedup."""
     texts, copies, spans = _analysed(docs, id_col, text_col, length)
-    kept = arrow_rows(_beside(texts.select("rid", "text"), spans, "length(spans)"), _kept, "rid long, kept binary").join(spans.select("rid", "spans"), "rid")
+    kept = arrow_rows(_of_texts(texts.select("rid", "text"), spans, "spans"), _kept, "rid long, kept binary").join(spans.select("rid", "spans"), "rid")
     long = texts.where(F.col("n_bytes") >= length).join(copies, "rid", "left_semi")
     edge = lambda n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(n), 16, "0"), i, 2) for i in range(15, 0, -2)]))
     whole = long.select("rid", F.lit(b"").alias("kept"), F.concat(edge(F.lit(0)), edge(F.col("n_bytes"))).alias("spans"))
@@ -487,7 +519,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other columns are left out.
     """
     texts, copies, spans = _analysed(docs, id_col, text_col, length)
-    kept = arrow_rows(_beside(texts.select("rid", "text"), spans, "length(spans)"), _kept, "rid long, kept binary").select("rid", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = arrow_rows(_of_texts(texts.select("rid", "text"), spans, "spans"), _kept, "rid long, kept binary").select("rid", F.sha2("kept", 256).alias("kept_sha256"))
     gone = spans.select("rid", "n_removed", "n_spans").join(kept, "rid")
     gone = gone.unionByName(copies.select("rid", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(_EMPTY).alias("kept_sha256")))
     out = texts.select("rid", "id", "n_bytes", F.lower(F.hex("sha")).alias("sha")).join(gone, "rid", "left")

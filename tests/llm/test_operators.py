@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from levelground.llm import decontaminate as dc  # noqa: E402
-from levelground.llm import exact_dedup, jaccard_join, language, licences, line_dedup, packing, pii, secrets, spans, token_counts  # noqa: E402
+from levelground.llm import alignment, exact_dedup, importance, jaccard_join, language, licences, line_dedup, packing, pii, secrets, spans, suffix_dedup, token_counts  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, id string, words string, rid long, n int"
-BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+BYTES, WORDS, PIECES = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ODD = [None, "", " ", "\n\n", "é" * 3, "a", "x" * 30_000, "word " * 3_000, "tab\tand\x0bmore\x85 nbsp", "Ελλάς ΣΊΣΥΦΟΣ 中文 ❤️ naïve", "<|endoftext|> and <|startoftext|>", "don't 'tis we're  two   spaces\r\n"]
 
 
@@ -50,6 +50,9 @@ ALL = {
     "exact": SAME,
     "licences": lambda df: licences.licence_scan(df, licences.document_path()),
     "tokens": lambda df: token_counts.token_counts(df, BYTES),
+    "suffixes": lambda df: suffix_dedup.suffix_dedup(df),
+    "alignment": lambda df: alignment.alignment_counts(df, BYTES, PIECES),
+    "importance": lambda df: importance.importance_sample(df, df.sparkSession.createDataFrame([("some item text",), (None,)], "text string")),
 }
 
 

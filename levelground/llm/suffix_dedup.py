@@ -1,7 +1,7 @@
 """Removal of long byte strings that an earlier document has, by a sparse suffix array.
 
-Every string of `length` bytes holds one anchor: of the hashes of its 16-byte runs the least, the leftmost among equals, which
-the string alone decides.  So equal strings meet at their anchors, and a suffix array of anchors, one in some 17 bytes, finds
+Every string of `length` bytes holds one anchor: of the hashes of its 24-byte runs the least, the leftmost among equals, which
+the string alone decides.  So equal strings meet at their anchors, and a suffix array of anchors, one in some 14 bytes, finds
 them all.  An anchor's record is its context: the bytes of all strings that chose it.
 
 1. Of equal texts one goes on; the others are covered by it.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from levelground.llm._common import BROADCAST_ROWS, arrow_rows, id_text, spread, stored
 
-#: Bytes of an anchor's run.
-RUN = 16
+#: Bytes of an anchor's run.  Shorter ones leave fewer anchors, but meet by chance the more often the larger the corpus is.
+RUN = 24
 #: Texts are hashed in blocks of so many bytes, that the arrays stay in a core's cache.
 BLOCK = 1 << 17
 _PLACE = np.uint64((1 << 20) - 1)
@@ -55,7 +55,9 @@ def _block(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     size = np.array(list(map(len, pieces)), np.int64)
     stop, n = np.cumsum(size), int(size.sum())
     words = np.ndarray((n + RUN - 8,), "<u8", b"".join(pieces) + bytes(RUN), strides=(1,)).copy()
-    hashes = _mixed(words[:n] + _mixed(words[8 : n + 8]))
+    hashes = np.zeros(n, np.uint64)
+    for at in range(0, RUN, 8):
+        hashes = _mixed(hashes + words[at : at + n])
     least = (hashes & ~_PLACE) | np.arange(n, dtype=np.uint64)
     width, window = 1, length - RUN + 1
     while width < window:

@@ -64,9 +64,11 @@ def same_point(left: DataFrame, right: DataFrame, on: tuple[str, ...], how: str
 
 #: Cells along the side of a block, which one call handles, and points that a cell holds on average.
 BLOCK, PER_CELL = 16, 24
+#: Points of a block, by and large, beyond which it is cut up.
+MOST = 50_000
 
 
-def by_neighbours(cloud: DataFrame, k: int, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str, on: tuple[str, ...] = (), rounds: int = 24) -> DataFrame:
+def by_neighbours(cloud: DataFrame, k: int, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str, on: tuple[str, ...] = (), rounds: int = 64) -> DataFrame:
     """on, pid and what `measure` says of the k nearest points of the whole cloud for each point, itself included (fewer if
     the cloud is smaller).  measure gets all points in reach (x, y, z), rows of the k nearest for each point, equal
     distances by pid, and their squared distances, and gives columns.
@@ -74,6 +76,10 @@ def by_neighbours(cloud: DataFrame, k: int, measure: Callable[[np.ndarray, np.nd
     Points fall into cells, and blocks of cells meet with the cells around them in one call, so each point moves about
     once and no pair of points does.  A neighbour within one cell's side is certain; points whose k-th is farther go on
     with doubled cells, and only the blocks around them.
+
+    Clouds may be denser in places by any factor.  Points of a block with more than MOST points go on in cells of a quarter of
+    the side, and so on, as in a quadtree; their own neighbours are near.  The few points of sparse places beside dense ones,
+    which are not certain there, meet wider blocks in parts of some MOST points, and the best of all parts are taken.
     """
     from levelground.operators.storage import stored
 
@@ -83,24 +89,60 @@ def by_neighbours(cloud: DataFrame, k: int, measure: Callable[[np.ndarray, np.nd
     area = max(width, height * 1e-3, 1e-9) * max(height, width * 1e-3, 1e-9)
     side = math.sqrt(area * max(PER_CELL, k) / max(most, 1))
     kinds = "".join(f"{c} {cloud.schema[c].dataType.simpleString()}, " for c in on)
+    pid = cloud.schema["pid"].dataType.simpleString()
+    out, block = f"{kinds}pid {pid}, {schema}", ["_bx", "_by"]
+
+    def measured(key: tuple, group: pd.DataFrame, core: np.ndarray, rows: np.ndarray, d2: np.ndarray) -> pd.DataFrame:
+        found = {c: v for c, v in zip(on, key)} | {"pid": group["pid"].to_numpy()[core]}
+        if not len(rows):
+            return pd.DataFrame(columns=[*found, *(c.split()[0] for c in schema.split(", "))])
+        return pd.DataFrame(found | measure(group.assign(_core=core, _i=range(len(group))), rows, d2))
 
     def search(side: float, whole: bool):
         def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("pid", kind="stable")
-            xyz, core = group[["x", "y", "z"]].to_numpy(float), group["_core"].to_numpy(bool)
-            rows, d2, exact = nearest(xyz, xyz[core], k, side, math.inf if whole else side)
-            exact |= whole
-            found = {c: v for c, v in zip(on, key)} | {"pid": group["pid"].to_numpy()[core][exact]}
-            if not exact.any():
-                return pd.DataFrame(columns=[*found, *(c.split()[0] for c in schema.split(", "))])
-            return pd.DataFrame(found | measure(group.assign(_i=range(len(group))), rows[exact], d2[exact]))
+            xyz, core = group[["x", "y", "z"]].to_numpy(float), np.flatnonzero(group["_core"].to_numpy(bool))
+            rows, d2, _ = nearest(xyz, xyz[core], k, side, math.inf if whole else side)
+            exact = np.full(len(core), whole) if whole or rows.shape[1] < k else d2[:, -1] <= side * side
+            return measured(key, group, np.isin(np.arange(len(group)), core[exact]), rows[exact], d2[exact])
+
+        return run
+
+    def part(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest in a part of a block for each of the block's points that are looked for"""
+        there = group[~group["_asks"]].sort_values("pid", kind="stable")
+        asks = group[group["_asks"]]
+        rows, d2, _ = nearest(there[["x", "y", "z"]].to_numpy(float), asks[["x", "y", "z"]].to_numpy(float), k)
+        own = {c: np.repeat(asks[c].to_numpy(), rows.shape[1]) for c in ("pid", "x", "y", "z")}
+        columns = dict(zip((*on, *block), key)) | {f"own_{c}": v for c, v in own.items()} | {"d2": d2.ravel()}
+        return pd.DataFrame(columns | {c: there[c].to_numpy()[rows].ravel() for c in ("pid", "x", "y", "z")})
+
+    def best(side: float, whole: bool):
+        """Of all parts of a block, which holds more than k points."""
+
+        def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            near = group.sort_values(["own_pid", "d2", "pid"], kind="stable")
+            near = near[near.groupby("own_pid").cumcount() < k]
+            exact = np.full(len(near) // k, True) if whole else near["d2"].to_numpy().reshape(-1, k)[:, -1] <= side * side
+            near = near[np.repeat(exact, k)]
+            asks = near.iloc[::k][["own_pid", "own_x", "own_y", "own_z"]].rename(columns=lambda c: c.removeprefix("own_"))
+            there = pd.concat([near[["pid", "x", "y", "z"]], asks]).drop_duplicates("pid").sort_values("pid", ignore_index=True)
+            rows = np.searchsorted(there["pid"].to_numpy(), near["pid"].to_numpy()).reshape(-1, k)
+            return measured(key, there, there["pid"].isin(asks["pid"]).to_numpy(), rows, near["d2"].to_numpy().reshape(-1, k))
 
         return run
 
-    points, open_, done = cloud.select(*on, "pid", "x", "y", "z"), None, None
+    keyed = lambda run: (lambda key, group: run(key[: len(on)], group))
+    same = lambda left, right: [F.col(left[0]) == F.col(right[0]), F.col(left[1]) == F.col(right[1]), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]]
+    points, done = cloud.select(*on, "pid", "x", "y", "z"), None
+    # which points are looked at with cells of side * 2 ** size, by size; True: for the first time, and all if None
+    waiting: dict[tuple[int, bool], DataFrame | None] = {(0, True): None}
     for _ in range(rounds):
-        whole = side * (BLOCK - 2) > max(width, height)  # one block and its rim then hold every point of a cloud
-        cell = {c: F.lit(0) if whole else F.floor(F.col(c) / side) for c in "xy"}
+        size, fresh = at = min(waiting)
+        open_ = waiting.pop(at)
+        s = side * 2.0**size
+        whole = s * (BLOCK - 2) > max(width, height)  # one block and its rim then hold every point of a cloud
+        cell = {c: F.lit(0) if whole else F.floor(F.col(c) / s) for c in "xy"}
         blocks = [F.explode(F.sequence(F.floor((cell[c] - 1) / BLOCK), F.floor((cell[c] + 1) / BLOCK))) if not whole else F.lit(0) for c in "xy"]
         marked = points if open_ is None else same_point(points, open_.withColumn("_open", F.lit(True)), on)
         near = marked.withColumn("_bx", blocks[0]).withColumn("_by", blocks[1])
@@ -108,18 +150,38 @@ def by_neighbours(cloud: DataFrame, k: int, measure: Callable[[np.ndarray, np.nd
         near = near.withColumn("_core", core)
         if open_ is not None:
             wanted = near.where("_core").select(*[F.col(c).alias(f"_{c}") for c in on], F.col("_bx").alias("_wx"), F.col("_by").alias("_wy")).distinct()
-            near = near.join(wanted, [F.col("_bx") == F.col("_wx"), F.col("_by") == F.col("_wy"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]], "left_semi")
-        found = near.select(*on, "_bx", "_by", "pid", "x", "y", "z", "_core").groupBy(*on, "_bx", "_by")
-        keyed = lambda run: (lambda key, group: run(key[: len(on)], group))
-        found = stored(found.applyInPandas(keyed(search(side, whole)), f"{kinds}pid {cloud.schema['pid'].dataType.simpleString()}, {schema}"), "neighbours")
-        done = found if done is None else done.unionByName(found)
-        if whole:
-            break
-        open_ = stored(same_point((points if open_ is None else open_).select(*on, "pid"), found.select(*on, "pid"), on, "left_anti"), "open")
-        if not open_.limit(1).count():
-            break
-        side *= 2
-    return done
+            near = near.join(wanted, same(block, ["_wx", "_wy"]), "left_semi")
+        near = near.select(*on, "_bx", "_by", "pid", "x", "y", "z", "_core")
+        crowded = near.groupBy(*on, *block).agg(F.count("*").alias("_n")).where(F.col("_n") > MOST)
+        some = bool(crowded.limit(1).count())
+        if some:
+            crowded = stored(crowded, "crowded").withColumnsRenamed({c: f"_{c}" for c in on} | {"_bx": "_wx", "_by": "_wy"})
+            apart = near.join(crowded, same(block, ["_wx", "_wy"])).drop("_wx", "_wy", *[f"_{c}" for c in on])
+            near = near.join(crowded, same(block, ["_wx", "_wy"]), "left_anti")
+        found = stored(near.groupBy(*on, *block).applyInPandas(keyed(search(s, whole)), out), "neighbours")
+        looked = [found]
+        if some and fresh:
+            deeper = stored(apart.where("_core").select(*on, "pid"), "deeper")
+            waiting[size - 2, True] = deeper
+        elif some:
+            parts = F.greatest(F.lit(1), F.floor(F.col("_n") / MOST)).cast("int")
+            asks = apart.where("_core").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("_asks", F.lit(True))
+            there = apart.withColumn("_part", F.pmod(F.xxhash64("pid"), parts).cast("int")).withColumn("_asks", F.lit(False))
+            near = asks.unionByName(there).drop("_n", "_core").groupBy(*on, *block, "_part").applyInPandas(part, f"{kinds}_bx long, _by long, own_pid {pid}, own_x double, own_y double, own_z double, d2 double, pid {pid}, x double, y double, z double")
+            looked.append(stored(near.groupBy(*on, *block).applyInPandas(keyed(best(s, whole)), out), "neighbours"))
+        for x in looked:
+            done = x if done is None else done.unionByName(x)
+        if not whole:
+            left = points if open_ is None else open_
+            for x in [*looked, *([deeper] if some and fresh else [])]:
+                left = same_point(left.select(*on, "pid"), x.select(*on, "pid"), on, "left_anti")
+            known = waiting.pop((size + 1, False), None)
+            left = stored(left.select(*on, "pid") if known is None else left.select(*on, "pid").unionByName(known), "open")
+            if left.limit(1).count():
+                waiting[size + 1, False] = left
+        if not waiting:
+            return done
+    raise RuntimeError(f"points are left after {rounds} rounds")
 
 
 def knn(cloud: DataFrame, k: int, on: tuple[str, ...] = ()) -> DataFrame:

@@ -234,3 +234,37 @@ def test_steep_bound_holds_and_is_near(spark):
         least = (np.sqrt((steep.x - s.seed_x) ** 2 + (steep.y - s.seed_y) ** 2 + (steep.z - s.seed_z) ** 2) + steep.reach).min()
         assert least - 1e-9 <= got[s.attempt] <= 3 * least + 8 * ground.wide
     assert not growth.steep_bound(seeds, ground, 91.0).count()
+
+
+def test_neighbours_of_an_uneven_cloud(spark, monkeypatch):
+    """Some 5,000 times denser in one place, lone points and equal ones: equal to brute force, and no call gets a crowd."""
+    monkeypatch.setattr(spatial, "BLOCK", 2)
+    monkeypatch.setattr(spatial, "MOST", 500)
+    sizes = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(6)
+    xyz = np.concatenate([rng.random((400, 3)) * [60, 60, 1], rng.random((1200, 3)) * [1.5, 1.5, 0.1] + [20, 20, 0], rng.random((3, 3)) + 300, np.ones((8, 3)) * [20.5, 20.5, 0.05]])
+    most = {}
+
+    def watched(points, of, k, *more, _nearest=spatial.nearest):
+        sizes.add(len(points) > 1200)
+        return _nearest(points, of, k, *more)
+
+    monkeypatch.setattr(spatial, "nearest", watched)
+    for r in spatial.knn(cloud(spark, xyz.tolist()), 5).collect():
+        most.setdefault(r.pid, {})[r["rank"]] = r.other
+    for i, p in enumerate(xyz):
+        d2 = ((xyz - p) ** 2).sum(axis=1)
+        assert [most[i][j] for j in range(1, 6)] == np.lexsort((np.arange(len(xyz)), d2))[:5].tolist()
+    assert sizes.value == 0
+
+
+def test_lone_points_have_all_their_neighbours(spark):
+    """Points whose block holds fewer than k go on, though what they see lies close together."""
+    rng = np.random.default_rng(7)
+    xyz = np.concatenate([rng.random((3000, 3)) * [50, 50, 1], rng.random((2, 3)) + 200])
+    got = {}
+    for r in spatial.knn(cloud(spark, xyz.tolist()), 6).collect():
+        got.setdefault(r.pid, {})[r["rank"]] = r.other
+    for i in (0, 17, 3000, 3001):
+        d2 = ((xyz - xyz[i]) ** 2).sum(axis=1)
+        assert [got[i][j] for j in range(1, 7)] == np.lexsort((np.arange(len(xyz)), d2))[:6].tolist()

@@ -23,7 +23,9 @@ from levelground.llm.spans import PRIVATE_KINDS, digest, listed, private_spans
 
 _MARK = re.compile("[0-9@]")
 _REST = re.compile(r"\S*")
-_NEXT = re.compile(r"\s*(\S+)")
+#: Code points of a neighbouring word that a pattern takes at most, those nearest to what it stands by.
+REACH = 64
+_NEXT = re.compile(r"\s*(\S{1,%d})" % REACH)
 _DIGITS, _LETTERS = re.compile("[0-9]+"), re.compile("[^\\W\\d_]+")
 _TRIM = ".,;:!?()[]{}<>\"'|"
 
@@ -38,15 +40,16 @@ def shape(token: str) -> str:
 
 
 def patterns(text: str, start: int, stop: int) -> list[str]:
-    """Lexical contexts of text[start:stop], neighbouring words taken whole: the two words before it, the words on either
-    side, and the word on one side with the shape of what it stands by."""
+    """Lexical contexts of text[start:stop], the two words before it, the words on either side, and the word
+    on one side with the shape of what it stands by.  Of a word its REACH nearest code points count, so that a text without white
+    space takes time and memory in proportion to its length."""
     before, after, at = [], [], start
     for _ in range(2):
         end = at
         while end and text[end - 1].isspace():
             end -= 1
         at = end
-        while at and not text[at - 1].isspace():
+        while at > max(0, end - REACH) and not text[at - 1].isspace():
             at -= 1
         if at < end:
             before.append(text[at:end].lower())

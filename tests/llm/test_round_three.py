@@ -229,3 +229,39 @@ def test_importance_sql(spark):
     df = importance.op13_importance_resampling(spark, "/root/testdata/sf0.001")
     expected = con.sql(importance.SQL)
     assert sorted(map(str, expected.project(", ".join(df.columns)).fetchall())) == sorted(str(tuple(r)) for r in df.collect())
+
+
+# Mended this round
+
+
+def test_patterns_of_a_text_without_white_space():
+    """Contexts of megabytes of addresses, e-mails and dotted digits in one word stay in proportion."""
+    from levelground.llm import pii
+
+    for piece in ("10.0.0.1,", "ab@cd.ef;", "+49 30 1234567".replace(" ", "-") + ","):
+        short, long = piece * 500, piece * 5_000
+        size = [sum(len(p) for t in pii.scan(x)[1] for p in t["pattern"]) for x in (short, long)]
+        assert 0 < size[1] <= 11 * size[0]
+    assert pii.patterns("see my card 1234 now", 12, 16) == ["my card _", "card _ now", "card <9>", "<9> now"]
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    """Extra columns named like what stages find, an empty table and an empty benchmark."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, lang_pred string, id string, rid long, words string, component_id long, kept boolean, contaminated boolean, place string"
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefg", k=4)) for _ in range(60)]
+    data = [(i, " ".join(rng.choices(words, k=30)), None if i % 3 else "en", "s", "clash", "x", 1, "w", 2, True, True, "p") for i in range(6)]
+    for name, some in (("some", data), ("none", [])):
+        folder = tmp_path / name
+        docs = spark.createDataFrame(some, schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        step = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            step = stage(spark, step, str(folder))
+            assert step.columns == docs.columns
+        assert [(r.doc_id, r.lang_pred, r.place) for r in step.orderBy("doc_id").collect()] == [(r[0], "clash", "p") for r in some]
+        assert all(r.lang == "en" for r in step.collect())
+        assert corpus_pipeline.run(spark, str(folder)).count() == len(some)

@@ -18,8 +18,8 @@ from levelground.llm.language import identify
 from levelground.llm.packing import pack
 
 
-#: Number of a row of a stage's input.
-ROW = "_stage_row"
+#: Number of a row of a stage's input, and its language as found: names that no table has.
+ROW, FOUND = "_stage_row", "_stage_language"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -38,11 +38,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go, with whatever id; repeated rows are judged one by one; an empty table stays empty.  All
     columns pass through."""
     docs = _numbered(docs)
-    found = stored(identify(docs, ROW).select(ROW, "lang_pred"), "languages")
-    unnamed = stored(found.where("lang_pred <> 'und'").join(docs.where("lang IS NULL").select(ROW), ROW, "left_semi"), "unnamed")
+    found = stored(identify(docs, ROW).select(ROW, F.col("lang_pred").alias(FOUND)), "languages")
+    unnamed = stored(found.where(f"{FOUND} <> 'und'").join(docs.where("lang IS NULL").select(ROW), ROW, "left_semi"), "unnamed")
     few = unnamed.limit(1_000_001).count() <= 1_000_000
-    known = docs.join(F.broadcast(unnamed) if few else unnamed, ROW, "left").withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return _without(known.drop("lang_pred"), stored(found.where("lang_pred = 'und'").select(ROW), "no-language"))
+    known = docs.join(F.broadcast(unnamed) if few else unnamed, ROW, "left").withColumn("lang", F.coalesce("lang", FOUND))
+    return _without(known.drop(FOUND), stored(found.where(f"{FOUND} = 'und'").select(ROW), "no-language"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

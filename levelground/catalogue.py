@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelground.operators import cloud as ops
 from levelground.operators import growth, patch, spatial
-from levelground.operators.storage import stored
+from levelground.operators.storage import shared_dir, stored
 from levelground.plans import algorithms
+from levelground.sources.pcd import save_cloud
 from levelground.sources.tables import orders_terrain
 
 # Parameters of the catalogue's detector; the number of attempts is the sampling operator's own.
@@ -212,6 +214,15 @@ def library_round_trip(spark, d):
     return ops.restore_intensity(ops.drop_intensity(_cloud(spark, d))).select("pid", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in "xyz"], "intensity")
 
 
+@query("SELECT round(CAST(CAST(x AS FLOAT) AS DOUBLE), 3) AS x, round(CAST(CAST(y AS FLOAT) AS DOUBLE), 3) AS y, round(CAST(CAST(z AS FLOAT) AS DOUBLE), 3) AS z, intensity FROM cloud")
+def pcd_round_trip(spark, d):
+    """The terrain written as PCD files, and read by tasks of a thousand points each."""
+    folder = f"{shared_dir(spark)}/pcd-{uuid.uuid4().hex}"
+    save_cloud(_cloud(spark, d), folder)
+    back = spark.read.format("pcd").option("pointsPerTask", 1000).load(folder)
+    return back.select(*[F.round(F.col(c).cast("double"), 3).alias(c) for c in "xyz"], F.col("intensity").cast("double").alias("intensity"))
+
+
 @query("SELECT CAST(floor(x / 0.5) AS BIGINT) AS vx, CAST(floor(y / 0.5) AS BIGINT) AS vy, CAST(floor(z / 0.5) AS BIGINT) AS vz, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, round(avg(intensity), 4) AS intensity, count(*) AS n_points FROM cloud GROUP BY ALL")
 def voxel_downsample(spark, d):
     return ops.voxel_downsample(_cloud(spark, d), 0.5).select("vx", "vy", "vz", r("x"), r("y"), r("z"), r("intensity"), "n_points")

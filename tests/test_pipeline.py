@@ -38,6 +38,68 @@ def test_lzf_back_reference():
     assert pcd.lzf_decompress(bytes([2, 97, 98, 99, 0b00100000, 2, 0b11100000, 1, 0]), 3 + 3 + 10) == b"abcabc" + b"c" * 10
 
 
+def test_lzf_overlapping_references():
+    """Against the format byte by byte."""
+    rng = np.random.default_rng(1)
+    data, want = bytearray(), bytearray()
+    for _ in range(400):
+        if not want or rng.random() < 0.4:
+            lit = rng.integers(0, 256, rng.integers(1, 33)).astype(np.uint8).tobytes()
+            data += bytes([len(lit) - 1]) + lit
+            want += lit
+        else:
+            back, n = int(rng.integers(1, min(len(want), 8192) + 1)), int(rng.integers(3, 265))
+            long = n - 2 >= 7
+            data += bytes([(7 if long else n - 2) << 5 | (back - 1) >> 8]) + (bytes([n - 9]) if long else b"") + bytes([(back - 1) & 255])
+            for _ in range(n):
+                want.append(want[-back])
+    assert pcd.lzf_decompress(bytes(data), len(want)) == want
+
+
+@pytest.mark.parametrize("how", ["ascii", "binary", "binary_compressed"])
+def test_ranges_of_a_file(spark, tmp_path, how):
+    """A binary file is read by a task for each range of points, numbered by their place; filters leave out the same rows
+    as Spark's own."""
+    rng = np.random.default_rng(2)
+    columns = {c: rng.normal(size=2501).astype(np.float32) for c in ("x", "y", "z", "intensity")}
+    columns["z"][7] = np.nan
+    (tmp_path / "a.pcd").write_bytes(pcd.encode(columns, how))
+    pcd.load_cloud(spark, str(tmp_path / "a.pcd"))
+    read = lambda: spark.read.format("pcd").option("pointsPerTask", 400).load(str(tmp_path / "a.pcd"))
+    assert read().rdd.getNumPartitions() == (7 if how == "binary" else 1)
+    for c in ("x", "intensity"):
+        assert np.array_equal([r[c] for r in read().orderBy("pid").collect()], columns[c])
+    asked = "x > 0.5 AND y <= 1 AND z >= -0.25 AND pid % 2 = 1 AND x < 2"
+    plain = sorted(r.pid for r in read().where(asked).collect())
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = pcd.load_cloud(spark, str(tmp_path / "a.pcd")).where(asked)
+        assert sorted(r.pid for r in pushed.collect()) == plain
+        assert ">=" not in pushed._jdf.queryExecution().executedPlan().toString()  # the source has taken it
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    x, y, z = (columns[c] for c in "xyz")
+    assert plain == [i for i in range(2501) if x[i] > 0.5 and y[i] <= 1 and not z[i] < -0.25 and i % 2 and x[i] < 2]
+
+
+def test_a_file_that_ends_early(tmp_path):
+    data = pcd.encode({c: np.zeros(50, np.float32) for c in ("x", "y", "z", "intensity")}, "binary")
+    with pytest.raises(ValueError, match="announced"):
+        pcd.parse(data[:-20])
+
+
+def test_written_clouds(spark, tmp_path):
+    c = terrain(spark, 5.0, 3000).repartition(3)
+    pcd.save_cloud(c, str(tmp_path / "clouds"))
+    files = sorted((tmp_path / "clouds").iterdir())
+    assert len(files) == 3 and all(f.suffix == ".pcd" for f in files)
+    back = pcd.load_cloud(spark, str(tmp_path / "clouds"))
+    key = lambda df: sorted((round(r.x, 4), round(r.y, 4), round(r.z, 4), r.intensity) for r in df.collect())
+    assert key(back) == key(ops.restore_intensity(c).withColumn("intensity", c.intensity))
+    with pytest.raises(Exception, match="append"):
+        c.write.format("pcd").mode("overwrite").save(str(tmp_path / "clouds"))
+
+
 def test_missing_file_raises(spark):
     with pytest.raises(Exception, match="nowhere"):
         pcd.load_cloud(spark, "/nowhere.pcd").count()

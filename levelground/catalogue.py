@@ -154,6 +154,10 @@ distances AS MATERIALIZED (SELECT pid, avg(sqrt(d2)) AS mean_distance FROM (SELE
 sor_limit AS (SELECT avg(mean_distance) + 1.0 * stddev_samp(mean_distance) AS lim FROM distances),
 whole_cov AS (SELECT 1 AS g, {_cov('')} FROM cloud),
 {_eigen('whole_cov', 'g', 'whole_plane')},
+round_cell AS MATERIALIZED (SELECT s.gx, s.gy, x, y, z FROM (SELECT gx, gy, avg(x) AS sx, avg(y) AS sy, avg(z) AS sz, unnest(range(gx - 1, gx + 2)) AS hx FROM grid GROUP BY gx, gy) s
+  JOIN grid g ON s.hx = g.gx AND g.gy BETWEEN s.gy - 1 AND s.gy + 1 WHERE (x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz) < 0.25),
+round_cov AS (SELECT gx, gy, {_cov('')} FROM round_cell GROUP BY ALL),
+{_eigen('round_cov', 'gx, gy', 'round_normal')},
 cell_cov AS (SELECT gx, gy, {_cov('')} FROM grid GROUP BY ALL),
 {_eigen('cell_cov', 'gx, gy', 'cell_normal')},
 half_cov AS (SELECT gx, gy, {_cov('')} FROM (SELECT CAST(floor((x - 1) / 0.5) AS BIGINT) + 1 + dx AS gx, CAST(floor((y - 1) / 0.5) AS BIGINT) + 1 + dy AS gy, x, y, z FROM cloud, (SELECT unnest(range(2)) AS dx), (SELECT unnest(range(2)) AS dy)) GROUP BY ALL),
@@ -483,11 +487,39 @@ def monte_carlo_first_zones(spark, d):
     return zones.select("sim", "attempt", "seed_pid", r("patch_radius"), r("data_confidence"), r("relief"), r("roughness"), r("score"))
 
 
-@query(None)
+@query("""SELECT 50 AS attempts, 50 - (SELECT count(*) FROM inside WHERE sim = 0) AS edge_skipped, (SELECT count(*) FROM climb WHERE sim = 0 AND m = 0 AND n < 3) AS under_three,
+  (SELECT count(*) FROM climb WHERE sim = 0 AND m = 0 AND n >= 3 AND NOT flat) AS not_flat, 0::BIGINT AS low_circularity, (SELECT count(*) FROM blocked WHERE sim = 0) AS blocked, (SELECT count(*) FROM zones WHERE sim = 0) AS zones""".replace("50", f"{ATTEMPTS}::BIGINT"))
+def run_report(spark, d):
+    seeds, cloud = stored(_seeds(spark, d), "seeds"), _cloud(spark, d)
+    inside = stored(ops.off_edge(seeds, cloud, RADIUS), "inside")
+    ladder = growth.growth_ladder(inside, cloud, RADIUS, K, LIMIT, INCREMENT)
+    return growth.report(seeds, inside, ladder, growth.zones_of(ladder, inside, cloud))
+
+
+@query("""SELECT pid, cluster, size FROM (WITH RECURSIVE smooth AS MATERIALIZED (SELECT pid, x, y, z, nx, ny, nz, greatest(lam, 0) / (xx + yy + zz) AS bend, CAST(floor(x / 0.25) AS BIGINT) AS gx, CAST(floor(y / 0.25) AS BIGINT) AS gy FROM cloud JOIN cloud_normal USING (pid) WHERE xx + yy + zz > 0),
+  linked AS MATERIALIZED (SELECT a.pid AS a, b.pid AS b, b.bend <= 0.05 AS flat FROM (SELECT *, unnest(range(gx - 1, gx + 2)) AS hx FROM smooth WHERE bend <= 0.05) a JOIN smooth b ON a.hx = b.gx AND b.gy BETWEEN a.gy - 1 AND a.gy + 1
+    WHERE a.pid <> b.pid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.0625 AND abs(a.z - b.z) <= 0.1 AND a.nx * b.nx + a.ny * b.ny + a.nz * b.nz >= cos(radians(10))),
+  grown(id, label) USING KEY (id) AS (SELECT pid, pid FROM smooth WHERE bend <= 0.05 UNION
+    SELECT linked.b, min(grown.label) FROM grown JOIN linked ON grown.id = linked.a JOIN recurring.grown AS known ON known.id = linked.b WHERE flat AND grown.label < known.label GROUP BY linked.b),
+  seed AS (SELECT label, min(bend) AS least FROM grown JOIN smooth ON id = pid GROUP BY label),
+  edge AS (SELECT b AS id, arg_min(label, (least, label)) AS label FROM linked JOIN grown ON a = id JOIN seed USING (label) WHERE NOT flat GROUP BY b),
+  part AS (SELECT id AS pid, label AS cluster FROM grown UNION ALL SELECT id, label FROM edge)
+  SELECT *, count(*) OVER (PARTITION BY cluster) AS size FROM part) WHERE size >= 50""")
 def region_growing(spark, d):
     return algorithms.region_growing(_cloud(spark, d))
 
 
+@query(f"""SELECT gx, gy, n, round(n / (pi() / 4), 3) AS density, round(relief, 4) AS relief, round(slope_deg, 3) AS slope_deg, min(other) AS cluster FROM (WITH RECURSIVE
+  kept AS MATERIALIZED (SELECT *, gx * 2147483648 + gy AS id FROM (SELECT gx, gy, avg(z) AS z, count(*) AS n, max(z) - min(z) AS relief FROM round_cell GROUP BY ALL) JOIN round_normal USING (gx, gy) WHERE slope_deg <= 25 AND n / (pi() / 4) >= 30 AND relief <= 0.25 AND lam <= 0.0004),
+  linked AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM kept a, kept b WHERE (a.gx - b.gx) ** 2 + (a.gy - b.gy) ** 2 <= 1 AND abs(a.z - b.z) <= 0.1),
+  reached AS (SELECT id, id AS other FROM kept UNION SELECT reached.id, b FROM reached JOIN linked ON other = a)
+  SELECT kept.*, other FROM kept JOIN reached USING (id)) GROUP BY ALL""")
+def radius_zones(spark, d):
+    zones = stored(algorithms.radius_zones(_cloud(spark, d)), "zones")
+    grouped = algorithms.clustered_cells(zones, cell_size=1.0, tolerance=1.0, alpha=0.1)
+    return zones.join(grouped, ["gx", "gy"]).select("gx", "gy", "n", r("density", 3), r("relief"), r("slope_deg", 3), "cluster")
+
+
 @query("SELECT gx, gy, n, round(n / 1.0, 3) AS density, round(relief, 4) AS relief, round(slope_deg, 3) AS slope_deg FROM (SELECT gx, gy, count(*) AS n, max(z) - min(z) AS relief FROM grid GROUP BY ALL) JOIN cell_normal USING (gx, gy) WHERE slope_deg <= 25 AND n >= 30 AND relief <= 0.25 AND lam <= 0.0004")
 def cell_zones(spark, d):
     return algorithms.cell_zones(_cloud(spark, d)).select("gx", "gy", "n", r("density", 3), r("relief"), r("slope_deg", 3))

@@ -238,6 +238,11 @@ def best_rungs(ladder: DataFrame, keys: tuple[str, ...] = ("attempt",), circular
 def candidates(seeds: DataFrame, cloud: DataFrame, radius: float, k: int, limit: float, increment: float = 0.5, max_rungs: int | None = None, circularity: float = 0.1, clearance: float = 10.0, margin: float = 0.01, step: float = 0.2, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = (), ground: Surface | None = None) -> DataFrame:
     """Patches of off-edge seeds that grew flat and round and have nothing above them, with metrics and score."""
     ladder = growth_ladder(seeds, cloud, radius, k, limit, increment, max_rungs, keys, on, ground)
+    return zones_of(ladder, seeds, cloud, circularity, clearance, margin, step, keys, on)
+
+
+def zones_of(ladder: DataFrame, seeds: DataFrame, cloud: DataFrame, circularity: float = 0.1, clearance: float = 10.0, margin: float = 0.01, step: float = 0.2, keys: tuple[str, ...] = ("attempt",), on: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates of a ladder that was grown from seeds."""
     best = stored(best_rungs(ladder, keys, circularity), "best")
     free = clear(best, cloud, list(keys), margin=margin, clearance=clearance, step=step, on=on)
     confidence = F.when(F.col("area") > 0, F.col("n") / F.col("area")).otherwise(EMPTY_METRIC)
@@ -294,6 +299,16 @@ def detected_points(found: DataFrame, cloud: DataFrame, radius: float, increment
     return near.where(F.col("d2") < F.col("patch_radius") * F.col("patch_radius")).select("attempt", "pid", "x", "y", "z")
 
 
+def report(seeds: DataFrame, inside: DataFrame, ladder: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("attempt",), circularity: float = 0.1) -> DataFrame:
+    """One row that says what became of all attempts: attempts, edge_skipped, under_three (points on the first rung), not_flat
+    (on it), low_circularity (on every flat rung), blocked (by what stands above) and zones."""
+    first = F.col("rung") == 0
+    each = ladder.groupBy(*keys).agg(F.bool_or(first & (F.col("n") < 3)).alias("few"), F.bool_or(F.col("flat")).alias("flat"), F.bool_or(F.col("flat") & (F.col("circularity") >= circularity)).alias("round"))
+    counts = [F.count("*").alias("inside"), F.count_if("few").alias("under_three"), F.count_if(~F.col("few") & ~F.col("flat")).alias("not_flat"), F.count_if(F.col("flat") & ~F.col("round")).alias("low_circularity"), F.count_if("round").alias("round")]
+    one = each.agg(*counts).crossJoin(seeds.agg(F.count("*").alias("attempts"))).crossJoin(inside.agg(F.count("*").alias("off_edge"))).crossJoin(found.agg(F.count("*").alias("zones")))  # one row each
+    return one.select("attempts", (F.col("attempts") - F.col("off_edge")).alias("edge_skipped"), "under_three", "not_flat", "low_circularity", (F.col("round") - F.col("zones")).alias("blocked"), "zones")
+
+
 def ranked(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds rank (1 is the highest score; ties by attempt) and label."""
     best = Window.partitionBy(*by).orderBy(F.desc("score"), "attempt")

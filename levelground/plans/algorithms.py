@@ -46,17 +46,25 @@ def curvature() -> Column:
     return F.when(total > 0, F.greatest(F.col("lam"), F.lit(0.0)) / total)
 
 
-def region_growing(cloud: DataFrame, curvature_threshold: float = 0.05, min_cluster_size: int = 50, cluster_tolerance: float = 0.25, k: int = 10, alpha: float = 0.1, on: tuple[str, ...] = ()) -> DataFrame:
-    """on, pid, cluster and size of smooth regions: points of low curvature, linked within the tolerance if their heights
-    differ by at most alpha."""
-    flat = normals(cloud, k, on).where(curvature() <= curvature_threshold).select(*on, "pid")
-    smooth = same_point(cloud, flat, on, "left_semi").select(*on, "pid", "x", "y", "z").withColumn("id", F.monotonically_increasing_id() if on else F.col("pid"))
-    smooth = stored(smooth, "smooth")
-    seeds = smooth.select(*on, F.col("id").alias("a"), *[F.col(c).alias(f"seed_{c}") for c in "xyz"])
-    edges = radius_join(seeds, smooth.select(*on, F.col("id").alias("b"), "x", "y", "z"), cluster_tolerance, on)
-    found = clusters(edges.where((F.col("a") < F.col("b")) & (F.abs(F.col("z") - F.col("seed_z")) <= alpha)).select("a", "b"), smooth.select("id"))
+def region_growing(cloud: DataFrame, curvature_threshold: float = 0.05, min_cluster_size: int = 50, cluster_tolerance: float = 0.25, k: int = 10, alpha: float = 0.1, smoothness: float = 10.0, on: tuple[str, ...] = ()) -> DataFrame:
+    """on, pid, cluster and size of smooth regions.
+
+    Two points within the tolerance are linked if their heights differ by at most alpha and their normals by at most
+    `smoothness` degrees.  Points of low curvature grow a region over all links between them; other points end one: they join
+    the linked region that would have been grown first, that of the point of least curvature (ties by number)."""
+    surface = same_point(cloud.select(*on, "pid", "x", "y", "z"), normals(cloud, k, on).select(*on, "pid", "nx", "ny", "nz", curvature().alias("curvature")), on).where("curvature IS NOT NULL")
+    surface = stored(surface.withColumn("id", F.monotonically_increasing_id() if on else F.col("pid")).withColumn("smooth", F.col("curvature") <= curvature_threshold), "surface")
+    left = surface.where("smooth").select(*on, F.col("id").alias("a"), *[F.col(c).alias(f"seed_{c}") for c in "xyz"], *[F.col(f"n{c}").alias(f"m{c}") for c in "xyz"])
+    right = surface.select(*on, F.col("id").alias("b"), "x", "y", "z", "nx", "ny", "nz", "smooth")
+    alike = F.col("mx") * F.col("nx") + F.col("my") * F.col("ny") + F.col("mz") * F.col("nz") >= math.cos(math.radians(smoothness))
+    links = radius_join(left, right, cluster_tolerance, on).where(alike & (F.abs(F.col("z") - F.col("seed_z")) <= alpha) & (F.col("a") != F.col("b")))
+    links = stored(links.select("a", "b", "smooth"), "links")
+    grown = clusters(links.where(F.col("smooth") & (F.col("a") < F.col("b"))).select("a", "b"), surface.where("smooth").select("id"))
+    first = grown.join(surface.select("id", "curvature"), "id").groupBy("cluster").agg(F.min("curvature").alias("least"))
+    ends = links.where("NOT smooth").join(grown.withColumnRenamed("id", "a"), "a").join(first, "cluster").groupBy("b").agg(F.min(F.struct("least", "cluster")).alias("of"))
+    found = stored(grown.unionByName(ends.select(F.col("b").alias("id"), F.col("of.cluster").alias("cluster"))), "regions")
     sizes = found.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= min_cluster_size)
-    return smooth.join(found.join(sizes, "cluster"), "id").select(*on, "pid", "cluster", "size")
+    return surface.select(*on, "pid", "id").join(found.join(sizes, "cluster"), "id").select(*on, "pid", "cluster", "size")
 
 
 def _kept(cells: DataFrame, area: float, max_slope: float, min_density: float, max_relief: float, max_roughness: float) -> DataFrame:
@@ -145,7 +153,7 @@ def monte_carlo(spark: SparkSession, config: Benchmark, density: float = 37.5, r
             grouped = clustered_cells(cells, size, overlap, float(p.get("cluster_tolerance", 1.0)), alpha, on)
             best = _each(simulations, cells.join(grouped, [*on, "gx", "gy"]).groupBy(*on).agg(F.countDistinct("cluster").alias("n_zones"), F.max("density").alias("best_score")), on)
         elif name == "Region_Growing_Segmentation":
-            regions = region_growing(cloud, float(p.get("curvature_threshold", 0.05)), int(p.get("min_cluster_size", 50)), float(p.get("cluster_tolerance", 0.25)), alpha=alpha, on=on)
+            regions = region_growing(cloud, float(p.get("curvature_threshold", 0.05)), int(p.get("min_cluster_size", 50)), float(p.get("cluster_tolerance", 0.25)), alpha=alpha, smoothness=float(p.get("smoothness", 10.0)), on=on)
             best = _each(simulations, regions.groupBy(*on).agg(F.countDistinct("cluster").alias("n_zones"), F.max("size").cast("double").alias("best_score")), on)
         else:
             raise ValueError(f"unknown algorithm {name!r}")

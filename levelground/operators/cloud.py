@@ -45,20 +45,26 @@ def voxel_downsample(cloud: DataFrame, leaf: float, by: tuple[str, ...] = ()) ->
 
 def with_index(cloud: DataFrame, parts: int = 256, on: tuple[str, ...] = (), wanted: DataFrame | None = None) -> DataFrame:
     """Adds index, 0 to n - 1 in the order of pid (within each of `on`), without one task that sorts all: pids fall into
-    ranges of equal width, are numbered within, and each range adds the number of points before it.  pids must be distinct.
+    ranges of equal width, are numbered within, and each range adds the number of points before it.  A range with more than
+    four times its share of the points is cut again, into ranges of equal width of its own, as pids may be sparse, such as
+    those of monotonically_increasing_id.  pids must be distinct.
     wanted: the only indexes (on, index) that are looked for; ranges without one are counted, but not numbered."""
-    ends = cloud.groupBy(*on).agg(F.min("pid").alias("low"), F.max("pid").alias("high"))
+    width = lambda low, high: F.floor((F.col("pid") - F.col(low)) * F.lit(float(parts)) / (F.col(high) - F.col(low) + 1))
+    ends = cloud.groupBy(*on).agg(F.min("pid").alias("_low"), F.max("pid").alias("_high"), F.count("*").alias("_n"))
     ranged = cloud.join(F.broadcast(ends), list(on)) if on else cloud.crossJoin(F.broadcast(ends))  # one row for each cloud
-    ranged = ranged.withColumn("_part", F.floor((F.col("pid") - F.col("low")) * F.lit(float(parts)) / (F.col("high") - F.col("low") + 1))).drop("low", "high")
-    before = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy(*on, "_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))  # `parts` rows for each cloud
+    ranged = ranged.withColumn("_part", width("_low", "_high"))
+    full = ranged.groupBy(*on, "_part").agg(F.min("pid").alias("_from"), F.max("pid").alias("_to"), F.count("*").alias("_own"), F.first("_n").alias("_n"))
+    full = full.where(F.col("_own") * parts > 4 * F.col("_n")).select(*on, "_part", "_from", "_to")  # at most `parts` / 4 rows for each cloud
+    ranged = ranged.join(F.broadcast(full), [*on, "_part"], "left").withColumn("_sub", F.coalesce(width("_from", "_to"), F.lit(0))).drop("_low", "_high", "_n", "_from", "_to")
+    before = Window.partitionBy(*on).orderBy("_part", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*on, "_part", "_sub").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))  # `parts` squared rows for each cloud at most
     if wanted is not None:
         asked = wanted.withColumnsRenamed({c: f"_{c}" for c in on})
         holds = [F.col("index") >= F.col("_before"), F.col("index") < F.col("_before") + F.col("count"), *[F.col(c) == F.col(f"_{c}") for c in on]]
         sizes = sizes.join(F.broadcast(asked) if not on else asked, holds, "left_semi")
-    own = F.row_number().over(Window.partitionBy(*on, "_part").orderBy("pid")) - 1
-    numbered = ranged.join(F.broadcast(sizes.drop("count")), [*on, "_part"]).withColumn("_own", own)
-    numbered = numbered.withColumn("index", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    own = F.row_number().over(Window.partitionBy(*on, "_part", "_sub").orderBy("pid")) - 1
+    numbered = ranged.join(F.broadcast(sizes.drop("count")), [*on, "_part", "_sub"]).withColumn("_own", own)
+    numbered = numbered.withColumn("index", F.col("_before") + F.col("_own")).drop("_part", "_sub", "_own", "_before")
     return numbered if wanted is None else numbered.join(wanted, [*on, "index"], "left_semi")
 
 

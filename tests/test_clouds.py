@@ -157,6 +157,16 @@ def test_dense_index(spark):
     assert [r["index"] for r in ops.with_index(c, 16).orderBy("pid").collect()] == list(range(700))
 
 
+def test_index_of_sparse_numbers(spark):
+    """Numbers as monotonically_increasing_id gives them: four far runs are cut again, none of the ranges is crowded."""
+    pids = [(p << 33) + i for p in range(4) for i in range(500)] + [5 << 40]
+    c = spark.createDataFrame([("c", p, 0.0, 0.0, 0.0, 0.0) for p in pids], CLOUD)
+    numbered = ops.with_index(c, 16)
+    assert [r["index"] for r in numbered.orderBy("pid").collect()] == list(range(len(pids)))
+    wanted = spark.createDataFrame([(0,), (777,), (2000,)], "index long")
+    assert sorted((r["index"], r.pid) for r in ops.with_index(c, 16, wanted=wanted).collect()) == [(i, pids[i]) for i in (0, 777, 2000)]
+
+
 def test_sor(spark):
     c = cloud(spark, [*grid(), (30, 30, 0)])
     out = ops.sor_classify(c, 5, 1.0).where("NOT inlier").select("pid").collect()

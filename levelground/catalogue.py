@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from levelground.operators import cloud as ops
 from levelground.operators import growth, patch, spatial
 from levelground.operators.storage import shared_dir, stored
-from levelground.plans import algorithms
+from levelground.plans import algorithms, config
+from levelground.plans.pipeline import run as run_pipeline
 from levelground.sources.pcd import save_cloud
 from levelground.sources.tables import orders_terrain
 
@@ -104,6 +105,7 @@ inside AS MATERIALIZED (SELECT seeds.* FROM seeds, box WHERE sx BETWEEN ax + {RA
 near_seed AS MATERIALIZED (SELECT sim, attempt, pid, kx, ky, x, y, z, (x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz) AS d2 FROM inside, cloud WHERE sim = 0 AND x BETWEEN sx - 1 AND sx + 1 AND y BETWEEN sy - 1 AND sy + 1),
 patch AS MATERIALIZED (SELECT near_seed.*, m FROM near_seed, (SELECT unnest(range(2)) AS m) WHERE d2 < ({RADIUS} + {increment} * m) * ({RADIUS} + {increment} * m)),
 one AS (SELECT * FROM patch WHERE m = 1),
+point AS MATERIALIZED (SELECT * FROM patch WHERE m = 1 AND sim = 0),
 pairs AS (SELECT a.sim, a.attempt, a.m, a.pid, b.pid AS other, b.x AS ox, b.y AS oy, b.z AS oz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM one a JOIN one b USING (sim, attempt, m)),
 near AS MATERIALIZED (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY sim, attempt, m, pid ORDER BY d2, other) <= {k}),
 near_cov AS (SELECT sim, attempt, m, pid, {_cov('o')} FROM near GROUP BY ALL),
@@ -338,6 +340,13 @@ def patch_perimeter(spark, d):
     return patch.hulls(_patches(spark, d), ["attempt"]).select("attempt", r("perimeter"))
 
 
+# Seen from the least vertex, all others lie to its right: their angles give the order.
+@query("""SELECT attempt, CAST(row_number() OVER (PARTITION BY attempt ORDER BY s.ux <> o.x OR s.uy <> o.y, atan2(s.uy - o.y, s.ux - o.x)) - 1 AS INTEGER) AS place, round(s.ux, 4) AS x, round(s.uy, 4) AS y
+  FROM hull_s s JOIN (SELECT attempt, min({'x': ux, 'y': uy}) AS o FROM hull_s WHERE sim = 0 AND m = 1 GROUP BY attempt) USING (attempt) WHERE s.sim = 0 AND s.m = 1""")
+def patch_hull_vertices(spark, d):
+    return patch.hull_vertices(_patches(spark, d), ["attempt"]).select("attempt", F.posexplode("vertices").alias("place", "v")).select("attempt", "place", r("v.x", 4, "x"), r("v.y", 4, "y"))
+
+
 @query("SELECT attempt, round(circularity, 4) AS circularity, circularity >= 0.1 AS round_enough FROM shape WHERE sim = 0 AND m = 1")
 def patch_circularity(spark, d):
     return patch.hulls(_patches(spark, d), ["attempt"]).select("attempt", r("circularity"), (F.col("circularity") >= 0.1).alias("round_enough"))
@@ -348,7 +357,21 @@ def data_confidence_2d(spark, d):
     return patch.density2d(_patches(spark, d), ["attempt"]).select("attempt", r("data_confidence", 3))
 
 
-@query(None)
+# Faces of the hull in space are triples with all others on one side; extremes in some directions rule most triples out first.
+# Points in a line on the ground (kx, ky are whole numbers) make walls of more than three points, which are hulls of their own.
+@query("""SELECT attempt, round(count(*) / any_value(area), 3) AS data_confidence FROM point JOIN (WITH
+  far AS (SELECT DISTINCT attempt, unnest([arg_max(pid, x * a + y * b + c * 50 * z), arg_min(pid, x * a + y * b + c * 50 * z)]) AS pid FROM point, (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-2, 3)) AS b), (SELECT unnest(range(0, 3)) AS c) GROUP BY attempt, a, b, c),
+  face AS MATERIALIZED (SELECT u.attempt, u.pid AS i, v.pid AS j, w.pid AS k, u.x, u.y, u.z, (v.y - u.y) * (w.z - u.z) - (v.z - u.z) * (w.y - u.y) AS nx, (v.z - u.z) * (w.x - u.x) - (v.x - u.x) * (w.z - u.z) AS ny, (v.x - u.x) * (w.y - u.y) - (v.y - u.y) * (w.x - u.x) AS nz
+    FROM point u JOIN point v ON u.attempt = v.attempt AND u.pid < v.pid JOIN point w ON v.attempt = w.attempt AND v.pid < w.pid WHERE (v.kx - u.kx) * (w.ky - u.ky) <> (v.ky - u.ky) * (w.kx - u.kx)),
+  likely AS MATERIALIZED (SELECT face.* FROM face JOIN (SELECT point.* FROM far JOIN point USING (attempt, pid)) o ON face.attempt = o.attempt GROUP BY ALL
+    HAVING bool_and(o.pid IN (i, j, k) OR nx * (o.x - face.x) + ny * (o.y - face.y) + nz * (o.z - face.z) > 0) OR bool_and(o.pid IN (i, j, k) OR nx * (o.x - face.x) + ny * (o.y - face.y) + nz * (o.z - face.z) < 0)),
+  sure AS (SELECT likely.* FROM likely JOIN point o ON likely.attempt = o.attempt GROUP BY ALL
+    HAVING bool_and(o.pid IN (i, j, k) OR nx * (o.x - likely.x) + ny * (o.y - likely.y) + nz * (o.z - likely.z) > 0) OR bool_and(o.pid IN (i, j, k) OR nx * (o.x - likely.x) + ny * (o.y - likely.y) + nz * (o.z - likely.z) < 0)),
+  side AS (SELECT s.attempt, a.pid AS edge, a.kx AS ax, a.ky AS ay, b.kx AS bx, b.ky AS b_y, ux, uy FROM hull_s s JOIN point a ON s.attempt = a.attempt AND s.ux = a.x AND s.uy = a.y JOIN point b ON s.attempt = b.attempt AND s.vx = b.x AND s.vy = b.y WHERE s.sim = 0 AND s.m = 1),
+  wall AS (SELECT attempt, edge, pid, sqrt((x - ux) ** 2 + (y - uy) ** 2) AS t, z FROM side JOIN point USING (attempt) WHERE (bx - ax) * (ky - ay) = (b_y - ay) * (kx - ax)),
+  wall_edge AS (SELECT a.attempt, a.edge, a.t AS ut, a.z AS uz, b.t AS vt, b.z AS vz FROM wall a JOIN wall b USING (attempt, edge) WHERE a.pid <> b.pid
+    AND NOT EXISTS (SELECT 1 FROM wall c WHERE c.attempt = a.attempt AND c.edge = a.edge AND c.pid <> a.pid AND c.pid <> b.pid AND (b.t - a.t) * (c.z - a.z) - (b.z - a.z) * (c.t - a.t) < 0))
+  SELECT attempt, sum(area) AS area FROM (SELECT attempt, sqrt(nx * nx + ny * ny + nz * nz) / 2 AS area FROM sure UNION ALL SELECT attempt, abs(sum(ut * vz - vt * uz)) / 2 FROM wall_edge GROUP BY attempt, edge) GROUP BY attempt) h USING (attempt) GROUP BY attempt""")
 def data_confidence_3d(spark, d):
     return patch.density3d(_patches(spark, d), ["attempt"]).select("attempt", r("data_confidence", 3))
 
@@ -457,11 +480,8 @@ def role_select(spark, d):
 
 @query(f"SELECT {ZONE}, rank, concat('Rank ', rank) AS label FROM {RANKED}")
 def landing_zone_pipeline(spark, d):
-    from levelground.plans.config import Pipeline, Step
-    from levelground.plans.pipeline import run
-
-    steps = [Step("SphericalNeighbourhood", True, {"k": K, "angleThreshold": LIMIT, "radius": RADIUS, "maxAttempts": ATTEMPTS}), Step("anything", False), Step("HazarMetrices", True, {"hazard": "RELIEF"})]
-    return _zones(run(spark, Pipeline(d, steps=steps), _cloud(spark, d)).candidates, "rank", "label")
+    steps = [config.Step("SphericalNeighbourhood", True, {"k": K, "angleThreshold": LIMIT, "radius": RADIUS, "maxAttempts": ATTEMPTS}), config.Step("anything", False), config.Step("HazarMetrices", True, {"hazard": "RELIEF"})]
+    return _zones(run_pipeline(spark, config.Pipeline(d, steps=steps), _cloud(spark, d)).candidates, "rank", "label")
 
 
 @query("SELECT sim, count(*) AS n_zones, round(max(score), 4) AS best_score FROM zones GROUP BY ALL")
@@ -532,3 +552,113 @@ def cell_zones(spark, d):
   SELECT gx, gy, other FROM kept JOIN reached USING (id)) GROUP BY ALL""")
 def overlapping_cells(spark, d):
     return algorithms.clustered_cells(algorithms.cell_zones(_cloud(spark, d), overlap=2), cell_size=1.0, overlap=2, tolerance=1.0, alpha=0.1).select("gx", "gy", "cluster")
+
+
+# Queries that configurations drive.
+
+#: The benchmark's configuration for own clouds: its keys and values, but for fewer simulations and attempts, and circles of 10
+#: neighbours and 0.5 m rungs as in all of the catalogue.
+OWN_CLOUD = """
+enable_visualization: true
+terrain_size: 20.0
+num_simulations: 3
+use_pcd_file: true
+pcd_file_path: orders
+min_radius_threshold: 2.5
+max_slope_threshold: 25
+min_point_density_threshold: 30.0
+max_relief_threshold: 2.0
+max_roughness_threshold: 0.1
+max_landingZones: 10
+max_Attempts: 50
+algorithms:
+  - {name: Region_Growing_Segmentation, curvature_threshold: 0.05, min_cluster_size: 50, alpha: 0.1, cluster_tolerance: 0.25}
+  - {name: seq_overlap, cell_size: 1.0, alpha: 0.1, cluster_tolerance: 1.0}
+  - {name: kdtree_InflatingCircles, k: 10, radiusIncrement: 0.5}
+  - {name: sequentialApproachKdtree, cell_size: 1, alpha: 0.1, cluster_tolerance: 1.0}
+  - {name: sequentialApproach, cell_size: 1, alpha: 0.1, cluster_tolerance: 1.0}
+"""
+#: The Monte-Carlo configuration in the same way, with one zone for each simulation and its closer limits.
+MONTE_CARLO = OWN_CLOUD.replace("max_landingZones: 10", "max_landingZones: 1").replace("relief_threshold: 2.0", "relief_threshold: 0.25").replace("roughness_threshold: 0.1", "roughness_threshold: 0.02")
+
+
+def _clusters_sql(name: str, cells: str, pitch: float) -> str:
+    """Zones and best density of one cell algorithm: labels spread over cells at most a metre apart and 0.1 m in height."""
+    reach = round(1 / pitch) ** 2
+    return f"""{name} AS (SELECT count(DISTINCT label) AS n_zones, max(density) AS best_score FROM (WITH RECURSIVE
+  kept AS MATERIALIZED (SELECT *, gx * 2147483648 + gy AS id FROM ({cells})),
+  linked AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM kept a, kept b WHERE a.id <> b.id AND (a.gx - b.gx) ** 2 + (a.gy - b.gy) ** 2 <= {reach} AND abs(a.z - b.z) <= 0.1),
+  grown(id, label) USING KEY (id) AS (SELECT id, id FROM kept UNION
+    SELECT linked.b, min(grown.label) FROM grown JOIN linked ON grown.id = linked.a JOIN recurring.grown AS known ON known.id = linked.b WHERE grown.label < known.label GROUP BY linked.b)
+  SELECT label, density FROM grown JOIN kept USING (id)))"""
+
+
+def _benchmark_sql(zones: int, relief: float, rough: float) -> str:
+    def cells(groups: str, normal: str, area: str) -> str:
+        return f"SELECT gx, gy, z, n / {area} AS density FROM (SELECT gx, gy, avg(z) AS z, count(*) AS n, max(z) - min(z) AS relief FROM {groups} GROUP BY ALL) JOIN {normal} USING (gx, gy) WHERE slope_deg <= 25 AND n / {area} >= 30 AND relief <= {relief} AND lam <= {rough} * {rough}"
+
+    half = "(SELECT CAST(floor((x - 1) / 0.5) AS BIGINT) + 1 + dx AS gx, CAST(floor((y - 1) / 0.5) AS BIGINT) + 1 + dy AS gy, z FROM cloud, (SELECT unnest(range(2)) AS dx), (SELECT unnest(range(2)) AS dy))"
+    region = ORACLES["region_growing"]
+    region = region[region.index("SELECT pid, cluster, size FROM (WITH RECURSIVE") :]
+    return f"""SELECT sim, algorithm, CAST(n_zones AS BIGINT) AS n_zones, round(best_score, 3) AS best_score FROM (WITH
+{_clusters_sql('of_half', cells(half, 'half_normal', '1.0'), 0.5)},
+{_clusters_sql('of_round', cells('round_cell', 'round_normal', '(pi() / 4)'), 1)},
+{_clusters_sql('of_cell', cells('grid', 'cell_normal', '1.0'), 1)},
+of_region AS (SELECT count(DISTINCT cluster) AS n_zones, CAST(max(size) AS DOUBLE) AS best_score FROM ({region})),
+of_circle AS (SELECT sim, count(*) AS n_zones, max(score) AS best_score FROM (SELECT sim, score FROM zones WHERE patch_radius >= 2.5 AND slope_deg <= 25 AND data_confidence >= 30 AND relief <= {relief} AND roughness <= {rough}
+  QUALIFY row_number() OVER (PARTITION BY sim ORDER BY attempt) <= {zones}) GROUP BY sim)
+SELECT sim, 'Region_Growing_Segmentation' AS algorithm, n_zones, best_score FROM sims, of_region UNION ALL SELECT sim, 'seq_overlap', of_half.* FROM sims, of_half
+UNION ALL SELECT sims.sim, 'kdtree_InflatingCircles', coalesce(n_zones, 0), best_score FROM sims LEFT JOIN of_circle ON sims.sim = of_circle.sim
+UNION ALL SELECT sim, 'sequentialApproachKdtree', of_round.* FROM sims, of_round UNION ALL SELECT sim, 'sequentialApproach', of_cell.* FROM sims, of_cell)"""
+
+
+def _benchmark(spark, d, text: str) -> DataFrame:
+    found = algorithms.monte_carlo(spark, config.benchmark(text), radius=RADIUS, cloud=_cloud(spark, d))
+    return found.select("sim", "algorithm", "n_zones", r("best_score", 3))
+
+
+@query(_benchmark_sql(10, 2.0, 0.1))
+def configured_benchmark(spark, d):
+    return _benchmark(spark, d, OWN_CLOUD)
+
+
+@query(_benchmark_sql(1, 0.25, 0.02))
+def configured_monte_carlo(spark, d):
+    return _benchmark(spark, d, MONTE_CARLO)
+
+
+STEPS = """
+pipeline_node:
+  ros__parameters:
+    pcd_file_path: orders
+    voxel_downsample_pointcloud: false
+    voxel_size: 0.1
+    visualize: false
+    final_visualize: false
+    pipeline:
+      - {step: SOR, enabled: true, parameters: {nb_neighbors: 10, std_ratio: 1.0}}
+      - {step: SphericalNeighbourhood, enabled: false, parameters: {k: 10}}
+      - {step: PCA, enabled: true, parameters: {angleThreshold: 25.0, k: 10}}
+      - {step: HazarMetrices, enabled: true, parameters: {hazard: RELIEF}}
+      - {step: HazarMetrices, enabled: true, parameters: {hazard: ROUGHNESS}}
+      - {step: HazarMetrices, enabled: true, parameters: {hazard: ALL}}
+"""
+
+
+@query(f"""SELECT metric, round(data_confidence, 3) AS data_confidence, round(relief, 4) AS relief, round(roughness, 4) AS roughness, round(data_confidence - relief - roughness, 3) AS score FROM (WITH
+  calm AS MATERIALIZED (SELECT wide.* FROM wide JOIN distances USING (pid), sor_limit WHERE mean_distance <= lim),
+  calm_near AS (SELECT a.pid, b.x AS ox, b.y AS oy, b.z AS oz, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
+    FROM (SELECT *, unnest(range(gx - 1, gx + 2)) AS hx FROM calm) a JOIN calm b ON a.hx = b.gx AND b.gy BETWEEN a.gy - 1 AND a.gy + 1 QUALIFY row_number() OVER (PARTITION BY a.pid ORDER BY d2, b.pid) <= {K}),
+  calm_cov AS (SELECT pid, {_cov('o')} FROM calm_near GROUP BY ALL),
+  {_eigen('calm_cov', 'pid', 'calm_normal')},
+  kept AS MATERIALIZED (SELECT 0 AS sim, 0 AS attempt, 0 AS m, calm.* FROM calm JOIN calm_normal USING (pid) WHERE slope_deg <= {LIMIT}),
+  {_hull('kept', 'kept_hull')},
+  kept_cov AS (SELECT 1 AS g, {_cov('')} FROM kept),
+  {_eigen('kept_cov', 'g', 'kept_plane')},
+  measured AS (SELECT count(*) / any_value(area) AS density, max(z) - min(z) AS rel, sqrt(avg((nx * x + ny * y + nz * z - (nx * mx + ny * my + nz * mz)) ** 2)) AS rough FROM kept, kept_plane, kept_hull)
+  SELECT 'RELIEF' AS metric, CAST(0 AS DOUBLE) AS data_confidence, rel AS relief, CAST(0 AS DOUBLE) AS roughness FROM measured UNION ALL SELECT 'ROUGHNESS', 0, 0, rough FROM measured UNION ALL SELECT 'ALL', density, rel, rough FROM measured)""")
+def configured_pipeline(spark, d):
+    """Outlier removal, slopes of what is left, and three metrics of the flat part, as the text says."""
+    hazards = run_pipeline(spark, config.pipeline(STEPS), _cloud(spark, d)).hazards
+    every = hazards[0].unionByName(hazards[1]).unionByName(hazards[2])
+    return every.select("metric", r("data_confidence", 3), r("relief"), r("roughness"), r("score", 3))

@@ -64,22 +64,49 @@ def slope(nz: Column | str = "nz", strict_nan: bool = False) -> Column:
     return F.when(up.isNotNull(), F.degrees(F.acos(up if strict_nan else F.least(up, F.lit(1.0)))))
 
 
-def hull2d(xy: np.ndarray) -> np.ndarray:
-    """Vertices of the convex hull in order, by monotone chain (Andrew 1979); collinear points are left out."""
-    pts = np.unique(xy, axis=0)
+def hull2d_rows(xy: np.ndarray) -> np.ndarray:
+    """Rows of the convex hull's vertices in order, counterclockwise from the least (x, y), by monotone chain (Andrew
+    1979); collinear points and repeated ones are left out.  Points well inside the polygon of the extremes in 32 directions
+    (Akl and Toussaint 1978) are dropped before, so that the chain walks over few."""
+    pts, rows = np.unique(xy, axis=0, return_index=True)
     if len(pts) < 3:
-        return pts
-
-    def half(points):
-        out: list = []
-        for p in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+        return rows
+    if len(pts) > 64:
+        outer = _not_inside(pts)
+        pts, rows = pts[outer], rows[outer]
+    p, ulps = pts.tolist(), 1e-15 * float(np.abs(pts).max())  # what rounding of coordinates can make of points in a line
+
+    def half(order):
+        out: list[int] = []
+        for i in order:
+            while len(out) > 1:
+                (x, y), ux, uy = p[out[-2]], p[out[-1]][0] - p[out[-2]][0], p[out[-1]][1] - p[out[-2]][1]
+                vx, vy = p[i][0] - x, p[i][1] - y
+                if ux * vy - uy * vx > ulps * (abs(ux) + abs(uy) + abs(vx) + abs(vy)):
+                    break
                 out.pop()
-            out.append(p)
+            out.append(i)
         return out
 
-    lower, upper = half(pts.tolist()), half(pts[::-1].tolist())
-    return np.array(lower[:-1] + upper[:-1])
+    lower, upper = half(range(len(p))), half(range(len(p) - 1, -1, -1))
+    return rows[lower[:-1] + upper[:-1]]
+
+
+def _not_inside(pts: np.ndarray) -> np.ndarray:
+    turn = np.arange(32) * (math.pi / 16)
+    at = pts[np.argmax(pts @ np.stack([np.cos(turn), np.sin(turn)]), axis=0)]
+    nxt = np.roll(at, -1, axis=0)
+    margin = 1e-9 * float(np.ptp(pts, axis=0).max()) ** 2
+    inside = np.ones(len(pts), bool)
+    for u, v in zip(at, nxt):
+        if (u != v).any():
+            inside &= (v[0] - u[0]) * (pts[:, 1] - u[1]) - (v[1] - u[1]) * (pts[:, 0] - u[0]) > margin
+    return ~inside
+
+
+def hull2d(xy: np.ndarray) -> np.ndarray:
+    """Vertices of the convex hull in order."""
+    return xy[hull2d_rows(xy)]
 
 
 def hull_measures(xy: np.ndarray) -> tuple[int, float, float, float]:
@@ -97,44 +124,83 @@ def measured_hull(h: np.ndarray) -> tuple[int, float, float, float]:
     return len(h), area, around, 4 * math.pi * area / around**2 if around > 0 else 0.0
 
 
-def hull3d_area(xyz: np.ndarray) -> float:
-    """Surface of the convex hull in space, incrementally; 0 if all points lie in a plane."""
-    pts = np.unique(xyz, axis=0)
-    if len(pts) < 4:
-        return 0.0
-    scale = float(np.ptp(pts, axis=0).max()) or 1.0
+def hull3d(xyz: np.ndarray) -> tuple[np.ndarray, float]:
+    """(rows, area) of the convex hull in space: rows that have the same hull as all, and its surface, by quickhull (Barber
+    et al. 1996).  Every face keeps the points outside it; the farthest of one face is added, and the points of the faces
+    that it sees are dealt out among the new ones at once.  Points in a plane have no surface, and their hull in that plane."""
+    pts, rows = np.unique(xyz, axis=0, return_index=True)
+    if len(pts) < 3:
+        return rows, 0.0
+    scale = float(np.ptp(pts, axis=0).max())
     eps = 1e-10 * scale
     a = 0
     b = int(np.argmax(np.linalg.norm(pts - pts[a], axis=1)))
     away = np.linalg.norm(np.cross(pts - pts[a], pts[b] - pts[a]), axis=1)
     c = int(np.argmax(away))
     if away[c] <= eps * scale:
-        return 0.0
+        along = (pts - pts[a]) @ (pts[b] - pts[a])
+        return rows[[int(along.argmin()), int(along.argmax())]], 0.0
     normal = np.cross(pts[b] - pts[a], pts[c] - pts[a])
     height = (pts - pts[a]) @ normal
     d = int(np.argmax(np.abs(height)))
     if abs(height[d]) <= eps * np.linalg.norm(normal):
-        return 0.0
-    centre = pts[[a, b, c, d]].mean(axis=0)
-
-    def face(i, j, k):
-        n = np.cross(pts[j] - pts[i], pts[k] - pts[i])
-        if n @ (pts[i] - centre) < 0:
-            j, k, n = k, j, -n
-        return (i, j, k), n / (np.linalg.norm(n) or 1.0)
-
-    faces = [face(a, b, c), face(a, b, d), face(a, c, d), face(b, c, d)]
-    for p in np.argsort(-np.linalg.norm(pts - centre, axis=1)).tolist():
-        seen = [i for i, ((u, _, _), n) in enumerate(faces) if n @ (pts[p] - pts[u]) > eps]
-        if not seen:
+        return rows[hull2d_rows(np.delete(pts, int(np.argmax(np.abs(normal))), axis=1))], 0.0
+    corners: dict[int, tuple[int, int, int]] = {}
+    normals: dict[int, np.ndarray] = {}
+    outside: dict[int, np.ndarray] = {}
+    beside: dict[tuple[int, int], int] = {}  # the face that has an edge in this direction
+    made = 0
+
+    def add(faces: list[tuple[int, int, int]], of: np.ndarray) -> None:
+        """Faces, counterclockwise seen from outside, with those of `of` that lie outside, each with the face that it is
+        farthest from."""
+        nonlocal made
+        f = np.array(faces)
+        n = np.cross(pts[f[:, 1]] - pts[f[:, 0]], pts[f[:, 2]] - pts[f[:, 0]])
+        n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
+        far = pts[of] @ n.T - (pts[f[:, 0]] * n).sum(axis=1)
+        of, far = of[(out := far.max(axis=1, initial=-math.inf) > eps)], far[out]
+        whose = far.argmax(axis=1) if len(of) else of
+        for i, (u, v, w) in enumerate(faces):
+            corners[made], normals[made], outside[made] = (u, v, w), n[i], of[whose == i]
+            beside[u, v] = beside[v, w] = beside[w, u] = made
+            made += 1
+
+    if height[d] > 0:  # d behind the first face
+        b, c = c, b
+    add([(a, b, c), (a, d, b), (b, d, c), (c, d, a)], np.delete(np.arange(len(pts)), [a, b, c, d]))
+    todo = list(outside)
+    while todo:
+        face = todo.pop()
+        if face not in outside or not len(outside[face]):
             continue
-        edges: set = set()
-        for i in seen:
-            u, v, w = faces[i][0]
+        p = int(outside[face][((pts[outside[face]] - pts[corners[face][0]]) @ normals[face]).argmax()])
+        seen, edges, look = {face}, [], [face]
+        while look:
+            u, v, w = corners[look.pop()]
             for e in ((u, v), (v, w), (w, u)):
-                edges.remove(e[::-1]) if e[::-1] in edges else edges.add(e)
-        faces = [f for i, f in enumerate(faces) if i not in set(seen)] + [face(u, v, p) for u, v in edges]
-    return sum(float(np.linalg.norm(np.cross(pts[j] - pts[i], pts[k] - pts[i]))) / 2 for (i, j, k), _ in faces)
+                other = beside[e[::-1]]
+                if other not in seen and (pts[p] - pts[corners[other][0]]) @ normals[other] > eps:
+                    seen.add(other)
+                    look.append(other)
+        for i in seen:
+            u, v, w = corners[i]
+            edges += [e for e in ((u, v), (v, w), (w, u)) if beside[e[::-1]] not in seen]
+        rest = np.concatenate([outside[i] for i in sorted(seen)])
+        for i in seen:
+            u, v, w = corners.pop(i)
+            del normals[i], outside[i], beside[u, v], beside[v, w], beside[w, u]
+        start = made
+        add([(u, v, p) for u, v in edges], rest[rest != p])
+        todo += range(start, made)
+    f = np.array(list(corners.values()))
+    area = float(np.linalg.norm(np.cross(pts[f[:, 1]] - pts[f[:, 0]], pts[f[:, 2]] - pts[f[:, 0]]), axis=1).sum()) / 2
+    return rows[np.unique(f)], area
+
+
+def hull3d_area(xyz: np.ndarray) -> float:
+    """Surface of the convex hull in space; 0 if all points lie in a plane."""
+    return hull3d(xyz)[1]
 
 
 #: Distances held at once while neighbours are looked for.

@@ -1,14 +1,17 @@
 """Operators on patches: points grouped by some keys (an attempt, a rung, a simulation...), as plain group-bys where SQL
-can say it and one grouped Arrow function for hulls."""
+can say it and Arrow functions for hulls, which merge."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelground.functions.geometry import hull3d_area, hull_measures
+from levelground.functions.geometry import hull2d, hull2d_rows, hull3d, hull3d_area, measured_hull
 from levelground.operators.cloud import classify, normals
 from levelground.schema import EMPTY_METRIC, HULL
 
@@ -56,31 +59,85 @@ def patch_data(points: DataFrame, by: list[str]) -> DataFrame:
     return points.join(centre, by).groupBy(*by, "cx", "cy").agg(far.alias("reach"), F.max("z").alias("max_z"))
 
 
+#: Rows that a task holds before it looks for their hulls, and the parts of one group that are merged apart.
+HELD, PARTS = 20_000, 32
+
+
+def _corners(table: pa.Table, by: list[str], axes: str, rows_of: Callable[[np.ndarray], np.ndarray]) -> pa.Table:
+    """Of each group of the table, the rows that span its hull."""
+    codes = np.zeros((table.num_rows, 1), np.int64)
+    for c in by:
+        codes = np.column_stack([codes, table[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)])
+    group = np.unique(codes, axis=0, return_inverse=True)[1].ravel()
+    order = np.argsort(group, kind="stable")
+    at = np.column_stack([table[c].to_numpy().astype(float) for c in axes])
+    cuts = np.flatnonzero(np.diff(group[order])) + 1
+    return table.take(np.sort(np.concatenate([rows[rows_of(at[rows])] for rows in np.split(order, cuts)])))
+
+
+def spanning(points: DataFrame, by: list[str], axes: str) -> DataFrame:
+    """by and axes of points that have the same hulls as all points: each task leaves out what lies inside the hull of what
+    it has met, and holds at most some HELD rows beside one batch.  Where patches are small nothing is left out, and rows
+    pass through."""
+    rows_of = hull2d_rows if axes == "xy" else lambda xyz: hull3d(xyz)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                table = _corners(pa.Table.from_batches(held), by, axes, rows_of)
+                held, n = table.to_batches(), table.num_rows
+                if n > HELD // 2:  # little was left out
+                    yield from held
+                    held, n = [], 0
+        if n:
+            yield from _corners(pa.Table.from_batches(held), by, axes, rows_of).to_batches()
+
+    few = points.select(*by, *axes)
+    return few.mapInArrow(run, few.schema)
+
+
+def _hull_of_hulls(points: DataFrame, by: list[str], axes: str, measure: Callable[[np.ndarray], tuple], kinds: str) -> DataFrame:
+    """by and measure(vertices of the group's hull).  Hulls of what tasks hold, of parts of a group, and of the group: a
+    group that every task has points of moves as vertices alone, and no task gets more than PARTS hulls of it."""
+
+    def last(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *measure(group[list(axes)].to_numpy(float)))])
+
+    part = F.pmod(F.xxhash64(*axes), F.lit(PARTS))
+    merged = spanning(spanning(points, by, axes).withColumn("_part", part).repartition(*by, "_part"), by, axes)
+    keys = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in by)
+    return merged.groupBy(*by).applyInPandas(last, f"{keys}, {kinds}")
+
+
 def hulls(points: DataFrame, by: list[str]) -> DataFrame:
-    """n_vertices, area, perimeter and circularity of each patch's convex hull on the ground."""
+    """n_vertices, area, perimeter and circularity of each patch's convex hull on the ground; n_vertices of less than three
+    different points is their number, and the others are 0."""
+    return _hull_of_hulls(points, by, "xy", lambda xy: measured_hull(hull2d(xy)), HULL)
 
-    def measure(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *hull_measures(group[["x", "y"]].to_numpy(float)))])
 
-    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in by)
-    return points.select(*by, "x", "y").groupBy(*by).applyInPandas(measure, f"{kinds}, {HULL}")
+def hull_vertices(points: DataFrame, by: list[str]) -> DataFrame:
+    """by and vertices: array<struct<x, y>> of each patch's hull on the ground, counterclockwise from the least (x, y)."""
+    return _hull_of_hulls(points, by, "xy", lambda xy: ([{"x": x, "y": y} for x, y in hull2d(xy).tolist()],), "vertices array<struct<x: double, y: double>>")
 
 
 def density2d(points: DataFrame, by: list[str]) -> DataFrame:
     """Points per square metre of the hull on the ground; -1 if it has no area."""
     n = points.groupBy(*by).agg(F.count("*").alias("n_points"))
-    return hulls(points, by).join(n, by).select(*by, F.when(F.col("area") > 0, F.col("n_points") / F.col("area")).otherwise(EMPTY_METRIC).alias("data_confidence"))
+    return _density(hulls(points, by), n, by)
 
 
 def density3d(points: DataFrame, by: list[str]) -> DataFrame:
     """Points per square metre of the surface of the convex hull in space; -1 if there is none."""
+    n = points.groupBy(*by).agg(F.count("*").alias("n_points"))
+    return _density(_hull_of_hulls(points, by, "xyz", lambda xyz: (hull3d_area(xyz),), "area double"), n, by)
 
-    def measure(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        area = hull3d_area(group[["x", "y", "z"]].to_numpy(float))
-        return pd.DataFrame([(*key, len(group) / area if area > 0 else EMPTY_METRIC)])
 
-    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in by)
-    return points.select(*by, "x", "y", "z").groupBy(*by).applyInPandas(measure, f"{kinds}, data_confidence double")
+def _density(areas: DataFrame, n: DataFrame, by: list[str]) -> DataFrame:
+    return areas.join(n, by).select(*by, F.when(F.col("area") > 0, F.col("n_points") / F.col("area")).otherwise(EMPTY_METRIC).alias("data_confidence"))
 
 
 def blocked(patches: DataFrame, cloud: DataFrame, by: list[str], margin: float = 0.01, clearance: float = 10.0, step: float = 0.2, cell: float = 4.0, on: tuple[str, ...] = ()) -> DataFrame:

@@ -123,17 +123,17 @@ def simulated_zones(cloud: DataFrame, simulations: DataFrame, max_attempts: int,
     return first_zones(inside, cloud, zones, radius, k, limit, ("sim",), on, keep=keep, increment=increment, max_rungs=max_rungs)
 
 
-def monte_carlo(spark: SparkSession, config: Benchmark, density: float = 37.5, radius: float = 0.5, max_rungs: int | None = None) -> DataFrame:
+def monte_carlo(spark: SparkSession, config: Benchmark, density: float = 37.5, radius: float = 0.5, max_rungs: int | None = None, cloud: DataFrame | None = None) -> DataFrame:
     """sim, algorithm, n_zones and best_score of each configured algorithm over each simulation; no zones are 0, and a
     null score.
 
-    Each simulation has a made-up terrain of its own; with a pcd_file_path all have that cloud, and other seeds.  Growing
+    Each simulation has a made-up terrain of its own; with a pcd_file_path, or a cloud given, all have that cloud, and other seeds.  Growing
     circles keep to the hazard limits, and the first max_landing_zones of them by attempt count, not the best; of the
     other algorithms clusters count, the best score being the highest density (region growing: the largest size)."""
     simulations = spark.range(config.num_simulations).select(F.col("id").alias("sim"), (F.col("id") + 13).alias("salt"))
     on: tuple[str, ...] = ()
-    if config.pcd_file_path:
-        cloud = stored(valid(load_cloud(spark, config.pcd_file_path)), "terrain")
+    if config.pcd_file_path or cloud is not None:
+        cloud = stored(valid(load_cloud(spark, config.pcd_file_path if cloud is None else cloud)), "terrain")
     else:
         on = ("sim",)
         cloud = stored(terrains(simulations, config.terrain_size, int(config.terrain_size**2 * density)), "terrains")

@@ -278,3 +278,60 @@ def test_lone_points_have_all_their_neighbours(spark):
     for i in (0, 17, 3000, 3001):
         d2 = ((xyz - xyz[i]) ** 2).sum(axis=1)
         assert [got[i][j] for j in range(1, 7)] == np.lexsort((np.arange(len(xyz)), d2))[:6].tolist()
+
+
+def faces_area(xyz):
+    """Surface of the hull of points in general position: triples with all others on one side."""
+    from itertools import combinations
+
+    area = 0.0
+    for triple in combinations(range(len(xyz)), 3):
+        a, b, c = xyz[list(triple)]
+        n = np.cross(b - a, c - a)
+        side = np.delete((xyz - a) @ n, list(triple))
+        area += float(np.linalg.norm(n)) / 2 * bool((side > 0).all() or (side < 0).all())
+    return area
+
+
+@pytest.mark.parametrize("n", [4, 5, 9, 25])
+def test_hull_in_space_against_all_triples(n):
+    rng = np.random.default_rng(n)
+    for scale in ([1, 1, 1], [10, 10, 0.01]):
+        xyz = rng.random((n, 3)) * scale
+        rows, area = g.hull3d(np.concatenate([xyz, xyz]))
+        assert area == pytest.approx(faces_area(xyz), rel=1e-9)
+        assert g.hull3d_area(np.concatenate([xyz, xyz])[rows]) == pytest.approx(area, rel=1e-12)
+
+
+def test_hulls_without_volume_keep_what_spans_them():
+    rng = np.random.default_rng(3)
+    flat = rng.random((500, 2)) @ np.array([[1, 0, 0.5], [0, 1, -0.25]])
+    rows, area = g.hull3d(flat)
+    assert area == 0 and len(rows) < 40 and g.hull_measures(flat[rows][:, :2])[1] == pytest.approx(g.hull_measures(flat[:, :2])[1])
+    assert sorted(g.hull3d(np.outer([3, 1, 2, 0], [1.0, 1, 1]))[0]) == [0, 3]
+    assert len(g.hull3d(np.ones((5, 3)))[0]) == 1
+
+
+def test_points_in_a_line_are_no_vertices():
+    """0.1 and its multiples are rounded, so that lines of a grid are straight but for their last digits."""
+    assert g.hull_measures(np.array(grid())[:, :2] + 1000.1)[0] == 4
+
+
+@pytest.mark.parametrize("held", [20_000, 50])
+def test_hulls_merge(spark, monkeypatch, held):
+    """One patch over many tasks, many small ones, and one with a null key, against the hull of all points at once."""
+    monkeypatch.setattr(patch, "HELD", held)
+    rng = np.random.default_rng(5)
+    rows = [(k, float(x), float(y), float(z)) for k, n in (("big", 5000), ("a", 7), ("b", 3), ("one", 1), (None, 40)) for x, y, z in rng.normal(size=(n, 3))]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double").repartition(6)
+    of = {k: np.array([r[1:] for r in rows if r[0] == k]) for k in {r[0] for r in rows}}
+    for r in patch.hulls(df, ["k"]).collect():
+        n, area, around, _ = g.hull_measures(of[r.k][:, :2])
+        assert (r.n_vertices, r.area, r.perimeter) == (n, pytest.approx(area), pytest.approx(around))
+    for r in patch.hull_vertices(df, ["k"]).collect():
+        assert np.array_equal([(v.x, v.y) for v in r.vertices], g.hull2d(of[r.k][:, :2]))
+    density = {r.k: r.data_confidence for r in patch.density3d(df.where("k IS NOT NULL"), ["k"]).collect()}
+    assert density == {k: pytest.approx(len(p) / a if (a := g.hull3d_area(p)) > 0 else -1) for k, p in of.items() if k}
+    assert patch.hull_vertices(df.limit(0), ["k"]).count() == 0
+    few = patch.spanning(df.where("k = 'big'"), ["k"], "xy").count()
+    assert few < 5000 / 10  # what moves are vertices

@@ -85,43 +85,42 @@ def test_exact_dedup_keeps_one_of_repeated_rows(spark):
     assert sorted(rows(out, "kept", "group_size")) == [(False, 4)] * 3 + [(True, 4)]
 
 
-def line_chunks(lines, window=4, every=3):
+def line_chunks(lines, window=3, every=2):
     """Chunks as (first line, number of lines), from the definition alone: XXH64 with seed 42, folded over line hashes."""
     hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in lines]
-    out, first = [], 0
-    for i in range(len(lines)):
+
+    def hit(i):
+        if i + 1 < window:
+            return False
         roll = 42
-        for h in hashes[max(0, i + 1 - window) : i + 1]:
+        for h in hashes[i + 1 - window : i + 1]:
             roll = xxhash.xxh64(h.to_bytes(8, "little"), seed=roll).intdigest()
-        signed = roll - (1 << 64) if roll >> 63 else roll
-        if i + 1 == len(lines) or (i + 1 >= window and signed % every == 0):
-            out.append((first, i + 1 - first))
-            first = i + 1
-    return out
+        return (roll - (1 << 64) if roll >> 63 else roll) % every == 0
+
+    ends = [i + 1 for i in range(len(lines)) if i + 1 == len(lines) or (hit(i) and not hit(i - 1))]
+    return [(a, b - a) for a, b in zip([0, *ends], ends)]
 
 
 def line_removal(texts):
-    """Brute force of line_dedup over texts in the order of their ids."""
+    """What must go, from the contract: each occurrence of a chunk but the first, and the whole equal stretch around both,
+    however many chunks it runs over."""
     lines = [(t or "").split("\n") for t in texts]
-    chunks = [line_chunks(x) for x in lines]
     first, gone = {}, [set() for _ in texts]
-    for d, own in enumerate(chunks):
-        for c, (at, n) in enumerate(own):
-            part = tuple(lines[d][at : at + n])
+    for d, own in enumerate(lines):
+        for at, n in line_chunks(own):
+            part = tuple(own[at : at + n])
             if n < 2 or not "".join(part):
                 continue
-            e, f = first.setdefault(part, (d, c))
-            if (e, f) == (d, c):
+            e, start = first.setdefault(part, (d, at))
+            if (e, start) == (d, at):
                 continue
-            gone[d] |= set(range(at, at + n))
-            start, stop = chunks[e][f][0], sum(chunks[e][f])
-            for way, i, j, near in ((-1, at - 1, start - 1, c - 1), (1, at + n, stop, c + 1)):
-                beside = range(own[near][0], sum(own[near])) if 0 <= near < len(own) else range(0)
-                there = f + way
-                others = range(chunks[e][there][0], sum(chunks[e][there])) if 0 <= there < len(chunks[e]) else range(0)
-                while i in beside and j in others and lines[d][i] == lines[e][j]:
-                    gone[d].add(i)
-                    i, j = i + way, j + way
+            i, j = at, start
+            while i > 0 and j > 0 and own[i - 1] == lines[e][j - 1]:
+                i, j = i - 1, j - 1
+            stop, j = at, start
+            while stop < len(own) and j < len(lines[e]) and own[stop] == lines[e][j]:
+                stop, j = stop + 1, j + 1
+            gone[d] |= set(range(i, stop))
     return [(len(x), len(g), None if t is None and not g else "\n".join(y for i, y in enumerate(x) if i not in g)) for t, x, g in zip(texts, lines, gone)]
 
 
@@ -134,8 +133,24 @@ def test_line_dedup(spark, bits):
     got = {d: (n, gone, t) for d, n, gone, t in rows(line_dedup.line_dedup(table(spark, texts), hash_bits=bits), "doc_id", "n_lines", "n_removed", "text")}
     want = line_removal(texts)
     assert [got[i] for i in range(len(texts))] == want
-    # all but the first keep at most the lines before a passage's first boundary, and then only if the text before differs in chunks
-    assert sum(gone for _, gone, _ in want[:20]) >= 0.9 * 14 * 12
+    # every passage but the first goes whole
+    assert sum(gone for _, gone, _ in want[:20]) == 14 * 12
+
+
+def test_line_dedup_takes_passages_whole(spark):
+    """Parts of one long text at odd places of others: of each repeated part all lines go, whatever their chunks."""
+    rng = random.Random(11)
+    source = [f"line {i} {rng.random()}" for i in range(6_000)]
+    texts, lost = ["\n".join(source), "\n".join(source)], [0, len(source)]
+    for i in range(120):
+        at, n = rng.randrange(5_900), rng.randint(30, 90)
+        texts.append("\n".join([f"head {i} {j}" for j in range(rng.randint(0, 9))] + source[at : at + n] + [f"tail {i} {j}" for j in range(rng.randint(0, 9))]))
+        lost.append(len(source[at : at + n]))
+    out = line_dedup.line_dedup(table(spark, texts))
+    got = {d: (n, gone, t) for d, n, gone, t in rows(out, "doc_id", "n_lines", "n_removed", "text")}
+    assert [got[i][1] for i in range(len(texts))] == lost
+    assert [got[i] for i in range(len(texts))] == line_removal(texts)
+    assert got[1][2] == ""
 
 
 @pytest.mark.parametrize("limit", [10_000, 0])

@@ -1,7 +1,8 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A header is a line that names a licence (anywhere in a text); a licence file is a text whose file name says so, and
-counts as one piece as well.  Words of the templates are weighted by how many texts of the corpus hold them; a piece is
+A header is a line that names a licence (anywhere in a text), alone and joined with the one and the two lines that follow it,
+since titles and notices run over lines; a licence file is a text whose file name says so, and counts as one piece as well.  A
+piece that is as near to another licence tells nothing, so that a wrong version is never named.  Words of the templates are weighted by how many texts of the corpus hold them; a piece is
 compared with every template by the cosine of sparse vectors, through a join on words.  A file without a licence of its
 own takes that of the licence file in the nearest directory above it, by joining the directories on its path with those
 of licence files.
@@ -52,6 +53,21 @@ TEMPLATES = [
     ("LGPL-2.1", _gnu("Lesser", "2.1")),
     ("AGPL-3.0", _gnu("Affero", "3")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-1.0", "GNU General Public License Version 1, February 1989"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU Library General Public License Version 2, June 1991"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("GFDL-1.1", "GNU Free Documentation License Version 1.1, March 2000"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("Artistic-1.0", "The Artistic License Preamble"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -63,7 +79,7 @@ TEMPLATES = [
 ]
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: What a line must hold to be a header: a cheap test before any weighing.
-NAMES = r"(?i)licen[sc]e|redistribution|permission (is hereby|to use)|redistribute|unencumbered|spdx"
+NAMES = r"(?i)licen[sc]e|redistribution|permission (is hereby|to use)|redistribute|unencumbered|spdx|creative commons"
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z]+)?$"
 
 
@@ -84,12 +100,16 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def licence_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6) -> DataFrame:
+def licence_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, margin: float = 0.005, whole: float = 0.85) -> DataFrame:
     """One row per row of docs: id, path, own_licence, score (of the best template, rounded to 6 digits), licence (own
-    or inherited), inherited_from (the directory), n_headers (lines that match a template).
-
-    path: an expression over docs, the same for two rows only if they are the same file.  least: the least cosine.  Of
-    equally good templates the first by name is taken; a text's own licence is that of its best piece.  Null, empty and
+    or inherited), inherited_from (the directory), n_headers (lines that, alone or with the next two, match a template).
+
+    path: an expression over docs, the same for two rows only if they are the same file.  least: the least cosine.
+    margin: how much nearer a piece must be to its licence than to any other; a piece without it counts for none, nor does one without a word that its licence's template has and the
+    other's has not (so that a notice without its version names no version).  A licence
+    file's licence is that of the file as a whole if its cosine is `whole` or more, since one that lists the licences of its
+    parts is near to none, or to a wrong one; otherwise a text's own licence is that of its best piece, of
+    equally good ones the first.  Lines of white space alone are passed over.  Null, empty and
     plain texts have no licence of their own (null, score 0); a null path inherits nothing; of several licence files
     in one directory the best, then the first by name, counts.  Repeated rows give repeated rows; no rows give no rows;
     other columns are left out.
@@ -100,10 +120,13 @@ def licence_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     vocabulary = sorted({w for _, _, w, _ in known})
     # Words: how many texts hold each of the vocabulary's, over the whole corpus, from one pass that also finds the pieces.
     held = F.array_intersect(words(F.col("text")), F.array(*map(F.lit, vocabulary)))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(NAMES))
+    after = lambda lines, x, i: F.array(x, F.concat_ws(" ", x, F.get(lines, i + 1)), F.concat_ws(" ", x, F.get(lines, i + 1), F.get(lines, i + 2)))
+    named = lambda lines: F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(NAMES), after(lines, x, i))))
+    lines = F.get(F.transform(F.array(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))), named), F.lit(0))
+    lines = F.when(F.col("text").rlike(NAMES), lines).otherwise(F.array().cast("array<array<string>>"))
     is_file = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
-    whole = F.when(is_file & F.col("text").rlike(NAMES), F.array("text")).otherwise(F.array().cast("array<string>"))
-    rows = stored(base.select("id", "path", is_file.alias("is_file"), held.alias("held"), lines.alias("lines"), whole.alias("whole")).withColumn("rid", F.monotonically_increasing_id()), "licence-rows")
+    as_one = F.when(is_file & F.col("text").rlike(NAMES), F.array("text")).otherwise(F.array().cast("array<string>"))
+    rows = stored(base.select("id", "path", is_file.alias("is_file"), held.alias("held"), lines.alias("lines"), as_one.alias("whole")).withColumn("rid", F.monotonically_increasing_id()), "licence-rows")
 
     total = rows.count()
     df = rows.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
@@ -115,16 +138,30 @@ def licence_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weighed = stored(weighed.join(norms, "template").select("template", "licence", "word", (F.col("w") / F.col("norm")).alias("tw")), "licence-templates")
 
-    found = rows.select("rid", F.posexplode("lines").alias("at", "piece")).unionByName(rows.select("rid", F.lit(-1).alias("at"), F.explode("whole").alias("piece")))
+    header = rows.select("rid", F.posexplode("lines").alias("line", "pieces")).select("rid", "line", F.posexplode(F.array_distinct("pieces")).alias("more", "piece"))
+    found = header.select("rid", (F.col("line") * 3 + F.col("more")).alias("at"), "piece").unionByName(rows.select("rid", F.lit(-1).alias("at"), F.explode("whole").alias("piece")))
     rare = F.log(F.lit(total) + 1) + 1  # a word outside the vocabulary weighs as one that no text holds
     tf = found.select("rid", "at", F.explode(words(F.col("piece"))).alias("word")).groupBy("rid", "at", "word").agg(F.count("*").alias("n"))
     tf = tf.join(F.broadcast(vocab), "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", rare))
     size = tf.groupBy("rid", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = tf.join(F.broadcast(weighed), "word").groupBy("rid", "at", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dot.join(size, ["rid", "at"]).select("rid", "at", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
-    # the greatest score, then the first name: one ordered value for each
-    best = scored.groupBy("rid").agg(F.max("score").alias("score"), F.countDistinct(F.when(F.col("at") >= 0, F.col("at"))).alias("n_headers"))
-    own = stored(scored.join(best, ["rid", "score"]).groupBy("rid", "score", "n_headers").agg(F.min("licence").alias("own_licence")), "licences")
+    dot = tf.join(F.broadcast(weighed), "word").groupBy("rid", "at", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.collect_list("word").alias("met"))
+    scored = dot.join(size, ["rid", "at"]).select("rid", "at", "template", "licence", "met", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
+    # of a piece the nearest licence; at most as many others as there are licences
+    of_template = F.broadcast(template.groupBy("template").agg(F.collect_set("word").alias("words")))
+    each = scored.join(of_template, "template").groupBy("rid", "at", "licence").agg(F.max(F.struct("score", "words", "met")).alias("m"))
+    each = each.groupBy("rid", "at").agg(F.sort_array(F.collect_list(F.struct("m.score", "licence", "m.words", "m.met")), asc=False).alias("near"))
+    each = each.select("rid", "at", F.get("near", F.lit(0)).alias("first"), F.slice("near", 2, len(TEMPLATES)).alias("others"))
+
+    def farther(other):
+        own_words = F.array_except(F.col("first.words"), other["words"])
+        return (F.col("first.score") - other["score"] > margin) & ((F.size(own_words) == 0) | F.arrays_overlap(own_words, F.col("first.met")))
+
+    sure = each.where(F.forall("others", farther)).select("rid", "at", "first")
+    # a whole file first, then the greatest score, then the first piece: one ordered value for each
+    best = F.min(F.struct(((F.col("at") >= 0) | (F.col("first.score") < whole)).alias("part"), (-F.col("first.score")).alias("far"), "at", F.col("first.licence").alias("licence"))).alias("best")
+    headers = F.countDistinct(F.when(F.col("at") >= 0, F.floor(F.col("at") / 3))).alias("n_headers")
+    own = sure.groupBy("rid").agg(best, headers)
+    own = stored(own.select("rid", (-F.col("best.far")).alias("score"), "n_headers", F.col("best.licence").alias("own_licence")), "licences")
 
     per_row = stored(rows.select("rid", "id", "path", "is_file").join(own, "rid", "left"), "licence-own")
     files = per_row.where(F.col("is_file") & F.col("own_licence").isNotNull()).select(parent(F.col("path")).alias("dir"), "score", F.col("own_licence").alias("inherited"))

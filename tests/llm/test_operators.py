@@ -2,6 +2,7 @@
 empty tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -457,6 +458,29 @@ def test_secrets(spark):
     assert all(got[10 + i].n_copied == 1 and got[10 + i].n_live == 0 for i in range(5))
 
 
+COMMON = "/usr/share/common-licenses"
+REAL = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause"}
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no licence files")
+def test_whole_licence_files(spark):
+    """Real files, whole, without their first ten lines of titles too: then a licence that is right, or none."""
+    there = {name: open(f"{COMMON}/{name}", errors="replace").read() for name in REAL if os.path.exists(f"{COMMON}/{name}")}
+    docs = [(i, f"{i}/LICENSE", text) for i, text in enumerate(there.values())]
+    docs += [(100 + i, f"{i}/notes.txt", "\n".join(text.split("\n")[10:])) for i, text in enumerate(there.values())]
+    got = dict(rows(licences.licence_scan(spark.createDataFrame(docs, "doc_id long, path string, text string"), F.col("path")), "doc_id", "own_licence"))
+    assert {name: got[i] for i, name in enumerate(there)} == {name: REAL[name] for name in there}
+    versions = {name: got[100 + i] for i, name in enumerate(there)}
+    for name in ("GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0"):
+        assert name not in versions or versions[name] in (None, REAL[name])
+
+
+def test_a_piece_as_near_to_two_licences_tells_nothing(spark):
+    texts = ["it under the terms of the GNU General Public License as published by", "Released under the MIT License.", "   GNU GENERAL PUBLIC LICENSE\n\n   Version 2, June 1991\n", "Creative Commons"]
+    got = dict(rows(licences.licence_scan(table(spark, texts), F.lit(None).cast("string")), "doc_id", "own_licence"))
+    assert got == {0: None, 1: "MIT", 2: "GPL-2.0", 3: None}
+
+
 def test_near_relatives_among_licences(spark):
     """Whole files and notices of licences that share most of their words; wrapped lines, and a holder in front."""
     import textwrap

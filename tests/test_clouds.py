@@ -335,3 +335,14 @@ def test_hulls_merge(spark, monkeypatch, held):
     assert patch.hull_vertices(df.limit(0), ["k"]).count() == 0
     few = patch.spanning(df.where("k = 'big'"), ["k"], "xy").count()
     assert few < 5000 / 10  # what moves are vertices
+
+
+def test_clusters_as_long_as_the_cloud(spark):
+    """A line of cells under scrambled numbers, cut once, and a cell alone: passes do not grow with its length."""
+    n = 3000
+    ids = [i * 1237 % 3001 for i in range(n)]
+    edges = [(ids[i], ids[i + 1], i, -i, i + 1, -i - 1) for i in range(n - 1) if i != 999]
+    edges = spark.createDataFrame(edges, "a long, b long, ax long, ay long, bx long, by long")
+    nodes = spark.createDataFrame([(i,) for i in [*ids, 9999]], "id long")
+    found = dict(algorithms.clusters(edges, nodes).collect())
+    assert found == {i: min(ids[:1000]) for i in ids[:1000]} | {i: min(ids[1000:]) for i in ids[1000:]} | {9999: 9999}

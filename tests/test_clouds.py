@@ -346,3 +346,19 @@ def test_clusters_as_long_as_the_cloud(spark):
     nodes = spark.createDataFrame([(i,) for i in [*ids, 9999]], "id long")
     found = dict(algorithms.clusters(edges, nodes).collect())
     assert found == {i: min(ids[:1000]) for i in ids[:1000]} | {i: min(ids[1000:]) for i in ids[1000:]} | {9999: 9999}
+
+
+def test_points_above_others_are_certain_at_once(spark, monkeypatch):
+    """Neighbours up to three sides of a cell away need no pass of their own."""
+    rng = np.random.default_rng(7)
+    xyz = np.c_[rng.random((6000, 2)) * 16, np.zeros(6000)]
+    xyz[::60, 2] = np.sqrt(24 * 16 * 16 / 6000) * 1.6
+    c, passes = cloud(spark, xyz.tolist()), []
+    from levelground.operators import storage
+
+    write = storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name: (passes.append(name), write(df, name))[1])
+    found = {r.pid: r.mean_distance for r in ops.mean_distances(c, 5).collect()}
+    rows, d2, _ = g.nearest(xyz, xyz, 6)
+    assert all(abs(found[i] - np.sqrt(d2[i, 1:]).mean()) < 1e-9 for i in range(6000))
+    assert passes.count("neighbours") == 1

@@ -348,6 +348,18 @@ def test_clusters_as_long_as_the_cloud(spark):
     assert found == {i: min(ids[:1000]) for i in ids[:1000]} | {i: min(ids[1000:]) for i in ids[1000:]} | {9999: 9999}
 
 
+def test_first_zones_climb_little_in_vain(spark, monkeypatch):
+    """Each simulation's first attempt gives a zone: what many simulations climb at first does not grow with their number."""
+    c, seen = cloud(spark, grid(n=41)), []
+    candidates = growth.candidates
+    monkeypatch.setattr(growth, "candidates", lambda seeds, *a, **k: (seen.append(seeds.count()), candidates(seeds, *a, **k))[1])
+    seeds = [(sim, i, 41 * (10 + at % 21) + 10 + at // 21, (10 + at % 21) / 10, (10 + at // 21) / 10, 0.0) for sim in range(20) for i in range(64) for at in [(sim + 20 * i) % 441]]
+    seeds = spark.createDataFrame(seeds, "sim long, attempt long, seed_pid long, seed_x double, seed_y double, seed_z double")
+    found = growth.first_zones(seeds, c, 1, 0.5, 10, 25.0, by=("sim",), max_rungs=1)
+    assert sorted((r.sim, r.attempt) for r in found.collect()) == [(sim, 0) for sim in range(20)]
+    assert sum(seen) <= 256
+
+
 def test_points_above_others_are_certain_at_once(spark, monkeypatch):
     """Neighbours up to three sides of a cell away need no pass of their own."""
     rng = np.random.default_rng(7)

@@ -374,3 +374,48 @@ def test_points_above_others_are_certain_at_once(spark, monkeypatch):
     rows, d2, _ = g.nearest(xyz, xyz, 6)
     assert all(abs(found[i] - np.sqrt(d2[i, 1:]).mean()) < 1e-9 for i in range(6000))
     assert passes.count("neighbours") == 1
+
+
+@pytest.mark.parametrize("part_points", [60_000, 30])
+def test_passes_in_parts_give_the_same_ladder(spark, monkeypatch, part_points):
+    """Parts of a pass are looked at apart, however few points they have, and the ladder is that of each patch by itself."""
+    rng = np.random.default_rng(3)
+    xyz = np.column_stack([rng.random((1500, 2)) * 12, 0.01 * rng.random(1500)])
+    xyz[(xyz[:, 0] > 9) & (xyz[:, 1] > 9), 2] += 3 * rng.random()
+    monkeypatch.setattr(growth, "PART_POINTS", part_points)
+    c = cloud(spark, xyz.tolist())
+    seeds = ops.every_point(c.where("pid IN (0, 7, 20, 33, 41)"))
+    got = {(r.attempt, r.rung): (r.n, r.flat) for r in growth.growth_ladder(seeds, c, 0.5, 8, 25.0, 0.5).collect()}
+    want, diagonal = {}, float(np.linalg.norm(np.ptp(xyz, axis=0)))
+    for s in (0, 7, 20, 33, 41):
+        d = np.sqrt(((xyz - xyz[s]) ** 2).sum(axis=1))
+        for m in range(growth.rungs_to(diagonal, 0.5, 0.5)):
+            inside = xyz[d < 0.5 + 0.5 * m]
+            flat = len(inside) > 2 and bool(np.all(g.local_slopes(inside, 8) <= 25.0))
+            want[s, m] = (len(inside), flat)
+            if not flat:
+                break
+    assert got == want
+
+
+def test_nearest_looks_at_many_columns_at_once(monkeypatch):
+    """20,000 points are some 3,000 columns, which a call for each would look at one by one."""
+    calls, real = [], g._least
+    monkeypatch.setattr(g, "_least", lambda *a: calls.append(1) or real(*a))
+    rng = np.random.default_rng(5)
+    xyz = rng.random((20_000, 3)) * [20, 20, 0.1]
+    of = xyz[:500]
+    rows, d2, exact = g.nearest(xyz, xyz, 10, 0.8)
+    assert exact.all() and len(calls) < 60
+    far = ((of[:, None] - xyz[None]) ** 2).sum(axis=2)
+    assert (rows[:500] == np.argsort(far, axis=1, kind="stable")[:, :10]).all()
+
+
+def test_hull_of_a_ring_walks_over_few():
+    """Of a ring half a metre wide and 46 m in radius, most points lie inside the polygon of 128 extremes."""
+    rng = np.random.default_rng(6)
+    turn, r = rng.random(6_000) * 2 * np.pi, 45.5 + 0.5 * rng.random(6_000)
+    xy = np.column_stack([r * np.cos(turn), r * np.sin(turn)])
+    assert g._not_inside(xy).sum() < 600
+    inner = np.concatenate([xy, rng.random((500, 2))])
+    assert np.array_equal(g.hull2d(inner), g.hull2d(xy))

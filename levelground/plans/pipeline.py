@@ -29,7 +29,7 @@ class Result:
 
 
 def _sor(result: Result, p: dict, legacy: bool) -> None:
-    classes = ops.sor_classify(result.inliers, int(p.get("nb_neighbors", 20)), float(p.get("std_ratio", 2.0)))
+    classes = stored(ops.sor_classify(result.inliers, int(p.get("nb_neighbors", 20)), float(p.get("std_ratio", 2.0))), "classes")
     result.method = "SOR"
     if not legacy:
         result.outliers = classes.where(~F.col("inlier")).drop("mean_distance", "inlier")
@@ -37,7 +37,7 @@ def _sor(result: Result, p: dict, legacy: bool) -> None:
 
 
 def _pca(result: Result, p: dict, legacy: bool) -> None:
-    classes = ops.slope_classes(result.inliers, float(p.get("angleThreshold", 20.0)), int(p.get("k", 10)))
+    classes = stored(ops.slope_classes(result.inliers, float(p.get("angleThreshold", 20.0)), int(p.get("k", 10))), "classes")
     columns = result.inliers.columns
     result.inliers, result.outliers, result.method = classes.where("inlier").select(*columns), classes.where(~F.col("inlier")).select(*columns), "PCA"
 

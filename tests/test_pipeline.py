@@ -178,3 +178,11 @@ def test_two_clouds_stay_apart(spark, tmp_path):
     voxels = pipeline.run(spark, config.Pipeline("", voxel_downsample=True, voxel_size=1.0, steps=[config.Step("SOR", True, {"nb_neighbors": 4, "std_ratio": 1.0})]), both)
     start = voxels.downsampled.count()
     assert start == voxels.downsampled.select("cloud_id", "pid").distinct().count() == voxels.inliers.count() + voxels.outliers.count()
+
+
+def test_steps_hand_on_what_they_wrote(spark):
+    """Later steps read a step's classes, and do not join them to the cloud again."""
+    steps = [config.Step("SOR", True, {"nb_neighbors": 8}), config.Step("PCA", True, {"k": 8})]
+    result = pipeline.run(spark, config.Pipeline("", steps=steps), terrain(spark, 4.0, 600))
+    assert "Join" not in result.inliers._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < result.inliers.count() < 600

@@ -8,9 +8,10 @@ class, and the index of two-shingle combinations within a class finds them.  c f
 that a set shares with one of its size or smaller, and is less than it; each set is indexed for the c of every size that
 it can be similar to.
 
-Candidates only say which sets must be compared.  Pairs come from single rare shingles after the length and position
-filters, and from combinations that few sets hold; a pair stays if the parity sketches of its sets differ in no more bits
-than similar sets may differ in shingles, which no similar pair fails.  A combination that many sets hold gives a star
+Candidates only say which sets must be compared.  Pairs come from single rare shingles, and from combinations that few sets
+hold; a pair stays if the parity sketches of its sets differ in no more bits than similar sets may differ in shingles, which no
+similar pair fails.  A single pairs its holders with one of them first, as many rows as it has holders; only holders that these
+pairs leave in different components are then paired with each other, after the length and position filters.  A combination that many sets hold gives a star
 around one of them.  A single that more than LISTED sets hold in their prefixes was taken for rare wrongly: no pairs are
 listed of it, but the sets that hold it there are indexed once more with it among the frequent ones.  (Similar sets whose
 first shared shingle it is both hold it there, and the prefix rule holds for any order, so this finds them.)
@@ -259,6 +260,20 @@ def _compare(percent: int, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype=object)
 
 
+def _apart(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of holders of a single, its star's centre left out, that are not in one group yet, after the length and
+    position filters.  shared: depth, key, held, a (the centre), s, n, at."""
+    labelled = shared.where("held > 2").join(groups.withColumnRenamed("id", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
+    labelled = stored(labelled.where("a <> s").select("depth", "key", "s", "n", "at", "label"), "labelled")
+    mixed = labelled.groupBy("depth", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("depth", "key")
+    mixed = stored(labelled.join(mixed, ["depth", "key"], "left_semi"), "mixed")
+    x, y = mixed.alias("x"), mixed.alias("y")
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    same = (F.col("x.depth") == F.col("y.depth")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.label") != F.col("y.label"))
+    return x.join(y, same & (100 * small >= percent * large) & (rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: id, n_shingles (long), component_id.
 
@@ -294,7 +309,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         wanted = rows.where("n > 0").groupBy("node").agg(F.min("tkey").alias("tkey")).withColumn("s", first).join(ids.select("s"), "s", "left_semi").select("tkey").distinct()
         return semi(texts.select("tkey", "text"), stored(wanted, "wanted"), ["tkey"]).select("text")
 
-    todo, known, found, combos, stars = texts.select("text"), None, [], [], []
+    todo, known, shared, combos, stars = texts.select("text"), None, [], [], []
     for depth in range(DEPTH):
         by = np.argsort(h)
         h, c = h[by], c[by]
@@ -304,18 +319,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         combos.append(index.where(F.size("combos") > 0).select("s", F.explode("combos").alias("key")))
         single = index.select("s", "n", F.posexplode("singles").alias("at", "key"))
         # A set may come once from each of several tasks: holders are counted first, and told apart where they are many.
-        crowd = stored(single.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > LISTED), "crowded")
+        keys = stored(single.groupBy("key").agg(F.count("*").alias("held"), F.min("s").alias("a"), F.max("s").alias("z")).where("a < z").drop("z"), "keys")
+        crowd = keys.where(F.col("held") > LISTED)
         if crowd.limit(1).count():
             distinct = semi(single, crowd.select("key"), ["key"]).select("key", "s").distinct()
             crowd = stored(distinct.groupBy("key").agg(F.count("*").alias("held"), F.min("s").alias("a")).where(F.col("held") > LISTED), "crowded")
         room = MOST_FREQUENT - len(h)
         number = crowd.limit(room + 1).count()
         few = F.broadcast(crowd.select("key")) if number <= min(room, BROADCAST_ROWS) else crowd.select("key")
-        light = single.join(few, "key", "left_anti") if number else single
-        x, y = light.alias("x"), light.alias("y")
-        small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-        found.append(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (100 * small >= percent * large) & (rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))))
+        light = keys.join(few, "key", "left_anti") if number else keys
+        shared.append(stored(single.join(light, "key").withColumn("depth", F.lit(depth)), "shared"))
         if not number:
             break
         hot = stored(spread(single.select("key", "s"), "key").join(spread(crowd, "key"), ["key", "_spread"]).select("a", "s").distinct(), "crowd")
@@ -332,15 +345,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = stored(combo.groupBy("key").agg(F.min("s").alias("a"), F.count("*").alias("held")).where("held > 1"), "held")
     few = combo.join(held.where(F.col("held") <= LISTED), "key").select("key", "s")
     u, v = few.alias("x"), few.alias("y")
-    found.append(u.join(v, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s"))))
-    pairs = stored(reduce(DataFrame.unionByName, [some.select(*both) for some in found]).distinct(), "pairs")
+    listed = u.join(v, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s"))).select(*both)
     known = known.select("s", "n", "sketch").dropDuplicates(["s"])
     own, other = known.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), known.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     half = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
     differ = F.aggregate(F.zip_with(half("sa", "sb"), half("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
-    pairs = pairs.join(own, "a").join(other, "b").where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sketches may be of similar sets."""
+        pairs = stored(pairs.distinct(), "pairs")
+        return pairs.join(own, "a").join(other, "b").where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+    alone = reduce(DataFrame.unionByName, shared)
     stars.append(spread(combo, "key").join(spread(held.where(F.col("held") > LISTED), "key"), ["key", "_spread"]).where("a <> s").select("a", F.col("s").alias("b")).distinct())
-    groups = components(reduce(DataFrame.unionByName, [pairs, *stars]))
+    starred = likely(listed.unionByName(alone.where("a <> s").select("a", F.col("s").alias("b"))))
+    groups = components(reduce(DataFrame.unionByName, [starred, *stars]))
+    rest = likely(_apart(alone, groups, percent))
+    groups = components(groups.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(rest))
 
     groups = stored(groups.withColumnRenamed("id", "s").join(known.select("s", "n"), "s"), "sized")
     blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")

@@ -231,6 +231,30 @@ def test_a_shared_footer_lists_few_pairs(spark, monkeypatch):
     assert listed["pairs"] <= 8 * len(texts), listed  # 120 * 119 / 2 if all of the footer's holders met
 
 
+def test_near_copies_pair_with_one_of_them(spark, monkeypatch):
+    """Forty copies that differ in a word each give pairs in proportion, not in the square; texts that share a run with the
+    star's centre and are near only to each other still meet."""
+    rng, stored, listed = random.Random(21), jaccard_join.stored, []
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(200)]
+    texts = [" ".join([*base[: 5 * i], word(), *base[5 * i + 1 :]]) for i in range(40)]
+    shared = [word() for _ in range(60)]
+    for _ in range(6):  # pairs of near copies; all share a run
+        own = [*shared, *(word() for _ in range(30))]
+        texts += [" ".join(own), " ".join([*own[:-1], word()])]
+    out = jaccard_join.jaccard_components(table(spark, texts), frequent=1_000_000)
+    assert sorted((r[0], r[2]) for r in rows(out, "doc_id", "n_shingles", "component_id")) == [(i, c) for i, _, c in components(texts)]
+    assert 0 < sum(listed) < 4 * len(texts)
+
+
 def test_a_dense_group_is_compared_with_one_set(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words[:i % 397] + [f"new{i}"] + words[i % 397 + 1 :]) for i in range(1500)]

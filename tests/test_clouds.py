@@ -246,6 +246,32 @@ def test_steep_bound_holds_and_is_near(spark):
     assert not growth.steep_bound(seeds, ground, 91.0).count()
 
 
+def test_steep_bound_is_drawn_closer(spark):
+    """A steep half of a wide cloud: the bound is no more than a fifth and some cells beyond the least."""
+    rng = np.random.default_rng(23)
+    steep = np.array([(200.0 + 2 * (i % 100), 2.0 * (i // 100), 0.0) for i in range(20_000)])
+    points = spark.range(20_000).selectExpr("id AS pid", "200D + 2 * (id % 100) AS x", "2D * (id div 100) AS y", "0D AS z", "60D AS slope_deg", "0.3D AS reach")
+    ground = growth.Surface(points, (), 1.0, 0.3, 400.0, 566.0)
+    own = [(i, i, *map(float, p)) for i, p in enumerate(rng.random((40, 3)) * [200, 400, 1])]
+    seeds = spark.createDataFrame(own, "attempt long, seed_pid long, seed_x double, seed_y double, seed_z double")
+    got = {r.attempt: r.ends for r in growth.steep_bound(seeds, ground, 25.0).collect()}
+    for i, _, *p in own:
+        least = np.sqrt(((steep - p) ** 2).sum(axis=1)).min() + 0.3
+        assert least - 1e-9 <= got[i] <= 1.2 * least + 2
+
+
+def test_radius_join_of_own_radii(spark):
+    """Each seed with a radius of its own meets the points within it, and none twice."""
+    rng = np.random.default_rng(24)
+    c = cloud(spark, (rng.random((800, 3)) * [9, 9, 1] - [4, 4, 0]).tolist())
+    own = [(i, *map(float, p), float(r)) for i, (p, r) in enumerate(zip(rng.random((20, 3)) * [9, 9, 1] - [4, 4, 0], [0.1, 0.7, 2.0, 9.0] * 5))]
+    seeds = spark.createDataFrame(own, "attempt long, seed_x double, seed_y double, seed_z double, cap double")
+    within = "sqrt(d2) < cap"
+    pairs = lambda df: sorted((r.attempt, r.pid) for r in df.where(within).collect())
+    finer = spatial.radius_join(seeds, c, 2.5, own="cap")
+    assert pairs(finer) == pairs(spatial.radius_join(seeds, c, 2.5))
+
+
 def test_neighbours_of_an_uneven_cloud(spark, monkeypatch):
     """Some 5,000 times denser in one place, lone points and equal ones: equal to brute force, and no call gets a crowd."""
     monkeypatch.setattr(spatial, "BLOCK", 2)

@@ -16,6 +16,9 @@ around one of them.  A single that more than LISTED sets hold in their prefixes
 listed of it, but the sets that hold it there are indexed once more with it among the frequent ones.  (Similar sets whose
 first shared shingle it is both hold it there, and the prefix rule holds for any order, so this finds them.)
 
+A component too large for one block is first told apart by sketches, of some 100 bytes a set: only sets that their sketches
+leave together go on as a component, so that sets which merely share frequent passages are not compared by shingles in the square.
+
 The components of this graph are compared set by set in blocks, by counts of common shingles, and of each block only links that connect something new are
 handed on.  In a component of several blocks, sets are first compared with one of them; those that it links to need no
 comparison with each other.  Sets that are equal are one node from the start.  So nothing but sets and trees of links moves.
@@ -24,6 +27,7 @@ comparison with each other.  Sets that are equal are one node from the start.  S
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -31,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelground.llm._common import BROADCAST_ROWS, arrow_rows, components, id_text, semi, spread, stored
@@ -42,6 +46,8 @@ FLUSH, LEAST_LOCAL = 4_000_000, 2
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
 #: Sets compared at once with as many others, shingles in these on average at most, and the most holders of a key whose pairs are listed.
 BLOCK, BLOCK_SHINGLES, LISTED = 256, 2_000_000, 64
+#: Sets whose sketches are compared at once with those of as many others, and 64-bit words of these on average at most.
+SKETCHES, SKETCH_WORDS = 2_048, 1 << 17
 #: How often sets are indexed anew for singles that many hold; such singles left then give stars, as combinations do.
 DEPTH = 3
 #: Least bits of a parity sketch: bit i is the number of shingles whose hash is i modulo the bits, modulo 2.
@@ -260,6 +266,81 @@ def _compare(percent: int, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype=object)
 
 
+def alike(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and sketches may be of similar sets."""
+    label, out = np.arange(len(sizes)), []
+    words = np.array([len(x) for x in sketches])
+    for width in np.unique(words):
+        both = np.flatnonzero((words == width) | (words == 2 * width))
+        both = both[np.argsort(sizes[both], kind="stable")]
+        n, wide = sizes[both], words[both] > width
+        bits = np.stack([sketches[i] if len(sketches[i]) == width else sketches[i][:width] ^ sketches[i][width:] for i in both])
+        last = np.searchsorted(percent * n, 100 * n, side="right")  # where sets begin that are too large to be similar
+        step = int(max(1, 2_000_000 // (len(both) * width)))
+        for start in range(0, len(both), step):
+            own, other = np.arange(start, min(start + step, len(both))), np.arange(start, last[min(start + step, len(both)) - 1])
+            differ = np.bitwise_count(bits[own, None] ^ bits[None, other]).sum(axis=2, dtype=np.int64)
+            may = differ * (100 + percent) <= (n[own, None] + n[other]) * (100 - percent)
+            may &= (other > own[:, None]) & (other < last[own, None]) & ~(wide[own, None] & wide[other])
+            for i in np.flatnonzero(may.any(axis=1)).tolist():
+                x, there = both[own[i]], both[other[may[i]]]
+                for one, at in zip(*np.unique(label[there], return_index=True)):
+                    if one != label[x]:
+                        label[label == one] = label[x]
+                        out.append((int(x), int(there[at])))
+    return out
+
+
+def _alike(percent: int, group: pd.DataFrame) -> pd.DataFrame:
+    group = group.drop_duplicates("s")
+    found = alike(group["n"].to_numpy(np.int64), [np.asarray(x, np.int64) for x in group["sketch"]], percent)
+    s = group["s"].to_numpy()
+    return pd.DataFrame({"a": [s[i] for i, _ in found], "b": [s[j] for _, j in found]}, dtype=np.int64)
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """May x and y, with columns n and sketch, be similar, by their sizes and sketches?"""
+    nx, ny, sx, sy = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
+    half = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+    differ = F.aggregate(F.zip_with(half(sx, sy), half(sy, sx), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
+    sizes = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
+    return F.when(sizes, F.coalesce(differ * (100 + percent) <= (nx + ny) * (100 - percent), F.lit(False))).otherwise(False)
+
+
+def _meeting(told: DataFrame, by: list[str], node: str, apart: Column, beside: Column) -> DataFrame:
+    """Rows of told once for each pair (i, j) of blocks of their group that they meet in.  apart, beside: numbers of blocks of
+    sets apart from the centre, which come first and meet all blocks, and of those near it, which meet only the former."""
+    parts = stored(told.groupBy(*by).agg(apart.alias("apart"), beside.alias("beside")).where("apart > 0"), "parts")
+    met = spread(told, *by).join(spread(parts, *by), [*by, "_spread"])
+    slot = lambda number: F.pmod(F.xxhash64(node), number).cast("int")
+    met = met.withColumn("own", F.when(F.col("near"), F.col("apart") + slot(F.col("beside"))).otherwise(slot(F.col("apart"))))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), F.col("apart")).otherwise(F.col("apart") + F.col("beside")) - 1)))
+    return met.select(*told.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _parts_of(most: int, size: Column, most_size: int) -> list[Column]:
+    """Numbers of blocks of the sets apart from and near a centre: most sets, and most_size in all, to a block."""
+    return [F.ceil(F.greatest(F.count_if(some) / most, F.sum(F.when(some, size).otherwise(0)) / most_size)).cast("int") for some in (~F.col("near"), F.col("near"))]
+
+
+def _told_apart(many: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """many: s, label and n of the sets of large components; s and label of those that sketches leave together with others.
+
+    Sets meet by sizes: those of one band of sizes, as wide as similar sets may differ, and of the next.  Those that may link to
+    the centre of the two bands do not meet each other."""
+    band = F.floor(F.log(F.col("n")) / (math.log(100 / percent) + 1e-3)).cast("int")
+    many = many.select("s", "label").join(known, "s").withColumn("band", F.explode(F.array(band, band - 1)))
+    many = stored(many, "sketches")
+    middle = many.groupBy("label", "band").agg(F.min_by(F.struct("s", "n", "sketch"), "s").alias("m"))
+    many = spread(many, "label", "band").join(spread(middle, "label", "band"), ["label", "band", "_spread"]).select("label", "band", F.col("m.s").alias("centre"), "m", F.struct("s", "n", "sketch").alias("x"))
+    many = stored(many.select("label", "band", "centre", "x.*", _may_link("x", "m", percent).alias("near")), "beside")
+    parts = _parts_of(SKETCHES, F.size("sketch"), SKETCH_WORDS)
+    met = _meeting(many, ["label", "band"], "s", *parts).select("label", "band", "i", "j", "s", "n", "sketch")
+    links = stored(met.groupBy("label", "band", "i", "j").applyInPandas(partial(_alike, percent), "a long, b long"), "alike")
+    links = links.unionByName(many.where("near AND s <> centre").select(F.col("centre").alias("a"), F.col("s").alias("b")))
+    return components(links).withColumnRenamed("id", "s")
+
+
 def _apart(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of holders of a single, its star's centre left out, that are not in one group yet, after the length and
     position filters.  shared: depth, key, held, a (the centre), s, n, at."""
@@ -347,14 +428,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     u, v = few.alias("x"), few.alias("y")
     listed = u.join(v, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s"))).select(*both)
     known = known.select("s", "n", "sketch").dropDuplicates(["s"])
-    own, other = known.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), known.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    half = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
-    differ = F.aggregate(F.zip_with(half("sa", "sb"), half("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose sketches may be of similar sets."""
         pairs = stored(pairs.distinct(), "pairs")
-        return pairs.join(own, "a").join(other, "b").where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+        own, other = known.select(F.col("s").alias("a"), F.struct("n", "sketch").alias("x")), known.select(F.col("s").alias("b"), F.struct("n", "sketch").alias("y"))
+        return pairs.join(own, "a").join(other, "b").where(_may_link("x", "y", percent)).select("a", "b")
 
     alone = reduce(DataFrame.unionByName, shared)
     stars.append(spread(combo, "key").join(spread(held.where(F.col("held") > LISTED), "key"), ["key", "_spread"]).where("a <> s").select("a", F.col("s").alias("b")).distinct())
@@ -363,10 +442,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = likely(_apart(alone, groups, percent))
     groups = components(groups.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(rest))
 
-    groups = stored(groups.withColumnRenamed("id", "s").join(known.select("s", "n"), "s"), "sized")
-    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    sizes = groups.groupBy("label").agg(blocks)
-    placed = stored(spread(groups, "label").join(spread(sizes, "label"), ["label", "_spread"]).select("s", "label", "n", "blocks"), "groups")
+    def in_blocks(groups: DataFrame) -> DataFrame:
+        """s and label as s, label, n and the number of blocks of all that have the label."""
+        groups = stored(groups.select("s", "label").join(known.select("s", "n"), "s"), "sized")
+        sizes = groups.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        return stored(spread(groups, "label").join(spread(sizes, "label"), ["label", "_spread"]).select("s", "label", "n", "blocks"), "groups")
+
+    placed = in_blocks(groups.withColumnRenamed("id", "s"))
+    if placed.where("blocks > 1").limit(1).count():
+        refined = in_blocks(_told_apart(placed.where("blocks > 1"), known, percent))
+        placed = placed.where("blocks = 1").unionByName(refined)
     kinds = "s long, node binary, shingles binary"
     compare, pair = partial(_compare, percent), "a binary, b binary"
     sets = arrow_rows(texts_of(placed.where("blocks = 1")), partial(_sets, k), kinds).join(placed.where("blocks = 1"), "s")
@@ -379,15 +464,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         told = spread(sets, "label").join(spread(middle, "label"), ["label", "_spread"]).select("label", "node", "shingles", "centre", "middle")
         told = stored(arrow_rows(told, partial(_near, percent), "label long, node binary, shingles binary, centre binary, near boolean"), "told")
         links = links.unionByName(told.where("near AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-        # Blocks of sets apart from the centre come first; they meet all blocks, and blocks of sets near it meet only them.
-        size = F.length("shingles") / 8
-        parts = [F.ceil(F.greatest(F.count_if(some) / block, F.sum(F.when(some, size).otherwise(0)) / BLOCK_SHINGLES)).cast("int") for some in (~F.col("near"), F.col("near"))]
-        parts = stored(told.groupBy("label").agg(parts[0].alias("apart"), parts[1].alias("beside")).where("apart > 0"), "parts")
-        told = spread(told, "label").join(spread(parts, "label"), ["label", "_spread"])
-        slot = lambda number: F.pmod(F.xxhash64("node"), number).cast("int")
-        told = told.withColumn("own", F.when(F.col("near"), F.col("apart") + slot(F.col("beside"))).otherwise(slot(F.col("apart"))))
-        told = told.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), F.col("apart")).otherwise(F.col("apart") + F.col("beside")) - 1)))
-        told = told.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+        told = _meeting(told, ["label"], "node", *_parts_of(block, F.length("shingles") / 8, BLOCK_SHINGLES)).select("label", "i", "j", "node", "shingles")
         links = links.unionByName(stored(told.groupBy("label", "i", "j").applyInPandas(compare, pair), "links"))
 
     joined = components(links)

@@ -255,6 +255,63 @@ def test_near_copies_pair_with_one_of_them(spark, monkeypatch):
     assert 0 < sum(listed) < 4 * len(texts)
 
 
+def test_a_long_text_does_not_join_short_ones(spark, monkeypatch):
+    """A text of 20,000 words, whose sketch alone admits any short one, shares a run with each of 30 that are near nothing."""
+    rng, stored, joined = random.Random(23), jaccard_join.stored, []
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "sized":
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    long = [word() for _ in range(21_000)]
+    texts = [" ".join(long), *(" ".join(long[600 * i : 600 * i + 3] + [word() for _ in range(3)]) for i in range(30))]
+    out = jaccard_join.jaccard_components(table(spark, texts), frequent=1_000_000)
+    assert sorted((r[0], r[2]) for r in rows(out, "doc_id", "n_shingles", "component_id")) == [(i, i) for i in range(len(texts))]
+    assert not sum(joined)
+
+
+def test_sets_that_share_passages_alone_are_told_apart_by_sketches(spark, monkeypatch):
+    """Texts of two passages each, of ten: runs of a passage join all of them, few are near one another, and only these are compared
+    by shingles; of two lengths, and one of each of some near copies."""
+    rng, stored, compared = random.Random(24), jaccard_join.stored, []
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name in ("sketches", "sets"):
+            compared.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    monkeypatch.setattr(jaccard_join, "LISTED", 4)
+    monkeypatch.setattr(jaccard_join, "SKETCHES", 8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passages = [[word() for _ in range(60 + 700 * (i > 6))] for i in range(10)]
+    texts = [" ".join(passages[i] + passages[j]) for i in range(10) for j in range(i)]
+    texts += [" ".join([*passages[i], *passages[i + 1], word()]) for i in range(9)]
+    out = jaccard_join.jaccard_components(table(spark, texts), frequent=2, block=4)
+    assert sorted((r[0], r[2]) for r in rows(out, "doc_id", "n_shingles", "component_id")) == [(i, c) for i, _, c in components(texts)]
+    assert dict(compared).get("sketches", 0) >= len(texts) / 2
+    assert dict(compared).get("sets", 0) < len(texts) / 2, compared
+
+
+def test_alike_finds_all_that_may_link():
+    """Sets of sizes on both sides of a power of two: all that link are joined."""
+    rng, sets = random.Random(25), []
+    for size in (3, 40, 1020, 1030, 2040, 2050, 4090, 4100):
+        base = [rng.getrandbits(64) for _ in range(size)]
+        sets += [np.unique(np.array(base[: size - cut] + [rng.getrandbits(64) for _ in range(more)], np.uint64)) for cut, more in ((0, 0), (size // 25, 0), (0, size // 20), (size // 40, size // 40))]
+    label = list(range(len(sets)))
+    for a, b in jaccard_join.alike(np.array([len(x) for x in sets]), [jaccard_join.sketch(x) for x in sets], 90):
+        label = [label[a] if x == label[b] else x for x in label]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 90 * (len(sets[i]) + len(sets[j]) - c)]
+    assert len(linked) >= 20 and all(label[i] == label[j] for i, j in linked)
+    assert len(set(label)) >= 6
+
+
 def test_a_dense_group_is_compared_with_one_set(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words[:i % 397] + [f"new{i}"] + words[i % 397 + 1 :]) for i in range(1500)]

@@ -445,3 +445,29 @@ def test_hull_of_a_ring_walks_over_few():
     assert g._not_inside(xy).sum() < 600
     inner = np.concatenate([xy, rng.random((500, 2))])
     assert np.array_equal(g.hull2d(inner), g.hull2d(xy))
+
+
+def test_seeds_too_high_end_early(spark):
+    """A gentle slope before a wall: of zones of little relief the same ones as among all, and no patch is grown far beyond."""
+    rng = np.random.default_rng(8)
+    xyz = np.column_stack([rng.random((9000, 2)) * 24, np.zeros(9000)])
+    xyz[:, 2] = 0.1 * xyz[:, 0] + 3 * np.maximum(0, xyz[:, 0] - 16) + 0.001 * rng.random(9000)
+    c = cloud(spark, xyz.tolist())
+    seeds = ops.off_edge(ops.every_point(c.where("pid % 150 = 0")), c, 0.5)
+    of = lambda df: sorted(df.select("attempt", "rung", "n", "relief", "score").collect())
+    whole, few = growth.candidates(seeds, c, 0.5, 8, 25.0), growth.candidates(seeds, c, 0.5, 8, 25.0, max_relief=0.5)
+    assert of(few) == of(whole.where("relief <= 0.5")) and 0 < few.count() < whole.count()
+    ladder = growth.growth_ladder(seeds, c, 0.5, 8, 25.0, max_relief=0.5)
+    assert not ladder.join(ladder.where("flat AND relief > 0.5").selectExpr("attempt", "rung AS high"), "attempt").where("rung > high").count()
+    ends = {r.attempt: r.ends for r in growth.relief_bound(seeds, growth.surface(c, 8), 0.5).collect()}
+    for r in seeds.collect():
+        d = np.sqrt(((xyz - [r.seed_x, r.seed_y, r.seed_z]) ** 2).sum(axis=1))
+        assert np.ptp(xyz[d <= ends[r.attempt] + 1e-9, 2]) > 0.5 and ends[r.attempt] < 8
+
+
+def test_seeds_high_but_never_round_climb_on(spark):
+    """The last round patch of a strip is low; the long ones after it are high, and do not count."""
+    c = cloud(spark, [(0.02 * i, 0.02 * j, 0.006 * i) for i in range(201) for j in range(3)])
+    seeds = ops.every_point(c.where("pid = 301"))
+    whole = growth.candidates(seeds, c, 0.1, 6, 25.0, 0.2).select("rung", "n", "relief").collect()
+    assert whole[0].relief < 0.35 and growth.candidates(seeds, c, 0.1, 6, 25.0, 0.2, max_relief=0.35).select("rung", "n", "relief").collect() == whole
